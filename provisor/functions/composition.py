@@ -59,42 +59,42 @@ def to_cyrillic_lookalikes(text: Column) -> Column:
     return F.translate(text, LATIN_LOOKALIKES, CYRILLIC_LOOKALIKES)
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fuzzy_spans(text: Column, keywords: list[str], start: Column | int = 0) -> Column:
     """Span (start, end) of the first Cyrillic word close to a keyword at or after ``start``.
 
-    Close means two edits for keywords of up to seven letters, three for longer ones. The fold
-    keeps only a running offset and the first hit, so its state does not grow with the text.
-    Offsets are zero-based; both are null when nothing is close.
+    Close means two edits for keywords of up to seven letters, three for longer ones. ``start``
+    must not lie inside a word. Offsets are zero-based; the result is null when nothing is close.
     """
     start = start if isinstance(start, Column) else F.lit(start)
+    bounds = {k: 2 if len(k) <= 7 else 3 for k in keywords}
 
-    def close(word: Column) -> Column:
+    def close(piece: Column) -> Column:
+        # Lengths differ for almost every piece, so the distance is rarely computed; pieces
+        # between words share no letter with a keyword and are always too far.
         hit = F.lit(False)
-        for keyword in keywords:
-            bound = 2 if len(keyword) <= 7 else 3
+        for keyword, bound in bounds.items():
             hit = hit | (
-                (F.abs(F.length(word) - len(keyword)) <= bound)
-                & (F.levenshtein(word, F.lit(keyword), bound) >= 0)
+                F.length(piece).between(len(keyword) - bound, len(keyword) + bound)
+                & (F.levenshtein(piece, F.lit(keyword), bound) >= 0)
             )
         return hit
 
-    folded = F.lower(to_cyrillic_lookalikes(text))
-    pieces = F.regexp_extract_all(folded, F.lit(r"([а-яё]+|[^а-яё]+)"), F.lit(1))
-    nothing = F.lit(None).cast("int")
-
-    def step(s: Column, piece: Column) -> Column:
-        after = s["at"] + F.length(piece)
-        fresh = s["start"].isNull() & (s["at"] >= start) & piece.rlike("^[а-яё]") & close(piece)
-        return F.struct(
-            after.alias("at"),
-            F.when(fresh, s["at"]).otherwise(s["start"]).alias("start"),
-            F.when(fresh, after).otherwise(s["end"]).alias("end"),
-        )
+    def span(pieces: Column) -> Column:
+        def place(at: Column) -> Column:
+            before = start + F.length(F.array_join(F.slice(pieces, F.lit(1), at - 1), ""))
+            return F.when(at > 0, F.struct(
+                before.alias("start"), (before + F.length(F.get(pieces, at - 1))).alias("end")))
 
-    found = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), nothing.alias("start"), nothing.alias("end")), step
-    )
-    return F.struct(found["start"].alias("start"), found["end"].alias("end"))
+        return _bind(F.array_position(F.transform(pieces, close), True).cast("int"), place)
+
+    rest = F.substring(text, start + 1, F.length(text))
+    folded = F.lower(to_cyrillic_lookalikes(rest))
+    return _bind(F.regexp_extract_all(folded, F.lit(r"([а-яё]+|[^а-яё]+)"), F.lit(1)), span)
 
 
 def _first_marker(text: Column, start: Column) -> Column:
@@ -110,25 +110,34 @@ def _first_marker(text: Column, start: Column) -> Column:
 def composition_block(raw: Column) -> Column:
     """Text from the composition heading to the first allergen, facility or end marker."""
     text = F.replace(raw, F.lit("\n"), F.lit(" "))
-    start = F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0))
-    end = F.least(
-        fuzzy_spans(text, ALLERGEN_WORDS, start)["start"],
-        fuzzy_spans(text, FACILITY_WORDS, start)["start"],
-        _first_marker(text, start),
-        F.length(text),
-    )
-    return F.btrim(F.substring(text, start + 1, end - start), F.lit(BLOCK_EDGE_CHARS))
+
+    def cut(start: Column) -> Column:
+        end = F.least(
+            fuzzy_spans(text, ALLERGEN_WORDS, start)["start"],
+            fuzzy_spans(text, FACILITY_WORDS, start)["start"],
+            _first_marker(text, start),
+            F.length(text),
+        )
+        return F.btrim(F.substring(text, start + 1, end - start), F.lit(BLOCK_EDGE_CHARS))
+
+    return _bind(F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0)), cut)
 
 
 def allergen_block(raw: Column) -> Column:
     """Text after the allergen or facility warning up to an end marker; empty when absent."""
     text = F.replace(raw, F.lit("\n"), F.lit(" "))
-    after = F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0))
-    start = F.coalesce(
-        fuzzy_spans(text, ALLERGEN_WORDS, after)["end"],
-        fuzzy_spans(text, FACILITY_WORDS, after)["end"],
-    )
+
+    def begin(after: Column) -> Column:
+        return F.coalesce(
+            fuzzy_spans(text, ALLERGEN_WORDS, after)["end"],
+            fuzzy_spans(text, FACILITY_WORDS, after)["end"],
+        )
+
+    def finish(tail: Column) -> Column:
+        cut = _first_marker(tail, F.lit(0))
+        kept = F.when(cut.isNotNull(), F.substring(tail, F.lit(1), cut)).otherwise(tail)
+        return F.coalesce(F.btrim(kept, F.lit(ALLERGEN_EDGE_CHARS)), F.lit(""))
+
+    start = _bind(F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0)), begin)
     tail = F.ltrim(F.substring(text, start + 1, F.length(text)), F.lit(TAIL_EDGE_CHARS))
-    cut = _first_marker(tail, F.lit(0))
-    kept = F.when(cut.isNotNull(), F.substring(tail, F.lit(1), cut)).otherwise(tail)
-    return F.when(start.isNull(), "").otherwise(F.btrim(kept, F.lit(ALLERGEN_EDGE_CHARS)))
+    return _bind(tail, finish)

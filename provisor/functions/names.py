@@ -61,7 +61,7 @@ def clean_description(text: Column, banned_terms: list[str]) -> Column:
 
 def escaped_names(value: Column) -> Column:
     """Comma list in which a backslash makes the next character literal."""
-    pieces = F.regexp_extract_all(value, F.lit(r"((?:\\.|[^,\\])+)"), F.lit(1))
+    pieces = F.regexp_extract_all(value, F.lit(r"((?:[^,\\]++|\\.)++)"), F.lit(1))
     plain = F.transform(pieces, lambda p: F.btrim(F.regexp_replace(p, r"\\(.)", "$1")))
     return F.filter(plain, lambda p: p != "")
 

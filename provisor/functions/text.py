@@ -14,17 +14,22 @@ from pyspark.sql import Column, functions as F, types as T
 SIMPLE_CHARS = (
     r"\x09-\x0d\x20-\x7e"                              # ASCII without control characters
     r"¡-§©«-®°±¶·»¿"
-    r"À-Þà-ıĴ-ľŁ-ňŊ-ž"
+    r"À-ıĴ-ľŁ-ňŊ-ž"
     r"Ѐ-ҁҊ-ӿ"                      # Cyrillic without combining marks
     r"‐‒-―‘-„•−"    # dashes, quotation marks, bullet
 )
 EXCLUDED_SIMPLE = r"İ"
 _SIMPLE_TEXT = f"^[{SIMPLE_CHARS}&&[^{EXCLUDED_SIMPLE}]]*$"
 
-# Negation words, and the shape of one label token. A subtype in brackets after
-# a code stays inside its token; any other bracket separates tokens.
+# Negation words, and a code with a subtype in brackets (also a damaged one),
+# which stays inside its token while any other bracket separates tokens.
 NEGATION = r"(?iU)\b(?:без|without|free\s+from)\b"
-TOKEN = r"(?iU)((?:(?<!\w)[eе][\s-]?\d{3,4}[a-zа-я]?\s*\([ivx][^,;)]*\)?|[^,;()\[\]{}])+)"
+SUBTYPED_CODE = r"(?iU)((?<!\w)[eе][\s-]?\d{3,4}[a-zа-я]?\s*\([ivx][^,;)]*\)?)"
+
+# Protected codes are fenced with two noncharacters, so that the token pattern moves over long
+# texts in whole runs (a per-character alternation would exhaust the regex stack).
+_FENCE = "\ufdd0\ufdd1"
+TOKEN = r"((?:[^,;()\[\]{}\x{fdd0}]++|\x{fdd0}[^\x{fdd1}]*+\x{fdd1})++)"
 
 _NON_WORD = re.compile(r"[^\w]+")
 
@@ -42,7 +47,8 @@ def _full_unicode_normal_form(values: pd.Series) -> pd.Series:
 
 def simple_normal_form(text: Column) -> Column:
     """JVM-only normal form; exact for texts made of SIMPLE_CHARS."""
-    return F.btrim(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), r"(?U)[^\w]+", " "))
+    folded = F.replace(F.translate(F.lower(text), "ё", "е"), F.lit("ß"), F.lit("ss"))
+    return F.btrim(F.regexp_replace(folded, r"(?U)[^\w]+", " "))
 
 
 def normalize_text(text: Column, *, any_script: bool = True) -> Column:
@@ -65,8 +71,11 @@ def needs_full_unicode(text: Column) -> Column:
 
 def split_label(text: Column) -> Column:
     """Flat token list of a label; nested brackets become separate tokens."""
-    parts = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
-    trimmed = F.transform(parts, lambda part: F.regexp_replace(part, r"(?U)^\s+|\s+$", ""))
+    fenced = F.regexp_replace(text, SUBTYPED_CODE, f"{_FENCE[0]}$1{_FENCE[1]}")
+    parts = F.regexp_extract_all(fenced, F.lit(TOKEN), F.lit(1))
+    trimmed = F.transform(
+        parts, lambda part: F.regexp_replace(F.translate(part, _FENCE, ""), r"(?U)^\s+|\s+$", "")
+    )
     return F.filter(trimmed, lambda part: part != "")
 
 
