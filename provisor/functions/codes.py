@@ -14,15 +14,13 @@ SUFFIX_CYRILLIC, SUFFIX_LATIN = "абвс", "abbc"
 
 
 def first_code(text: Column) -> Column:
-    """First code in a text as ``E<digits><suffix>(<subtype>)`` in lower-case suffixes, else null."""
-    digits = F.regexp_extract(text, CODE_IN_TEXT, 1)
-    subtype = F.regexp_extract(text, CODE_IN_TEXT, 2)
-    code = F.concat(
-        F.lit("E"),
-        F.translate(F.lower(digits), SUFFIX_CYRILLIC, SUFFIX_LATIN),
-        F.lower(F.regexp_replace(subtype, r"(?U)\s+", "")),
-    )
-    return F.when(digits != "", code)
+    """First code in a text as ``E<digits><suffix>(<subtype>)`` in lower-case suffixes, else null.
+
+    The case-insensitive pattern only runs on texts with three digits in a row.
+    """
+    found = F.when(text.rlike(r"(?U)\d{3}"), F.regexp_extract(text, CODE_IN_TEXT, 0))
+    bare = F.lower(F.substring(F.regexp_replace(found, r"(?U)[\s-]+", ""), 2, 64))
+    return F.when(found != "", F.concat(F.lit("E"), F.translate(bare, SUFFIX_CYRILLIC, SUFFIX_LATIN)))
 
 
 def _compact(text: Column) -> Column:

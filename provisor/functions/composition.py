@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from provisor.functions.text import collapse_spaces
+from provisor.functions.text import bind, collapse_spaces
 
 # Labels, end markers, hint stems and section keywords of a product label.
 LEADING_LABEL = r"(?iU)^\s*(?:состав|ингредиенты)\s*[:\-–—.]?\s*"
@@ -59,11 +59,6 @@ def to_cyrillic_lookalikes(text: Column) -> Column:
     return F.translate(text, LATIN_LOOKALIKES, CYRILLIC_LOOKALIKES)
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fuzzy_spans(text: Column, keywords: list[str], start: Column | int = 0) -> Column:
     """Span (start, end) of the first Cyrillic word close to a keyword at or after ``start``.
 
@@ -90,11 +85,11 @@ def fuzzy_spans(text: Column, keywords: list[str], start: Column | int = 0) -> C
             return F.when(at > 0, F.struct(
                 before.alias("start"), (before + F.length(F.get(pieces, at - 1))).alias("end")))
 
-        return _bind(F.array_position(F.transform(pieces, close), True).cast("int"), place)
+        return bind(F.array_position(F.transform(pieces, close), True).cast("int"), place)
 
     rest = F.substring(text, start + 1, F.length(text))
     folded = F.lower(to_cyrillic_lookalikes(rest))
-    return _bind(F.regexp_extract_all(folded, F.lit(r"([а-яё]+|[^а-яё]+)"), F.lit(1)), span)
+    return bind(F.regexp_extract_all(folded, F.lit(r"([а-яё]+|[^а-яё]+)"), F.lit(1)), span)
 
 
 def _first_marker(text: Column, start: Column) -> Column:
@@ -120,7 +115,7 @@ def composition_block(raw: Column) -> Column:
         )
         return F.btrim(F.substring(text, start + 1, end - start), F.lit(BLOCK_EDGE_CHARS))
 
-    return _bind(F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0)), cut)
+    return bind(F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0)), cut)
 
 
 def allergen_block(raw: Column) -> Column:
@@ -138,6 +133,6 @@ def allergen_block(raw: Column) -> Column:
         kept = F.when(cut.isNotNull(), F.substring(tail, F.lit(1), cut)).otherwise(tail)
         return F.coalesce(F.btrim(kept, F.lit(ALLERGEN_EDGE_CHARS)), F.lit(""))
 
-    start = _bind(F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0)), begin)
+    start = bind(F.coalesce(fuzzy_spans(text, COMPOSITION_WORDS)["end"], F.lit(0)), begin)
     tail = F.ltrim(F.substring(text, start + 1, F.length(text)), F.lit(TAIL_EDGE_CHARS))
-    return _bind(tail, finish)
+    return bind(tail, finish)

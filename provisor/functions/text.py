@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 # Characters whose compatibility form and case folding equal plain lower-casing,
 # so the JVM expression is exact for a text made of them (checked character by character in
@@ -31,11 +32,41 @@ SUBTYPED_CODE = r"(?iU)((?<!\w)[eе][\s-]?\d{3,4}[a-zа-я]?\s*\([ivx][^,;)]*\)?
 _FENCE = "\ufdd0\ufdd1"
 TOKEN = r"((?:[^,;()\[\]{}\x{fdd0}]++|\x{fdd0}[^\x{fdd1}]*+\x{fdd1})++)"
 
+# The characters which count as white space at the ends of a token.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _NON_WORD = re.compile(r"[^\w]+")
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``; keeps big expressions linear."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+@lru_cache(maxsize=1)
+def _icu_in_jvm() -> bool:
+    """True when the session can call ICU, which ships with Spark 4 for its collations."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return False
+    try:
+        session.range(1).select(_icu_normal_form(F.lit("a"))).schema
+        return True
+    except Exception:  # the analyzer refuses unknown classes
+        return False
+
+
+def _icu_normal_form(text: Column) -> Column:
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.btrim(F.regexp_replace(F.translate(folded, "ё", "е"), r"[^\p{L}\p{N}_]+", " "))
+
+
 @F.pandas_udf(T.StringType())
-def _full_unicode_normal_form(values: pd.Series) -> pd.Series:
+def _arrow_normal_form(values: pd.Series) -> pd.Series:
     def one(value):
         if value is None:
             return None
@@ -48,21 +79,22 @@ def _full_unicode_normal_form(values: pd.Series) -> pd.Series:
 def simple_normal_form(text: Column) -> Column:
     """JVM-only normal form; exact for texts made of SIMPLE_CHARS."""
     folded = F.replace(F.translate(F.lower(text), "ё", "е"), F.lit("ß"), F.lit("ss"))
-    return F.btrim(F.regexp_replace(folded, r"(?U)[^\w]+", " "))
+    return F.btrim(F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", " "))
 
 
 def normalize_text(text: Column, *, any_script: bool = True) -> Column:
     """Compatibility form, case folding, punctuation to single spaces.
 
-    Rows outside the simple character set go through one Arrow function which sees nulls for
-    all other rows. ``any_script=False`` keeps the whole expression in the JVM when the input
-    is known to be simple (for instance columns that are already normalised).
+    Texts outside the simple character set take the full Unicode path: ICU inside the JVM, or an
+    Arrow function (which sees nulls for all simple texts) where ICU is not on the class path.
+    ``any_script=False`` is for inputs known to be simple, such as normalised columns.
     """
     if not any_script:
         return simple_normal_form(text)
     simple = text.rlike(_SIMPLE_TEXT)
-    hard = _full_unicode_normal_form(F.when(~simple, text))
-    return F.when(simple, simple_normal_form(text)).otherwise(hard)
+    if _icu_in_jvm():
+        return F.when(simple, simple_normal_form(text)).when(text.isNotNull(), _icu_normal_form(text))
+    return F.when(simple, simple_normal_form(text)).otherwise(_arrow_normal_form(F.when(~simple, text)))
 
 
 def needs_full_unicode(text: Column) -> Column:
@@ -71,11 +103,11 @@ def needs_full_unicode(text: Column) -> Column:
 
 def split_label(text: Column) -> Column:
     """Flat token list of a label; nested brackets become separate tokens."""
-    fenced = F.regexp_replace(text, SUBTYPED_CODE, f"{_FENCE[0]}$1{_FENCE[1]}")
+    fenced = F.when(
+        text.rlike(r"\([ivxIVX]"), F.regexp_replace(text, SUBTYPED_CODE, f"{_FENCE[0]}$1{_FENCE[1]}")
+    ).otherwise(text)
     parts = F.regexp_extract_all(fenced, F.lit(TOKEN), F.lit(1))
-    trimmed = F.transform(
-        parts, lambda part: F.regexp_replace(F.translate(part, _FENCE, ""), r"(?U)^\s+|\s+$", "")
-    )
+    trimmed = F.transform(parts, lambda part: F.btrim(F.translate(part, _FENCE, ""), F.lit(WHITE_SPACE)))
     return F.filter(trimmed, lambda part: part != "")
 
 
@@ -97,13 +129,19 @@ def apply_corrections(tokens: Column, corrections: Column) -> Column:
     ``corrections`` is ``array<struct<token_index, token_raw, corrected_text>>``; an index out of
     range or a differing original token makes the whole request stale.
     """
-    base = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("")))
-    valid = F.forall(
-        corrections,
-        lambda c: F.coalesce(F.get(base, c["token_index"]) == c["token_raw"], F.lit(False)),
-    )
-    by_index = F.map_from_entries(
-        F.transform(corrections, lambda c: F.struct(c["token_index"], c["corrected_text"]))
+
+    def on_tokens(base: Column) -> Column:
+        valid = F.forall(
+            corrections,
+            lambda c: F.coalesce(F.get(base, c["token_index"]) == c["token_raw"], F.lit(False)),
+        )
+        entries = F.transform(corrections, lambda c: F.struct(c["token_index"], c["corrected_text"]))
+        replaced = bind(
+            F.map_from_entries(entries),
+            lambda by: F.transform(base, lambda token, i: F.coalesce(F.try_element_at(by, i), token)),
+        )
+        return F.when(valid, replaced)
+
+    return bind(
+        bind(tokens, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))), on_tokens
     )
-    replaced = F.transform(base, lambda token, i: F.coalesce(F.try_element_at(by_index, i), token))
-    return F.when(valid, replaced)

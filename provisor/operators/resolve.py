@@ -8,9 +8,15 @@ from provisor.functions.codes import first_code
 from provisor.functions.text import is_negated, normalize_text, split_label
 
 
-def label_tokens(labels: DataFrame, text: str = "text", keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
-    """One row per token of a label, with its zero-based position."""
-    return labels.select(*keys, F.posexplode(split_label(F.col(text))).alias("pos", "token"))
+def label_tokens(
+    labels: DataFrame, text: str = "text", keys: tuple[str, ...] = ("product_id",), *, keep_empty: bool = False
+) -> DataFrame:
+    """One row per token of a label, with its zero-based position.
+
+    ``keep_empty`` keeps a row with null position and token for a label without tokens.
+    """
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return labels.select(*keys, explode(split_label(F.col(text))).alias("pos", "token"))
 
 
 def with_lookup_key(tokens: DataFrame, token: str = "token", *, any_script: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ def label_counts(resolved: DataFrame, keys: tuple[str, ...] = ("product_id",)) -
     label with very many tokens is spread over its ingredients before it meets in one row.
     """
     folded = resolved.groupBy(*keys, "ingredient_id").agg(
-        F.max("weight").alias("weight"), F.count(F.lit(1)).alias("tokens"),
+        F.max("weight").alias("weight"), F.count("pos").alias("tokens"),
         *([F.max("personal").alias("personal")] if "personal" in resolved.columns else []),
     )
     found = F.col("ingredient_id").isNotNull()

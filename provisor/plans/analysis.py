@@ -38,9 +38,8 @@ def analyse_labels(
     A label without any token keeps a row with zero counts.
     """
     catalog = catalog_dictionary(ingredients, aliases, review, rule_rows, sources, transitions, day)
-    tokens = resolve.with_lookup_key(resolve.label_tokens(labels))
-    counts = verdict.label_counts(resolve.resolve_tokens(tokens, catalog))
-    return verdict.verdicts(_with_empty_labels(labels, counts, ("product_id",)))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(labels, keep_empty=True))
+    return verdict.verdicts(verdict.label_counts(resolve.resolve_tokens(tokens, catalog)))
 
 
 def personal_verdicts(
@@ -50,17 +49,6 @@ def personal_verdicts(
     """One verdict row per label and its user (``product_id``, ``user_id``, ``text``)."""
     keys = ("product_id", "user_id")
     catalog = catalog_dictionary(ingredients, aliases, review, rule_rows, sources, transitions, day)
-    tokens = resolve.with_lookup_key(resolve.label_tokens(labels, keys=keys))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(labels, keys=keys, keep_empty=True))
     flagged = verdict.with_personal_hits(resolve.resolve_tokens(tokens, catalog), exclusions)
-    return verdict.verdicts(_with_empty_labels(labels, verdict.label_counts(flagged, keys), keys))
-
-
-def _with_empty_labels(labels: DataFrame, counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Add labels that split into no token, with zero counts."""
-    from provisor.functions.text import split_label
-
-    empty = labels.where((F.size(split_label(F.col("text"))) <= 0) | F.col("text").isNull()).select(
-        *keys,
-        *[F.lit(-1 if c == "weight" else 0).cast(counts.schema[c].dataType).alias(c) for c in counts.columns if c not in keys],
-    )
-    return counts.unionByName(empty)
+    return verdict.verdicts(verdict.label_counts(flagged, keys))
