@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from provisor.functions.codes import strict_code
+from provisor.functions.text import fold_text
 
 # Limits of a clean English name and the words of an excerpt.
 ENGLISH_MAX_CHARS = 180
@@ -68,7 +69,7 @@ def escaped_names(value: Column) -> Column:
 
 def taxonomy_key(language: Column, name: Column) -> Column:
     return F.concat(
-        language, F.lit(":"), F.btrim(F.regexp_replace(F.lower(name), r"(?U)\s+", " "))
+        language, F.lit(":"), F.btrim(F.regexp_replace(fold_text(name), r"(?U)\s+", " "))
     )
 
 

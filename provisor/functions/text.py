@@ -59,10 +59,18 @@ def _icu_in_jvm() -> bool:
         return False
 
 
-def _icu_normal_form(text: Column) -> Column:
+def _icu_fold(text: Column) -> Column:
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
-    return F.btrim(F.regexp_replace(F.translate(folded, "ё", "е"), r"[^\p{L}\p{N}_]+", " "))
+    return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+
+
+def _icu_normal_form(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.translate(_icu_fold(text), "ё", "е"), r"[^\p{L}\p{N}_]+", " "))
+
+
+@F.pandas_udf(T.StringType())
+def _arrow_fold(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
 @F.pandas_udf(T.StringType())
@@ -97,6 +105,15 @@ def normalize_text(text: Column, *, any_script: bool = True) -> Column:
     return F.when(simple, simple_normal_form(text)).otherwise(_arrow_normal_form(F.when(~simple, text)))
 
 
+def fold_text(text: Column) -> Column:
+    """Compatibility form and case folding only; punctuation stays."""
+    simple = text.rlike(_SIMPLE_TEXT)
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    if _icu_in_jvm():
+        return F.when(simple, plain).when(text.isNotNull(), _icu_fold(text))
+    return F.when(simple, plain).otherwise(_arrow_fold(F.when(~simple, text)))
+
+
 def needs_full_unicode(text: Column) -> Column:
     return ~text.rlike(_SIMPLE_TEXT)
 

@@ -34,6 +34,22 @@ def numbered(
     )
 
 
+def running_total(
+    df: DataFrame, keys: list[str], bucket: Column, order: str, value: Column, out: str
+) -> DataFrame:
+    """Running sum of ``value`` per key in ``order``, current row included, cut into buckets."""
+    marked = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("long"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        marked.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_s"))
+        .select(*keys, "_bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.withColumn("_run", F.sum("_value").over(inside))
+    return local.join(offsets, [*keys, "_bucket"]).withColumn(out, F.col("_run") + F.col("_offset")).drop(
+        "_bucket", "_value", "_run", "_offset")
+
+
 def previous_value(
     df: DataFrame, keys: list[str], bucket: Column, order: str, value: str, out: str
 ) -> DataFrame:
