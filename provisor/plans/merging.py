@@ -9,6 +9,7 @@ from provisor.functions.names import english_name
 from provisor.functions.text import normalize_text
 from provisor.operators import changes, merge, quality
 from provisor.operators.aliases import ID_PREFIX
+from provisor.session import cut_lineage
 
 RULE_FIELDS = [
     "rule_type", "severity", "effective_from", "effective_to", "regulatory_status", "evaluation", "verification_status", "match_policy",
@@ -26,7 +27,7 @@ def merge_catalogs(
     ``regulatory_sources``. ``ambiguous`` has ``form``. Rules never flow to an unmatched row.
     """
     ingredients, old = primary["ingredients"], legacy["ingredients"]
-    matches = merge.match_catalogs(ingredients, old)
+    matches = cut_lineage(merge.match_catalogs(ingredients, old), "catalog-matches")
     pairs = matches.where("legacy_id is not null").select("ingredient_id", "legacy_id")
     crosswalk = pairs.select("legacy_id", "ingredient_id")
 
@@ -57,7 +58,8 @@ def merge_catalogs(
     judged = merge.alias_decisions(union, restricted, ambiguous)
     # An own alias is only dropped for ambiguity, a carried one also for being an extraction row.
     reason = F.when((F.col("_order") != 1) & (F.col("reason") == "extraction_row_not_a_clean_alias"), None).otherwise(F.col("reason"))
-    judged = judged.withColumn("reason", reason).withColumn("_position", F.struct("_order", "alias_id"))
+    judged = cut_lineage(
+        judged.withColumn("reason", reason).withColumn("_position", F.struct("_order", "alias_id")), "merged-aliases")
     active = judged.where("reason is null")
     later = merge.first_by_key(active.where("_order > 0"), ["ingredient_id", "form"], "_position")
     taken = active.where("_order = 0")

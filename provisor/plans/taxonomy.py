@@ -9,6 +9,7 @@ from provisor.functions.ids import name_uuid
 from provisor.functions.text import normalize_text
 from provisor.operators.aliases import ID_PREFIX, alias_rows, quarantine
 from provisor.operators.quality import alias_owners, ambiguity_report
+from provisor.session import cut_lineage
 from provisor.sources.taxonomy import first_names, parse_taxonomy, property_conflicts
 
 
@@ -58,8 +59,9 @@ def enrich_catalog(base: dict[str, DataFrame], lines: DataFrame, source: str, pr
     ``base`` has ``ingredients`` and ``ingredient_aliases`` (with ``position``). The text claims
     of a taxonomy never create rules.
     """
-    parsed = parse_taxonomy(lines)
-    entries = match_entries(parsed, base["ingredients"], prefix)
+    # The parse feeds a dozen outputs, so its parts are written once.
+    parsed = {name: cut_lineage(df, f"taxonomy-{name}") for name, df in parse_taxonomy(cut_lineage(lines, "taxonomy-lines")).items()}
+    entries = cut_lineage(match_entries(parsed, base["ingredients"], prefix), "taxonomy-matches")
     fresh = entries.where("match_method = 'new_ordinary_ingredient'").select(
         "ingredient_id", F.lit("ingredient").alias("kind"), "name", "name_en", F.lit(True).alias("is_active"))
     ingredients = base["ingredients"].unionByName(fresh, allowMissingColumns=True)
@@ -85,7 +87,7 @@ def enrich_catalog(base: dict[str, DataFrame], lines: DataFrame, source: str, pr
     aliases = parts[0]
     for part in parts[1:]:
         aliases = aliases.unionByName(part, allowMissingColumns=True)
-    judged = quarantine(aliases.select(*parts[1].columns), ingredients)
+    judged = cut_lineage(quarantine(aliases.select(*parts[1].columns), ingredients), "taxonomy-aliases")
     parents = resolve_parents(parsed, entries, prefix)
     ids = entries.select("key", "entry_id")
     properties = parsed["properties"].join(ids, "key").select(

@@ -11,7 +11,10 @@ def spark():
     from provisor.session import build_session
 
     session = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
+        "tests", "local[4]", **{
+            "spark.sql.shuffle.partitions": "1", "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false",
+        }
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
