@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.operators.spread import complete_sum, exact_percentiles, numbered, previous_value
+from provisor.operators.spread import complete_sum, exact_percentiles, numbered, previous_value, round_half_even
 
 # Limits of the experiment tables.
 MAX_EVENTS = 5000            # sequence numbers of a run and source are below this
@@ -295,7 +295,7 @@ def quality_review(reviews: DataFrame) -> DataFrame:
     matched = F.size(F.array_distinct("matched_indices"))
     recall = matched / F.col("reference_count")
     return reviews.withColumns({
-        "matched_count": matched, "ingredient_recall": F.bround(recall, 4), "quality_success": recall >= RECALL_SUCCESS,
+        "matched_count": matched, "ingredient_recall": round_half_even(recall, 4), "quality_success": recall >= RECALL_SUCCESS,
     })
 
 

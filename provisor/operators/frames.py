@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.operators.spread import previous_value
+from provisor.operators.spread import previous_value, round_half_even, scan_in_order
 
 # Acceptance limits of a frame, recognition and upscaling limits.
 MIN_MEAN, MAX_MEAN, MIN_EDGE, MAX_MOVEMENT, DUPLICATE_BELOW = 30, 235, 2, 20, 3
@@ -90,33 +90,37 @@ def select_frames(frames: DataFrame) -> DataFrame:
     """Pools of up to three accepted frames or 750 ms; the best one of each pool is sent.
 
     A frame closer than the limit to the frame sent last is a duplicate and joins no pool, so
-    the result depends on what was sent before: sequential state per run. A run is bounded by
-    its allowed time (two minutes at four frames a second). Needs ``run_id, frame_no, at_ms,
-    fp, score, outcome``.
+    the result depends on what was sent before: one ordered pass per run that only keeps the
+    open pool. Needs ``run_id, frame_no, at_ms, fp, score, outcome``.
     """
     import numpy as np
     import pandas as pd
 
-    def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent, pool, started, out = None, [], None, []
-        for row in pdf.sort_values(["at_ms", "frame_no"]).itertuples(index=False):
-            if started is None:
-                started = row.at_ms
-            fp = np.asarray(row.fp, dtype="float64")
-            repeat = sent is not None and np.abs(fp - sent).mean() < DUPLICATE_BELOW
-            if row.outcome == "ok" and not repeat:
-                pool.append((row.score, row.frame_no, fp))
-            if len(pool) < POOL_SIZE and row.at_ms - started < POOL_MS:
-                continue
-            if pool:
-                best = max(pool, key=lambda item: item[0])
-                sent = best[2]
-                out.append((row.run_id, len(out), best[1], len(pool), best[0]))
-            pool, started = [], None
-        return pd.DataFrame(out, columns=["run_id", "pool_no", "frame_no", "candidates", "score"])
+    def scan(batches):
+        run = sent = started = None
+        pool, pool_no = [], 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.run_id != run:
+                    run, sent, started, pool, pool_no = row.run_id, None, None, [], 0
+                started = row.at_ms if started is None else started
+                fp = np.asarray(row.fp, dtype="float64")
+                repeat = sent is not None and np.abs(fp - sent).mean() < DUPLICATE_BELOW
+                if row.outcome == "ok" and not repeat:
+                    pool.append((row.score, row.frame_no, fp))
+                if len(pool) < POOL_SIZE and row.at_ms - started < POOL_MS:
+                    continue
+                if pool:
+                    best = max(pool, key=lambda item: item[0])
+                    sent = best[2]
+                    out.append((run, pool_no, best[1], len(pool), best[0]))
+                    pool_no += 1
+                pool, started = [], None
+            yield pd.DataFrame(out, columns=["run_id", "pool_no", "frame_no", "candidates", "score"])
 
     needed = frames.select("run_id", "frame_no", "at_ms", "fp", "score", "outcome")
-    return needed.groupBy("run_id").applyInPandas(one_run, SELECTION_SCHEMA)
+    return scan_in_order(needed, ["run_id"], ["at_ms", "frame_no"], scan, SELECTION_SCHEMA)
 
 
 def text_lines(words: DataFrame, keys: list[str], order: str = "word_no") -> DataFrame:
@@ -130,7 +134,7 @@ def page_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
     """Mean confidence of non-blank words with a confidence of at least zero, on a 0-1 scale."""
     counted = (F.btrim("word") != "") & (F.col("conf") >= 0)
     mean = F.avg(F.when(counted, F.col("conf").cast("double")))
-    return words.groupBy(*keys).agg(F.coalesce(F.bround(mean / 100, 3), F.lit(0.0)).alias("confidence"))
+    return words.groupBy(*keys).agg(F.coalesce(round_half_even(mean / 100, 3), F.lit(0.0)).alias("confidence"))
 
 
 def upscale_factors(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,7 +149,7 @@ def upscale_factors(words: DataFrame, keys: list[str]) -> DataFrame:
     return (
         pages.join(exact, keys, "left")
         .select(*keys, height.alias("median_height"),
-                F.when(height > 0, F.bround(factor, 2)).otherwise(DEFAULT_SCALE).alias("factor"))
+                F.when(height > 0, round_half_even(factor, 2)).otherwise(DEFAULT_SCALE).alias("factor"))
     )
 
 

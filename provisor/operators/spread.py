@@ -122,3 +122,18 @@ def complete_sum(value: Column, counted: Column | None = None) -> Column:
         (F.count_if(counted & value.isNull()) == 0) & (F.count_if(counted) > 0),
         F.sum(F.when(counted, value)),
     )
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """Round a double like Python's ``round``: in binary arithmetic, ties to even."""
+    scale = float(10 ** digits)
+    return F.rint(value * scale) / scale
+
+
+def scan_in_order(df: DataFrame, keys: list[str], order: list[str], scan, schema: str) -> DataFrame:
+    """Sequential pass per key over sorted partitions in bounded memory.
+
+    ``scan`` gets the Arrow batches of one partition in (key, order) sequence and carries its own
+    small state; the sort spills to disk, so no key is ever collected.
+    """
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)

@@ -132,10 +132,10 @@ def page_heads(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.sha2("html", 256).alias("page_sha256"), strip_invisible(plain).alias("title"))
 
 
-def article_profiles(nodes: DataFrame) -> DataFrame:
-    """One row per article: code, name, excerpt of the first paragraph, counts of its parts."""
-    body = F.col("path").contains("field--additive-info")
-    first = F.min(F.when(body & (F.col("tag") == "p") & (F.col("text") != ""), F.struct("seq", "text")))["text"]
+def article_profiles(nodes: DataFrame, body: str = "field--additive-info") -> DataFrame:
+    """One row per article: code, name, excerpt of the first paragraph and synonyms."""
+    inside = F.col("path").contains(body)
+    first = F.min(F.when(inside & (F.col("tag") == "p") & (F.col("text") != ""), F.struct("seq", "text")))["text"]
     code = F.min(F.when(F.col("classes").contains("addicon__name"), F.struct("seq", "text")))["text"]
     heading = F.min(F.when(F.col("tag") == "h1", F.struct("seq", "text")))["text"]
     synonyms = F.min(F.when(F.col("path").contains("field--additive-synonyms") & F.col("classes").contains("field__content"), F.struct("seq", "text")))["text"]
@@ -190,7 +190,7 @@ def document_links(links: DataFrame, host: str, file_path: str = "/files/") -> D
     return links.select("page_id", relation.alias("relation"), "target").where("relation is not null").distinct()
 
 
-def reading_notes(nodes: DataFrame) -> DataFrame:
+def reading_notes(nodes: DataFrame, body: str = "field--additive-info") -> DataFrame:
     """Text per section of an article, each cut at the note limit: (source_url, section, note).
 
     A section is opened by its heading; text before the first heading has a fixed title. Notes
@@ -198,10 +198,10 @@ def reading_notes(nodes: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    body = nodes.where(F.col("path").contains("field--additive-info") & F.col("tag").isin("h2", "h3", "h4", "p", "li"))
+    inside = nodes.where(F.col("path").contains(body) & F.col("tag").isin("h2", "h3", "h4", "p", "li"))
     along = Window.partitionBy("page_key").orderBy("seq")
     heading = F.last(F.when(F.col("tag").startswith("h"), F.col("text")), ignorenulls=True).over(along)
-    rows = body.withColumn("section", F.coalesce(heading, F.lit(FIRST_SECTION))).where(~F.col("tag").startswith("h") & (F.col("text") != ""))
+    rows = inside.withColumn("section", F.coalesce(heading, F.lit(FIRST_SECTION))).where(~F.col("tag").startswith("h") & (F.col("text") != ""))
     used = F.sum(F.length("text") + 1).over(
         Window.partitionBy("page_key", "section").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     kept = rows.withColumn("_used", F.coalesce(used, F.lit(0))).where(F.col("_used") < NOTE_CHARS)
