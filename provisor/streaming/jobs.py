@@ -19,7 +19,6 @@ from provisor.operators.spread import scan_in_order
 from provisor.plans.analysis import analyse_labels
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-INTAKE_SCHEMA = "run_id long, source string, seq long, content string, outcome string"
 THROTTLE_SCHEMA = "key string, at timestamp, hits long, allowed boolean"
 STAGE_SCHEMA = "run_id long, no long, action string, accepted boolean, reason string, stage string, revision long"
 
@@ -49,52 +48,64 @@ def label_verdicts(labels: DataFrame, catalog: dict[str, DataFrame], day: dt.dat
     return labels.writeStream.foreachBatch(write)
 
 
-class _Intake(StatefulProcessor):
-    """Remembers the content hash of one (run, source, seq) until it can no longer repeat."""
+def event_content(*extra: str):
+    """Columns that identify an event delivery and what makes two deliveries equal."""
+    content = F.md5(F.to_json(F.struct("event_name", "relative_ms", "details"), {"ignoreNullFields": "false"}))
+    return ["run_id", "source", "seq", *extra, content.alias("content")]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.content = handle.getValueState("content", "content string", ttlDurationMs=MAX_RELATIVE_MS)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.content.get()[0] if self.content.exists() else None
-        for batch in rows:
-            out = []
-            for content in batch["content"]:
-                out.append("new" if known is None else "repeat" if content == known else "conflict")
-                if known is None:
-                    known = content
-                    self.content.update((content,))
-            yield pd.DataFrame({"run_id": key[0], "source": key[1], "seq": key[2], "content": batch["content"], "outcome": out})
+INTAKE_KEY = ["run_id", "source", "seq"]
 
-    def close(self) -> None:
-        pass
 
+def judge_deliveries(rows: DataFrame, stored: DataFrame, arrival: str) -> DataFrame:
+    """Outcome per delivery against stored first deliveries and earlier rows of the same set.
 
-def event_content(events: DataFrame) -> DataFrame:
-    """(run_id, source, seq, content): what makes two deliveries of one event equal."""
-    content = F.md5(F.to_json(F.struct("event_name", "relative_ms", "details"), {"ignoreNullFields": "false"}))
-    return events.select("run_id", "source", "seq", content.alias("content"))
+    ``rows`` and ``stored`` carry the key and ``content``. All aggregates combine map-side, and
+    the key holds the sequence number, so a busy run spreads over all tasks.
+    """
+    first = rows.groupBy(*INTAKE_KEY).agg(F.min(arrival).alias("_at"), F.min_by("content", arrival).alias("_first"))
+    known = stored.select(*INTAKE_KEY, F.col("content").alias("_stored"))
+    judged = rows.join(first, INTAKE_KEY).join(known, INTAKE_KEY, "left")
+    fresh = F.col("_stored").isNull() & (F.col(arrival) == F.col("_at"))
+    return judged.withColumn(
+        "outcome", F.when(fresh, "new").when(F.col("content") == F.coalesce("_stored", "_first"), "repeat").otherwise("conflict")
+    ).drop("_at", "_first", "_stored")
 
 
-def event_intake(events: DataFrame) -> DataFrame:
+def event_intake(events: DataFrame, out: str, arrival: str = "event_id") -> DataStreamWriter:
     """Idempotent intake: first delivery is new, an equal one a repeat, a differing one a conflict.
 
-    Keyed by (run, source, seq) instead of run: the state of a busy run spreads over all tasks.
+    A delivery can only repeat within the allowed age of an event, so each micro-batch reads just
+    the stored hours it can touch (pruned by partition) and replaces its own folder. Events of a
+    batch which is run again after a failure are judged the same way.
     """
-    use_rocksdb(events.sparkSession)
-    return event_content(events).groupBy("run_id", "source", "seq").transformWithStateInPandas(
-        statefulProcessor=_Intake(), outputStructType=INTAKE_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*event_content(arrival, "ts")).withColumn("hour", F.date_trunc("HOUR", "ts"))
+        oldest = rows.agg(F.min("hour")).first()[0]
+        stored = stored_rows(spark, out, batch_id)
+        if stored is None or oldest is None:
+            stored = rows.where(F.lit(False))
+        else:
+            since = oldest - dt.timedelta(milliseconds=MAX_RELATIVE_MS)
+            stored = stored.where((F.col("outcome") == "new") & (F.col("hour") >= F.lit(since)))
+        judge_deliveries(rows, stored, arrival).write.mode("overwrite").partitionBy("hour").parquet(f"{out}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(write)
+
+
+def stored_rows(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Rows earlier batches wrote under ``path``; null when there are none."""
+    if before == 0:
+        return None
+    return spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") < before)
 
 
 def event_intake_batch(events: DataFrame, arrival: str) -> DataFrame:
-    """Batch twin of :func:`event_intake` in ``arrival`` order."""
-    rows = event_content(events).withColumn("arrival", F.col(arrival)) if arrival in ("seq",) else events.select(
-        "run_id", "source", "seq", F.md5(F.to_json(F.struct("event_name", "relative_ms", "details"), {"ignoreNullFields": "false"})).alias("content"),
-        F.col(arrival).alias("arrival"))
-    first = rows.groupBy("run_id", "source", "seq").agg(F.min("arrival").alias("_at"), F.min_by("content", "arrival").alias("_first"))
-    return rows.join(first, ["run_id", "source", "seq"]).select(
-        "run_id", "source", "seq", "arrival",
-        F.when(F.col("arrival") == F.col("_at"), "new").when(F.col("content") == F.col("_first"), "repeat").otherwise("conflict").alias("outcome"))
+    """Batch twin of :func:`event_intake` in ``arrival`` order (a column unique per delivery)."""
+    rows = events.select(*event_content(arrival))
+    return judge_deliveries(rows, rows.where(F.lit(False)), arrival)
 
 
 def running_counters(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -184,12 +195,9 @@ def correction_intake(corrections: DataFrame, stored: str, queue: str) -> DataSt
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         names = [*changes.CORRECTION_CONTENT, "id"]
-        empty = spark.createDataFrame([], batch.select(*names).schema)
-        earlier = empty
-        for past in range(batch_id):
-            earlier = earlier.unionByName(spark.read.schema(empty.schema).parquet(f"{stored}/batch_id={past}"))
+        earlier = stored_rows(batch.sparkSession, stored, batch_id)
+        earlier = batch.where(F.lit(False)).select(*names) if earlier is None else earlier.select(*names)
         outcome = changes.correction_outcomes(batch, earlier)
         outcome.where("outcome = 'new' and saved").select(*names).write.mode("overwrite").parquet(f"{stored}/batch_id={batch_id}")
         changes.review_queue_rows(outcome).write.mode("overwrite").parquet(f"{queue}/batch_id={batch_id}")

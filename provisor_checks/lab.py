@@ -10,7 +10,7 @@ from provisor.operators import experiments as lab
 from provisor.operators.spread import complete_sum
 from provisor_checks.registry import check
 
-NOW = dt.datetime(2024, 1, 6, 23, 0, 0)
+NOW = dt.datetime(2024, 1, 30, 20, 0, 0)
 
 FIRST = "min(relative_ms) FILTER (WHERE source = 'browser' AND event_name = '{n}' AND seq = {a})"
 SUMMARY_CTE = """
@@ -246,6 +246,6 @@ def _(t):
 
 
 @check("str_5_expired_heartbeats_batch", """
-    SELECT run_id FROM lab_events GROUP BY run_id HAVING max(ts) < TIMESTAMP '2024-01-06 22:57:00'""")
+    SELECT run_id FROM lab_events GROUP BY run_id HAVING max(ts) < TIMESTAMP '2024-01-30 19:57:00'""")
 def _(t):
     return lab.expired_heartbeats(t.lab_events, NOW).select("run_id")

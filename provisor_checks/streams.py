@@ -53,12 +53,26 @@ def _(t):
     SELECT user_id AS run_id, seq, CAST(1 AS BIGINT) AS new, CAST(CASE WHEN contents = 1 THEN n - 1 ELSE 0 END AS BIGINT) AS repeats,
       CAST(CASE WHEN contents > 1 THEN n - 1 ELSE 0 END AS BIGINT) AS conflicts FROM g""")
 def _(t):
-    done = jobs.run_available(jobs.event_intake(event_stream(t)), *folders(t, "event-intake"))
+    out, checkpoint = folders(t, "event-intake")
+    jobs.event_intake(event_stream(t), out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = t.spark.read.parquet(out)
     outcome = F.col("outcome")
     return done.groupBy("run_id", "seq").agg(
         F.count_if(outcome == "new").alias("new"), F.count_if(outcome == "repeat").alias("repeats"), F.count_if(outcome == "conflict").alias("conflicts"))
 
 
+@check("str_2_event_intake_batch", """
+    WITH e AS (SELECT event_id, user_id, event_id // 2 AS seq, event_type, floor(value / 200) AS v FROM events)
+    SELECT event_id, user_id AS run_id, seq, CASE WHEN first_value(event_id) OVER w = event_id THEN 'new'
+      WHEN first_value(event_type) OVER w = event_type AND first_value(v) OVER w = v THEN 'repeat' ELSE 'conflict' END AS outcome
+    FROM e WINDOW w AS (PARTITION BY user_id, seq ORDER BY event_id)""")
+def _(t):
+    events = t.events.select(
+        F.col("user_id").alias("run_id"), F.lit("browser").alias("source"), F.floor(F.col("event_id") / 2).alias("seq"),
+        F.col("event_type").alias("event_name"), F.floor(F.col("value") / 200).alias("relative_ms"), F.lit("{}").alias("details"), "event_id")
+    return jobs.event_intake_batch(events, "event_id").select("event_id", "run_id", "seq", "outcome")
+
+
 @check("str_3_running_counters", """
     SELECT user_id AS run_id, count(*) FILTER (WHERE event_type = 'view') AS considered, count(*) FILTER (WHERE event_type = 'click') AS sent,
       count(*) FILTER (WHERE event_type = 'error') AS rejected FROM events GROUP BY 1""")
