@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from provisor.functions.text import NEGATION
+
 # Code patterns, and the Cyrillic suffix letters with their Latin reading.
 CODE_IN_TEXT = (
     r"(?iU)(?<!\w)[eе][\s-]?(\d{3,4}[a-zа-я]?)(\s*\([ivx]+\))?(?!\w|\s*\([ivx])"
@@ -13,16 +15,25 @@ CODE_LIKE = r"(?i)^[eе][\s-]*\d{3,4}[a-z]*(?:\([ivx]+\))?$"
 SUFFIX_CYRILLIC, SUFFIX_LATIN = "абвс", "abbc"
 
 
-def first_code(text: Column) -> Column:
-    """First code in a text as ``E<digits><suffix>(<subtype>)`` in lower-case suffixes, else null.
+def code_text(text: Column) -> Column:
+    """Code as written in a text that is not negated; empty or null when there is none.
 
     The case-insensitive pattern only runs on texts with three digits in a row.
     """
-    found = F.when(text.rlike(r"(?U)\d{3}"), F.regexp_extract(text, CODE_IN_TEXT, 0))
+    return F.when(text.rlike(r"(?U)\d{3}") & ~text.rlike(NEGATION), F.regexp_extract(text, CODE_IN_TEXT, 0))
+
+
+def code_form(found: Column) -> Column:
+    """Normal form of a code as written: ``E<digits><suffix>(<subtype>)``."""
     bare = F.lower(F.substring(F.regexp_replace(found, r"(?U)[\s-]+", ""), 2, 64))
     return F.when(found != "", F.concat(F.lit("E"), F.translate(bare, SUFFIX_CYRILLIC, SUFFIX_LATIN)))
 
 
+def first_code(text: Column) -> Column:
+    """First code in a text in its normal form with lower-case suffixes, else null."""
+    return code_form(F.when(text.rlike(r"(?U)\d{3}"), F.regexp_extract(text, CODE_IN_TEXT, 0)))
+
+
 def _compact(text: Column) -> Column:
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s-]", "")
     return F.translate(F.upper(squeezed), "Е", "E")

@@ -99,7 +99,7 @@ def normalize_text(text: Column, *, any_script: bool = True) -> Column:
     """
     if not any_script:
         return simple_normal_form(text)
-    simple = text.rlike(_SIMPLE_TEXT)
+    simple = is_simple(text)
     if _icu_in_jvm():
         return F.when(simple, simple_normal_form(text)).when(text.isNotNull(), _icu_normal_form(text))
     return F.when(simple, simple_normal_form(text)).otherwise(_arrow_normal_form(F.when(~simple, text)))
@@ -107,15 +107,20 @@ def normalize_text(text: Column, *, any_script: bool = True) -> Column:
 
 def fold_text(text: Column) -> Column:
     """Compatibility form and case folding only; punctuation stays."""
-    simple = text.rlike(_SIMPLE_TEXT)
+    simple = is_simple(text)
     plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     if _icu_in_jvm():
         return F.when(simple, plain).when(text.isNotNull(), _icu_fold(text))
     return F.when(simple, plain).otherwise(_arrow_fold(F.when(~simple, text)))
 
 
+def is_simple(text: Column) -> Column:
+    """True when the JVM expression is exact; ASCII texts are told by their byte length."""
+    return (F.length(text) == F.octet_length(text)) | text.rlike(_SIMPLE_TEXT)
+
+
 def needs_full_unicode(text: Column) -> Column:
-    return ~text.rlike(_SIMPLE_TEXT)
+    return ~is_simple(text)
 
 
 def split_label(text: Column) -> Column:

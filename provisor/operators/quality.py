@@ -74,9 +74,9 @@ def key_set_overlap(rule: str, left: DataFrame, right: DataFrame, key: str) -> D
     return violations(rule, shared, "overlap", F.col(key))
 
 
-def column_contract(table: str, df: DataFrame, expected: list[str]) -> DataFrame:
-    """Missing, unexpected and nested columns; reads the schema only."""
-    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("struct", "array", "map")]
+def column_contract(table: str, df: DataFrame, expected: list[str], flat: bool = True) -> DataFrame:
+    """Missing, unexpected and (in flat tables) nested columns; reads the schema only."""
+    nested = [] if not flat else [f.name for f in df.schema.fields if f.dataType.typeName() in ("struct", "array", "map")]
     found = (
         [("missing_column", c) for c in expected if c not in df.columns]
         + [("unexpected_column", c) for c in df.columns if c not in expected]

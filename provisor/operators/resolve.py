@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.functions.codes import first_code
-from provisor.functions.text import is_negated, normalize_text, split_label
+from provisor.functions.codes import code_form, code_text
+from provisor.functions.text import normalize_text, split_label
 
 
 def label_tokens(
@@ -15,19 +15,22 @@ def label_tokens(
 
     ``keep_empty`` keeps a row with null position and token for a label without tokens.
     """
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-    return labels.select(*keys, explode(split_label(F.col(text))).alias("pos", "token"))
+    # The outer form keeps Catalyst from adding a size filter that would split every text twice.
+    tokens = labels.select(*keys, F.posexplode_outer(split_label(F.col(text))).alias("pos", "token"))
+    return tokens if keep_empty else tokens.where("pos is not null")
 
 
 def with_lookup_key(tokens: DataFrame, token: str = "token", *, any_script: bool = True) -> DataFrame:
     """Add how a token is looked up: ``by`` is ``code`` or ``name`` and ``key`` the text.
 
     A negated token has its code suppressed and is looked up by its whole normal form; a token
-    with a code is never looked up by name. The key of an empty normal form is null.
+    with a code is never looked up by name. The dictionary has no empty key.
     """
     raw = F.col(token)
-    coded = tokens.withColumn("code", F.when(~is_negated(raw), first_code(raw)))
-    named = F.when(F.col("code").isNull(), F.nullif(normalize_text(raw, any_script=any_script), F.lit("")))
+    # Steps in columns of their own, so that no regular expression runs twice per token.
+    found = tokens.withColumn("_found", code_text(raw))
+    coded = found.withColumn("code", code_form(F.col("_found"))).drop("_found")
+    named = F.when(F.col("code").isNull(), normalize_text(raw, any_script=any_script))
     return coded.withColumn("by", F.when(F.col("code").isNotNull(), "code").otherwise("name")).withColumn(
         "key", F.coalesce(F.lower("code"), named)
     )
@@ -48,7 +51,7 @@ def name_dictionary(ingredients: DataFrame, aliases: DataFrame, review: DataFram
     and largest owner agree, so one partial aggregate is enough.
     """
     live = ingredients.where("is_active").select("ingredient_id")
-    usable = aliases.join(review.select("normalized_alias"), "normalized_alias", "left_anti").join(
+    usable = aliases.where("normalized_alias <> ''").join(review.select("normalized_alias"), "normalized_alias", "left_anti").join(
         live, "ingredient_id", "left_semi"
     )
     owners = usable.groupBy("normalized_alias").agg(
@@ -69,8 +72,8 @@ def match_dictionary(ingredients: DataFrame, aliases: DataFrame, review: DataFra
 def resolve_tokens(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Left join of keyed tokens with the dictionary; ``ingredient_id`` is null when unmatched.
 
-    No broadcast is forced: the dictionary is broadcast only while Spark measures it below the
-    threshold. Beyond it the join shuffles on the key, and the adaptive skew split divides a
+    No broadcast is forced: a written dictionary has a known size and is broadcast only below the
+    session's threshold. Beyond it the join shuffles on the key, and the adaptive skew split divides a
     name that fills a third of all labels, since only the small side is repeated.
     """
     return tokens.join(dictionary, ["by", "key"], "left").withColumn(

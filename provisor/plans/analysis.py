@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from provisor.operators import resolve, rules, verdict
+from provisor.session import cut_lineage, spread_few_files
 
 
 def graded_dictionary(dictionary: DataFrame, weights: DataFrame) -> DataFrame:
@@ -21,10 +22,14 @@ def catalog_dictionary(
     ingredients: DataFrame, aliases: DataFrame, review: DataFrame, rule_rows: DataFrame, sources: DataFrame,
     transitions: DataFrame, day: dt.date,
 ) -> DataFrame:
-    """Everything a label needs from the catalog on one day: (by, key) to ingredient and weight."""
+    """Everything a label needs from the catalog on one day: (by, key) to ingredient and weight.
+
+    Written once to the shared folder: it is reused by every label job of the day, and its size
+    is then known, so Spark broadcasts it exactly while it is below the session's threshold.
+    """
     assessed = rules.assessed_rules(rules.valid_rules(rule_rows, sources, day), transitions, day, "alias")
     weights = rules.severity_of_ingredients(ingredients.select("ingredient_id"), assessed).select("ingredient_id", "weight")
-    return graded_dictionary(resolve.match_dictionary(ingredients, aliases, review), weights)
+    return cut_lineage(graded_dictionary(resolve.match_dictionary(ingredients, aliases, review), weights), "catalog-dictionary")
 
 
 def analyse_labels(
@@ -38,7 +43,7 @@ def analyse_labels(
     A label without any token keeps a row with zero counts.
     """
     catalog = catalog_dictionary(ingredients, aliases, review, rule_rows, sources, transitions, day)
-    tokens = resolve.with_lookup_key(resolve.label_tokens(labels, keep_empty=True))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(spread_few_files(labels, "product_id"), keep_empty=True))
     return verdict.verdicts(verdict.label_counts(resolve.resolve_tokens(tokens, catalog)))
 
 
@@ -49,6 +54,6 @@ def personal_verdicts(
     """One verdict row per label and its user (``product_id``, ``user_id``, ``text``)."""
     keys = ("product_id", "user_id")
     catalog = catalog_dictionary(ingredients, aliases, review, rule_rows, sources, transitions, day)
-    tokens = resolve.with_lookup_key(resolve.label_tokens(labels, keys=keys, keep_empty=True))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(spread_few_files(labels, "product_id"), keys=keys, keep_empty=True))
     flagged = verdict.with_personal_hits(resolve.resolve_tokens(tokens, catalog), exclusions)
     return verdict.verdicts(verdict.label_counts(flagged, keys))

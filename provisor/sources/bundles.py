@@ -17,7 +17,7 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def bundle_contract(spark: SparkSession, path: str) -> DataFrame:
     """Violations of the exact column lists: reads the keys the documents really have."""
     docs = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    parts = [column_contract("bundle", docs.drop("metadata"), list(BUNDLE_COLUMNS))]
+    parts = [column_contract("bundle", docs.drop("metadata"), list(BUNDLE_COLUMNS), flat=False)]
     for table, columns in BUNDLE_COLUMNS.items():
         if table in docs.columns and docs.schema[table].dataType.simpleString().startswith("array<struct"):
             parts.append(column_contract(table, docs.select(F.inline(table)), columns.split()))

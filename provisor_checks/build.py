@@ -263,3 +263,125 @@ def _(t):
 def _(t):
     rows = t.ingredients.where("e_code is not null").select(F.explode(code_spellings(F.col("e_code"))).alias("alias"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("alias").alias("spellings"))
+
+
+@check("prj_1_allowed_columns", """
+    SELECT CAST(ingredient_id AS VARCHAR) AS ingredient_id, category, is_active, CAST(NULL AS VARCHAR) AS full_description, e_code FROM ingredients""")
+def _(t):
+    from provisor.schemas import conform
+
+    rows = t.ingredients.withColumn("id", F.col("ingredient_id"))
+    return conform(rows, "ingredients").select(F.col("id").alias("ingredient_id"), "category", "is_active", "full_description", "e_code")
+
+
+def extracted_rules(t):
+    """Rules as an extract would hold them: some from a table, some from a point, some loose."""
+    return t.rules.select(
+        "rule_id", "source_id", "ingredient_id", "title", "explanation",
+        F.when(F.col("rule_id") % 5 == 0, "regulatory_text").otherwise("permitted_food_additive").alias("rule_type"),
+        F.when(F.col("rule_id") % 3 == 0, "пункт 4").otherwise("list").alias("citation"), F.lit(None).cast("string").alias("source_text"),
+        F.when(F.col("rule_id") % 4 == 0, F.lit(2)).alias("appendix"), F.lit(None).cast("int").alias("table"))
+
+
+@check("prj_13_enriched_rules", """
+    SELECT r.rule_id, CASE WHEN r.rule_id % 5 <> 0 AND (r.rule_id % 4 = 0 OR r.rule_id % 3 = 0) THEN 'normative_reference' ELSE 'source_fragment' END AS record_kind,
+      CASE WHEN r.rule_id % 5 = 0 OR r.rule_id % 4 <> 0 THEN CASE WHEN r.rule_id % 3 = 0 THEN 'пункт 4' ELSE 'list' END
+        ELSE s.code || ', приложение 2, позиция: ' || coalesce(r.explanation, r.title) END || ' | ' || s.url AS citation, sha256(coalesce(r.explanation, '')) AS source_text_sha256
+    FROM rules r JOIN sources s ON r.source_id = s.source_id""")
+def _(t):
+    from provisor.plans.regulatory import enrich_references
+
+    return enrich_references(extracted_rules(t), t.sources).select("rule_id", "record_kind", "citation", "source_text_sha256")
+
+
+@check("prj_16_rules_and_fragments", """
+    SELECT CASE WHEN rule_id % 5 <> 0 AND (rule_id % 4 = 0 OR rule_id % 3 = 0) THEN 'rules' ELSE 'fragments' END AS part, count(*) AS n FROM rules GROUP BY 1""")
+def _(t):
+    from provisor.plans.regulatory import enrich_references, split_fragments
+
+    active, fragments = split_fragments(enrich_references(extracted_rules(t), t.sources))
+    return active.select(F.lit("rules").alias("part")).unionByName(fragments.select(F.lit("fragments").alias("part"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nested_rules(t):
+    item = lambda n: F.struct(F.col("source_id"), F.lit("u").alias("url"), F.concat(F.lit(f"p{n} "), "title").alias("locator"), F.col("verification_status"))
+    items = F.when(F.col("rule_id") % 2 == 0, F.array(item(1), item(2))).otherwise(F.array(item(1)))
+    end = F.when(F.col("regulatory_status") == "PHASE_OUT", F.struct(F.lit(36).alias("months")))
+    return t.rules.select("rule_id", "ingredient_id", F.struct("regulatory_status", "evaluation", items.alias("evidence"), end.alias("transition")).alias("conditions"))
+
+
+@check("prj_2_flat_evidence", """
+    SELECT rule_id, 'p1 ' || title AS locator FROM rules UNION ALL SELECT rule_id, 'p2 ' || title FROM rules WHERE rule_id % 2 = 0""")
+def _(t):
+    from provisor.plans.flatten import flatten_rules
+
+    return flatten_rules(nested_rules(t))["rule_evidence"].select("rule_id", "locator")
+
+
+@check("prj_2_flat_transitions", "SELECT rule_id, 36 AS months FROM rules WHERE regulatory_status = 'PHASE_OUT'")
+def _(t):
+    from provisor.plans.flatten import flatten_rules
+
+    return flatten_rules(nested_rules(t))["rule_transitions"]
+
+
+def merge_sides(t):
+    primary = {
+        "ingredients": t.ingredients.withColumn("position", F.col("ingredient_id")).withColumn("name_en", F.when(F.col("is_active"), F.col("name_en"))),
+        "ingredient_aliases": t.aliases.where("source = 'catalog'").withColumn("alias_id", F.concat_ws("/", F.col("ingredient_id").cast("string"), "alias")),
+        "ingredient_rules": t.rules.limit(0), "regulatory_sources": t.sources.withColumn("source_id", F.col("source_id") + 100),
+    }
+    old_rules = t.rules.withColumn("ingredient_id", F.col("ingredient_id") + 100000000).withColumn(
+        "rule_type", F.when(F.col("regulatory_status") == "PERMITTED_WITH_CONDITIONS", "permitted_food_additive").otherwise("regulatory_status"))
+    old = {
+        "ingredients": legacy(t),
+        "ingredient_aliases": t.aliases.where("source = 'short'").withColumn("ingredient_id", F.col("ingredient_id") + 100000000).withColumn("alias_id", F.col("alias")),
+        "ingredient_rules": old_rules, "regulatory_sources": t.sources,
+    }
+    return primary, old, t.alias_review.select(F.col("normalized_alias").alias("form"))
+
+
+@check("chg_12_merged_rules", "WITH " + MATCHED + """
+    SELECT r.rule_id, m.ingredient_id, r.regulatory_status FROM rules r JOIN m ON m.legacy_id = r.ingredient_id + 100000000""")
+def _(t):
+    from provisor.plans.merging import merge_catalogs
+
+    tables, _ = merge_catalogs(*merge_sides(t))
+    return tables["ingredient_rules"].select("rule_id", "ingredient_id", "regulatory_status")
+
+
+@check("snk_7_merge_report", "WITH " + MATCHED + """
+    SELECT 'status_counts' AS section, r.regulatory_status AS item, count(*) AS n FROM rules r JOIN m ON m.legacy_id = r.ingredient_id + 100000000 GROUP BY 2
+    UNION ALL SELECT 'methods', method, count(*) FROM m WHERE method IS NOT NULL GROUP BY 2""")
+def _(t):
+    from provisor.plans.merging import merge_catalogs
+
+    tables, report = merge_catalogs(*merge_sides(t))
+    methods = tables["ingredient_matches"].groupBy("match_method").agg(F.count(F.lit(1)).alias("n"))
+    return report["status_counts"].select(F.lit("status_counts").alias("section"), F.col("regulatory_status").alias("item"), "n").unionByName(
+        methods.select(F.lit("methods").alias("section"), F.col("match_method").alias("item"), "n"))
+
+
+@check("prj_17_supplemented_tags", """
+    WITH have AS (SELECT DISTINCT ingredient_id FROM tags WHERE tag_type = 'origin')
+    SELECT ingredient_id, name FROM tags WHERE tag_type = 'origin' UNION ALL
+    SELECT ingredient_id, category FROM ingredients WHERE e_code IS NOT NULL AND ingredient_id NOT IN (SELECT ingredient_id FROM have)""")
+def _(t):
+    from provisor.plans.supplement import ensure_rows
+
+    wanted = t.ingredients.where("e_code is not null").select("ingredient_id", F.lit("origin").alias("tag_type"), F.col("category").alias("name"))
+    out, _ = ensure_rows(t.tags.where("tag_type = 'origin'"), wanted, ["ingredient_id", "tag_type"], [])
+    return out.select("ingredient_id", "name")
+
+
+@check("prj_18_removed_source", """
+    SELECT ingredient_id, alias, CASE WHEN source <> 'short' THEN source END AS source FROM aliases""")
+def _(t):
+    from provisor.plans.flatten import remove_source
+
+    tables = {
+        "regulatory_sources": t.sources, "ingredients": t.ingredients, "ingredient_aliases": t.aliases,
+        "ingredient_rules": t.rules, "rule_evidence": t.evidence,
+    }
+    out, _ = remove_source(tables, "short", ["other.example.org"], ["short"])
+    return out["ingredient_aliases"].select("ingredient_id", "alias", "source")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from provisor.operators import resolve, rules, verdict
 from provisor.plans import analysis
+from provisor.session import cut_lineage, spread_few_files
 from provisor_checks.registry import check
 from provisor_checks.scalars import CORRECTED_SQL, corrected_texts
 
@@ -64,7 +65,7 @@ VERDICT_COLUMNS = ["product_id", "matched", "unmatched", "reasons", "level", "ri
 
 
 def dictionary(t):
-    return resolve.match_dictionary(t.ingredients, t.aliases, t.alias_review)
+    return cut_lineage(resolve.match_dictionary(t.ingredients, t.aliases, t.alias_review), "match-dictionary")
 
 
 def assessed(t, by="ingredient_id"):
@@ -76,7 +77,11 @@ def graded(t):
 
 
 def keyed(t):
-    return resolve.with_lookup_key(t.label_tokens)
+    return resolve.with_lookup_key(spread_few_files(t.label_tokens, "product_id", "pos"))
+
+
+def catalog(t):
+    return analysis.catalog_dictionary(t.ingredients, t.aliases, t.alias_review, t.rules, t.sources, t.transitions, DAY)
 
 
 def resolved(t):
@@ -160,16 +165,14 @@ def _(t):
 
 @check("agg_3_label_verdicts", HEAD + "," + COUNTS + VERDICT)
 def _(t):
-    weights = graded(t).select("ingredient_id", "weight")
-    scored = resolve.resolve_tokens(keyed(t), analysis.graded_dictionary(dictionary(t), weights))
+    scored = resolve.resolve_tokens(keyed(t), catalog(t))
     return verdict.verdicts(verdict.label_counts(scored)).select(*VERDICT_COLUMNS)
 
 
 @check("agg_5_incomplete_labels", HEAD + "," + COUNTS + """
     SELECT product_id, unmatched > 0 OR matched = 0 OR unknown > 0 AS incomplete FROM counted""")
 def _(t):
-    weights = graded(t).select("ingredient_id", "weight")
-    scored = resolve.resolve_tokens(keyed(t), analysis.graded_dictionary(dictionary(t), weights))
+    scored = resolve.resolve_tokens(keyed(t), catalog(t))
     return verdict.verdicts(verdict.label_counts(scored)).select("product_id", "incomplete")
 
 
@@ -223,9 +226,8 @@ def _(t):
     UNION ALL SELECT product_id, user_id, ingredient_id, pos, CASE weight WHEN 3 THEN 'forbidden' WHEN 2 THEN 'avoid' ELSE 'attention' END
     FROM hit WHERE weight >= 1""")
 def _(t):
-    weights = graded(t).select("ingredient_id", "weight")
-    tokens = resolve.with_lookup_key(resolve.label_tokens(t.label_texts, keys=("product_id", "user_id")))
-    scored = resolve.resolve_tokens(tokens, analysis.graded_dictionary(dictionary(t), weights))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(spread_few_files(t.label_texts, "product_id"), keys=("product_id", "user_id")))
+    scored = resolve.resolve_tokens(tokens, catalog(t))
     flagged = verdict.with_personal_hits(scored, t.exclusions)
     rows = verdict.reason_rows(flagged, t.ingredients.select("ingredient_id", "name"), ("product_id", "user_id"))
     return rows.select("product_id", "user_id", "ingredient_id", F.col("pos").cast("long").alias("pos"), "severity")
@@ -250,8 +252,7 @@ def _(t):
     SELECT comparison_id, arg_min(position, risk_score * 1000 + position) AS winner_position, min(risk_score) AS winner_score, count(*) AS products
     FROM placed GROUP BY 1""")
 def _(t):
-    weights = graded(t).select("ingredient_id", "weight")
-    scored = resolve.resolve_tokens(keyed(t), analysis.graded_dictionary(dictionary(t), weights))
+    scored = resolve.resolve_tokens(keyed(t), catalog(t))
     placed = verdict.verdicts(verdict.label_counts(scored)).select(
         F.floor(F.col("product_id") / 4).alias("comparison_id"), (F.col("product_id") % 4).alias("position"), "risk_score"
     )

@@ -190,3 +190,20 @@ def _(t):
     known = t.ingredients.withColumn("ingredient_id", F.col("ingredient_id").cast("string"))
     entries = match_entries(parsed, known)
     return resolve_parents(parsed, entries).join(entries.select("entry_id", "key"), "entry_id").select("key", "parent_reference", "reason")
+
+
+@check("chg_10_enriched_ingredients", """
+    WITH k AS (SELECT DISTINCT 'en:' || p_name || ' ' || CAST(p_partkey % 500 AS VARCHAR) AS key FROM part)
+    SELECT (SELECT count(*) FROM part) AS ingredients, (SELECT count(*) FROM k) AS entries""")
+def _(t):
+    from provisor.plans.taxonomy import enrich_catalog
+
+    base = {
+        "ingredients": t.ingredients.withColumn("ingredient_id", F.col("ingredient_id").cast("string")).withColumn("kind", F.lit("x")),
+        "ingredient_aliases": t.aliases.where("source = 'catalog'").select(
+            F.col("alias").alias("alias_id"), F.col("ingredient_id").cast("string").alias("ingredient_id"), "alias", "normalized_alias", "language", "source",
+            F.lit(1).cast("decimal(3,2)").alias("confidence"), F.col("ingredient_id").alias("position")),
+    }
+    tables, _ = enrich_catalog(base, tx.number_lines(t.sql(TAXONOMY), "p_partkey", "text"), "TAXONOMY")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.lit(1).alias("_k"))
+    return one(tables["ingredients"], "ingredients").join(one(tables["taxonomy_entries"], "entries"), "_k").drop("_k")
