@@ -76,21 +76,21 @@ def event_intake(events: DataFrame, out: str, arrival: str = "event_id") -> Data
     """Idempotent intake: first delivery is new, an equal one a repeat, a differing one a conflict.
 
     A delivery can only repeat within the allowed age of an event, so each micro-batch reads just
-    the stored hours it can touch (pruned by partition) and replaces its own folder. Events of a
+    the stored days it can touch (pruned by partition) and replaces its own folder. Events of a
     batch which is run again after a failure are judged the same way.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*event_content(arrival, "ts")).withColumn("hour", F.date_trunc("HOUR", "ts"))
-        oldest = rows.agg(F.min("hour")).first()[0]
+        rows = batch.select(*event_content(arrival, "ts")).withColumn("day", F.to_date("ts"))
+        oldest = rows.agg(F.min("ts")).first()[0]
         stored = stored_rows(spark, out, batch_id)
         if stored is None or oldest is None:
             stored = rows.where(F.lit(False))
         else:
             since = oldest - dt.timedelta(milliseconds=MAX_RELATIVE_MS)
-            stored = stored.where((F.col("outcome") == "new") & (F.col("hour") >= F.lit(since)))
-        judge_deliveries(rows, stored, arrival).write.mode("overwrite").partitionBy("hour").parquet(f"{out}/batch_id={batch_id}")
+            stored = stored.where((F.col("outcome") == "new") & (F.col("day") >= F.lit(since.date())) & (F.col("ts") >= F.lit(since)))
+        judge_deliveries(rows, stored, arrival).write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch_id={batch_id}")
 
     return events.writeStream.foreachBatch(write)
 

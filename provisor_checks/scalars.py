@@ -121,7 +121,7 @@ def _(t):
 
 
 @check("fn_15_taxonomy_key", r"""
-    SELECT doc_id, lang || ':' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS key FROM documents""")
+    SELECT doc_id, lang || ':' || trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS key FROM documents""")
 def _(t):
     return t.documents.select("doc_id", fn.taxonomy_key(F.col("lang"), F.col("text")).alias("key"))
 
