@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 # Characters whose compatibility form and case folding equal plain lower-casing,
@@ -46,17 +46,21 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@lru_cache(maxsize=1)
+_ICU: dict[str, bool] = {}
+
+
 def _icu_in_jvm() -> bool:
     """True when the session can call ICU, which ships with Spark 4 for its collations."""
-    session = SparkSession.getActiveSession()
-    if session is None:
-        return False
-    try:
-        session.range(1).select(_icu_normal_form(F.lit("a"))).schema
-        return True
-    except Exception:  # the analyzer refuses unknown classes
-        return False
+    if "found" not in _ICU:
+        session = SparkSession.getActiveSession()
+        if session is None:
+            return False
+        try:
+            session.range(1).select(_icu_normal_form(F.lit("a"))).schema
+            _ICU["found"] = True
+        except AnalysisException:  # the analyzer refuses unknown classes
+            _ICU["found"] = False
+    return _ICU["found"]
 
 
 def _icu_fold(text: Column) -> Column:

@@ -32,6 +32,9 @@ def build_session(app: str = "provisor", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
@@ -39,8 +42,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _LOCAL_ROOTS[app]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
