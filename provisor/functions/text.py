@@ -15,12 +15,11 @@ from pyspark.sql import Column, SparkSession, functions as F, types as T
 SIMPLE_CHARS = (
     r"\x09-\x0d\x20-\x7e"                              # ASCII without control characters
     r"¡-§©«-®°±¶·»¿"
-    r"À-ıĴ-ľŁ-ňŊ-ž"
+    r"À-įıĴ-ľŁ-ňŊ-ž"
     r"Ѐ-ҁҊ-ӿ"                      # Cyrillic without combining marks
     r"‐‒-―‘-„•−"    # dashes, quotation marks, bullet
 )
-EXCLUDED_SIMPLE = r"İ"
-_SIMPLE_TEXT = f"^[{SIMPLE_CHARS}&&[^{EXCLUDED_SIMPLE}]]*$"
+_SIMPLE_TEXT = f"^[{SIMPLE_CHARS}]*+$"
 
 # Negation words, and a code with a subtype in brackets (also a damaged one),
 # which stays inside its token while any other bracket separates tokens.
