@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import pathlib
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,23 +34,40 @@ def build_session(app: str = "provisor", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder.
-
-    Only a session without ``spark.checkpoint.dir`` (tests, one machine) gets a local folder.
-    """
+    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors must share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        root = _LOCAL_ROOTS[app]
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application, through the shared folder.
+
+    Call it before a Python function of the package goes into a plan; it works for sessions that
+    others have built and from any working directory.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"{package.name}/{file.relative_to(package)}")
+    target = f"{shared_dir(spark, 'package')}/{package.name}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
+
+
 def cut_lineage(df, purpose: str):
     """Write a frame once to the shared folder and read it back; survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
