@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from provisor.llm.binary import new_folder, read_ids, write_ids
 from provisor.llm.registry import query, table
 from provisor.llm.substrings import remove_repeats
 
@@ -21,3 +25,10 @@ from d left join gone using (doc_id)
 @query("op10_substring_dedup", OP10_SQL)
 def op10(spark, folder):
     return remove_repeats(table(spark, folder, "documents"), 13, text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op8_token_files")
+def op8(spark, folder):
+    target = new_folder(spark)
+    write_ids(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, target)
+    return read_ids(spark, target, digest=True)
