@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from provisor.llm.binary import new_folder, read_ids, write_ids
+from provisor.llm.packing import pack_documents
 from provisor.llm.registry import query, table
 from provisor.llm.substrings import remove_repeats
 
@@ -32,3 +33,8 @@ def op8(spark, folder):
     target = new_folder(spark)
     write_ids(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, target)
     return read_ids(spark, target, digest=True)
+
+
+@query("op1_best_fit_packing")
+def op1(spark, folder):
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
