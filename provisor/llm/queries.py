@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from provisor.llm.binary import new_folder, read_ids, write_ids
+from provisor.llm.fingerprints import edited_fingerprints
+from provisor.llm.mixing import mix
 from provisor.llm.packing import pack_documents
 from provisor.llm.registry import query, table
 from provisor.llm.substrings import remove_repeats
@@ -38,3 +39,30 @@ def op8(spark, folder):
 @query("op1_best_fit_packing")
 def op1(spark, folder):
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
+
+
+OP2_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+s as (select source, sum(size)::bigint ss, count(*) n, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3)::int + 1] w
+  from d group by source),
+r as (select *, 3.0::double * ss / w ratio, (sum(ss) over ())::bigint total,
+  coalesce(sum(3 * ss) over (order by 3.0::double * ss / w, source nulls last rows between unbounded preceding and 1 preceding), 0)::bigint c,
+  (sum(w) over (order by 3.0::double * ss / w, source nulls last rows between current row and unbounded following))::bigint wk from s),
+lam as (select coalesce((select (total - c)::double / wk from r where (total - c)::double / wk <= ratio order by ratio, source nulls last limit 1), 0.0) l),
+g as (select source, ss, least((3 * ss)::double, w * l) target from s, lam),
+x as (select d.doc_id, size, ss, target, case when ss > 0 then floor(target)::bigint // ss else 0 end e, floor(target)::bigint b,
+  coalesce(sum(size) over (partition by d.source order by ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint, doc_id, size
+    rows between unbounded preceding and 1 preceding), 0)::bigint before
+  from d join g on d.source is not distinct from g.source)
+select doc_id, size, ss source_size, target, (e * size + greatest(0, least(size, b - e * ss - before)))::bigint taken from x
+"""
+
+
+@query("op2_mix_sources", OP2_SQL)
+def op2(spark, folder):
+    return mix(table(spark, folder, "documents"))
+
+
+@query("op3_document_fingerprints")
+def op3(spark, folder):
+    return edited_fingerprints(table(spark, folder, "documents"))
