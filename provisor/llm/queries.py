@@ -6,6 +6,7 @@ import public_tokenizers
 
 from provisor.llm.binary import new_folder, read_ids, write_ids
 from provisor.llm.fingerprints import edited_fingerprints
+from provisor.llm.jaccard import similar_sets
 from provisor.llm.mixing import mix
 from provisor.llm.packing import pack_documents
 from provisor.llm.registry import query, table
@@ -66,3 +67,20 @@ def op2(spark, folder):
 @query("op3_document_fingerprints")
 def op3(spark, folder):
     return edited_fingerprints(table(spark, folder, "documents"))
+
+
+OP7_SQL = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+g as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) s from w),
+n as (select w.doc_id, count(s)::bigint n from w left join g using (doc_id) group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) i from g a join g b using (s) where a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r as (with recursive t(a, b) as (select doc_id, doc_id from n union select t.a, e.b from t join e on t.b = e.a) select a, min(b) c from t group by a)
+select n.doc_id, n n_shingles, c component_id from n join r on r.a = n.doc_id
+"""
+
+
+@query("op7_ngram_jaccard", OP7_SQL)
+def op7(spark, folder):
+    return similar_sets(table(spark, folder, "documents"), 4, 85, lower=True)
