@@ -77,25 +77,39 @@ def components(edges: DataFrame) -> DataFrame:
     return tied.unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+#: Ids of a bucket that meet all its others in one later round.
+LEADERS = 32
+
+
 def link_groups(rows: DataFrame, test, rest=None, stars: int = 2) -> DataFrame:
     """(id, root) of the components of all tested pairs that share a bucket of ``rows(bucket, id)``.
 
-    ``test(pairs(a, b))`` returns the pairs that are linked. A round tests each bucket's smallest
-    id against the bucket's other ids, unites what is linked and then leaves that id out: it has
-    met all others. A bucket ends when all its ids are in one component, so a family of copies
-    costs one test per member and no pair of different components goes untested. With ``rest``,
-    what ``stars`` rounds have left open goes to it at once; it returns candidate pairs.
+    ``test(pairs(a, b))`` returns the pairs that are linked. The first round tests each bucket's
+    smallest id against the bucket's other ids, later rounds do so with about ``LEADERS`` ids. An
+    id that has met all others of its bucket leaves it, and a bucket ends when all its ids are in
+    one component. So a family of copies costs one test per member, and no pair of different
+    components goes untested. With ``rest``, what ``stars`` rounds have left open goes to it at
+    once; it returns candidate pairs.
     """
     rows = rows.select("bucket", "id", F.col("id").alias("root"))
     links, done = None, 0
     while True:
-        lead = rows.groupBy("bucket").agg(F.min(F.struct("id", "root")).alias("lead"))
-        others = rows.join(lead, "bucket").where("id <> lead.id")
-        pairs = others.where("root <> lead.root").select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+        if done == 0:
+            lead = rows.groupBy("bucket").agg(F.min("id").alias("lead")).withColumn("lead_root", F.col("lead"))
+            others = rows.join(lead, "bucket")
+            left = others.where("id <> lead").select("bucket", "id")
+        else:
+            size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+            chosen = F.pmod(F.xxhash64("id", F.lit(done)), F.ceil(F.col("_n") / LEADERS).cast("long")) == 0
+            marked = cut_lineage(rows.join(size, "bucket").select("bucket", "id", "root", chosen.alias("chosen")), "marked")
+            lead = marked.where("chosen").select("bucket", F.col("id").alias("lead"), F.col("root").alias("lead_root"))
+            others = marked.join(lead, "bucket")
+            left = marked.where("not chosen").select("bucket", "id")
+        pairs = others.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         found = cut_lineage(test(pairs).select("a", "b"), "links")
         links = found if links is None else links.unionAll(found)
         roots = components(links)
-        left = others.select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        left = left.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         rows = cut_lineage(left.join(open_, "bucket", "left_semi"), "open")
         done += 1

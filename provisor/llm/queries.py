@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from provisor.llm.binary import new_folder, read_ids, write_ids
 from provisor.llm.fingerprints import edited_fingerprints
 from provisor.llm.jaccard import similar_sets
+from provisor.llm.lines import remove_repeated_lines
 from provisor.llm.mixing import mix
 from provisor.llm.packing import pack_documents
 from provisor.llm.registry import query, table
@@ -84,3 +86,10 @@ select n.doc_id, n n_shingles, c component_id from n join r on r.a = n.doc_id
 @query("op7_ngram_jaccard", OP7_SQL)
 def op7(spark, folder):
     return similar_sets(table(spark, folder, "documents"), 4, 85, lower=True)
+
+
+@query("op5_line_dedup")
+def op5(spark, folder):
+    """doc_id, characters and SHA-256 of the text that is left."""
+    kept = remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
