@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provisor.llm.binary import new_folder, read_ids, write_ids
 from provisor.llm.fingerprints import edited_fingerprints
+from provisor.llm.forest import nearest
 from provisor.llm.jaccard import similar_sets
 from provisor.llm.lines import remove_repeated_lines
 from provisor.llm.mixing import mix
@@ -93,3 +94,9 @@ def op5(spark, folder):
     """doc_id, characters and SHA-256 of the text that is left."""
     kept = remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_prefix_forest")
+def op4(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
