@@ -12,6 +12,7 @@ from provisor.llm.jaccard import similar_sets
 from provisor.llm.lines import remove_repeated_lines
 from provisor.llm.mixing import mix
 from provisor.llm.packing import pack_documents
+from provisor.llm.quality import score
 from provisor.llm.registry import query, table
 from provisor.llm.substrings import remove_repeats
 
@@ -100,3 +101,8 @@ def op5(spark, folder):
 def op4(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op6_quality_cotraining")
+def op6(spark, folder):
+    return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
