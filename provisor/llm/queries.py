@@ -9,6 +9,7 @@ from provisor.llm.binary import new_folder, read_ids, write_ids
 from provisor.llm.fingerprints import edited_fingerprints
 from provisor.llm.forest import nearest
 from provisor.llm.jaccard import similar_sets
+from provisor.llm.licenses import scan
 from provisor.llm.lines import remove_repeated_lines
 from provisor.llm.mixing import mix
 from provisor.llm.packing import pack_documents
@@ -106,3 +107,8 @@ def op4(spark, folder):
 @query("op6_quality_cotraining")
 def op6(spark, folder):
     return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_license_scan")
+def op9(spark, folder):
+    return scan(table(spark, folder, "documents"))
