@@ -18,7 +18,7 @@ from provisor.llm import words as W
 from provisor.llm.common import arrow_map
 from provisor.session import cut_lineage
 
-SLOTS, WINDOW = 1 << 14, 60
+SLOTS, WINDOW = 1 << 14, 24
 #: Documents whose paragraphs may serve as examples of no licence, and paragraphs of each.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1_000, 4
 
@@ -131,7 +131,7 @@ def train(ordinary: list[list[str]], seed: int = 11) -> Classifier:
             words = template.split()
             for turn in range(60):
                 kept = [w for w in words if turn < 10 or w not in elsewhere or rng.random() > 0.12]
-                before, after = (list(rng.choice(filler, rng.integers(0, 8))) if turn % 2 else [] for _ in range(2))
+                before, after = (list(rng.choice(filler, rng.integers(0, 11))) if turn % 2 else [] for _ in range(2))
                 examples.append((c, before + kept + after))
     at, feature, value = [], [], []
     for i, (_, words) in enumerate(examples):
