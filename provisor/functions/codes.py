@@ -25,7 +25,7 @@ def code_text(text: Column) -> Column:
 
 def code_form(found: Column) -> Column:
     """Normal form of a code as written: ``E<digits><suffix>(<subtype>)``."""
-    bare = F.lower(F.substring(F.regexp_replace(found, r"(?U)[\s-]+", ""), 2, 64))
+    bare = F.lower(F.substr(F.regexp_replace(found, r"(?U)[\s-]+", ""), F.lit(2)))
     return F.when(found != "", F.concat(F.lit("E"), F.translate(bare, SUFFIX_CYRILLIC, SUFFIX_LATIN)))
 
 
@@ -64,7 +64,7 @@ def letter_count(text: Column) -> Column:
 
 def code_spellings(code: Column) -> Column:
     """The code as written with a Cyrillic letter, a dash and a space, without repeats."""
-    rest = F.substring(code, 2, 64)
+    rest = F.substr(code, F.lit(2))
     return F.array_distinct(F.array(
         code,
         F.concat(F.lit("Е"), rest),

@@ -37,11 +37,18 @@ def with_lookup_key(tokens: DataFrame, token: str = "token", *, any_script: bool
 
 
 def code_dictionary(ingredients: DataFrame) -> DataFrame:
-    """Active coded ingredients by lower-case code."""
-    return ingredients.where(F.col("is_active") & F.col("e_code").isNotNull()).select(
-        F.lit("code").alias("by"), F.lower("e_code").alias("key"), "ingredient_id",
-        F.lit(1.0).alias("match_score"),
-    )
+    """Active coded ingredients by lower-case code; of several with one code, the smallest id.
+
+    See :func:`code_clashes` for those.
+    """
+    return ingredients.where(F.col("is_active") & F.col("e_code").isNotNull()).groupBy(F.lower("e_code").alias("key")).agg(
+        F.min("ingredient_id").alias("ingredient_id")).select(F.lit("code").alias("by"), "key", "ingredient_id", F.lit(1.0).alias("match_score"))
+
+
+def code_clashes(ingredients: DataFrame) -> DataFrame:
+    """Codes that several active ingredients carry, whatever their case, with their number."""
+    live = ingredients.where(F.col("is_active") & F.col("e_code").isNotNull())
+    return live.groupBy(F.lower("e_code").alias("key")).agg(F.count(F.lit(1)).alias("ingredients")).where("ingredients > 1")
 
 
 def name_dictionary(ingredients: DataFrame, aliases: DataFrame, review: DataFrame) -> DataFrame:

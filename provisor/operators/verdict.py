@@ -114,11 +114,7 @@ def display_level(level: str = "level"):
 
 
 def best_of(compared: DataFrame, key: str = "comparison_id") -> DataFrame:
-    """Winner of each comparison: lowest score, first position on ties (positions below 1,000)."""
-    packed = compared.groupBy(key).agg(
-        F.min(F.col("risk_score") * 1000 + F.col("position")).alias("_best"), F.count(F.lit(1)).alias("products")
-    )
-    return packed.select(
-        key, (F.col("_best") % 1000).alias("winner_position"),
-        F.floor(F.col("_best") / 1000).alias("winner_score"), "products",
-    )
+    """Winner of each comparison: lowest score, first position on ties."""
+    best = F.min(F.struct("risk_score", "position")).alias("_best")
+    return compared.groupBy(key).agg(best, F.count(F.lit(1)).alias("products")).select(
+        key, F.col("_best.position").alias("winner_position"), F.col("_best.risk_score").alias("winner_score"), "products")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from provisor.operators import resolve, rules, verdict
-from provisor.session import cut_lineage, spread_few_files
+from provisor.session import cut_lineage
 
 
 def graded_dictionary(dictionary: DataFrame, weights: DataFrame) -> DataFrame:
@@ -24,36 +24,28 @@ def catalog_dictionary(
 ) -> DataFrame:
     """Everything a label needs from the catalog on one day: (by, key) to ingredient and weight.
 
-    Written once to the shared folder: it is reused by every label job of the day, and its size
-    is then known, so Spark broadcasts it exactly while it is below the session's threshold.
+    A written table: build it once per catalog version and day and give it to every label job.
+    Its size is known, so Spark broadcasts it exactly while it is below the session's threshold.
     """
     assessed = rules.assessed_rules(rules.valid_rules(rule_rows, sources, day), transitions, day, "alias")
     weights = rules.severity_of_ingredients(ingredients.select("ingredient_id"), assessed).select("ingredient_id", "weight")
     return cut_lineage(graded_dictionary(resolve.match_dictionary(ingredients, aliases, review), weights), "catalog-dictionary")
 
 
-def analyse_labels(
-    labels: DataFrame, ingredients: DataFrame, aliases: DataFrame, review: DataFrame, rule_rows: DataFrame,
-    sources: DataFrame, transitions: DataFrame, day: dt.date,
-) -> DataFrame:
-    """One verdict row per label (``product_id``, ``text``).
+def analyse_labels(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """One verdict row per label (``product_id``, ``text``), against a :func:`catalog_dictionary`.
 
-    The tokens of a label leave their row once; the aggregates combine on the map side, where all
-    tokens of a label still sit together, so about one small row per label is shuffled.
-    A label without any token keeps a row with zero counts.
+    Labels are dealt out by product before they are split, so both aggregates find their rows in
+    place: one exchange of labels, none of tokens. A label without any token keeps a row with
+    zero counts.
     """
-    catalog = catalog_dictionary(ingredients, aliases, review, rule_rows, sources, transitions, day)
-    tokens = resolve.with_lookup_key(resolve.label_tokens(spread_few_files(labels, "product_id"), keep_empty=True))
-    return verdict.verdicts(verdict.label_counts(resolve.resolve_tokens(tokens, catalog)))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(labels.repartition("product_id"), keep_empty=True))
+    return verdict.verdicts(verdict.label_counts(resolve.resolve_tokens(tokens, dictionary)))
 
 
-def personal_verdicts(
-    labels: DataFrame, ingredients: DataFrame, aliases: DataFrame, review: DataFrame, rule_rows: DataFrame,
-    sources: DataFrame, transitions: DataFrame, exclusions: DataFrame, day: dt.date,
-) -> DataFrame:
+def personal_verdicts(labels: DataFrame, dictionary: DataFrame, exclusions: DataFrame) -> DataFrame:
     """One verdict row per label and its user (``product_id``, ``user_id``, ``text``)."""
     keys = ("product_id", "user_id")
-    catalog = catalog_dictionary(ingredients, aliases, review, rule_rows, sources, transitions, day)
-    tokens = resolve.with_lookup_key(resolve.label_tokens(spread_few_files(labels, "product_id"), keys=keys, keep_empty=True))
-    flagged = verdict.with_personal_hits(resolve.resolve_tokens(tokens, catalog), exclusions)
+    tokens = resolve.with_lookup_key(resolve.label_tokens(labels.repartition(*keys), keys=keys, keep_empty=True))
+    flagged = verdict.with_personal_hits(resolve.resolve_tokens(tokens, dictionary), exclusions)
     return verdict.verdicts(verdict.label_counts(flagged, keys))

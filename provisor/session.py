@@ -73,13 +73,3 @@ def cut_lineage(df, purpose: str):
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_few_files(df, *keys: str):
-    """Spread rows over the cores when the input has fewer files than cores.
-
-    A few files with one row group each would leave most cores idle. With as many files as cores
-    (every input at scale) nothing is added; AQE sizes the partitions of the extra exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if 0 < len(df.inputFiles()) < cores else df

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from provisor.schemas import PRODUCT_SCHEMA
+from provisor.session import cut_lineage
 
 NAMELESS = "Продукт без названия"
-MAX_DEPTH = 4
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
@@ -42,33 +42,36 @@ def display_fields(products: DataFrame) -> DataFrame:
         F.when(filled("categories").isNotNull(), own).otherwise(tag).alias("category"), filled("quantity").alias("quantity"))
 
 
-def _tree_type(depth: int) -> str:
-    inner = f", ingredients: array<{_tree_type(depth - 1)}>" if depth > 1 else ", ingredients: string"
-    return f"struct<text: string, id: string{inner}>"
+def _tree_names(products: DataFrame) -> DataFrame:
+    """(code, names): the names in each product's ingredient tree, depth first, at any depth.
+
+    A level of the trees is one written table of nodes; the loop ends at the first empty level.
+    """
+    child = F.variant_get("node", "$.ingredients", "array<variant>")
+    level = products.where("ingredients is not null").select(
+        "code", F.posexplode(F.variant_get(F.try_parse_json("ingredients"), "$", "array<variant>")).alias("at", "node"))
+    level = level.select("code", F.array("at").alias("path"), "node")
+    named = None
+    while True:
+        text, tag = (F.variant_get("node", f"$.{f}", "string") for f in ("text", "id"))
+        name = F.coalesce(filled(text), F.nullif(F.regexp_replace(tag, "(?i)^[a-z]{2}:", ""), F.lit("")))
+        level = cut_lineage(level.select("code", "path", name.alias("name"), child.alias("below")), "tree-level")
+        if level.isEmpty():
+            break
+        own = level.where("name is not null").select("code", "path", "name")
+        named = own if named is None else named.unionAll(own)
+        level = level.select("code", "path", F.posexplode("below").alias("at", "node")).select("code", F.concat("path", F.array("at")).alias("path"), "node")
+    if named is None:
+        return products.where(F.lit(False)).select("code", F.lit(None).cast("string").alias("names"))
+    ordered = F.array_sort(F.collect_list(F.struct("path", "name")))
+    return named.groupBy("code").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), ", ").alias("names"))
 
 
 def composition_text(products: DataFrame) -> DataFrame:
     """Composition text; without one, the names of the ingredient tree depth first.
 
-    The tree is read to a fixed depth; ``deeper`` counts branches below it, so nothing is lost
-    unnoticed.
+    A tree that is no JSON array has no names.
     """
-    tree = F.from_json("ingredients", f"array<{_tree_type(MAX_DEPTH)}>")
-
-    def name(node: Column) -> Column:
-        return F.coalesce(filled(node["text"]), F.nullif(F.regexp_replace(node["id"], "(?i)^[a-z]{2}:", ""), F.lit("")))
-
-    def names(nodes: Column, depth: int) -> Column:
-        empty = F.array().cast("array<string>")
-        below = lambda n: names(n["ingredients"], depth - 1) if depth > 1 else empty
-        each = F.transform(nodes, lambda n: F.concat(F.array_compact(F.array(name(n))), below(n)))
-        return F.coalesce(F.flatten(each), empty)
-
-    def count_deeper(nodes: Column, depth: int) -> Column:
-        one = lambda n: (
-            F.when(n["ingredients"].isNotNull(), 1).otherwise(0) if depth == 1 else count_deeper(n["ingredients"], depth - 1))
-        return F.coalesce(F.aggregate(F.transform(nodes, one), F.lit(0), lambda a, x: a + x), F.lit(0))
-
-    return products.select("code", tree.alias("_tree"), filled("ingredients_text").alias("_text")).select(
-        "code", F.coalesce("_text", F.array_join(names(F.col("_tree"), MAX_DEPTH), ", ")).alias("composition"),
-        count_deeper(F.col("_tree"), MAX_DEPTH).alias("deeper"))
+    own = products.select("code", "ingredients", filled("ingredients_text").alias("_text"))
+    trees = _tree_names(own.where("_text is null"))
+    return own.join(trees, "code", "left").select("code", F.coalesce("_text", "names", F.lit("")).alias("composition"))

@@ -64,7 +64,7 @@ def parse_taxonomy(lines: DataFrame) -> dict[str, DataFrame]:
     """Entries of a taxonomy, all long: blocks of one key are merged.
 
     ``names`` is unique per (key, language, name) with the position of its first occurrence.
-    A block without names gives no entry.
+    A block without names gives no entry; ``empty_names`` lists the lines that should have some.
     """
     rows = classify(with_blocks(lines))
     named = rows.where("kind = 'names'").select(
@@ -87,6 +87,7 @@ def parse_taxonomy(lines: DataFrame) -> dict[str, DataFrame]:
         "properties": with_key("property").select("key", "property", "language", "value").distinct(),
         "duplicate_blocks": blocks.where("repeat").select("key", "line"),
         "ignored_directives": rows.where("kind = 'directive'").select("line_no", "line"),
+        "empty_names": rows.where("kind = 'names'").where(F.size(escaped_names(F.col("value"))) == 0).select("line_no", "line"),
         "unparsed_lines": rows.where("kind = 'unparsed'").select("line_no", "line"),
     }
 

@@ -6,7 +6,6 @@ Checkpoints and outputs belong into the shared folder of the cluster.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from provisor.operators import changes, studies
-from provisor.operators.experiments import HEARTBEAT_SECONDS, MAX_RELATIVE_MS
+from provisor.operators.experiments import HEARTBEAT_SECONDS
 from provisor.operators.spread import scan_in_order
 from provisor.plans.analysis import analyse_labels
+from provisor.session import cut_lineage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 THROTTLE_SCHEMA = "key string, at timestamp, hits long, allowed boolean"
@@ -32,18 +32,15 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def label_verdicts(labels: DataFrame, catalog: dict[str, DataFrame], day: dt.date, out: str) -> DataStreamWriter:
-    """Verdicts of arriving labels against the current catalog.
+def label_verdicts(labels: DataFrame, dictionary: DataFrame, out: str) -> DataStreamWriter:
+    """Verdicts of arriving labels against a written catalog dictionary.
 
-    Each micro-batch runs the batch job and replaces its own output folder, so a repeated batch
+    The dictionary is built once, before the stream starts. Each micro-batch runs the batch job and replaces its own output folder, so a repeated batch
     after a failure leaves the same result. No stream aggregation is needed: a label arrives whole.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        verdicts = analyse_labels(
-            batch, catalog["ingredients"], catalog["aliases"], catalog["review"], catalog["rules"], catalog["sources"],
-            catalog["transitions"], day)
-        verdicts.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        analyse_labels(batch, dictionary).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return labels.writeStream.foreachBatch(write)
 
@@ -72,25 +69,30 @@ def judge_deliveries(rows: DataFrame, stored: DataFrame, arrival: str) -> DataFr
     ).drop("_at", "_first", "_stored")
 
 
+#: Folders that stored deliveries are dealt to by a hash of their run.
+INTAKE_BUCKETS = 64
+
+
 def event_intake(events: DataFrame, out: str, arrival: str = "event_id") -> DataStreamWriter:
     """Idempotent intake: first delivery is new, an equal one a repeat, a differing one a conflict.
 
-    A delivery can only repeat within the allowed age of an event, so each micro-batch reads just
-    the stored days it can touch (pruned by partition) and replaces its own folder. Events of a
-    batch which is run again after a failure are judged the same way.
+    A key never expires: a delivery is judged against everything stored, however old. Deliveries
+    are stored by a hash bucket of their run, so a micro-batch reads only the buckets that it
+    touches, and replaces its own folder. Events of a batch which is run again after a failure
+    are judged the same way.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in [*INTAKE_KEY, "content", "outcome"]) + ", batch_id long, bucket int"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*event_content(arrival, "ts")).withColumn("day", F.to_date("ts"))
-        oldest = rows.agg(F.min("ts")).first()[0]
-        stored = stored_rows(spark, out, batch_id)
-        if stored is None or oldest is None:
-            stored = rows.where(F.lit(False))
-        else:
-            since = oldest - dt.timedelta(milliseconds=MAX_RELATIVE_MS)
-            stored = stored.where((F.col("outcome") == "new") & (F.col("day") >= F.lit(since.date())) & (F.col("ts") >= F.lit(since)))
-        judge_deliveries(rows, stored, arrival).write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch_id={batch_id}")
+        bucket = F.pmod(F.xxhash64("run_id"), F.lit(INTAKE_BUCKETS)).cast("int")
+        rows = cut_lineage(batch.select(*event_content(arrival, "ts")).withColumn("bucket", bucket), "deliveries")
+        stored = rows.where(F.lit(False))
+        if batch_id and (touched := [r[0] for r in rows.select("bucket").distinct().collect()]):
+            stored = spark.read.schema(schema).option("basePath", out).parquet(out).where(
+                (F.col("batch_id") < batch_id) & F.col("bucket").isin(touched) & (F.col("outcome") == "new"))
+        judge_deliveries(rows, stored, arrival).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch_id={batch_id}")
 
     return events.writeStream.foreachBatch(write)
 
@@ -122,13 +124,13 @@ def flag_late(events: DataFrame, runs: DataFrame) -> DataFrame:
     return events.join(ends, "run_id", "left").withColumn("late", F.coalesce(F.col("ts") > F.col("finished_at"), F.lit(False)))
 
 
-def heartbeat_expiries(events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+def heartbeat_expiries(events: DataFrame, lateness: str) -> DataFrame:
     """(run_id, expired_at) whenever a run had no event for the heartbeat limit.
 
-    A session window with the limit as its gap ends exactly there. On a stream it is emitted once
+    ``lateness`` says how late an event may arrive; a stream waits that long. A session window with the limit as its gap ends exactly there. On a stream it is emitted once
     the watermark has passed; the same expression is its batch twin.
     """
-    rows = events.withWatermark("ts", watermark) if events.isStreaming else events
+    rows = events.withWatermark("ts", lateness) if events.isStreaming else events
     window = F.session_window("ts", f"{HEARTBEAT_SECONDS} seconds")
     return rows.groupBy("run_id", window.alias("w")).agg(F.count(F.lit(1)).alias("events")).select(
         "run_id", F.col("w.end").alias("expired_at"), "events")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from provisor.operators import resolve, rules, verdict
 from provisor.plans import analysis
-from provisor.session import cut_lineage, spread_few_files
+from provisor.session import cut_lineage
 from provisor_checks.registry import check
 from provisor_checks.scalars import CORRECTED_SQL, corrected_texts
 
@@ -77,7 +77,7 @@ def graded(t):
 
 
 def keyed(t):
-    return resolve.with_lookup_key(spread_few_files(t.label_tokens, "product_id", "pos"))
+    return resolve.with_lookup_key(t.label_tokens.repartition("product_id"))
 
 
 def catalog(t):
@@ -91,9 +91,7 @@ def resolved(t):
 @check("analyse_labels", TEXT_HEAD + "," + COUNTS + VERDICT)
 def _(t):
     """Flagship: label text to verdict."""
-    out = analysis.analyse_labels(
-        t.label_texts, t.ingredients, t.aliases, t.alias_review, t.rules, t.sources, t.transitions, DAY
-    )
+    out = analysis.analyse_labels(t.label_texts, catalog(t))
     return out.select(*VERDICT_COLUMNS)
 
 
@@ -195,9 +193,7 @@ PERSONAL_SQL = TEXT_HEAD + """,
       WHEN w = 1 THEN 'attention' ELSE 'unknown' END AS level,
       CASE WHEN hits > 0 THEN greatest(95, s) WHEN w < 1 THEN 0 ELSE s END AS risk_score FROM scored""")
 def _(t):
-    out = analysis.personal_verdicts(
-        t.label_texts, t.ingredients, t.aliases, t.alias_review, t.rules, t.sources, t.transitions, t.exclusions, DAY
-    )
+    out = analysis.personal_verdicts(t.label_texts, catalog(t), t.exclusions)
     return out.select("product_id", "user_id", "matched", "unmatched", "reasons", "level", "risk_score")
 
 
@@ -226,7 +222,7 @@ def _(t):
     UNION ALL SELECT product_id, user_id, ingredient_id, pos, CASE weight WHEN 3 THEN 'forbidden' WHEN 2 THEN 'avoid' ELSE 'attention' END
     FROM hit WHERE weight >= 1""")
 def _(t):
-    tokens = resolve.with_lookup_key(resolve.label_tokens(spread_few_files(t.label_texts, "product_id"), keys=("product_id", "user_id")))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(t.label_texts.repartition("product_id", "user_id"), keys=("product_id", "user_id")))
     scored = resolve.resolve_tokens(tokens, catalog(t))
     flagged = verdict.with_personal_hits(scored, t.exclusions)
     rows = verdict.reason_rows(flagged, t.ingredients.select("ingredient_id", "name"), ("product_id", "user_id"))
@@ -248,13 +244,13 @@ def _(t):
 
 @check("agg_6_best_of_compared", HEAD + "," + COUNTS + """,
     v AS (""" + VERDICT + """),
-    placed AS (SELECT product_id // 4 AS comparison_id, product_id % 4 AS position, risk_score FROM v)
-    SELECT comparison_id, arg_min(position, risk_score * 1000 + position) AS winner_position, min(risk_score) AS winner_score, count(*) AS products
+    placed AS (SELECT product_id // 4 AS comparison_id, (product_id % 4) * 700 AS position, risk_score FROM v)
+    SELECT comparison_id, arg_min(position, risk_score * 100000 + position) AS winner_position, min(risk_score) AS winner_score, count(*) AS products
     FROM placed GROUP BY 1""")
 def _(t):
     scored = resolve.resolve_tokens(keyed(t), catalog(t))
     placed = verdict.verdicts(verdict.label_counts(scored)).select(
-        F.floor(F.col("product_id") / 4).alias("comparison_id"), (F.col("product_id") % 4).alias("position"), "risk_score"
+        F.floor(F.col("product_id") / 4).alias("comparison_id"), (F.col("product_id") % 4 * 700).alias("position"), "risk_score"
     )
     return verdict.best_of(placed)
 
@@ -268,7 +264,5 @@ def _(t):
       FROM (SELECT product_id, unnest(p) AS token, generate_subscripts(p, 1) - 1 AS pos FROM parts)),""" + RESOLVED + "," + COUNTS + VERDICT)
 def _(t):
     fixed = corrected_texts(t.label_texts).where("corrected is not null").select("product_id", F.col("corrected").alias("text"))
-    out = analysis.analyse_labels(
-        fixed, t.ingredients, t.aliases, t.alias_review, t.rules, t.sources, t.transitions, DAY
-    )
+    out = analysis.analyse_labels(fixed, catalog(t))
     return out.select(*VERDICT_COLUMNS)

@@ -77,9 +77,11 @@ def _(t):
 
 
 @check("prj_7_composition_text", "WITH " + PRODUCTS + """
-    SELECT code, CASE WHEN coalesce(trim(ingredients_text), '') <> '' THEN ingredients_text ELSE 'sugar, cane ' || code || ', salt' END AS composition, 0 AS deeper FROM pr""")
+    SELECT code, CASE WHEN coalesce(trim(ingredients_text), '') <> '' THEN ingredients_text ELSE 'sugar, cane ' || code || ', a, b, c, d, e, f, last ' || code || ', salt' END AS composition FROM pr""")
 def _(t):
-    tree = F.concat(F.lit('[{"text":"sugar","ingredients":[{"id":"en:cane '), "code", F.lit('"}]},{"id":"en:salt"}]'))
+    deep = F.lit('{"ingredients":[{"text":"b","ingredients":[{"ingredients":[{"id":"fr:d","ingredients":[{"ingredients":[{"text":"f","ingredients":[{"text":"last ')
+    close = F.lit('"}]}],"text":"e"}]}],"text":"c"}]}],"text":"a"}')
+    tree = F.concat(F.lit('[{"text":"sugar","ingredients":[{"id":"en:cane '), "code", F.lit('"},'), deep, "code", close, F.lit(']},{"id":"en:salt"}]'))
     return pr.composition_text(products(t).withColumn("ingredients", tree))
 
 

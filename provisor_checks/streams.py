@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from provisor.session import shared_dir
 from provisor.streaming import jobs
-from provisor_checks.labels import COUNTS, DICT_CTE, RESOLVED, VERDICT, VERDICT_COLUMNS
+from provisor_checks.labels import COUNTS, DICT_CTE, RESOLVED, VERDICT, VERDICT_COLUMNS, catalog
 from provisor_checks.registry import check
 
 DAY = dt.date(2025, 6, 1)
@@ -41,24 +41,32 @@ def folders(t, name):
 def _(t):
     """Documents arrive as label texts."""
     stream = jobs.read_stream(t.spark, t.dir, "documents.parquet", t.documents.schema).select(F.col("doc_id").alias("product_id"), "text")
-    catalog = {"ingredients": t.ingredients, "aliases": t.aliases, "review": t.alias_review, "rules": t.rules, "sources": t.sources, "transitions": t.transitions}
     out, checkpoint = folders(t, "label-stream")
-    jobs.label_verdicts(stream, catalog, DAY, out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    jobs.label_verdicts(stream, catalog(t), out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(out).select(*VERDICT_COLUMNS)
 
 
 @check("str_2_event_intake", """
-    WITH e AS (SELECT user_id, event_id // 2 AS seq, event_type, floor(value / 200) AS v FROM events),
-    g AS (SELECT user_id, seq, count(*) AS n, count(DISTINCT event_type || v) AS contents FROM e GROUP BY 1, 2)
-    SELECT user_id AS run_id, seq, CAST(1 AS BIGINT) AS new, CAST(CASE WHEN contents = 1 THEN n - 1 ELSE 0 END AS BIGINT) AS repeats,
-      CAST(CASE WHEN contents > 1 THEN n - 1 ELSE 0 END AS BIGINT) AS conflicts FROM g""")
+    WITH e AS (SELECT user_id, event_id, event_id // 2 AS seq, event_type, floor(value / 200) AS v FROM events
+      UNION ALL SELECT user_id, event_id + 1000000000, event_id // 2, event_type, floor(value / 200) + event_id % 3 FROM events WHERE event_id % 10 = 0)
+    SELECT event_id, user_id AS run_id, seq, CASE WHEN first_value(event_id) OVER w = event_id THEN 'new'
+      WHEN first_value(event_type) OVER w = event_type AND first_value(v) OVER w = v THEN 'repeat' ELSE 'conflict' END AS outcome
+    FROM e WINDOW w AS (PARTITION BY user_id, seq ORDER BY event_id)""")
 def _(t):
-    out, checkpoint = folders(t, "event-intake")
-    jobs.event_intake(event_stream(t), out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    done = t.spark.read.parquet(out)
-    outcome = F.col("outcome")
-    return done.groupBy("run_id", "seq").agg(
-        F.count_if(outcome == "new").alias("new"), F.count_if(outcome == "repeat").alias("repeats"), F.count_if(outcome == "conflict").alias("conflicts"))
+    """Four files in order of arrival, one micro-batch each; the last repeats deliveries two days later."""
+    first = t.events.select(
+        F.col("user_id").alias("run_id"), F.lit("browser").alias("source"), F.floor(F.col("event_id") / 2).alias("seq"),
+        F.col("event_type").alias("event_name"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") / 200).cast("double").alias("relative_ms"),
+        F.lit("{}").alias("details"), "event_id")
+    third = F.floor(F.col("event_id") * 3 / (first.agg(F.max("event_id")).first()[0] + 1))
+    again = first.where("event_id % 10 = 0").withColumn("relative_ms", F.col("relative_ms") + F.col("event_id") % 3).withColumn(
+        "ts", F.col("ts") + F.expr("interval 2 days")).withColumn("event_id", F.col("event_id") + 1000000000)
+    base = shared_dir(t.spark, "event-intake")
+    for part in (*(first.where(third == i) for i in range(3)), again):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.event_intake(stream, f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("event_id", "run_id", "seq", "outcome")
 
 
 @check("str_2_event_intake_batch", """
@@ -96,7 +104,7 @@ def _(t):
     SELECT user_id AS run_id, count(*) AS events, strftime(max(ts) + INTERVAL 180 SECOND, '%Y-%m-%d %H:%M:%S') AS expired_at FROM s GROUP BY user_id, no""")
 def _(t):
     events = t.events.select(F.col("user_id").alias("run_id"), "ts")
-    out = jobs.heartbeat_expiries(events)
+    out = jobs.heartbeat_expiries(events, "1 minute")
     return out.withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss"))
 
 

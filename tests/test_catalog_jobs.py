@@ -45,7 +45,7 @@ def test_bundle_scan(spark):
 def test_products(spark):
     path = local(spark, "products") + "/p.json"
     rows = [{"code": "1", "product_name": "", "generic_name": "Сок", "brands": "Б", "categories": " , Напитки,x", "ingredients_text": " ",
-             "ingredients": [{"text": "вода", "ingredients": [{"id": "en:sugar"}, {"text": "соль", "ingredients": [{"id": "ru:йод", "ingredients": [{"text": "x", "ingredients": [{"text": "deep"}]}]}]}]}]},
+             "ingredients": [{"text": "вода", "ingredients": [{"id": "en:sugar"}, {"text": "соль", "ingredients": [{"ingredients": [{"ingredients": [{"text": "deep"}], "text": "x"}], "id": "ru:йод"}]}]}]},
             {"code": "2", "ingredients_text": "вода, сахар", "categories_tags": ["en:plant-based-foods"]}]
     with open(path, "w") as f:
         f.writelines(json.dumps(r, ensure_ascii=False) + "\n" for r in rows)
@@ -55,8 +55,8 @@ def test_products(spark):
     assert got == {"1": ("Сок", "no_composition"), "2": ("Продукт без названия", "analysable"), "3": (None, "not_found")}
     shown = {r.code: (r.name, r.category) for r in products.display_fields(df).collect()}
     assert shown == {"1": ("Сок", "Напитки"), "2": ("Продукт без названия", "plant based foods")}
-    text = {r.code: (r.composition, r.deeper) for r in products.composition_text(df).collect()}
-    assert text == {"1": ("вода, sugar, соль, йод, x", 1), "2": ("вода, сахар", 0)}
+    text = {r.code: r.composition for r in products.composition_text(df).collect()}
+    assert text == {"1": "вода, sugar, соль, йод, x, deep", "2": "вода, сахар"}
 
 
 PAGE = """<html><body><h1>E100 – Куркумин</h1><article class="node node--additive"><span class="addicon__name">E100</span>
