@@ -22,21 +22,26 @@ def base(spark):
 
 
 def test_taxonomy_text(spark):
-    text = (
-        "# only data\nsynonyms:en: colour, color\n\nstopwords:en: of\n\n"
-        "en: water, water\\, filtered\nru: Вода\n< en: ingredient\nvegan:en: yes\n\n"
-        "en: Water, drinking water\nvegan:en: maybe\nsco: watter\nzh_yue: water\n"
-    )
-    p = source.parse_taxonomy(lines(spark, text))
-    assert [tuple(r) for r in p["entries"].collect()] == [("en:water", 6)]
-    names = {(r.language, r.name) for r in p["names"].collect()}
-    assert {("en", "water, filtered"), ("en", "drinking water"), ("en", "Water"), ("zh_yue", "water")} <= names
-    assert [tuple(r) for r in p["parents"].collect()] == [("en:water", "en", "ingredient")]
-    assert {(r.property, r.language, r.value) for r in p["properties"].collect()} == {("vegan", "en", "yes"), ("vegan", "en", "maybe")}
-    assert p["ignored_directives"].count() == 2
-    assert [tuple(r) for r in p["duplicate_blocks"].collect()] == [("en:water", 11)]
-    assert p["unparsed_lines"].count() == 0
-    assert {r.value for r in source.property_conflicts(p["properties"]).collect()} == {"yes", "maybe"}
+    """Three blocks of one key over two files, an escaped backslash, a tie on position and a nameless line."""
+    one = ("stopwords:fr: de, du\n\n"
+           "ru: Рожь, ржаная мука\nfr: seigle\n\n"
+           "de: Roggen\\\\Korn, Mehl\\, grob\nru: мука\n< ru: Рожь\nallergens:en: gluten\n")
+    two = "ru: рожь, третье имя\nallergens:en: none\nallergens:de: Gluten\n\nen: ,\nnutrition:en: lost\n\nru: Рожь\nthis line says nothing\n"
+    both = source.number_lines(spark.createDataFrame([("a", one), ("b", two)], "file string, text string"), "file", "text")
+    p = source.parse_taxonomy(both)
+    assert {r.key for r in p["entries"].collect()} == {"ru:рожь", "ru:мука"}
+    names = {(r.key, r.language, r.name) for r in p["names"].collect()}
+    assert names == {("ru:рожь", "ru", "Рожь"), ("ru:рожь", "ru", "ржаная мука"), ("ru:рожь", "fr", "seigle"), ("ru:рожь", "ru", "рожь"),
+                     ("ru:рожь", "ru", "третье имя"), ("ru:мука", "de", "Roggen\\Korn"), ("ru:мука", "de", "Mehl, grob"), ("ru:мука", "ru", "мука")}
+    first = {r.name: (r.position.file, r.position.i) for r in p["names"].where("key = 'ru:рожь' and language = 'ru'").collect()}
+    assert first["Рожь"] == ("a", 0) and first["ржаная мука"] == ("a", 1) and first["третье имя"] == ("b", 1)
+    assert [(r.key, r.name) for r in p["parents"].collect()] == [("ru:мука", "Рожь")]
+    assert {(r.key, r.property, r.language, r.value) for r in p["properties"].collect()} == {
+        ("ru:мука", "allergens", "en", "gluten"), ("ru:рожь", "allergens", "en", "none"), ("ru:рожь", "allergens", "de", "Gluten")}
+    assert source.property_conflicts(p["properties"]).isEmpty()
+    assert p["ignored_directives"].count() == 1 and p["duplicate_blocks"].count() == 2
+    assert [r.line for r in p["empty_names"].collect()] == ["en: ,"]
+    assert [r.line for r in p["unparsed_lines"].collect()] == ["this line says nothing"]
 
 
 def test_taxonomy_matching(spark):
@@ -73,25 +78,35 @@ def test_quarantine_reasons(spark):
 
 
 def merge_inputs(spark):
+    """Two catalogs of spices: one shared code, one code with a subtype, one name owned twice by the other side."""
     ing = "ingredient_id string, e_code string, name string, name_en string, category string, kind string, full_description string, position int"
-    row = lambda i, c, n, e=None, p=0: (i, c, n, e, None, "food_additive", "long text", p)
+
+    def item(key, code, name, english=None, position=0):
+        return (key, code, name, english, "dye", "food_additive", f"about {key}", position)
+
     alias = "alias_id string, ingredient_id string, alias string, language string, source string"
     rule = ("rule_id string, ingredient_id string, source_id string, rule_type string, regulatory_status string, evaluation string, "
             "verification_status string, match_policy string, resolved_ingredient_ids array<string>, group_ingredient_id string")
     src = "source_id string, code string"
     primary = {
-        "ingredients": frame(spark, ing, row("p100", "E100", "Куркумины", None, 0), row("p100i", "E100(i)", "Куркумин", None, 1), row("p999", "E999", "Тест", None, 2)),
+        "ingredients": frame(spark, ing, item("new-160", "E160", "Паприка", None, 3), item("new-160ii", "E160(ii)", "Экстракт паприки", None, 4), item("new-name", "E777", "Пряность", None, 5)),
         "ingredient_aliases": spark.createDataFrame([], alias), "ingredient_rules": spark.createDataFrame([], rule),
-        "regulatory_sources": frame(spark, src, ("own", "OWN")),
+        "regulatory_sources": frame(spark, src, ("s-main", "MAIN")),
     }
-    base_rule = ("old100", "tr", "permitted_food_additive", "PERMITTED_WITH_CONDITIONS", "reference_only", "extracted_not_verified", None, ["old100", "outside"], "outside")
-    extra = [(k, *base_rule[:2], k, *base_rule[3:]) for k in ("maximum_use_level", "sweetener_use", "additive_purity_criteria", "mandatory_warning_label")]
-    extra += [(s, *base_rule[:2], "regulatory_status", s, *base_rule[4:]) for s in ("BANNED", "PHASE_OUT")]
+    kept = {"status": "permitted_food_additive", "banned": "regulatory_status", "ending": "regulatory_status"}
+    status = {"status": "PERMITTED_WITH_CONDITIONS", "banned": "BANNED", "ending": "PHASE_OUT"}
+    dropped = ["maximum_use_level", "sweetener_use", "additive_purity_criteria", "mandatory_warning_label"]
+
+    def law(key, kind, value, owner="old-160"):
+        return (key, owner, "s-old", kind, value, "reference_only", "extracted_not_verified", None, ["elsewhere", "old-160"], "elsewhere")
+
     legacy = {
-        "ingredients": frame(spark, ing, row("old100", "E100", "Куркумин", "CURCUMIN"), row("outside", None, "Другое"), row("name-a", None, "Тест"), row("name-b", None, "Тест")),
-        "ingredient_aliases": frame(spark, alias, ("al1", "old100", "куркума", "ru", "x"), ("al2", "old100", "Смесь x", "en", "x")),
-        "ingredient_rules": frame(spark, rule, ("rule", *base_rule), ("global", None, *base_rule[1:]), *extra),
-        "regulatory_sources": frame(spark, src, ("tr", "TR")),
+        "ingredients": frame(spark, ing, item("old-160", "E160", "Экстракт паприки", "PAPRIKA EXTRACT"), item("elsewhere", None, "Соль"),
+                             item("spice-1", None, "Пряность"), item("spice-2", None, "Пряность"), item("spice-3", None, "Пряность")),
+        "ingredient_aliases": frame(spark, alias, ("n1", "old-160", "красный перец", "ru", "y"), ("n2", "old-160", "Смесь y", "en", "y")),
+        "ingredient_rules": frame(spark, rule, *[law(k, kept[k], status[k]) for k in kept], *[law(k, k, status["status"]) for k in dropped],
+                                  law("ownerless", kept["status"], status["status"], None)),
+        "regulatory_sources": frame(spark, src, ("s-old", "OLD")),
     }
     return primary, legacy, spark.createDataFrame([], "form string")
 
@@ -99,25 +114,24 @@ def merge_inputs(spark):
 def test_catalog_merge(spark):
     primary, legacy, ambiguous = merge_inputs(spark)
     tables, report = merging.merge_catalogs(primary, legacy, ambiguous)
-    assert {(r.ingredient_id, r.legacy_ingredient_id) for r in tables["ingredient_matches"].collect()} == {("p100", "old100")}
+    matches = tables["ingredient_matches"].collect()
+    assert [(r.ingredient_id, r.legacy_ingredient_id) for r in matches] == [("new-160", "old-160")]
     rules = {r.rule_id: r for r in tables["ingredient_rules"].collect()}
-    assert set(rules) == {"rule", "BANNED", "PHASE_OUT"} and {r.ingredient_id for r in rules.values()} == {"p100"}
-    assert rules["rule"].resolved_ingredient_ids == ["p100"]
-    assert rules["rule"].legacy_resolved_ingredient_ids == ["old100", "outside"]
-    assert rules["rule"].resolved_ingredient_ids_scope == "matched_catalog_subset"
-    assert rules["rule"].group_ingredient_id is None and rules["rule"].legacy_group_ingredient_id == "outside"
-    unmatched = {}
+    assert sorted(rules) == ["banned", "ending", "status"]
+    for r in rules.values():
+        assert r.ingredient_id == "new-160" and r.resolved_ingredient_ids == ["new-160"] and r.group_ingredient_id is None
+        assert sorted(r.legacy_resolved_ingredient_ids) == ["elsewhere", "old-160"] and r.legacy_group_ingredient_id == "elsewhere"
+        assert r.resolved_ingredient_ids_scope == "matched_catalog_subset"
+    open_ = {}
     for r in report["unmatched"].collect():
-        unmatched.setdefault(r.ingredient_id, set()).add((r.candidate_id, r.reason))
-    assert unmatched["p100i"] == {("old100", "ambiguous_or_requires_review")}
-    assert {c for c, _ in unmatched["p999"]} == {"name-a", "name-b"}
-    names = {r.ingredient_id: r.name_en for r in tables["ingredients"].collect()}
-    assert names == {"p100": "CURCUMIN", "p100i": None, "p999": None}
-    assert report["excluded_rules"].agg(F.sum("n")).first()[0] == 5
-    assert {r.alias for r in tables["ingredient_aliases"].collect()} == {"куркума", "CURCUMIN"}
-    assert [r.reason for r in report["rejected_aliases"].collect()] == ["extraction_row_not_a_clean_alias"]
+        open_.setdefault(r.ingredient_id, {})[r.candidate_id] = r.reason
+    assert open_["new-160ii"] == {"old-160": "ambiguous_or_requires_review"}
+    assert set(open_["new-name"]) == {"spice-1", "spice-2", "spice-3"}
+    assert {r.ingredient_id: r.name_en for r in tables["ingredients"].collect()}["new-160"] == "PAPRIKA EXTRACT"
+    assert report["excluded_rules"].agg(F.sum("n")).first()[0] == 5  # four kinds that give no status, one without owner
+    assert {r.alias for r in tables["ingredient_aliases"].collect()} == {"красный перец", "PAPRIKA EXTRACT"}
+    assert [r.alias for r in report["rejected_aliases"].collect()] == ["Смесь y"]
     profiles = primary["ingredients"].select("ingredient_id", "full_description")
-    found = merging.merged_violations(tables, profiles, primary["regulatory_sources"])
-    assert found.count() == 0
-    broken = {**tables, "ingredient_rules": tables["ingredient_rules"].withColumn("rule_type", F.lit("maximum_use_level"))}
-    assert {r.rule for r in merging.merged_violations(broken, profiles, primary["regulatory_sources"]).collect()} == {"not_a_status_rule"}
+    assert merging.merged_violations(tables, profiles, primary["regulatory_sources"]).isEmpty()
+    wrong = {**tables, "ingredient_rules": tables["ingredient_rules"].withColumn("rule_type", F.lit("sweetener_use"))}
+    assert [r.rule for r in merging.merged_violations(wrong, profiles, primary["regulatory_sources"]).select("rule").distinct().collect()] == ["not_a_status_rule"]
