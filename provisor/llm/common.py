@@ -7,11 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from provisor.session import cut_lineage, ship
 
 _SLOTS = 1 << 25
+#: Bytes of a batch of rows that goes to a Python worker; a longer row goes alone.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on every worker."""
-    ship(df.sparkSession)
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with the package at hand on every worker and batches of bounded size.
+
+    The session's own limit stays if it is smaller.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(str(spark.conf.get(_BATCH)).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
@@ -39,15 +48,27 @@ def maybe_in(df: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFram
     )
 
 
+def beside(pairs: DataFrame, table: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``pairs(a, b)`` with columns of both sides; only rows of ``table`` that may be asked for move."""
+    bits = key_bits(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    few = maybe_in(table, F.col(key), bits, "_maybe").where("_maybe")
+    for side in "ab":
+        pairs = pairs.join(few.select(F.col(key).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in "ab"])
+
+
 def semi_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is among ``keys``; most others leave before the shuffle."""
     few = maybe_in(df, F.col(key), key_bits(keys, key), "_maybe").where("_maybe").drop("_maybe")
     return few.join(keys.select(key), key, "left_semi")
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node that has a smaller neighbour has only one, which has none itself."""
+    sides = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = sides.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -60,19 +81,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut_lineage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _digest(now)
-    while state[0]:
+    while not _are_stars(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(
             low.select("a", F.col("m").alias("b"))).distinct()
         now = cut_lineage(small, "edges")
-        before, state = state, _digest(now)
-        if state == before:
-            break
     tied = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return tied.unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
@@ -81,40 +97,56 @@ def components(edges: DataFrame) -> DataFrame:
 LEADERS = 32
 
 
-def link_groups(rows: DataFrame, test, rest=None, stars: int = 2) -> DataFrame:
-    """(id, root) of the components of all tested pairs that share a bucket of ``rows(bucket, id)``.
+def prefix_sizes(n: Column, percent: int) -> tuple[Column, Column]:
+    """How many of a set's n grams, in a common order, must hold one that a linked set shares.
+
+    The first number is for a partner that is not smaller, the second for any partner.
+    """
+    inner = n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    return inner.cast("long"), (n - F.ceil(percent * n / 100) + 1).cast("long")
+
+
+def link_groups(rows: DataFrame, test, percent: int, rest=None, stars: int = 2) -> DataFrame:
+    """(id, root) of the components of all linked pairs that share a bucket.
 
-    ``test(pairs(a, b))`` returns the pairs that are linked. The first round tests each bucket's
-    smallest id against the bucket's other ids, later rounds do so with about ``LEADERS`` ids. An
-    id that has met all others of its bucket leaves it, and a bucket ends when all its ids are in
-    one component. So a family of copies costs one test per member, and no pair of different
-    components goes untested. With ``rest``, what ``stars`` rounds have left open goes to it at
-    once; it returns candidate pairs.
+    ``rows(bucket, id, n, inner, rank)``: sets of size ``n`` and the grams that start them;
+    ``inner`` marks those of the shorter start (see ``prefix_sizes``). ``test(pairs(a, b))``
+    gets a written table and returns the pairs that are linked. In the first round the id of lowest ``rank`` of each
+    bucket meets the bucket's other ids, in later rounds about ``LEADERS`` ids do. An id that has
+    met all others of its bucket leaves it, and a bucket ends when all its ids are in one
+    component. So a family of copies costs one test per member, and no pair of different
+    components that sizes and starts allow goes untested. With ``rest``, what ``stars`` rounds
+    have left open goes to it at once; it returns candidate pairs.
     """
-    rows = rows.select("bucket", "id", F.col("id").alias("root"))
+    own = ["bucket", "id", "n", "inner", "rank"]
+    rows = rows.select(*own, F.col("id").alias("root"))
     links, done = None, 0
     while True:
         if done == 0:
-            lead = rows.groupBy("bucket").agg(F.min("id").alias("lead")).withColumn("lead_root", F.col("lead"))
+            lead = rows.groupBy("bucket").agg(F.min(F.struct("rank", "id", "n", "inner", "root")).alias("lead"))
             others = rows.join(lead, "bucket")
-            left = others.where("id <> lead").select("bucket", "id")
+            left = others.where("id <> lead.id")
         else:
             size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
             chosen = F.pmod(F.xxhash64("id", F.lit(done)), F.ceil(F.col("_n") / LEADERS).cast("long")) == 0
-            marked = cut_lineage(rows.join(size, "bucket").select("bucket", "id", "root", chosen.alias("chosen")), "marked")
-            lead = marked.where("chosen").select("bucket", F.col("id").alias("lead"), F.col("root").alias("lead_root"))
+            marked = cut_lineage(rows.join(size, "bucket").select(*own, "root", chosen.alias("chosen")), "marked")
+            lead = marked.where("chosen").select("bucket", F.struct("id", "n", "inner", "root").alias("lead"))
             others = marked.join(lead, "bucket")
-            left = marked.where("not chosen").select("bucket", "id")
-        pairs = others.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+            left = marked.where("not chosen")
+        sized = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & F.when(
+            F.col("n") < F.col("lead.n"), F.col("inner")).when(F.col("n") > F.col("lead.n"), F.col("lead.inner")).otherwise(
+            F.col("inner") | F.col("lead.inner"))
+        pairs = cut_lineage(others.where(sized & (F.col("root") != F.col("lead.root"))).select(
+            F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "pairs")
         found = cut_lineage(test(pairs).select("a", "b"), "links")
         links = found if links is None else links.unionAll(found)
         roots = components(links)
-        left = left.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        left = left.select(*own).join(roots, "id", "left").select(*own, F.coalesce("root", "id").alias("root"))
         open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         rows = cut_lineage(left.join(open_, "bucket", "left_semi"), "open")
         done += 1
         if rows.isEmpty():
             return roots
         if rest is not None and done == stars:
-            found = cut_lineage(test(rest(rows)).select("a", "b"), "links")
+            found = cut_lineage(test(cut_lineage(rest(rows), "pairs")).select("a", "b"), "links")
             return components(links.unionAll(found))

@@ -1,11 +1,11 @@
 """Exact join of documents whose word n-gram sets have a Jaccard similarity of at least a threshold.
 
-* Documents with equal sets form a class; only its smallest doc_id goes on.
+* Documents with equal sets form a class, which goes on as one set named by its 64-bit digest.
 * Two linked sets share a gram among the first ``n - ceil(t n) + 1`` of each, whatever the common
   order of grams. Frequent grams go last, so passages that many documents share rarely start a
   bucket. Frequencies come from a table of 2**20 counters over all documents; it only steers the
   order, never the result.
-* Grams are hashed into ``GROUPS`` groups. The group counts of a document are a point; the sum of
+* Grams are hashed into ``GROUPS`` groups, or multiples of it for large sets. The group counts of a document are a point; the sum of
   coordinate minima bounds the overlap of two sets. Inside a bucket that stars of tests leave
   open, points are packed into R-trees, whole nodes are left out by the bound on their upper
   corners, and the surviving pairs are verified on the full sets.
@@ -19,10 +19,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from provisor.llm import words as W
-from provisor.llm.common import arrow_map, components, link_groups, semi_join
+from provisor.llm.common import arrow_map, beside, components, key_bits, link_groups, maybe_in, prefix_sizes, semi_join
 from provisor.session import cut_lineage, ship
 
-GROUPS, COUNTERS, SLICE = 64, 1 << 20, 1 << 16
+#: Groups of the smallest sets and of the trees; counters of gram frequencies and how they are dealt.
+GROUPS, COUNTERS, SLICE = 256, 1 << 20, 1 << 16
 #: Points that one task of the R-tree join holds per side, and points of a leaf.
 BLOCK, LEAF = 512, 16
 
@@ -59,41 +60,69 @@ def frequent(docs: DataFrame, k: int, lower: bool) -> np.ndarray:
     return total > usual + 8 * usual**0.5 + 16
 
 
+def _digest(grams: np.ndarray) -> int:
+    """64 bits that name a set of hashes: its members under two mixings, added up."""
+    total = np.array([grams.sum(dtype=np.uint64)]) * W._P + W.mixed(grams ^ W._K1).sum(dtype=np.uint64) + np.uint64(len(grams))
+    return int(W.mixed(total).view(np.int64)[0])
+
+
+def _point(grams: np.ndarray) -> bytes:
+    """Group counts of a set; large sets have four times as many groups.
+
+    The first byte holds the binary logarithm of the number; a count takes one byte, or four
+    where one doesn't fit.
+    """
+    bits = 8 + 2 * (len(grams) >= 4000)
+    counts = np.bincount((grams & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return bytes([bits]) + counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def _unpacked(point: bytes, groups: int | None = None) -> np.ndarray:
+    """Group counts, added up to fewer groups where asked for."""
+    counts = np.frombuffer(point, "u1" if len(point) - 1 == 1 << point[0] else "<u4", offset=1).astype(np.int64)
+    return counts if groups is None else counts.reshape(-1, groups).sum(0)
+
+
+def _points(column) -> np.ndarray:
+    return np.array([_unpacked(x, GROUPS) for x in column.to_pylist()], np.int64).reshape(-1, GROUPS)
+
+
 def _sets(k: int, lower: bool, percent: int, often):
-    """text -> n, set digest, group counts and the grams that start buckets."""
+    """text -> n, class digest, group counts and the grams that start buckets."""
 
     def run(batches):
         for batch in batches:
             late = often.value
             for i, j, hashes, first in W.doc_words(batch.column(1), lower):
                 grams, where = W.shingle_hashes(hashes, first, k)
-                n, d1, d2, points, heads = [], [], [], [], []
+                n, digest, points, heads = [], [], [], []
                 for d in range(j - i):
                     own = np.unique(grams[where[d]:where[d + 1]])
                     n.append(len(own))
-                    d1.append(own.sum(dtype=np.uint64))
-                    d2.append(W.mixed(own ^ W._K1).sum(dtype=np.uint64))
-                    points.append(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                    digest.append(_digest(own))
+                    points.append(_point(own))
                     size = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
                     flag = late[(own >> np.uint64(44)).astype(np.int64)]
                     rare = own[~flag]
                     heads.append(rare[:size] if len(rare) >= size else np.concatenate([rare, own[flag][:size - len(rare)]]))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)),
-                    pa.array(np.array(d2, np.uint64).view(np.int64)), pa.array(points, pa.binary()),
+                    batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(points, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads).view(np.int64) if heads else [], pa.int64()))],
-                    ["doc_id", "n", "d1", "d2", "point", "heads"])
+                    ["doc_id", "n", "id", "point", "heads"])
 
     return run
 
 
-def _full(k: int, lower: bool):
+def _own_text(k: int, lower: bool):
+    """(id, text) rows whose text has the set that the id names."""
+
     def run(batches):
         for batch in batches:
+            ok = []
             for i, j, hashes, first in W.doc_words(batch.column(1), lower):
                 grams, where = W.shingle_hashes(hashes, first, k)
-                sets = [np.unique(grams[where[d]:where[d + 1]]).tobytes() for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "grams"])
+                ok += [_digest(np.unique(grams[where[d]:where[d + 1]])) for d in range(j - i)]
+            yield batch.filter(pa.array(np.array(ok, np.int64) == batch.column(0).to_numpy()))
 
     return run
 
@@ -109,19 +138,28 @@ def _bound(percent: int):
     def run(batches):
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            points = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in (4, 5)]
-            ok = np.minimum(*points).sum(1) >= _need(na, nb, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            most = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                groups = 1 << min(x[0], y[0])
+                most.append(np.minimum(_unpacked(x, groups), _unpacked(y, groups)).sum())
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(most, np.int64) >= _need(na, nb, percent)))
 
     return run
 
 
-def _verify(percent: int):
+def _verify(k: int, lower: bool, percent: int):
+    """(a, b, text of a, text of b) -> pairs whose sets are similar enough."""
+
+    def sets(column):
+        for i, j, hashes, first in W.doc_words(column, lower, 2 * W.PIECE):
+            grams, where = W.shingle_hashes(hashes, first, k)
+            for d in range(j - i):
+                yield np.unique(grams[where[d]:where[d + 1]])
+
     def run(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -170,13 +208,14 @@ def _tree_join(percent: int):
         same = not len(right)
         right = left if same else right
         read = lambda t: (t.column("id").to_numpy(), t.column("root").to_numpy(), t.column("n").to_numpy(),
-                          np.frombuffer(b"".join(t.column("point").to_pylist()), "<u4").reshape(-1, GROUPS))
-        (ids, roots, size, points), found = read(left), []
+                          t.column("inner").to_numpy(zero_copy_only=False), _points(t.column("point")))
+        (ids, roots, size, inner, points), found = read(left), []
         if len(ids):
             order, levels = tree(points, size)
-            for qid, qroot, qn, q in zip(*read(right)):
+            for qid, qroot, qn, qinner, q in zip(*read(right)):
                 hit = search(order, levels, points, size, q, int(qn), percent)
-                hit = hit[(roots[hit] != qroot) & ((ids[hit] < qid) | (not same))]
+                first = np.where(size[hit] < qn, inner[hit], np.where(size[hit] > qn, qinner, inner[hit] | qinner))
+                hit = hit[first & (roots[hit] != qroot) & ((ids[hit] < qid) | (not same))]
                 found += [(min(int(x), int(qid)), max(int(x), int(qid))) for x in ids[hit]]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
@@ -196,44 +235,53 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = F
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     often = spark.sparkContext.broadcast(frequent(docs, k, lower))
-    sets = cut_lineage(arrow_map(docs, _sets(k, lower, percent, often), "doc_id long, n long, d1 long, d2 long, point binary, heads array<long>"), "sets")
+    sets = cut_lineage(arrow_map(docs, _sets(k, lower, percent, often), "doc_id long, n long, id long, point binary, heads array<long>"), "sets")
     known = sets.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = cut_lineage(known.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep"), "classes")
-    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi")
-    twice = twice.join(member, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
-
-    firsts = known.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).select("doc_id", F.explode("heads").alias("bucket"))
-    shared = cut_lineage(firsts.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket"), "shared")
-    rows = cut_lineage(semi_join(firsts, shared, "bucket").select("bucket", F.col("doc_id").alias("id")).distinct(), "buckets")
-    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-    points = cut_lineage(semi_join(known.select("doc_id", "n", "point"), wanted, "doc_id").dropDuplicates(["doc_id", "n", "point"]), "points")
-    full = cut_lineage(arrow_map(semi_join(docs, wanted, "doc_id"), _full(k, lower), "doc_id long, grams binary").distinct(), "grams")
-
-    def beside(pairs, table, *columns):
-        for side in "ab":
-            pairs = pairs.join(table.select(F.col("doc_id").alias(side), *[F.col(c).alias(c + side) for c in columns]), side)
-        return pairs.select("a", "b", *[c + side for c in columns for side in "ab"])
+    member = known.select("doc_id", "id").distinct()
+
+    firsts = known.select("id", "n", F.size("heads").alias("heads"), F.posexplode("heads").alias("at", "bucket"))
+    shared = cut_lineage(firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("bucket"), "shared")
+    met = maybe_in(firsts, F.col("bucket"), key_bits(shared, "bucket"), "_maybe").where("_maybe").drop("_maybe")
+    met = met.groupBy("bucket", "id", "n", "heads").agg(F.min("at").alias("at"))
+    several = met.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+    rows = cut_lineage(met.join(several, "bucket"), "buckets")
+    common = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("common"))
+    rows = rows.join(common, ["id", "n"]).select("bucket", "id", "n", (F.col("at") < prefix_sizes(F.col("n"), percent)[0]).alias("inner"),
+                                                 ((F.col("heads") - F.col("common")) / F.col("n")).alias("rank"))
+    rows = cut_lineage(rows, "starts")
+    wanted = rows.select("id").distinct()
+    chosen = semi_join(known.select("doc_id", "id", "n", "point"), wanted, "id").groupBy("id").agg(
+        F.min(F.struct("doc_id", "n", "point")).alias("one"))
+    chosen = cut_lineage(chosen.select("id", "one.*"), "chosen")
+    named = maybe_in(docs, F.col("doc_id"), key_bits(chosen, "doc_id"), "_maybe").where("_maybe").select("doc_id", "text")
+    texts = named.join(chosen.select("doc_id", "id"), "doc_id").select("id", "text")
+    if not known.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").isEmpty():
+        texts = arrow_map(texts, _own_text(k, lower), "id long, text string")  # an id may have several texts
+    texts = cut_lineage(texts, "texts")
 
     def test(pairs):
-        near = arrow_map(beside(pairs, points, "n", "point"), _bound(percent), "a long, b long").distinct()
-        return arrow_map(beside(near, full, "grams"), _verify(percent), "a long, b long").distinct()
+        near = arrow_map(beside(pairs, chosen, "id", "n", "point"), _bound(percent), "a long, b long")
+        near = cut_lineage(near, "near")
+        return arrow_map(beside(near, texts, "id", "text"), _verify(k, lower, percent), "a long, b long").distinct()
 
     def rest(open_):
         """Blocks of each open bucket against each other, as R-trees."""
-        held = open_.join(points.withColumnRenamed("doc_id", "id"), "id")
+        held = open_.select("bucket", "id", "root", "inner").join(chosen.select("id", "n", "point"), "id")
         blocks = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         held = held.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         dealt = held.select("*", other).select(
             "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "root", "n", "point")
+            (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "root", "n", "inner", "point")
         return dealt.groupBy("bucket", "x", "y").applyInArrow(_tree_join(percent), "a long, b long").distinct()
 
-    roots = link_groups(rows, test, rest)
-    ties = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(twice)
-    roots = components(ties) if not twice.isEmpty() else roots
-    node = member.join(roots, member["rep"] == roots["id"], "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
-    node = node.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    roots = link_groups(rows, test, percent, rest)
+    twice = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("hi")).where("a < hi")
+    if not twice.isEmpty():
+        ties = twice.join(member, "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(ties))
+    tied = cut_lineage(member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct(), "members")
+    least = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    node = tied.join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(node, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

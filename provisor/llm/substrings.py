@@ -44,7 +44,7 @@ def _pack(k: int, bits: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
-            for i, j, hashes, first in W.doc_words(batch.column(1).take(pa.array(order))):
+            for i, j, hashes, first in W.doc_words(batch.column(1).take(pa.array(order)), limit=4 * W.PIECE):
                 window, where = W.window_hashes(hashes, first, k)
                 if not len(window):
                     continue
