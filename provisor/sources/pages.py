@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from provisor.functions.names import excerpt
 from provisor.functions.text import strip_invisible
+from provisor.session import ship
 
 NOTE_CHARS = 1600
 FIRST_SECTION = "Введение"
@@ -17,8 +18,11 @@ HIDDEN = {"script", "style", "ins", "head", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4"}
 BLOCKS = HEADINGS | {"p", "li"}
+NAMED = ("addicon__name", "field__content", "field--country-organization")
 
-NODE_SCHEMA = "page_key string, seq int, tag string, classes string, href string, text string, path string"
+NODE_SCHEMA = "page_key string, seq int, tag string, classes string, href string, text string, path string, inside array<int>"
+# Elements whose content is no part of an article.
+NOISE = r"(^| )(script|style|ins)\.|block--advert-block"
 
 
 class _Nodes(HTMLParser):
@@ -26,7 +30,7 @@ class _Nodes(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.open, self.out = [], [], []
+        self.stack, self.open, self.out, self.elements = [], [], [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -35,10 +39,11 @@ class _Nodes(HTMLParser):
         a = dict(attrs)
         if tag in BLOCKS and self.open and self.open[-1]["tag"] == tag == "p":
             self._close(len(self.stack) - 1)
-        self.stack.append((tag, a.get("class") or "", a.get("id") or ""))
-        if tag in BLOCKS or (tag == "a" and a.get("href")) or "addicon__name" in (a.get("class") or "") or "field__content" in (a.get("class") or ""):
+        self.elements += 1
+        self.stack.append((tag, a.get("class") or "", a.get("id") or "", self.elements))
+        if tag in BLOCKS or tag == "article" or (tag == "a" and a.get("href")) or any(c in (a.get("class") or "") for c in NAMED):
             node = dict(tag=tag, classes=a.get("class") or "", href=a.get("href"), text=[], depth=len(self.stack),
-                        path=" ".join(f"{t}.{c.replace(' ', '.')}#{i}" for t, c, i in self.stack))
+                        path=" ".join(f"{t}.{c.replace(' ', '.')}#{i}" for t, c, i, _ in self.stack), inside=[n for *_, n in self.stack])
             self.open.append(node)
             self.out.append(node)
 
@@ -54,15 +59,16 @@ class _Nodes(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if any(t in HIDDEN or "block--advert-block" in c for t, c, _ in self.stack):
+        if any(t in HIDDEN or "block--advert-block" in c for t, c, *_ in self.stack):
             return
         for node in self.open:
             node["text"].append(data)
 
 
 def page_nodes(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
-    """Blocks and links of every page as rows: (page_key, seq, tag, classes, href, text, path).
+    """Blocks and links of every page as rows: (page_key, seq, tag, classes, href, text, path, inside).
 
+    ``inside`` numbers the elements around a node, its own number last.
     The tree walk has no built-in counterpart; it runs per row on Arrow batches, everything after
     it is columnar.
     """
@@ -75,61 +81,103 @@ def page_nodes(pages: DataFrame, key: str = "url", html: str = "html") -> DataFr
                 parser.feed(source or "")
                 parser.close()
                 rows += [
-                    (page_key, i, n["tag"], n["classes"], n["href"], " ".join(n["text"]), n["path"]) for i, n in enumerate(parser.out)
+                    (page_key, i, n["tag"], n["classes"], n["href"], " ".join(n["text"]), n["path"], n["inside"]) for i, n in enumerate(parser.out)
                 ]
-            yield pd.DataFrame(rows, columns=["page_key", "seq", "tag", "classes", "href", "text", "path"])
+            yield pd.DataFrame(rows, columns=["page_key", "seq", "tag", "classes", "href", "text", "path", "inside"])
 
+    ship(pages.sparkSession)
     nodes = pages.select(F.col(key).cast("string").alias("k"), F.col(html).alias("h")).mapInPandas(parse, NODE_SCHEMA)
     return nodes.withColumn("text", strip_invisible(F.col("text")))
 
 
+def _without_dots(url: Column) -> Column:
+    """Resolve ``.`` and ``..`` in the path of an absolute address."""
+    root = F.regexp_extract(url, r"^(https?://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^https?://[^?#]*(.*)$", 1)
+    parts = F.split(path, "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", up(done)).when(p == ".", done).otherwise(
+        F.concat(done, F.array(p))))
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    dotted = path.rlike(r"/\.\.?(/|$)")
+    return F.when(dotted, F.concat(root, F.array_join(ended, "/"), rest)).otherwise(url)
+
+
 def absolute(href: Column, base: Column) -> Column:
     """Resolve a link against the address of its page."""
     root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_extract(base, r"^(https?://[^?#]*/)", 1)
-    return (
+    whole = (
         F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
         .when(href.startswith("/"), F.concat(root, href))
         .when(href.rlike("^[#?]"), F.concat(F.regexp_replace(base, F.when(href.startswith("#"), r"#.*$").otherwise(r"[?#].*$"), F.lit("")), href))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), href))
+        .otherwise(F.concat(F.when(folder.isin("", "http://", "https://"), F.concat(root, F.lit("/"))).otherwise(folder), href))
     )
+    return F.when(whole.rlike("^https?://"), _without_dots(whole)).otherwise(whole)
 
 
-def page_links(pages: DataFrame, pattern: str = r'(?i)<a\b[^>]*?\bhref="([^"]*)"') -> DataFrame:
-    """Distinct links of every page without leaving the JVM: (page_id, url, target)."""
-    return pages.select(
-        "page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)))).alias("href")
-    ).select("page_id", "url", absolute(F.col("href"), F.col("url")).alias("target"))
-
-
-# Markup of an index card and of the pager.
-CARD = r'(?is)<a\b[^>]*\bclass="[^"]*\baddicon__link\b[^"]*"[^>]*\bhref="([^"]*)"'
-CARD_CODE = r'(?is)class="[^"]*\baddicon__name\b[^"]*"[^>]*>\s*([^<]*?)\s*<'
-PAGER = r'(?is)class="[^"]*\bpager\b[^"]*".*?<a\b[^>]*\bhref="([^"]*)"'
+def page_links(nodes: DataFrame) -> DataFrame:
+    """Distinct links of every page: (page_key, target)."""
+    return nodes.where("tag = 'a' and href is not null").select(
+        "page_key", absolute(F.col("href"), F.col("page_key")).alias("target")).distinct()
 
 
-def index_entries(pages: DataFrame) -> DataFrame:
-    """(page url, entry url, code) of index pages; links and codes pair up in order."""
-    links = F.regexp_extract_all("html", F.lit(CARD), F.lit(1))
-    codes = F.regexp_extract_all("html", F.lit(CARD_CODE), F.lit(1))
-    pairs = F.posexplode(F.arrays_zip(links.alias("href"), codes.alias("code")))
-    return pages.select("url", pairs.alias("pos", "card")).select(
-        "url", absolute(F.col("card.href"), F.col("url")).alias("entry_url"), F.col("card.code").alias("code"))
+# Fixed value: form of a code on an index card.
+CARD_CODE = r"^E\d{3,4}[a-z]*(?:\([ivx]+\))?$"
 
 
-def next_pages(pages: DataFrame) -> DataFrame:
-    href = F.nullif(F.regexp_extract("html", PAGER, 1), F.lit(""))
-    return pages.select("url", absolute(href, F.col("url")).alias("next_url"))
+def index_entries(nodes: DataFrame) -> DataFrame:
+    """(page_key, entry_url, code) of index pages: the first code inside the parent of a card's link.
 
-
-def page_heads(pages: DataFrame) -> DataFrame:
-    """Content hash and title of every page, in the JVM."""
-    title = F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
-    plain = F.regexp_replace(title, "<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return pages.select("page_id", "url", F.sha2("html", 256).alias("page_sha256"), strip_invisible(plain).alias("title"))
+    Of several cards with one address the last one counts.
+    """
+    cards = nodes.where(F.col("classes").rlike(r"(^|\s)addicon__link(\s|$)") & F.col("href").isNotNull()).select(
+        "page_key", "seq", "href", F.element_at("inside", F.greatest(-F.size("inside"), F.lit(-2))).alias("parent"))
+    codes = nodes.where(F.col("classes").rlike(r"(^|\s)addicon__name(\s|$)")).select(
+        "page_key", F.col("seq").alias("_seq"), "text", F.explode("inside").alias("parent"))
+    first = codes.groupBy("page_key", "parent").agg(F.min_by("text", "_seq").alias("code"))
+    rows = cards.join(first, ["page_key", "parent"], "left").withColumn("entry_url", absolute(F.col("href"), F.col("page_key")))
+    return rows.groupBy("page_key", "entry_url").agg(F.max_by(F.struct("code"), "seq")["code"].alias("code"))
+
+
+def index_violations(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(page_key, rule, detail): index pages without cards, and cards without a valid code."""
+    entries = index_entries(nodes)
+    wrong = entries.where(F.col("code").isNull() | ~F.col("code").rlike(CARD_CODE)).select(
+        "page_key", F.lit("invalid_code").alias("rule"), F.col("entry_url").alias("detail"))
+    bare = pages.select(F.col("url").alias("page_key")).join(entries, "page_key", "left_anti")
+    return wrong.unionAll(bare.select("page_key", F.lit("no_cards").alias("rule"), F.lit(None).cast("string").alias("detail")))
+
+
+def next_pages(nodes: DataFrame) -> DataFrame:
+    """(page_key, next_url): the first link of a pager; pages without one have no row."""
+    pager = nodes.where((F.col("tag") == "a") & F.col("href").isNotNull() & F.col("path").rlike(r"\.pager[.#]"))
+    return pager.groupBy("page_key").agg(F.min_by("href", "seq").alias("href")).select(
+        "page_key", absolute(F.col("href"), F.col("page_key")).alias("next_url"))
+
+
+def page_heads(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Content hash and title (first heading) of every page: (page_id, url, page_sha256, title)."""
+    title = nodes.where("tag = 'h1'").groupBy(F.col("page_key").alias("url")).agg(F.min_by("text", "seq").alias("title"))
+    return pages.select("page_id", "url", F.sha2("html", 256).alias("page_sha256")).join(title, "url", "left")
+
+
+def article_violations(pages: DataFrame, nodes: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(page_key, rule, detail): pages without an article, and with ``expected(page_key, e_code)``
+    those whose article has another code or whose title doesn't begin with it."""
+    urls = pages.select(F.col("url").alias("page_key"))
+    none = urls.join(nodes.where("tag = 'article'"), "page_key", "left_anti").select(
+        "page_key", F.lit("missing_article").alias("rule"), F.lit(None).cast("string").alias("detail"))
+    if expected is None:
+        return none
+    found = article_profiles(nodes).select(F.col("source_url").alias("page_key"), F.col("e_code").alias("_found"), "valid")
+    known = expected.join(found, "page_key")
+    other = known.where(~F.col("e_code").eqNullSafe(F.col("_found"))).select("page_key", F.lit("code_mismatch").alias("rule"), F.col("_found").alias("detail"))
+    title = known.where(F.col("e_code").eqNullSafe(F.col("_found")) & ~F.col("valid")).select(
+        "page_key", F.lit("missing_title").alias("rule"), F.col("_found").alias("detail"))
+    return none.unionAll(other).unionAll(title)
 
 
 def article_profiles(nodes: DataFrame, body: str = "field--additive-info") -> DataFrame:
@@ -157,37 +205,48 @@ def article_tags(nodes: DataFrame) -> DataFrame:
 
 
 def article_sections(nodes: DataFrame) -> DataFrame:
-    body = F.col("path").contains("field--additive-info") & F.col("tag").isin("h2", "h3", "h4")
+    body = F.col("path").contains("field--additive-info") & F.col("tag").isin("h2", "h3", "h4") & ~F.col("path").rlike(NOISE)
     return nodes.where(body).select(F.col("page_key").alias("source_url"), "seq", F.col("text").alias("section"))
 
 
 def article_references(nodes: DataFrame, article_path: str = "/ru/additives/") -> DataFrame:
-    """Outgoing links of articles (last title per address wins) and mentioned documents."""
-    inside = F.col("path").contains("field--additive-info")
-    mentioned = F.col("path").contains("field--node-link") & F.col("path").contains("#block-views-block-related-documents")
+    """Outgoing links of articles and mentioned documents with their organization.
+
+    Of several links to one address the last one counts, mentions after the article's own links.
+    """
+    inside = F.col("path").contains("field--additive-info") & ~F.col("path").rlike(NOISE)
+    listed = F.col("path").contains("#block-views-block-related-documents") & F.col("path").contains("node__content")
+    mentioned = listed & F.col("path").contains("field--node-link")
+    # The entry of a mention: the element that holds its link and its organization.
+    entry = F.element_at("inside", F.size(F.split(F.regexp_extract("path", r"^(.*?node__content[^ ]*)", 1), " ")))
+    organization = nodes.where(listed & F.col("classes").contains("field--country-organization")).groupBy(
+        F.col("page_key").alias("source_url"), entry.alias("entry")).agg(F.min_by("text", "seq").alias("organization"))
     rows = nodes.where((F.col("tag") == "a") & (inside | mentioned)).select(
         F.col("page_key").alias("source_url"), "seq", F.col("text").alias("title"), absolute(F.col("href"), F.col("page_key")).alias("url"),
-        F.when(mentioned, "mentioned_in_document").otherwise("article_link").alias("relation"))
+        F.when(mentioned, "mentioned_in_document").otherwise("article_link").alias("relation"), F.when(mentioned, entry).alias("entry"))
     kept = rows.where(
         (F.col("relation") == "mentioned_in_document")
         | (F.col("url").rlike("^https?:") & ~F.coalesce(F.try_parse_url("url", F.lit("PATH")).startswith(article_path), F.lit(False))))
-    return kept.groupBy("source_url", "url").agg(F.max_by(F.struct("title", "relation"), "seq").alias("r")).select(
-        "source_url", "url", "r.title", "r.relation")
+    last = kept.groupBy("source_url", "url").agg(F.max_by(F.struct("title", "relation", "entry"), F.struct(F.col("relation") == "mentioned_in_document", "seq")).alias("r"))
+    return last.select("source_url", "url", "r.title", "r.relation", "r.entry").join(organization, ["source_url", "entry"], "left").drop("entry")
 
 
 def related_articles(nodes: DataFrame, pattern: str = r"^/ru/additives/e\d+[a-z]*$") -> DataFrame:
-    inside = (F.col("tag") == "a") & F.col("path").contains("field--additive-info")
+    inside = (F.col("tag") == "a") & F.col("path").contains("field--additive-info") & ~F.col("path").rlike(NOISE)
     href = F.regexp_replace("href", "[?#].*$", "")
     return nodes.where(inside & href.rlike(pattern)).select(
         F.col("page_key").alias("source_url"), absolute(F.col("href"), F.col("page_key")).alias("related_url")).distinct()
 
 
-def document_links(links: DataFrame, host: str, file_path: str = "/files/") -> DataFrame:
-    """External and file links of document pages: (page_id, relation, target), distinct."""
+def document_links(nodes: DataFrame, host: str, file_path: str = "/files/") -> DataFrame:
+    """External and file links in the first article of document pages: (page_key, relation, target), distinct."""
+    article = nodes.where("tag = 'article'").groupBy("page_key").agg(F.min_by(F.element_at("inside", -1), "seq").alias("_article"))
+    inside = nodes.where("tag = 'a' and href is not null").join(article, "page_key").where(F.array_contains("inside", F.col("_article")))
+    links = inside.select("page_key", absolute(F.col("href"), F.col("page_key")).alias("target"))
     own = F.try_parse_url("target", F.lit("HOST")) == host
     file = own & F.coalesce(F.try_parse_url("target", F.lit("PATH")).startswith(file_path), F.lit(False))
     relation = F.when(file, "file").when(F.col("target").rlike("^https?://") & ~F.coalesce(own, F.lit(False)), "external")
-    return links.select("page_id", relation.alias("relation"), "target").where("relation is not null").distinct()
+    return links.select("page_key", relation.alias("relation"), "target").where("relation is not null").distinct()
 
 
 def reading_notes(nodes: DataFrame, body: str = "field--additive-info") -> DataFrame:

@@ -12,34 +12,154 @@ LINKS = r"""lk AS (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html,
     ab AS (SELECT page_id, url, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^https?://[^/?#]+') || href ELSE href END AS target FROM lk)"""
 
 
-@check("src_5_page_links", "WITH " + LINKS + "SELECT page_id, target FROM ab")
+def odd_markup(t):
+    """The pages in markup that says the same: other quotes, case and order, comments, entities, dot segments.
+
+    The address serves as key of the nodes, so it holds the page number.
+    """
+    link = F.regexp_replace("html", '<a href="/([^"]*)">', "<A class=nav HREF='/x/../$1' title=\"a > b\">")
+    ghost = F.concat(link, F.lit('<!-- <a href="/ghost">ghost</a> --><script>var s = \'<a href="/script">s</a>\';</script>'))
+    spaced = F.regexp_replace(ghost, "<h1>", "<h1\n class=title>")
+    return t.pages.select("page_id", F.concat(F.lit("http://host.example.net/p/"), F.col("page_id").cast("string")).alias("url"), spaced.alias("html"))
+
+
+NUMBERED = r"""pg AS (SELECT page_id, 'http://host.example.net/p/' || page_id AS url, html FROM pages)"""
+
+
+@check("src_5_page_links", "WITH " + NUMBERED + r"""
+    SELECT DISTINCT url AS page_key, 'http://host.example.net' || h AS target FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pg)""")
+def _(t):
+    return pg.page_links(pg.page_nodes(odd_markup(t)))
+
+
+def index_pages(t):
+    """Cards in turn with the link before and after the code, one without code, one that is no card; a pager on some pages."""
+    n = F.col("page_id").cast("string")
+    cards = F.concat(
+        F.lit('<div><a href="e'), n, F.lit('" class="big addicon__link"><img src=x></a><p><span class=\'addicon__name\'> E1'), F.lpad(n, 3, "0"), F.lit("</span></p></div>"),
+        F.lit("<div><span class=addicon__name>E2"), F.lpad(n, 2, "0"), F.lit('</span><a class="addicon__link" href="../odd/./f'), n, F.lit('?a=1&amp;b=2">y</a></div>'),
+        F.lit('<div><a class="addicon__link" href="/none">z</a></div><div><a class="addicon__links" href="/no">n</a><span class="addicon__name">E999</span></div>'))
+    pager = F.when(F.col("page_id") % 3 == 0, F.lit('<ul class="pager x"><li><a name="top">.</a><a href=\'?page=2&amp;q=1\'>next</a><a href="?page=3">3</a></ul>')).otherwise("")
+    html = F.when(F.col("page_id") % 5 == 4, "<p>nothing here</p>").otherwise(F.concat(cards, pager))
+    return t.pages.select(F.concat(F.lit("https://s.example.org/ru/list/"), n, F.lit("?page=1")).alias("url"), html.alias("html"))
+
+
+@check("src_5_index_entries", """
+    WITH p AS (SELECT page_id AS n, 'https://s.example.org/ru/list/' || page_id || '?page=1' AS url FROM pages WHERE page_id % 5 <> 4)
+    SELECT url AS page_key, 'https://s.example.org/ru/list/e' || n AS entry_url, 'E1' || lpad(substr(n::VARCHAR, 1, 3), 3, '0') AS code FROM p
+    UNION ALL SELECT url, 'https://s.example.org/ru/odd/f' || n || '?a=1&b=2', 'E2' || lpad(substr(n::VARCHAR, 1, 2), 2, '0') FROM p
+    UNION ALL SELECT url, 'https://s.example.org/none', NULL FROM p""")
 def _(t):
-    return pg.page_links(t.pages).select("page_id", "target")
+    return pg.index_entries(pg.page_nodes(index_pages(t)))
 
 
-@check("src_6_page_heads", r"""
-    SELECT page_id, sha256(html) AS page_sha256, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*(?:<[^/h][^<]*)*)</h1>', 1), '<[^>]*>', ' ', 'g'),
-      '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+@check("src_5_next_pages", """
+    SELECT 'https://s.example.org/ru/list/' || page_id || '?page=1' AS page_key, 'https://s.example.org/ru/list/' || page_id || '?page=2&q=1' AS next_url
+    FROM pages WHERE page_id % 5 <> 4 AND page_id % 3 = 0""")
 def _(t):
-    return pg.page_heads(t.pages).select("page_id", "page_sha256", "title")
+    return pg.next_pages(pg.page_nodes(index_pages(t)))
 
 
-@check("src_6_article_profiles")
+@check("src_5_index_violations", """
+    SELECT 'https://s.example.org/ru/list/' || page_id || '?page=1' AS page_key, CASE WHEN page_id % 5 = 4 THEN 'no_cards' ELSE 'invalid_code' END AS rule,
+      CASE WHEN page_id % 5 <> 4 THEN 'https://s.example.org/none' END AS detail FROM pages""")
 def _(t):
-    nodes = pg.page_nodes(t.pages)
-    return pg.article_profiles(nodes, "article").select("source_url", "description_excerpt", "excerpt_truncated", "has_article")
+    pages = index_pages(t)
+    return pg.index_violations(pages, pg.page_nodes(pages))
 
 
-@check("src_7_document_links", "WITH " + LINKS + r"""
-    SELECT DISTINCT page_id, CASE WHEN regexp_matches(target, '^https?://therin\.example\.net/') THEN 'file' ELSE 'external' END AS relation, target FROM ab
-    WHERE NOT regexp_matches(target, '^https?://therin\.example\.net$')""")
+@check("src_6_page_heads", "WITH " + NUMBERED + r""",
+    plain AS (SELECT page_id, regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g') AS h FROM pg)
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM plain""")
 def _(t):
-    return pg.document_links(pg.page_links(t.pages), "therin.example.net", "/")
+    pages = odd_markup(t)
+    return pg.page_heads(pages, pg.page_nodes(pages)).select("page_id", "title")
+
+
+def article_pages(t):
+    """Article pages with tags, synonyms, noise, references, related articles and mentions; every seventh has none."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit("<h1>E"), n, F.lit(" &ndash; Name &#8470;"), n, F.lit('</h1><article class="node node--additive"><span class="addicon__name"> E'), n, F.lit("</span>"),
+        F.lit('<div class="addprop--origin"><a href="/o/1">plant</a></div><div class=addprop--category><a href=/c/2>dye</a><a href="/c/3">acid</a></div>'),
+        F.lit('<div class="field--additive-synonyms"><div class="field__content">one, two;three</div></div><div class="field--additive-info"><p> </p><p>'),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.col("page_id") % 40 + 1), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "),
+        F.lit('<script>x("<p>no</p>")</script></p><div class="block--advert-block"><a href="https://ad.example.com/buy">ad</a><h2>Ad</h2></div><h2>Use</h2>'),
+        F.lit('<p>See <a href="https://who.example.org/d?x=1&amp;y=2">first</a> <a href="https://who.example.org/d?x=1&amp;y=2">last</a><a href="mailto:a@b.example">m</a>'),
+        F.lit('<a href="/ru/additives/e'), n, F.lit('a#top">own</a></p></div></article><div id="block-views-block-related-documents-related-documents">'),
+        F.lit('<div class="node__content"><div class="field--node-link"><a href="/doc/'), n, F.lit('">Act</a></div><div class="field--country-organization">Org '), n,
+        F.lit('</div></div><div class="node__content"><div class="field--node-link"><a href="/doc/none">Other</a></div></div></div>'))
+    return t.pages.select(F.concat(F.lit("https://s.example.org/ru/additives/e"), n).alias("url"), F.when(F.col("page_id") % 7 == 6, "<h1>gone</h1>").otherwise(html).alias("html"))
 
 
-@check("src_8_reading_notes")
+ARTICLES = """a AS (SELECT page_id AS n, 'https://s.example.org/ru/additives/e' || page_id AS url FROM pages WHERE page_id % 7 <> 6)"""
+
+
+@check("src_6_article_profiles", "WITH " + ARTICLES + """,
+    w AS (SELECT *, list_transform(range(1, least(n % 40 + 1, 25) + 1), lambda i: 'w' || i) AS w FROM a)
+    SELECT url AS source_url, 'E' || n AS e_code, 'Name №' || n AS name, array_to_string(w, ' ') || CASE WHEN n % 40 + 1 > 25 THEN '…' ELSE '' END AS description_excerpt,
+      n % 40 + 1 > 25 AS excerpt_truncated, true AS has_article, 'one|two|three' AS synonyms, true AS valid FROM w""")
+def _(t):
+    rows = pg.article_profiles(pg.page_nodes(article_pages(t))).where("e_code is not null")
+    return rows.withColumn("synonyms", F.array_join("synonyms", "|"))
+
+
+@check("src_6_tags", "WITH " + ARTICLES + """
+    SELECT url AS source_url, 'origin' AS tag_type, 'plant' AS title, 'https://s.example.org/o/1' AS url FROM a
+    UNION ALL SELECT url, 'category', 'dye', 'https://s.example.org/c/2' FROM a UNION ALL SELECT url, 'category', 'acid', 'https://s.example.org/c/3' FROM a""")
+def _(t):
+    return pg.article_tags(pg.page_nodes(article_pages(t)))
+
+
+@check("src_6_sections", "WITH " + ARTICLES + "SELECT url AS source_url, 'Use' AS section FROM a")
+def _(t):
+    return pg.article_sections(pg.page_nodes(article_pages(t))).select("source_url", "section")
+
+
+@check("src_6_references", "WITH " + ARTICLES + """
+    SELECT url AS source_url, 'https://who.example.org/d?x=1&y=2' AS url, 'last' AS title, 'article_link' AS relation, NULL::VARCHAR AS organization FROM a
+    UNION ALL SELECT url, 'https://s.example.org/doc/' || n, 'Act', 'mentioned_in_document', 'Org ' || n FROM a
+    UNION ALL SELECT url, 'https://s.example.org/doc/none', 'Other', 'mentioned_in_document', NULL FROM a""")
+def _(t):
+    return pg.article_references(pg.page_nodes(article_pages(t)))
+
+
+@check("src_6_related", "WITH " + ARTICLES + "SELECT url AS source_url, url || 'a#top' AS related_url FROM a")
+def _(t):
+    return pg.related_articles(pg.page_nodes(article_pages(t)))
+
+
+@check("src_6_article_violations", """
+    WITH p AS (SELECT page_id AS n, 'https://s.example.org/ru/additives/e' || page_id AS page_key FROM pages)
+    SELECT page_key, 'missing_article' AS rule, NULL::VARCHAR AS detail FROM p WHERE n % 7 = 6
+    UNION ALL SELECT page_key, 'code_mismatch', CASE WHEN n % 7 <> 6 THEN 'E' || n END FROM p WHERE n % 4 = 1 OR n % 7 = 6""")
+def _(t):
+    pages = article_pages(t)
+    n = F.regexp_extract("url", r"(\d+)$", 1).cast("long")
+    expected = pages.select(F.col("url").alias("page_key"), F.concat(F.lit("E"), F.when(n % 4 == 1, "x").otherwise(n.cast("string"))).alias("e_code"))
+    return pg.article_violations(pages, pg.page_nodes(pages), expected)
+
+
+@check("src_7_document_links", """
+    WITH p AS (SELECT page_id AS n, 'https://d.example.net/docs/' || page_id AS page_key FROM pages WHERE page_id % 6 <> 5)
+    SELECT page_key, 'external' AS relation, 'https://law.example.org/' || n || '/a' AS target FROM p
+    UNION ALL SELECT page_key, 'file', 'https://d.example.net/files/' || n || '.pdf' FROM p""")
+def _(t):
+    """Adverts, comments and a second article are outside; own pages and mail are no links of a document."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit('<a href="https://ad.example.com/">ad</a><article><A HREF="https://law.example.org/'), n, F.lit('/./b/../a">x</A><a href="//law.example.org/'), n,
+        F.lit('/a">again</a><!-- <a href="https://old.example.org/">o</a> --><a href="../files/'), n, F.lit('.pdf">f</a><a href="/docs/1">own</a><a href=mailto:x@y.example>m</a></article>'),
+        F.lit('<article><a href="https://second.example.org/">s</a></article>'))
+    pages = t.pages.select(F.concat(F.lit("https://d.example.net/docs/"), n).alias("url"), F.when(F.col("page_id") % 6 == 5, "<p>none</p>").otherwise(html).alias("html"))
+    return pg.document_links(pg.page_nodes(pages), "d.example.net")
+
+
+@check("src_8_reading_notes", "WITH " + ARTICLES + """
+    SELECT url AS source_url, 'Введение' AS section, array_to_string(list_transform(range(1, n % 40 + 2), lambda i: 'w' || i), ' ') AS note FROM a
+    UNION ALL SELECT url, 'Use', 'See first last m own' FROM a""")
 def _(t):
-    return pg.reading_notes(pg.page_nodes(t.pages), "article")
+    return pg.reading_notes(pg.page_nodes(article_pages(t)))
 
 
 @check("src_9_unprocessed_pages", "SELECT page_id, sha256(url) AS page_key FROM pages WHERE page_id % 3 <> 0")

@@ -85,9 +85,9 @@ def test_index_pages(spark):
     html = ('<div><span class="addicon__name">E100</span><a class="addicon__link" href="/ru/additives/e100">x</a></div>'
             '<div><span class="addicon__name"> E101 </span><a class="addicon__link" href="e101">y</a></div><ul class="pager"><a href="?page=2">next</a></ul>')
     df = frame(spark, "url string, html string", ("https://s.example.org/ru/additives?page=1", html))
-    assert {(r.entry_url, r.code) for r in pages.index_entries(df).collect()} == {
+    assert {(r.entry_url, r.code) for r in pages.index_entries(pages.page_nodes(df)).collect()} == {
         ("https://s.example.org/ru/additives/e100", "E100"), ("https://s.example.org/ru/e101", "E101")}
-    assert pages.next_pages(df).first().next_url == "https://s.example.org/ru/additives?page=2"
+    assert pages.next_pages(pages.page_nodes(df)).first().next_url == "https://s.example.org/ru/additives?page=2"
 
 
 def test_photos(spark):
