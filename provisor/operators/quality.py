@@ -266,6 +266,17 @@ def correction_rules(items: DataFrame) -> DataFrame:
     ])
 
 
+def dataset_violations(metadata: DataFrame, tables: dict[str, DataFrame], rule_sets: dict, default) -> DataFrame:
+    """Violations by the rule set that ``metadata.dataset`` names, else by ``default``.
+
+    A rule set is a function of the tables. Only the distinct names reach the driver; a bundle
+    with several names is judged by each of their rule sets.
+    """
+    names = [r["dataset"] for r in metadata.select("dataset").distinct().collect()] or [None]
+    chosen = {id(rules): rules for rules in (rule_sets.get(n, default) for n in sorted(names, key=str))}
+    return union_all([rules(tables) for rules in chosen.values()])
+
+
 def require_clean(found: DataFrame) -> None:
     """Guard with an action: fail when any violation exists, naming a few."""
     sample = found.limit(5).collect()

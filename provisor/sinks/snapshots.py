@@ -8,21 +8,19 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from provisor.operators.catalog import table_counts
 from provisor.operators.changes import changed_rows, snapshot_diff
+from provisor.session import exists
 
 LOG_SCHEMA = "version long, written_at timestamp, input_filename string, input_sha256 string, ingredient_count long, rule_count long"
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/log")
-    except AnalysisException:  # nothing written yet
+    if not exists(spark, f"{root}/log"):  # nothing written yet
         return spark.createDataFrame([], LOG_SCHEMA)
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/log")
 
 
 def current_version(spark: SparkSession, root: str) -> int:
@@ -37,12 +35,18 @@ def read_current(spark: SparkSession, root: str, names: list[str]) -> dict[str,
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, filename: str = "", file_sha256: str = "") -> dict[str, int]:
-    """Write all tables as a new version, check their counts, then make the version current."""
+    """Write all tables as a new version, check their counts, then make the version current.
+
+    Each table is computed once: its rows are counted while they are written. A version's folder
+    belongs to the writer that creates it; another one fails.
+    """
     spark = next(iter(tables.values())).sparkSession
     version = current_version(spark, root) + 1
-    expected = {r.table_name: r.rows for r in table_counts(tables).collect()}
+    expected = {}
     for name, df in tables.items():
-        df.write.mode("error").parquet(f"{root}/v{version:08d}/{name}")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(f"{root}/v{version:08d}/{name}")
+        expected[name] = seen.get["rows"]
     written = {n: spark.read.schema(df.schema).parquet(f"{root}/v{version:08d}/{n}") for n, df in tables.items()}
     actual = {r.table_name: r.rows for r in table_counts(written).collect()}
     if actual != expected:
