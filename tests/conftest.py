@@ -15,8 +15,7 @@ def spark():
     session = build_session(
         "tests", "local[4]", **{
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
-            "spark.sql.shuffle.partitions": "1", "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false",
-            "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
         }
     )
     session.sparkContext.setLogLevel("ERROR")
