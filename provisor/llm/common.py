@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provisor.session import cut_lineage, ship
@@ -24,26 +26,52 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def key_bits(keys: DataFrame, key: str) -> DataFrame:
+#: Packed tables of counters that one task adds up.
+FAN_IN = 128
+
+
+def summed(told: DataFrame, key: str) -> DataFrame:
+    """(key, counts) from ``told(key, part, counts)``: packed 64-bit counters of every task, added up.
+
+    ``part`` is the task's number. Tables are added ``FAN_IN`` at a time, so no task gathers
+    those of all others.
+    """
+    ship(told.sparkSession)
+    parts = told.rdd.getNumPartitions()
+    while True:
+        told = told.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy(key, "part").applyInArrow(
+            _added, f"{key} int, part int, counts binary")
+        parts = -(-parts // FAN_IN)
+        if parts <= 1:
+            return told.select(key, "counts")
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(2))
+    return pa.Table.from_arrays([*(table.column(c)[:1] for c in (0, 1)), pa.array([total.tobytes()], pa.binary())], table.column_names)
+
+
+def key_bits(keys: DataFrame, key: str, turn: int = 0) -> DataFrame:
     """A bitmap of hashed keys: at most 1,024 rows of 4 KB, whatever the number of keys."""
-    slot = F.pmod(F.xxhash64(key), F.lit(_SLOTS))
+    slot = F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(_SLOTS))
     return keys.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
 
 
-def maybe_in(df: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFrame:
+def maybe_in(df: DataFrame, key: Column, bits: DataFrame, flag: str, turn: int = 0) -> DataFrame:
     """``df`` with a boolean: false only for keys that are surely not in the bitmap.
 
     The bitmap has a fixed size (4 MB), so it may be broadcast. When more keys than slots come,
-    it only filters less.
+    it only filters less. Another ``turn`` hashes anew.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(_SLOTS))
+    slot = F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(_SLOTS))
     place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))
+    number = F.when(F.bitmap_count(byte) > 0, F.conv(F.hex(byte), 16, 10).cast("int"))
     return (
         df.withColumn("_bucket", F.bitmap_bucket_number(slot))
         .join(F.broadcast(bits), "_bucket", "left")
-        .withColumn(flag, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+        .withColumn(flag, F.coalesce(F.getbit(number, (place % 8).cast("int")) == 1, F.lit(False)))
         .drop("_bucket", "_bits")
     )
 
@@ -57,6 +85,16 @@ def beside(pairs: DataFrame, table: DataFrame, key: str, *columns: str) -> DataF
     return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in "ab"])
 
 
+def surely_few(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is among ``keys``, and about one in ten thousand others.
+
+    For ``keys`` that are a written table: two bitmaps, the second one on what the first lets by.
+    """
+    for turn in (0, 1):
+        df = maybe_in(df, F.col(key), key_bits(keys, key, turn), "_maybe", turn).where("_maybe").drop("_maybe")
+    return df
+
+
 def semi_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is among ``keys``; most others leave before the shuffle."""
     few = maybe_in(df, F.col(key), key_bits(keys, key), "_maybe").where("_maybe").drop("_maybe")
@@ -93,8 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
     return tied.unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-#: Ids of a bucket that meet all its others in one later round.
-LEADERS = 32
+#: Ids of a bucket that meet all its others in one later round, at least, and pairs of a round.
+LEADERS, ROUND_PAIRS = 32, 16_000_000
 
 
 def prefix_sizes(n: Column, percent: int) -> tuple[Column, Column]:
@@ -112,23 +150,26 @@ def link_groups(rows: DataFrame, test, percent: int, rest=None, stars: int = 2)
     ``rows(bucket, id, n, inner, rank)``: sets of size ``n`` and the grams that start them;
     ``inner`` marks those of the shorter start (see ``prefix_sizes``). ``test(pairs(a, b))``
     gets a written table and returns the pairs that are linked. In the first round the id of lowest ``rank`` of each
-    bucket meets the bucket's other ids, in later rounds about ``LEADERS`` ids do. An id that has
-    met all others of its bucket leaves it, and a bucket ends when all its ids are in one
+    bucket meets the bucket's other ids; in later rounds several ids do, as many as give about
+    ``ROUND_PAIRS`` pairs. An id that has met all others of its bucket leaves it, and a bucket ends when all its ids are in one
     component. So a family of copies costs one test per member, and no pair of different
     components that sizes and starts allow goes untested. With ``rest``, what ``stars`` rounds
     have left open goes to it at once; it returns candidate pairs.
     """
     own = ["bucket", "id", "n", "inner", "rank"]
     rows = rows.select(*own, F.col("id").alias("root"))
-    links, done = None, 0
+    links, roots, done = None, None, 0
     while True:
         if done == 0:
             lead = rows.groupBy("bucket").agg(F.min(F.struct("rank", "id", "n", "inner", "root")).alias("lead"))
             others = rows.join(lead, "bucket")
             left = others.where("id <> lead.id")
         else:
-            size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-            chosen = F.pmod(F.xxhash64("id", F.lit(done)), F.ceil(F.col("_n") / LEADERS).cast("long")) == 0
+            size = cut_lineage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+            steps = [LEADERS << i for i in range(0, 16, 2)]
+            pairs = size.agg(*[F.sum(F.col("_n") * F.least("_n", F.lit(s))) for s in steps]).first()
+            leaders = max([LEADERS, *(s for s, n in zip(steps, pairs) if n <= 2 * ROUND_PAIRS)])
+            chosen = F.pmod(F.xxhash64("id", F.lit(done)), F.ceil(F.col("_n") / leaders).cast("long")) == 0
             marked = cut_lineage(rows.join(size, "bucket").select(*own, "root", chosen.alias("chosen")), "marked")
             lead = marked.where("chosen").select("bucket", F.struct("id", "n", "inner", "root").alias("lead"))
             others = marked.join(lead, "bucket")
@@ -140,7 +181,8 @@ def link_groups(rows: DataFrame, test, percent: int, rest=None, stars: int = 2)
             F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "pairs")
         found = cut_lineage(test(pairs).select("a", "b"), "links")
         links = found if links is None else links.unionAll(found)
-        roots = components(links)
+        if roots is None or not found.isEmpty():
+            roots = components(links)
         left = left.select(*own).join(roots, "id", "left").select(*own, F.coalesce("root", "id").alias("root"))
         open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         rows = cut_lineage(left.join(open_, "bucket", "left_semi"), "open")

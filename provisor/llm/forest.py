@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from provisor.llm.common import arrow_map
+from provisor.llm.common import arrow_map, summed
 from provisor.session import cut_lineage, ship
 
 TREES, BITS, LEVELS = 64, 48, 12
@@ -51,16 +52,13 @@ def _counts(model, dim: int):
             top = strings(_matrix(batch.column(0), dim), model.value) >> (BITS - LEVELS)
             for t in range(TREES):
                 total[t] += np.bincount(top[:, t], minlength=1 << LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(TREES), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], ["tree", "counts"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(range(TREES), pa.int32()), pa.array([TaskContext.get().partitionId()] * TREES, pa.int32()),
+            pa.array([x.tobytes() for x in total], pa.binary())], ["tree", "part", "counts"])
 
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(1))
-    return pa.table({"tree": table.column(0)[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def depths(own: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
     """Common prefix length of each query: the longest at which all trees hold ``least`` vectors."""
     out = np.zeros(len(own), np.int64)
@@ -140,8 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float =
 
     sample = index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toPandas()["embedding"]
     model = spark.sparkContext.broadcast(planes(np.array(sample.tolist(), np.float64), seed))
-    told = arrow_map(index.select("embedding"), _counts(model, dim), "tree int, counts binary").groupBy("tree").applyInArrow(
-        _sum, "tree int, counts binary").collect()
+    told = summed(arrow_map(index.select("embedding"), _counts(model, dim), "tree int, part int, counts binary"), "tree").collect()
     counts = np.zeros((TREES, 1 << LEVELS), np.int64)
     for r in told:
         counts[r["tree"]] = np.frombuffer(r["counts"], np.int64)

@@ -16,10 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from provisor.llm import words as W
-from provisor.llm.common import arrow_map, beside, components, key_bits, link_groups, maybe_in, prefix_sizes, semi_join
+from provisor.llm.common import arrow_map, beside, components, key_bits, link_groups, maybe_in, prefix_sizes, semi_join, summed, surely_few
 from provisor.session import cut_lineage, ship
 
 #: Groups of the smallest sets and of the trees; counters of gram frequencies and how they are dealt.
@@ -35,24 +36,18 @@ def _count(k: int, lower: bool):
             for _, _, hashes, first in W.doc_words(batch.column(0), lower):
                 grams, _ = W.shingle_hashes(hashes, first, k)
                 total += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNTERS // SLICE)), pa.array(
-            [total[i:i + SLICE].astype("<u4").tobytes() if total.max() < 1 << 32 else total[i:i + SLICE].tobytes() for i in range(0, COUNTERS, SLICE)], pa.binary())], ["slice", "counts"])
+        slices = COUNTERS // SLICE
+        yield pa.RecordBatch.from_arrays([
+            pa.array(range(slices), pa.int32()), pa.array([TaskContext.get().partitionId()] * slices, pa.int32()),
+            pa.array([total[i:i + SLICE].tobytes() for i in range(0, COUNTERS, SLICE)], pa.binary())], ["slice", "part", "counts"])
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(SLICE, np.int64)
-    for value in table.column(1):
-        raw = value.as_buffer()
-        total += np.frombuffer(raw, "<u4" if len(raw) == 4 * SLICE else "<i8")
-    return pa.table({"slice": table.column(0)[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def frequent(docs: DataFrame, k: int, lower: bool) -> np.ndarray:
     """Flags of the counters that stand out from what evenly spread rare grams would give."""
-    told = arrow_map(docs.select("text"), _count(k, lower), "slice long, counts binary")
-    rows = told.groupBy("slice").applyInArrow(_add, "slice long, counts binary").collect()  # 8 MB, whatever the input
+    told = arrow_map(docs.select("text"), _count(k, lower), "slice int, part int, counts binary")
+    rows = summed(told, "slice").collect()  # 8 MB, whatever the input
     total = np.zeros(COUNTERS, np.int64)
     for r in rows:
         total[r["slice"] * SLICE:(r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
@@ -241,8 +236,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = F
 
     firsts = known.select("id", "n", F.size("heads").alias("heads"), F.posexplode("heads").alias("at", "bucket"))
     shared = cut_lineage(firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("bucket"), "shared")
-    met = maybe_in(firsts, F.col("bucket"), key_bits(shared, "bucket"), "_maybe").where("_maybe").drop("_maybe")
-    met = met.groupBy("bucket", "id", "n", "heads").agg(F.min("at").alias("at"))
+    met = surely_few(firsts, "bucket", shared).groupBy("bucket", "id", "n", "heads").agg(F.min("at").alias("at"))
     several = met.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     rows = cut_lineage(met.join(several, "bucket"), "buckets")
     common = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("common"))

@@ -2,31 +2,32 @@
 
 A line's set holds the 12 characters that begin at each word (at every eighth character of a long
 word) and its last 12 characters; a shorter line is its own only member. A signature has 24
-permutations of 64-bit hashes, an exclusive or with a constant each, in eight bands of three: two
+permutations of 32-bit hashes, an exclusive or with a constant each, in eight bands of three: two
 lines with similarity 0.8 meet in a band with probability 0.997, with 0.9 in all but one of
-300,000 cases. Pairs that meet are verified on their sets, united by union-find, and the first
-line of a component, in order of doc_id and line number, stays.
+300,000 cases. Among the lines that meet another one, linked sets must share a gram at their
+start, rarest grams first; lines that do are verified on their sets and united by union-find. The
+first line of a component, in order of doc_id and line number, stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from provisor.llm.common import key_bits, link_groups, maybe_in, semi_join
+from provisor.llm.common import beside, key_bits, link_groups, maybe_in, prefix_sizes, semi_join, surely_few
 from provisor.session import cut_lineage
 
 BANDS, ROWS = 8, 3
 
 
 def _masks() -> list[int]:
-    """Constants of the permutations: the golden-ratio sequence, as signed 64-bit numbers."""
-    steps = [(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) % (1 << 64) for i in range(1, BANDS * ROWS + 1)]
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in steps]
+    """Constants of the permutations: a golden-ratio sequence of signed 32-bit numbers."""
+    steps = [(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 >> 20) % (1 << 32) for i in range(1, BANDS * ROWS + 1)]
+    return [x - (1 << 32) if x >= 1 << 31 else x for x in steps]
 
 
 def grams(line: Column) -> Column:
     """Character shingles of a line, repeats included."""
-    return F.concat(F.regexp_extract_all(line, F.lit(r"(?s)(?=(\S.{11}))\S{1,8}"), F.lit(1)), F.array(F.right(line, F.lit(12))))
+    return F.concat(F.regexp_extract_all(line, F.lit(r"(?s)(?=(\S.{11}))\S{1,8}\s*"), F.lit(1)), F.array(F.right(line, F.lit(12))))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -35,34 +36,46 @@ def split_lines(docs: DataFrame) -> DataFrame:
         F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line"))
 
 
-def _bands(distinct: DataFrame) -> DataFrame:
-    """lid -> the hashes of its bands."""
-    hashes = distinct.select("lid", F.explode(grams(F.col("line"))).alias("gram")).select("lid", F.xxhash64("gram").alias("h"))
+def _bands(lines: DataFrame) -> DataFrame:
+    """lid -> the hashes of its bands; equal lines are combined on the map side."""
+    hashes = lines.select("lid", F.explode(grams(F.col("line"))).alias("gram")).select("lid", F.hash("gram").alias("h"))
     lows = hashes.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks())])
     return lows.select("lid", F.array(*[
         F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
+def _starts(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, n, inner, rank): the grams that start each set, rarest first.
+
+    Grams of one set only come first of all and need no row. The share of such grams is the
+    rank: a line that others were copied from has few.
+    """
+    rows = sets.select("lid", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
+    counts = cut_lineage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "gram-counts")
+    shared = rows.join(counts, "gram")
+    own = Window.partitionBy("lid")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    placed = shared.withColumn("_alone", alone).withColumn("_at", F.col("_alone") + F.row_number().over(own.orderBy("sets", "gram")))
+    inner, outer = prefix_sizes(F.col("n"), percent)
+    return placed.where(F.col("_at") <= outer).select(
+        F.col("gram").alias("bucket"), F.col("lid").alias("id"), "n", (F.col("_at") <= inner).alias("inner"), (F.col("_alone") / F.col("n")).alias("rank"))
+
+
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(id, root): line hashes of each component of two or more different lines."""
-    distinct = split_lines(docs).groupBy("lid").agg(F.first("line").alias("line"))
-    bands = cut_lineage(_bands(distinct), "bands").select(F.col("lid").alias("id"), F.explode("bands").alias("bucket"))
-    shared = cut_lineage(bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"), "shared")
-    rows = cut_lineage(semi_join(bands, shared, "bucket"), "buckets")
-    wanted = rows.select(F.col("id").alias("lid")).distinct()
-    texts = semi_join(split_lines(docs).select("lid", "line"), wanted, "lid").groupBy("lid").agg(F.first("line").alias("line"))
+    lines = split_lines(docs).select("lid", "line")
+    bands = cut_lineage(_bands(lines), "bands").select("lid", F.explode("bands").alias("bucket"))
+    shared = cut_lineage(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
+    met = surely_few(bands, "bucket", shared).select("lid").distinct()
+    texts = semi_join(lines, cut_lineage(met, "met"), "lid").groupBy("lid").agg(F.first("line").alias("line"))
     own = F.array_distinct(F.transform(grams(F.col("line")), lambda g: F.xxhash64(g)))
     sets = cut_lineage(texts.select("lid", own.alias("grams")), "line-sets")
 
     def test(pairs):
-        for side in "ab":
-            pairs = pairs.join(sets.select(F.col("lid").alias(side), F.col("grams").alias("grams_" + side)), side)
         both = F.size(F.array_intersect("grams_a", "grams_b"))
-        a, b = F.size("grams_a"), F.size("grams_b")
-        near = pairs.where(100 * F.least(a, b) >= percent * F.greatest(a, b))
-        return near.where(100 * both >= percent * (a + b - both))
+        return beside(pairs, sets, "lid", "grams").where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both))
 
-    return link_groups(rows, test)
+    return link_groups(cut_lineage(_starts(sets, percent), "starts"), test, percent)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -84,13 +97,6 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"))
 
 
-def without(text: Column, removed: Column) -> Column:
-    """A text without some of its lines."""
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    return F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
-
-
 def remove_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with their columns, without repeated lines; ``n_chars``, where present, follows.
 
@@ -100,9 +106,11 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lost = cut_lineage(repeated_lines(docs, percent).where("size(removed) > 0").select(
         F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "removed-lines")
     marked = maybe_in(docs, F.col("doc_id"), key_bits(lost, "_id"), "_maybe")
-    touched = marked.where("_maybe").join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_removed")))
-    touched = touched.withColumn("text", text)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    touched = marked.where("_maybe").select(*others, F.split("text", "\n").alias("_lines"))
+    touched = touched.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_removed", F.array().cast("array<int>")))
+    touched = touched.withColumn("text", F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n"))
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return touched.select(*docs.columns).unionAll(marked.where("not _maybe").select(*docs.columns))
