@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
+from provisor.session import ship
+
 # Characters whose compatibility form and case folding equal plain lower-casing,
 # so the JVM expression is exact for a text made of them (checked character by character in
 # the tests). All other texts take the Arrow path.
@@ -62,6 +64,11 @@ def _icu_in_jvm() -> bool:
     return _ICU["found"]
 
 
+def _ship_to_workers() -> None:
+    if (session := SparkSession.getActiveSession()) is not None:
+        ship(session)
+
+
 def _icu_fold(text: Column) -> Column:
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
@@ -105,6 +112,7 @@ def normalize_text(text: Column, *, any_script: bool = True) -> Column:
     simple = is_simple(text)
     if _icu_in_jvm():
         return F.when(simple, simple_normal_form(text)).when(text.isNotNull(), _icu_normal_form(text))
+    _ship_to_workers()
     return F.when(simple, simple_normal_form(text)).otherwise(_arrow_normal_form(F.when(~simple, text)))
 
 
@@ -114,6 +122,7 @@ def fold_text(text: Column) -> Column:
     plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     if _icu_in_jvm():
         return F.when(simple, plain).when(text.isNotNull(), _icu_fold(text))
+    _ship_to_workers()
     return F.when(simple, plain).otherwise(_arrow_fold(F.when(~simple, text)))
 
 

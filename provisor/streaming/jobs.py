@@ -16,7 +16,7 @@ from provisor.operators import changes, studies
 from provisor.operators.experiments import HEARTBEAT_SECONDS
 from provisor.operators.spread import scan_in_order
 from provisor.plans.analysis import analyse_labels
-from provisor.session import cut_lineage
+from provisor.session import cut_lineage, ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 THROTTLE_SCHEMA = "key string, at timestamp, hits long, allowed boolean"
@@ -24,7 +24,8 @@ STAGE_SCHEMA = "run_id long, no long, action string, accepted boolean, reason st
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state needs the RocksDB provider; a session setting at run time."""
+    """Keyed state needs the RocksDB provider, a session setting at run time, and this package on the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
