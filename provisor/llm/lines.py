@@ -47,18 +47,18 @@ def _bands(lines: DataFrame) -> DataFrame:
 def _starts(sets: DataFrame, percent: int) -> DataFrame:
     """(bucket, id, n, inner, rank): the grams that start each set, rarest first.
 
-    Grams of one set only come first of all and need no row. The share of such grams is the
-    rank: a line that others were copied from has few.
+    Grams of one set only come first of all and need no row. The rank falls with the number of
+    sets that share a line's grams: the line that others were copied from comes first.
     """
     rows = sets.select("lid", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
     counts = cut_lineage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "gram-counts")
     shared = rows.join(counts, "gram")
     own = Window.partitionBy("lid")
     alone = F.col("n") - F.count(F.lit(1)).over(own)
-    placed = shared.withColumn("_alone", alone).withColumn("_at", F.col("_alone") + F.row_number().over(own.orderBy("sets", "gram")))
+    placed = shared.withColumn("_alone", alone).withColumn("_shared", F.sum("sets").over(own)).withColumn("_at", F.col("_alone") + F.row_number().over(own.orderBy("sets", "gram")))
     inner, outer = prefix_sizes(F.col("n"), percent)
     return placed.where(F.col("_at") <= outer).select(
-        F.col("gram").alias("bucket"), F.col("lid").alias("id"), "n", (F.col("_at") <= inner).alias("inner"), (F.col("_alone") / F.col("n")).alias("rank"))
+        F.col("gram").alias("bucket"), F.col("lid").alias("id"), "n", (F.col("_at") <= inner).alias("inner"), (-F.col("_shared") / F.col("n")).alias("rank"))
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
