@@ -82,7 +82,7 @@ def features(batch: pa.RecordBatch):
     """Per run of documents: (i, j, word slots, shape slots, first word, page numbers, page slots)."""
     data, offsets = W.buffers(batch.column("text").cast(pa.string()) if not pa.types.is_string(batch.column("text").type) else batch.column("text"))
     named = np.stack([_names(batch, c) for c in ("lang", "source")], 1)
-    for i, j in W.pieces(offsets, 2 * W.PIECE):
+    for i, j in W.pieces(offsets, W.PIECE // 2):
         part, own = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         starts, stops, first = W.word_bounds(part, own)
         yield i, j, *text_slots(part, starts, stops, first), first, page_numbers(part, own, first), named[i:j]
@@ -171,19 +171,15 @@ def _line(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(rows) -> Model | None:
-    """Model from sample rows (label or None, word slots, shape slots, page numbers, page slots)."""
-    label = np.array([-1 if r[0] is None else int(r[0]) for r in rows])
+    """Model from packed sample rows: label (-1: none), slots, values, page numbers, page slots."""
+    label = np.array([r[0] for r in rows], np.int64)
     if not (label == 1).any() or not (label == 0).any():
         return None
-    at, slots, values = [], [], []
-    for i, r in enumerate(rows):
-        for part in r[1:3]:
-            s, n = np.unique(np.asarray(part, np.int64), return_counts=True)
-            at.append(np.full(len(s), i))
-            slots.append(s)
-            values.append(8 * n / max(1, len(part)))
-    text = _Sparse(np.concatenate(at), np.concatenate(slots), np.concatenate(values), len(rows), TEXT_SLOTS)
-    numbers, named = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    slots, values, numbers, named = (
+        np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in ((1, np.int32), (2, np.float32), (3, np.float64), (4, np.int64)))
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) // 4 for r in rows])
+    text = _Sparse(at, slots, values, len(rows), TEXT_SLOTS)
+    numbers, named = numbers.reshape(-1, _NUMBERS), named.reshape(-1, 2)
     width = _NUMBERS + 2 * PAGE_SLOTS
     pages = np.zeros((len(rows), width))
     pages[:, :_NUMBERS] = numbers
@@ -224,11 +220,15 @@ def train(rows) -> Model | None:
 def _sample(batches):
     for batch in batches:
         for i, j, words, shapes, first, numbers, named in features(batch):
-            cut = lambda x: [x[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+            slots, values = [], []
+            for a, b in zip(first[:-1], first[1:]):
+                own, n = np.unique(np.concatenate([words[a:b], shapes[a:b]]), return_counts=True)
+                slots.append(own.astype(np.int32).tobytes())
+                values.append((8 * n / max(1, b - a)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([
-                batch.column("_quality").slice(i, j - i), pa.array(cut(words), pa.list_(pa.int32())), pa.array(cut(shapes), pa.list_(pa.int32())),
-                pa.array(numbers.tolist(), pa.list_(pa.float64())), pa.array(named.tolist(), pa.list_(pa.int64()))],
-                ["label", "words", "shapes", "numbers", "named"])
+                batch.column("_quality").slice(i, j - i).fill_null(-1), pa.array(slots, pa.binary()), pa.array(values, pa.binary()),
+                pa.array([x.tobytes() for x in numbers], pa.binary()), pa.array([x.tobytes() for x in named], pa.binary())],
+                ["label", "slots", "values", "numbers", "named"])
 
 
 def _needed(docs: DataFrame) -> DataFrame:
@@ -251,8 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     others = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*by).limit(pool).withColumn("_quality", F.lit(None).cast("int"))
     sample = cut_lineage(chosen.select("doc_id", F.col("_quality").cast("int").alias("_quality")).unionAll(others), "sample")
     texts = _needed(docs).join(F.broadcast(sample), "doc_id")
-    rows = arrow_map(texts, _sample, "label int, words array<int>, shapes array<int>, numbers array<double>, named array<long>").toPandas()
-    return train(list(rows.astype({"label": object}).where(rows.notna(), None).itertuples(index=False, name=None)))
+    rows = arrow_map(texts, _sample, "label int, slots binary, values binary, numbers binary, named binary").collect()
+    return train(rows)
 
 
 def _scores(model: Model, batch: pa.RecordBatch):
