@@ -10,7 +10,7 @@ from provisor.session import cut_lineage, ship
 
 _SLOTS = 1 << 25
 #: Bytes of a batch of rows that goes to a Python worker; a longer row goes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

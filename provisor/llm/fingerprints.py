@@ -39,7 +39,7 @@ def signatures(shingles: np.ndarray, where: np.ndarray) -> np.ndarray:
 
 def of_texts(column: pa.Array) -> np.ndarray:
     """Fingerprint row of every text; shingles are five words, or all words of a shorter text."""
-    rows = [signatures(*W.shingle_hashes(hashes, first, WORDS)) for _, _, hashes, first in W.doc_words(column, limit=2 * W.PIECE)]
+    rows = [signatures(*W.shingle_hashes(hashes, first, WORDS)) for _, _, hashes, first in W.doc_words(column)]
     return np.concatenate(rows) if rows else np.zeros((0, PERMUTATIONS), np.uint16)
 
 

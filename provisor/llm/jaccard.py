@@ -146,7 +146,7 @@ def _verify(k: int, lower: bool, percent: int):
     """(a, b, text of a, text of b) -> pairs whose sets are similar enough."""
 
     def sets(column):
-        for i, j, hashes, first in W.doc_words(column, lower, 2 * W.PIECE):
+        for i, j, hashes, first in W.doc_words(column, lower):
             grams, where = W.shingle_hashes(hashes, first, k)
             for d in range(j - i):
                 yield np.unique(grams[where[d]:where[d + 1]])

@@ -65,7 +65,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 2 * PIECE) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of documents with at most ``limit`` bytes together, or one longer document."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -141,7 +141,7 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nd
     return out, where
 
 
-def doc_words(column: pa.Array, lower: bool = False, limit: int = 2 * PIECE):
+def doc_words(column: pa.Array, lower: bool = False, limit: int = PIECE):
     """Per run of documents: (i, j, word hashes, first word of each document)."""
     data, offsets = buffers(column)
     for i, j in pieces(offsets, limit):
