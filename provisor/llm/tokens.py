@@ -18,7 +18,7 @@ import pyarrow as pa
 from provisor.llm import words as W
 
 #: Pieces that a worker keeps at most.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 600_000
 
 _ascii = np.arange(256)
 _LETTER = ((_ascii | 32) >= 97) & ((_ascii | 32) <= 122) & (_ascii < 128)
