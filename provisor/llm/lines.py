@@ -1,33 +1,45 @@
 """Removal of lines that repeat another line, exactly or nearly; DataFrame operations only.
 
-A line's set holds the 12 characters that begin at each word (at every eighth character of a long
-word) and its last 12 characters; a shorter line is its own only member. A signature has 24
-permutations of 32-bit hashes, an exclusive or with a constant each, in eight bands of three: two
-lines with similarity 0.8 meet in a band with probability 0.997, with 0.9 in all but one of
-300,000 cases. Among the lines that meet another one, linked sets must share a gram at their
-start, rarest grams first; lines that do are verified on their sets and united by union-find. The
-first line of a component, in order of doc_id and line number, stays.
+A line's set holds the ``GRAM`` characters that begin at each of its places; a shorter line is its
+own only member. A half signature has three minima of 64-bit hashes. Eight groups have three half
+signatures each, and any two of a group make a band: two lines with similarity 0.8 meet in one of
+the 24 bands with probability 0.997, with 0.9 in all but one of 800,000 cases, if minima are
+independent. Lines that meet are verified on their sets and united by union-find. The first line of
+a component, in order of doc_id and line number, stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.llm.common import beside, key_bits, link_groups, maybe_in, prefix_sizes, semi_join, surely_few
+from provisor.llm.common import beside, key_bits, link_groups, maybe_in, semi_join, surely_few
 from provisor.session import cut_lineage
 
-BANDS, ROWS = 8, 3
+#: Characters of a shingle, and places that are cut out of a line at once.
+GRAM, CHUNK = 5, 256
+#: Groups of half signatures, half signatures of a group and minima of each.
+GROUPS, HALVES, ROWS = 8, 3, 3
 
 
-def _masks() -> list[int]:
-    """Constants of the permutations: a golden-ratio sequence of signed 32-bit numbers."""
-    steps = [(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 >> 20) % (1 << 32) for i in range(1, BANDS * ROWS + 1)]
-    return [x - (1 << 32) if x >= 1 << 31 else x for x in steps]
+def _mask(group: int) -> int:
+    """The group's constant, signed 64 bits: its number on top, so that groups look for minima far apart."""
+    x = group << 61 | (0x9E3779B97F4A7C15 * (2 * group + 1)) % (1 << 61)
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _chunks(line: Column) -> Column:
+    """Pieces of a line that overlap so that each shingle lies in one; places are sought inside a piece only."""
+    last = F.greatest(F.lit(1), F.length(line) - (GRAM - 1))
+    return F.transform(F.sequence(F.lit(1), last, F.lit(CHUNK)), lambda at: F.substring(line, at, F.lit(CHUNK + GRAM - 1)))
+
+
+def _places(chunk: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(chunk) - (GRAM - 1)))
 
 
 def grams(line: Column) -> Column:
-    """Character shingles of a line, repeats included."""
-    return F.concat(F.regexp_extract_all(line, F.lit(r"(?s)(?=(\S.{11}))\S{1,8}\s*"), F.lit(1)), F.array(F.right(line, F.lit(12))))
+    """Hashes of all character shingles of a line, repeats included."""
+    return F.flatten(F.transform(_chunks(line), lambda c: F.transform(_places(c), lambda i: F.xxhash64(F.substring(c, i, F.lit(GRAM))))))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -36,46 +48,45 @@ def split_lines(docs: DataFrame) -> DataFrame:
         F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line"))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """lid -> the hashes of its bands; equal lines are combined on the map side."""
-    hashes = lines.select("lid", F.explode(grams(F.col("line"))).alias("gram")).select("lid", F.hash("gram").alias("h"))
-    lows = hashes.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks())])
+def _halves(lines: DataFrame) -> DataFrame:
+    """lid -> its half signatures. Lines meet by their hash first, so equal ones are read once and no minima are moved."""
+    one = lines.groupBy("lid").agg(F.first("line").alias("line"))
+    chunks = one.select("lid", F.explode(_chunks(F.col("line"))).alias("chunk"))
+    places = chunks.select("lid", "chunk", F.explode(_places(F.col("chunk"))).alias("i"))
+    hashes = places.select("lid", F.xxhash64(F.substring("chunk", F.col("i"), F.lit(GRAM))).alias("x0"))
+    hashes = hashes.select("lid", "x0", *[F.xxhash64("x0", F.lit(k)).alias(f"x{k}") for k in range(1, 5)])
+    turned = lambda x: F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32))
+    hashes = hashes.select("lid", *[F.col(f"x{k}").alias(f"h{k}") for k in range(5)], *[turned(f"x{k}").alias(f"h{k + 5}") for k in range(4)])
+    lows = hashes.groupBy("lid").agg(*[
+        F.min(F.col(f"h{r}").bitwiseXOR(F.lit(_mask(g)))).alias(f"m{g}_{r}") for g in range(GROUPS) for r in range(HALVES * ROWS)])
     return lows.select("lid", F.array(*[
-        F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
-
+        F.hash(*[F.col(f"m{g}_{h * ROWS + r}") for r in range(ROWS)]) for g in range(GROUPS) for h in range(HALVES)]).alias("halves"))
 
-def _starts(sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, id, n, inner, rank): the grams that start each set, rarest first.
 
-    Grams of one set only come first of all and need no row. The rank falls with the number of
-    sets that share a line's grams: the line that others were copied from comes first.
-    """
-    rows = sets.select("lid", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
-    counts = cut_lineage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "gram-counts")
-    shared = rows.join(counts, "gram")
-    own = Window.partitionBy("lid")
-    alone = F.col("n") - F.count(F.lit(1)).over(own)
-    placed = shared.withColumn("_alone", alone).withColumn("_shared", F.sum("sets").over(own)).withColumn("_at", F.col("_alone") + F.row_number().over(own.orderBy("sets", "gram")))
-    inner, outer = prefix_sizes(F.col("n"), percent)
-    return placed.where(F.col("_at") <= outer).select(
-        F.col("gram").alias("bucket"), F.col("lid").alias("id"), "n", (F.col("_at") <= inner).alias("inner"), (-F.col("_shared") / F.col("n")).alias("rank"))
+def _bands(halves: Column) -> Column:
+    """The hashes of the bands: two half signatures of one group."""
+    return F.array(*[F.xxhash64(F.lit(g * HALVES * HALVES + x * HALVES + y), halves[g * HALVES + x], halves[g * HALVES + y])
+                     for g in range(GROUPS) for x in range(HALVES) for y in range(x + 1, HALVES)])
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(id, root): line hashes of each component of two or more different lines."""
     lines = split_lines(docs).select("lid", "line")
-    bands = cut_lineage(_bands(lines), "bands").select("lid", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
-    met = surely_few(bands, "bucket", shared).select("lid").distinct()
-    texts = semi_join(lines, cut_lineage(met, "met"), "lid").groupBy("lid").agg(F.first("line").alias("line"))
-    own = F.array_distinct(F.transform(grams(F.col("line")), lambda g: F.xxhash64(g)))
-    sets = cut_lineage(texts.select("lid", own.alias("grams")), "line-sets")
+    bands = cut_lineage(_halves(lines), "halves").select("lid", F.explode(_bands(F.col("halves"))).alias("bucket"))
+    shared = cut_lineage(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared")
+    met = cut_lineage(surely_few(bands, "bucket", shared).join(shared, "bucket"), "met")
+    # The line that others were copied from comes first: its bands are the most widely shared.
+    ranks = cut_lineage(met.groupBy("lid").agg((-F.sum("sets")).cast("double").alias("rank")), "ranks")
+    texts = semi_join(lines, ranks, "lid").groupBy("lid").agg(F.first("line").alias("line"))
+    texts = cut_lineage(texts.select("lid", "line", F.size(F.array_distinct(grams(F.col("line")))).cast("long").alias("n")), "line-texts")
+    sized = ranks.join(texts.select("lid", "n"), "lid")
+    rows = met.select("bucket", "lid").join(sized, "lid").select("bucket", F.col("lid").alias("id"), "n", F.lit(True).alias("inner"), "rank")
 
     def test(pairs):
-        both = F.size(F.array_intersect("grams_a", "grams_b"))
-        return beside(pairs, sets, "lid", "grams").where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both))
+        both = F.size(F.array_intersect(grams(F.col("line_a")), grams(F.col("line_b")))).cast("long")
+        return beside(pairs, texts, "lid", "line", "n").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
 
-    return link_groups(cut_lineage(_starts(sets, percent), "starts"), test, percent)
+    return link_groups(cut_lineage(rows, "starts"), test, percent)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
