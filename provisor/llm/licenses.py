@@ -1,11 +1,12 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line; one of more than ``WINDOW`` words is read in overlapping windows. Words
+A paragraph is a line; one of more than ``WINDOW`` words is read in overlapping windows. Lines
+without a blank one between them are read in such windows once more, for notices that are wrapped. Words
 are lower-cased and stripped of outer punctuation; hashed words and word pairs are the sparse
 features of a multinomial logistic regression with a class for text that is no licence. It is
 fitted on varied templates and on a bounded sample of paragraphs of the corpus, and its
 probabilities are calibrated on held-out examples. A prediction counts only if the paragraph also
-has most word pairs of one of the family's templates.
+has most word pairs of one of the family's templates; a paragraph may have several families.
 """
 
 from __future__ import annotations
@@ -49,28 +50,38 @@ _EDGE = (W._BYTES == 0)
 _EDGE[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def units(data: np.ndarray, offsets: np.ndarray):
-    """Words of a run of documents and the paragraphs they form.
-
-    Returns word starts and stops, and per unit its document, line number, first and last word.
-    """
+def words_of(data: np.ndarray, offsets: np.ndarray):
+    """Words of a run of documents: their starts and stops, document and line number."""
     starts, stops, first = W.word_bounds(data, offsets)
     for _ in range(3):
         stops = np.where((stops - starts > 1) & _EDGE[data[np.maximum(stops - 1, 0)]], stops - 1, stops)
         starts = np.where((stops - starts > 1) & _EDGE[data[np.minimum(starts, max(len(data) - 1, 0))]], starts + 1, starts)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return starts, stops, none, none, none, none
+        return starts, stops, none, none
     breaks = np.cumsum(data == 10)
     doc = W.segment_of(first)
-    line = breaks[starts] - np.r_[0, breaks][offsets[:-1]][doc]
-    edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
-    n = np.diff(np.append(edge, len(starts)))
+    return starts, stops, doc, breaks[starts] - np.r_[0, breaks][offsets[:-1]][doc]
+
+
+def units(doc: np.ndarray, line: np.ndarray, gap: int = 1):
+    """First and last word of each unit; a step of ``gap`` lines or more begins a new paragraph."""
+    if not len(doc):
+        none = np.zeros(0, np.int64)
+        return none, none
+    edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] - line[:-1] >= gap)])
+    n = np.diff(np.append(edge, len(doc)))
     parts = np.maximum(1, -(-(n - WINDOW) // (WINDOW // 2)) + 1)
     of = np.repeat(np.arange(len(edge)), parts)
     lo = edge[of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * (WINDOW // 2)
-    hi = np.minimum(lo + WINDOW, edge[of] + n[of])
-    return starts, stops, doc[edge][of], line[edge][of], lo, hi
+    return lo, np.minimum(lo + WINDOW, edge[of] + n[of])
+
+
+def wrapped_units(doc: np.ndarray, line: np.ndarray):
+    """As ``units``, over paragraphs that blank lines part; only what has words of several lines."""
+    lo, hi = units(doc, line, 2)
+    several = line[lo] != line[hi - 1] if len(lo) else np.zeros(0, bool)
+    return lo[several], hi[several]
 
 
 def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +110,33 @@ def pair_share(words: list[str], family: str) -> float:
     return best
 
 
+#: Word pairs of every template, by family in order.
+_PAIRS = [[set(zip(t.split(), t.split()[1:])) for t in TEMPLATES[f]] for f in TEMPLATES]
+
+
+def families(own: set, p: np.ndarray, confirm: float) -> list[int]:
+    """Numbers of the families whose template share reaches ``confirm``, the largest share first, then the largest p.
+
+    A further family must be told from those before it: the window has all pairs of its template
+    that theirs lack, or ``confirm`` of these and two fifths of the template besides what theirs
+    have there. So the wording that GNU or Creative Commons licences share is no second notice.
+    """
+    best = [max(ts, key=lambda t: len(t & own) / len(t)) for ts in _PAIRS]
+    share = [len(t & own) / len(t) for t in best]
+    found: list[int] = []
+    for f in sorted((f for f in range(len(best)) if share[f] >= confirm), key=lambda f: (-share[f], -p[f])):
+        t = best[f]
+
+        def apart(a: int) -> bool:
+            lacks, other = t - set().union(*_PAIRS[a]), (t & own) - best[a]
+            has = len(lacks & own) / len(lacks) if lacks else 0.0
+            return has == 1 or has >= confirm and len(other) >= 0.4 * len(t)
+
+        if all(apart(a) for a in found):
+            found.append(f)
+    return found
+
+
 class Classifier:
     """Softmax regression over mean slot weights; class 0 is no licence."""
 
@@ -179,8 +217,7 @@ def _runs(batch: pa.RecordBatch):
     data, offsets = W.buffers(batch.column(1))
     for i, j in W.pieces(offsets, W.PIECE):
         part = data[offsets[i]:offsets[j]]
-        starts, stops, *rest = units(part, offsets[i:j + 1] - offsets[i])
-        yield i, j, part, starts, stops, *rest
+        yield i, part, *words_of(part, offsets[i:j + 1] - offsets[i])
 
 
 def _words(part, starts, stops, lo, hi) -> list[str]:
@@ -190,7 +227,9 @@ def _words(part, starts, stops, lo, hi) -> list[str]:
 def _examples(batches):
     for batch in batches:
         found = []
-        for _, _, part, starts, stops, doc, _, lo, hi in _runs(batch):
+        for _, part, starts, stops, of, line in _runs(batch):
+            lo, hi = units(of, line)
+            doc = of[lo]
             for d in np.unique(doc):
                 for u in np.flatnonzero(doc == d)[:: max(1, int((doc == d).sum()) // SAMPLE_PARAGRAPHS)][:SAMPLE_PARAGRAPHS]:
                     found.append(_words(part, starts, stops, lo[u], hi[u]))
@@ -204,17 +243,28 @@ def _scan(model, least: float, confirm: float):
     def run(batches):
         for batch in batches:
             found = [{} for _ in range(len(batch))]
-            for i, _, part, starts, stops, doc, line, lo, hi in _runs(batch):
+            for i, part, starts, stops, doc, line in _runs(batch):
                 if not len(doc):
                     continue
-                p = model.value.probabilities(W.span_hashes(part, starts, stops, lower=True), lo, hi)
-                for u in np.flatnonzero(1 - p[:, 0] >= least):
-                    words = _words(part, starts, stops, lo[u], hi[u])
-                    shares = np.array([pair_share(words, f) for f in names])
-                    best = int((p[u, 1:] * shares).argmax())
-                    if shares[best] >= confirm:
-                        own, key = found[i + doc[u]], (int(line[u]), names[best])
-                        own[key] = max(own.get(key, 0.0), float(p[u, 1 + best]))
+                hashes = W.span_hashes(part, starts, stops, lower=True)
+                for lo, hi in (units(doc, line), wrapped_units(doc, line)):
+                    p = model.value.probabilities(hashes, lo, hi)
+                    for u in np.flatnonzero(1 - p[:, 0] >= least):
+                        words, at = _words(part, starts, stops, lo[u], hi[u]), line[lo[u]:hi[u]]
+                        own, pairs = found[i + doc[lo[u]]], list(zip(words, words[1:]))
+                        for f in families(set(pairs), p[u, 1:], confirm):
+                            where = at[:-1]
+                            if at[0] != at[-1]:  # lines that have this notice by themselves don't count again
+                                new = ~np.isin(at, [a for a, b in own if b == names[f]])
+                                pairs_left = [x for x, ok in zip(pairs, new[:-1] & new[1:]) if ok]
+                                if f not in families(set(pairs_left), p[u, 1:], confirm):
+                                    continue
+                                template = max(_PAIRS[f], key=lambda t: len(t & set(pairs_left)) / len(t))
+                                where = at[:-1][[bool(ok) and x in template for x, ok in zip(pairs, new[:-1] & new[1:])]]
+                                lines, n = np.unique(where, return_counts=True)
+                                where = lines[[int(n.argmax())]]
+                            key = (int(where[0]), names[f])
+                            own[key] = max(own.get(key, 0.0), float(p[u, 1 + f]))
             rows = [[{"paragraph": a, "family": f, "p": x} for (a, f), x in sorted(own.items())] for own in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([sorted({f for _, f in own}) for own in found], pa.list_(pa.string())), pa.array(rows, pa.list_(mark))],
@@ -226,9 +276,10 @@ def _scan(model, least: float, confirm: float):
 def scan(docs: DataFrame, least: float = 0.5, confirm: float = 0.6) -> DataFrame:
     """doc_id, families (sorted) and notices (paragraph, family, p) for every row of ``docs(doc_id, text)``.
 
-    ``paragraph`` is the line number from 0. A paragraph is a notice if the classes other than no
-    licence have probability ``least`` together and the family with the largest product of
-    probability and share of a template's word pairs has a share of ``confirm``. Null and empty texts have no notices. Other columns are ignored.
+    ``paragraph`` is the line number from 0, for a wrapped notice that of the line with most of it.
+    A paragraph is a notice if the classes other than no licence have probability ``least``
+    together; of each family that has a share of ``confirm`` of a template's word pairs (see
+    ``families``), p is the family's own probability. Null and empty texts have no notices. Other columns are ignored.
     The examples of no licence come from the documents with the smallest id hashes, found by a
     broadcast of at most ``SAMPLE_DOCS`` ids.
     """
