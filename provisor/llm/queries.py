@@ -11,6 +11,7 @@ from provisor.llm.forest import nearest
 from provisor.llm.jaccard import similar_sets
 from provisor.llm.licenses import scan
 from provisor.llm.lines import remove_repeated_lines
+from provisor.llm.merkle import verified_manifest
 from provisor.llm.mixing import mix
 from provisor.llm.packing import pack_documents
 from provisor.llm.quality import score
@@ -112,3 +113,36 @@ def op6(spark, folder):
 @query("op9_license_scan")
 def op9(spark, folder):
     return scan(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+with recursive f(doc_id, source, head, text, odd) as (select doc_id, source,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-'), text,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 2 = 0
+  from documents),
+l as (select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf, case when odd then
+    sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) end bad from f),
+p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by source) n from l),
+t(source, lvl, i, h, n) as (select source, 0, i, leaf, n from p
+  union all select source, lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value(n + 2) // 3 from t where n > 1 group by source, lvl, i // 3),
+s as (select source, lvl height, h subroot, row_number() over (order by encode(source) nulls first) - 1 k, count(*) over () m from t where n = 1),
+u(lvl, i, h, n) as (select 0, k, subroot, m from s
+  union all select lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value(n + 2) // 3 from u where n > 1 group by lvl, i // 3),
+a as (select b.source, b.lvl, b.i, coalesce(string_agg(c.h, '' order by c.i) filter (c.i < b.i), '') x, coalesce(string_agg(c.h, '' order by c.i) filter (c.i > b.i), '') y
+  from t b join t c on b.source is not distinct from c.source and b.lvl = c.lvl and b.i // 3 = c.i // 3 where b.n > 1 group by all),
+b as (select b.lvl, b.i, coalesce(string_agg(c.h, '' order by c.i) filter (c.i < b.i), '') x, coalesce(string_agg(c.h, '' order by c.i) filter (c.i > b.i), '') y
+  from u b join u c on b.lvl = c.lvl and b.i // 3 = c.i // 3 where b.n > 1 group by all),
+w as (select p.source, p.i, list(x || '|' || y order by a.lvl) w from p join a on p.source is not distinct from a.source and a.i = p.i // (3 ** a.lvl)::bigint group by all),
+v as (select k, list(x || '|' || y order by b.lvl) v from s join b on b.i = k // (3 ** b.lvl)::bigint group by all),
+z as (select p.*, subroot, (select h from u where n = 1) root, list_concat(coalesce(w, []), coalesce(v, [])) steps
+  from p join s on p.source is not distinct from s.source left join w on p.source is not distinct from w.source and p.i = w.i left join v on s.k = v.k)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) proof_sha256,
+  list_reduce(list_prepend(coalesce(bad, leaf), steps), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) folded_root, folded_root = root verified from z
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark, folder):
+    return verified_manifest(table(spark, folder, "documents"))
