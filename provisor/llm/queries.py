@@ -16,6 +16,7 @@ from provisor.llm.mixing import mix
 from provisor.llm.packing import pack_documents
 from provisor.llm.quality import score
 from provisor.llm.registry import query, table
+from provisor.llm.subspace import near_vectors
 from provisor.llm.substrings import remove_repeats
 
 OP10_SQL = r"""
@@ -146,3 +147,21 @@ select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '
 @query("op12_merkle_manifest", OP12_SQL)
 def op12(spark, folder):
     return verified_manifest(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+with recursive v as (select row_number() over () k, vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
+g as (select k, vec_id, e from v where vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select a.k a, b.k b from g a join g b on a.k <> b.k and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95),
+r(a, b) as (select k, k from v union select r.a, p.b from r join p on r.b = p.a),
+n as (select a, count(*) n from p group by a),
+c as (select r.a, min(v.vec_id) c from r join v on r.b = v.k group by r.a)
+select vec_id, coalesce(n, 0)::bigint n_links, c component_id, vec_id is not distinct from c kept from v join c on v.k = c.a left join n on v.k = n.a
+"""
+
+
+@query("op13_subspace_join", OP13_SQL)
+def op13(spark, folder):
+    return near_vectors(table(spark, folder, "embeddings"))
