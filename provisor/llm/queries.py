@@ -9,6 +9,7 @@ from provisor.llm.binary import new_folder, read_ids, write_ids
 from provisor.llm.fingerprints import edited_fingerprints
 from provisor.llm.forest import nearest
 from provisor.llm.jaccard import similar_sets
+from provisor.llm.lexical import best_documents
 from provisor.llm.licenses import scan
 from provisor.llm.lines import remove_repeated_lines
 from provisor.llm.merkle import verified_manifest
@@ -165,3 +166,27 @@ select vec_id, coalesce(n, 0)::bigint n_links, c component_id, vec_id is not dis
 @query("op13_subspace_join", OP13_SQL)
 def op13(spark, folder):
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+OP11_SQL = r"""
+with t as (select row_number() over () k, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) t from documents),
+d as (select k, doc_id, t, len(t)::bigint n from t where len(t) > 0),
+s as (select count(*)::bigint nn, sum(n)::bigint ll from d),
+f as (select k, unnest(t) t from d),
+g as (select k, t, count(*)::bigint tf from f group by all),
+h as (select t, count(*) df from g group by t),
+i as (select distinct item_id, text from benchmark),
+q as (select item_id, text, t, count(*)::bigint r from (select item_id, text, unnest(list_transform(regexp_extract_all(coalesce(text, ''),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) t from i) group by all),
+w as (select q.*, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint w from q join h using (t), s),
+c as (select item_id, text, doc_id, d.k, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))))::bigint score
+  from w join g using (t) join d on d.k = g.k, s group by all having score > 0),
+o as (select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last)::int rank from c)
+select item_id, rank, doc_id, score from o where rank <= 20
+"""
+
+
+@query("op11_dual_tree_search", OP11_SQL)
+def op11(spark, folder):
+    return best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 20)

@@ -74,9 +74,12 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         i = j
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each document the index of its first word."""
-    space = _SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each document the index of its first word.
+
+    ``between`` flags the bytes that part words.
+    """
+    space = between[data]
     before = np.empty(len(data), bool)
     before[1:] = space[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
@@ -141,12 +144,12 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nd
     return out, where
 
 
-def doc_words(column: pa.Array, lower: bool = False, limit: int = PIECE):
+def doc_words(column: pa.Array, lower: bool = False, limit: int = PIECE, between: np.ndarray = _SPACE):
     """Per run of documents: (i, j, word hashes, first word of each document)."""
     data, offsets = buffers(column)
     for i, j in pieces(offsets, limit):
         part = data[offsets[i]:offsets[j]]
-        starts, stops, first = word_bounds(part, offsets[i:j + 1] - offsets[i])
+        starts, stops, first = word_bounds(part, offsets[i:j + 1] - offsets[i], between)
         yield i, j, span_hashes(part, starts, stops, lower), first
 
 
