@@ -6,7 +6,7 @@ coordinates are the same in every task) are split into blocks of ``DIMS`` coordi
 is near enough, at least one block's squared distance is within the block's proportional share of
 the squared budget. Each block is range-joined by itself: its space is cut into k-d cells, a
 vector lives in one cell and visits every cell within the block's radius, and a cell compares its
-residents with its visitors. What a block lets through is checked by the cosine of the original
+residents, in k-d leaves of their own, with the visitors that come near a leaf. What a block lets through is checked by the cosine of the original
 vectors, in double precision. A pair that several blocks find counts in the first of them only, so
 links are counted without being written: a task returns a count per resident and a spanning forest
 of its links.
@@ -28,10 +28,10 @@ DIMS, CELL = 8, 16_384
 SAMPLE, CELLS = 20_000, 2_048
 #: Visitors that share one copy of a cell's residents, about.
 VISITORS = 1 << 18
-#: Residents times visitors that are compared at once, and pairs that are checked at once.
-TILE, PAIRS = 1 << 20, 1 << 14
-#: Rounding of double precision is far below; a block lets this much more through.
-SLACK = 1e-9
+#: Residents of a leaf inside a cell, cells or leaves that are measured at once, and pairs that are checked at once.
+LEAF, TILE, PAIRS = 256, 1 << 20, 1 << 14
+#: What a block lets through beyond its share, and what the first look in single precision adds; rounding is far below.
+SLACK, ROUGH = 1e-9, 1e-5
 
 
 def rotated(vectors: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -135,7 +135,7 @@ class _Cell:
         self.block, self.part, self.budget, self.least, self.dim = block, part, budget, least, dim
         self.ids, self.times, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim))
         self.turned = np.zeros((0, 1))
-        self.ready = None
+        self.ready = None  # links inside the cell, once the residents are complete
 
     def settle(self, batch: pa.RecordBatch) -> None:
         raw = _matrix(batch.column("embedding"), self.dim)
@@ -144,31 +144,46 @@ class _Cell:
         self.ids, self.raw = np.concatenate([self.ids, batch.column("id").to_numpy()]), np.concatenate([self.raw, raw])
         self.times = np.concatenate([self.times, batch.column("times").to_numpy()])
 
+    def _open(self) -> None:
+        """Cut the residents into k-d leaves of their own and put them in that order."""
+        points = self.turned[:, self.block * DIMS:(self.block + 1) * DIMS]
+        self.leaves = borders(points, 1 << max(0, -(-len(points) // LEAF) - 1).bit_length())
+        row, leaf, home = places(points, self.leaves, -1.0)
+        order = row[home][np.argsort(leaf[home], kind="stable")]
+        self.cuts = np.searchsorted(np.sort(leaf[home]), np.arange(len(self.leaves) + 1))
+        self.ids, self.times, self.raw, self.turned = (x[order] for x in (self.ids, self.times, self.raw, self.turned))
+        points = points[order]
+        self.rough = np.concatenate([-2 * points, np.square(points).sum(1)[:, None], np.ones((len(points), 1))], 1).astype(np.float32).T
+        self.ready, self.found = np.arange(len(self.ids)), np.zeros(len(self.ids), np.int64)
+
     def links(self, raw, turned, first):
-        """Index pairs (visitor, resident) that link in this block first, tile by tile."""
-        at = slice(self.block * DIMS, (self.block + 1) * DIMS)
-        x = turned[:, at]
-        for lo in range(0, len(self.ids), 4096):
-            y = self.turned[lo:lo + 4096, at]
-            far = np.square(x).sum(1)[:, None] + np.square(y).sum(1)[None] - 2 * x @ y.T
-            vs, rs = np.nonzero(far <= self.budget + SLACK)
-            rs = rs + lo
+        """Index pairs (visitor, resident) that link in this block first, leaf by leaf."""
+        x = turned[:, self.block * DIMS:(self.block + 1) * DIMS]
+        rough = np.concatenate([x, np.ones((len(x), 1)), np.square(x).sum(1)[:, None]], 1).astype(np.float32)
+        row, leaf, _ = places(x, self.leaves, self.budget)
+        order = np.argsort(leaf, kind="stable")
+        row, starts = row[order], np.searchsorted(leaf[order], np.arange(len(self.leaves) + 1))
+        for k in range(len(self.leaves)):
+            near = row[starts[k]:starts[k + 1]]
+            if not len(near) or self.cuts[k] == self.cuts[k + 1]:
+                continue
+            vs, rs = np.nonzero(rough[near] @ self.rough[:, self.cuts[k]:self.cuts[k + 1]] <= np.float32(self.budget + ROUGH))
+            vs, rs = near[vs], rs + self.cuts[k]
             for i in range(0, len(vs), PAIRS):
                 v, r = vs[i:i + PAIRS], rs[i:i + PAIRS]
                 cosine = (raw[v] * self.raw[r]).sum(1) / np.sqrt(np.square(raw[v]).sum(1) * np.square(self.raw[r]).sum(1))
-                near = (cosine >= self.least) & (first[v] != self.ids[r])
-                v, r = v[near], r[near]
-                apart = np.square(turned[v] - self.turned[r]).reshape(len(v), turned.shape[1] // DIMS, DIMS).sum(2) <= self.budget + SLACK / 2
-                own = apart.argmax(1) == self.block
-                yield v[own & apart.any(1)], r[own & apart.any(1)]
+                ok = (cosine >= self.least) & (first[v] != self.ids[r])
+                v, r = v[ok], r[ok]
+                apart = np.square(turned[v] - self.turned[r]).reshape(len(v), turned.shape[1] // DIMS, DIMS).sum(2) <= self.budget + SLACK
+                own = apart.any(1) & (apart.argmax(1) == self.block)
+                yield v[own], r[own]
 
     def meet(self, ids, times, raw, turned):
         """Compare visitors with all residents; links of theirs to the first resident they meet."""
         if self.ready is None:
-            self.ready, self.found = np.arange(len(self.ids)), np.zeros(len(self.ids), np.int64)
-        step = max(1, TILE // 4096)
-        for lo in range(0, len(ids), step):
-            one = slice(lo, lo + step)
+            self._open()
+        for lo in range(0, len(ids), 2048):
+            one = slice(lo, lo + 2048)
             met = np.full(len(ids[one]), -1)
             for v, r in self.links(raw[one], turned[one], ids[one]):
                 np.add.at(self.found, r, times[one][v])
@@ -196,9 +211,11 @@ def _joined(dim: int, budget: float, least: float, parts: int):
     """Rows in order of (block, cell, part, visits) -> links (a, b) of a spanning forest, and ``n`` links of ``a``."""
 
     def close(cell):
+        if cell.ready is None and len(cell.ids):
+            cell._open()  # the order of residents is settled before they are taken as visitors
         own = np.flatnonzero(cell.ids % parts == cell.part)
-        for lo in range(0, len(own), 1024):  # residents also visit each other, each in its part
-            part = own[lo:lo + 1024]
+        for lo in range(0, len(own), 2048):  # residents also visit each other, each in its part
+            part = own[lo:lo + 2048]
             for a, b in cell.meet(cell.ids[part], cell.times[part], cell.raw[part], cell.turned[part]):
                 yield _told(a, b, np.zeros(len(a)))
         a, n, b = cell.close()
