@@ -131,8 +131,12 @@ def components(edges: DataFrame) -> DataFrame:
     return tied.unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-#: Ids of a bucket that meet all its others in one later round, at least, and pairs of a round.
-LEADERS, ROUND_PAIRS = 32, 16_000_000
+#: By how much more ids of a bucket meet all its others in each later round.
+GROWTH = 8
+#: Such rounds, before all ids outside a bucket's largest component meet all its others.
+ROUNDS = 2
+#: 64-bit words of a set's marks.
+MARKS = 32
 
 
 def prefix_sizes(n: Column, percent: int) -> tuple[Column, Column]:
@@ -144,20 +148,44 @@ def prefix_sizes(n: Column, percent: int) -> tuple[Column, Column]:
     return inner.cast("long"), (n - F.ceil(percent * n / 100) + 1).cast("long")
 
 
-def link_groups(rows: DataFrame, test, percent: int, rest=None, stars: int = 2) -> DataFrame:
+def marks(hashes: DataFrame) -> DataFrame:
+    """``hashes(id, x)`` -> id, ``b0`` to ``b31`` and ``ones``: each member of a set flags one of 2,048 bits."""
+    word, bit = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(MARKS - 1)), F.col("x").bitwiseAND(F.lit(63)).cast("int")
+    words = hashes.groupBy("id", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    return words.groupBy("id").agg(
+        *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"b{k}") for k in range(MARKS)],
+        F.sum(F.bit_count("bits")).alias("ones"))
+
+
+def may_link(n: Column, ones: Column, bits: list[Column], n_: Column, ones_: Column, bits_: list[Column], percent: int) -> Column:
+    """Whether the marks of two sets allow their Jaccard similarity; never false for a linked pair.
+
+    Every bit that only one set has stands for at least one member that the other lacks.
+    """
+    both = sum((F.bit_count(x.bitwiseAND(y)) for x, y in zip(bits, bits_)), F.lit(0))
+    return (100 + percent) * (F.least(n - ones, n_ - ones_) + both) >= percent * (n + n_)
+
+
+def link_groups(rows: DataFrame, test, percent: int, rest=None, marked=None) -> DataFrame:
     """(id, root) of the components of all linked pairs that share a bucket.
 
     ``rows(bucket, id, n, inner, rank)``: sets of size ``n`` and the grams that start them;
     ``inner`` marks those of the shorter start (see ``prefix_sizes``). ``test(pairs(a, b))``
-    gets a written table and returns the pairs that are linked. In the first round the id of lowest ``rank`` of each
-    bucket meets the bucket's other ids; in later rounds several ids do, as many as give about
-    ``ROUND_PAIRS`` pairs. An id that has met all others of its bucket leaves it, and a bucket ends when all its ids are in one
-    component. So a family of copies costs one test per member, and no pair of different
-    components that sizes and starts allow goes untested. With ``rest``, what ``stars`` rounds
-    have left open goes to it at once; it returns candidate pairs.
+    gets a written table and returns the pairs that are linked. In the first round the id of
+    lowest ``rank`` of each bucket meets the bucket's other ids. An id that has met all others of
+    its bucket leaves it, and a bucket ends when all its ids are in one component. What is open
+    then goes to ``rest`` at once, where it is given; it returns candidate pairs. Without it, later
+    rounds have ``GROWTH`` times as many leaders each, whatever the bucket's size. There, ids of
+    different components meet whose marks allow a link; ``marked(ids)`` gives those (see ``marks``)
+    for the ids that are still open. So a family costs a few tests per member before it is one
+    component; then the ids outside a bucket's largest component meet all of it, which ends the
+    bucket. Of these meetings only those that ``may_link`` are written, and no pair that sizes,
+    starts and marks allow goes untested.
+
+    Ids are not null and (bucket, id) is unique; rows of one bucket alone give nothing.
     """
     own = ["bucket", "id", "n", "inner", "rank"]
-    rows = rows.select(*own, F.col("id").alias("root"))
+    rows, met = rows.select(*own, F.col("id").alias("root")), F.lit(True)
     links, roots, done = None, None, 0
     while True:
         if done == 0:
@@ -165,19 +193,22 @@ def link_groups(rows: DataFrame, test, percent: int, rest=None, stars: int = 2)
             others = rows.join(lead, "bucket")
             left = others.where("id <> lead.id")
         else:
-            size = cut_lineage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")), "sizes")
-            steps = [LEADERS << i for i in range(0, 16, 2)]
-            pairs = size.agg(*[F.sum(F.col("_n") * F.least("_n", F.lit(s))) for s in steps]).first()
-            leaders = max([LEADERS, *(s for s, n in zip(steps, pairs) if n <= 2 * ROUND_PAIRS)])
-            chosen = F.pmod(F.xxhash64("id", F.lit(done)), F.ceil(F.col("_n") / leaders).cast("long")) == 0
-            marked = cut_lineage(rows.join(size, "bucket").select(*own, "root", chosen.alias("chosen")), "marked")
-            lead = marked.where("chosen").select("bucket", F.struct("id", "n", "inner", "root").alias("lead"))
-            others = marked.join(lead, "bucket")
-            left = marked.where("not chosen")
+            held = cut_lineage(rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_m")), "held")
+            size = held.groupBy("bucket").agg(F.sum("_m").alias("_n"), F.max_by("root", F.struct("_m", "root")).alias("_largest"))
+            # An id leads with a probability that its own hash decides; the lowest hash leads in any case.
+            turn = F.pmod(F.xxhash64("id", F.lit(done)), F.lit(1 << 30))
+            dealt = rows.withColumn("_turn", turn).join(size.join(rows.groupBy("bucket").agg(F.min(turn).alias("_first")), "bucket"), "bucket")
+            chosen = (F.col("_turn") * F.col("_n") < F.lit(GROWTH ** (done - 1) << 30)) | (F.col("_turn") == F.col("_first"))
+            if done > ROUNDS:
+                chosen = F.col("root") != F.col("_largest")
+            dealt = cut_lineage(dealt.select(*own, "root", chosen.alias("chosen")), "dealt")
+            lead = dealt.where("chosen").select("bucket", F.struct(*own[1:], "root").alias("lead"))
+            others = dealt.join(lead, "bucket")
+            left = dealt.where("not chosen" if done <= ROUNDS else "false")
         sized = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & F.when(
             F.col("n") < F.col("lead.n"), F.col("inner")).when(F.col("n") > F.col("lead.n"), F.col("lead.inner")).otherwise(
             F.col("inner") | F.col("lead.inner"))
-        pairs = cut_lineage(others.where(sized & (F.col("root") != F.col("lead.root"))).select(
+        pairs = cut_lineage(others.where(sized & (F.col("root") != F.col("lead.root")) & met).select(
             F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "pairs")
         found = cut_lineage(test(pairs).select("a", "b"), "links")
         links = found if links is None else links.unionAll(found)
@@ -189,6 +220,12 @@ def link_groups(rows: DataFrame, test, percent: int, rest=None, stars: int = 2)
         done += 1
         if rows.isEmpty():
             return roots
-        if rest is not None and done == stars:
+        if rest is not None:
             found = cut_lineage(test(cut_lineage(rest(rows), "pairs")).select("a", "b"), "links")
             return components(links.unionAll(found))
+        if marked is not None and done == 1:
+            rows = cut_lineage(rows.join(marked(rows.select("id").distinct()), "id"), "open-marks")
+            words = [f"b{k}" for k in range(MARKS)]
+            own += ["ones", *words]
+            met = may_link(F.col("n"), F.col("ones"), [F.col(c) for c in words], F.col("lead.n"), F.col("lead.ones"),
+                           [F.col(f"lead.{c}") for c in words], percent)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from provisor.llm import words as W
-from provisor.llm.common import arrow_map, beside, key_bits, link_groups, maybe_in, surely_few
+from provisor.llm.common import MARKS, arrow_map, beside, key_bits, link_groups, maybe_in, surely_few
 from provisor.llm.jaccard import _verify
 from provisor.session import cut_lineage
 
@@ -129,6 +129,24 @@ def _banded(batches):
         yield pa.RecordBatch.from_arrays([ids, lists], ["id", "bands"])
 
 
+_MARKED = "id long, n long, ones long, " + ", ".join(f"b{k} long" for k in range(MARKS))
+
+
+def _marked(batches):
+    """(id, text) -> size of the shingle set and its marks (see ``common.marks``)."""
+    for batch in batches:
+        for i, j, hashes, first in W.doc_words(batch.column(1)):
+            grams, where = W.shingle_hashes(hashes, first, WORDS)
+            flags, n = np.zeros((j - i, MARKS * 64), np.uint8), np.zeros(j - i, np.int64)
+            for d in range(j - i):
+                own = np.unique(grams[where[d]:where[d + 1]])
+                n[d] = len(own)
+                flags[d, (own & np.uint64(MARKS * 64 - 1)).astype(np.int64)] = 1
+            bits = np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(flags.sum(1, dtype=np.int64)), *(pa.array(x) for x in bits.T)],
+                                             ["id", "n", "ones", *(f"b{k}" for k in range(MARKS))])
+
+
 def near_copies(docs: DataFrame, prints: DataFrame, percent: int = 80) -> DataFrame:
     """(id, component_id) of every text that stands twice or is linked to another one.
 
@@ -144,14 +162,16 @@ def near_copies(docs: DataFrame, prints: DataFrame, percent: int = 80) -> DataFr
     met = cut_lineage(surely_few(bands, "bucket", shared).join(shared, "bucket"), "met")
     # The text that others were copied from comes first: its bands are the most widely shared.
     ranks = cut_lineage(met.groupBy("id").agg((-F.sum("sets")).cast("double").alias("rank")), "ranks")
-    rows = met.select("bucket", "id").join(ranks, "id").select("bucket", "id", F.lit(1).cast("long").alias("n"), F.lit(True).alias("inner"), "rank")
     held = maybe_in(docs, F.col("id"), key_bits(ranks, "id"), "_maybe").where("_maybe").groupBy("id").agg(F.first("text").alias("text"))
     held = cut_lineage(held, "near-texts")
+    marks = cut_lineage(arrow_map(held, _marked, _MARKED), "near-marks")
+    sized = ranks.join(marks.select("id", "n"), "id")
+    rows = met.select("bucket", "id").join(sized, "id").select("bucket", "id", "n", F.lit(True).alias("inner"), "rank")
 
     def test(pairs):
         return arrow_map(beside(pairs, held, "id", "text"), _verify(WORDS, False, percent), "a long, b long").distinct()
 
-    roots = link_groups(cut_lineage(rows, "starts"), test, percent)
+    roots = link_groups(cut_lineage(rows, "starts"), test, percent, marked=lambda ids: ids.join(marks.drop("n"), "id"))
     tied = cut_lineage(texts.select("id", "least", "rows").join(roots, "id", "left").select("id", "least", "rows", F.coalesce("root", "id").alias("root")), "tied")
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("n")).where("n > 1")
     return tied.select("id", "root").join(least, "root").select("id", "component_id")

@@ -1,4 +1,7 @@
-from provisor.llm.jaccard import similar_sets
+import numpy as np
+import pyarrow as pa
+
+from provisor.llm.jaccard import GROUPS, _need, _tree_join, search, similar_sets, tree
 from tests.llm.helpers import SCHEMA, corpus, frame, row, shingles
 
 
@@ -41,3 +44,51 @@ def test_family_whose_members_link_in_chains(spark):
 
 def test_empty_table(spark):
     assert similar_sets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def unlinked(n=900, seed=8):
+    """Points of sets: overlapping families, none of which is closer than it seems."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 3, (12, GROUPS))
+    points = np.array([np.where(rng.random(GROUPS) < 0.15, rng.integers(0, 3, GROUPS), base[i % 12]) for i in range(n)])
+    return points, points.sum(1)
+
+
+def test_tree_finds_all_points_within_the_bound():
+    points, size = unlinked()
+    order, levels = tree(points, size)
+    for q in range(0, 900, 37):
+        got = set(search(order, levels, points, size, points[q], int(size[q]), 80).tolist())
+        assert got == set(np.flatnonzero(np.minimum(points, points[q]).sum(1) >= _need(int(size[q]), size, 80)).tolist())
+
+
+def test_blocks_of_a_bucket_meet_as_trees():
+    points, size = unlinked(300)
+    roots = np.arange(300) // 2
+
+    def table(rows, side):
+        packed = [bytes([8]) + points[i].astype("u1").tobytes() for i in rows]
+        return pa.table({"bucket": pa.array([1] * len(rows)), "x": pa.array([0] * len(rows), pa.int32()), "y": pa.array([1] * len(rows), pa.int32()),
+                         "side": pa.array([side] * len(rows), pa.int32()), "id": pa.array(rows), "root": pa.array(roots[rows]), "n": pa.array(size[rows]),
+                         "inner": pa.array([True] * len(rows)), "point": pa.array(packed, pa.binary())})
+
+    def pairs(found):
+        return sorted(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
+
+    def want(left, right):
+        return sorted({(min(i, j), max(i, j)) for i in left for j in right if i != j and roots[i] != roots[j]
+                       and np.minimum(points[i], points[j]).sum() >= _need(int(size[i]), int(size[j]), 80)})
+
+    low, high = list(range(150)), list(range(150, 300))
+    assert pairs(_tree_join(80)(pa.concat_tables([table(low, 0), table(high, 1)]))) == want(low, high)
+    assert pairs(_tree_join(80)(table(low, 0))) == want(low, low)
+
+
+def test_a_bucket_that_stars_leave_open_goes_to_the_trees(spark, monkeypatch):
+    from provisor.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    base = [f"w{i}" for i in range(60)]
+    rows = [row(i, " ".join(base + [f"u{i // 3}x{j}" for j in range(40)])) for i in range(120)]
+    rows += [row(500 + i, " ".join(base[:50] + [f"v{i // 2}x{j}" for j in range(40)] + [f"t{i}"])) for i in range(60)]
+    check(spark, rows, 4, 85, True)

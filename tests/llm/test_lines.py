@@ -4,15 +4,13 @@ import re
 from provisor.llm.lines import remove_repeated_lines
 from tests.llm.helpers import SCHEMA, corpus, frame, row
 
-PIECE = re.compile(r"(?s)(?=(\S.{11}))\S{1,8}")
-
 
 def expected(rows, percent=80):
     sets = {}
     for r in rows:
         for line in (r[1] or "").split("\n"):
             if re.search(r"\S", line):
-                sets.setdefault(line, set(PIECE.findall(line)) | {line[-12:]})
+                sets.setdefault(line, {line[i:i + 5] for i in range(max(1, len(line) - 4))})
     lines = list(sets)
     parent = list(range(len(lines)))
 
