@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -70,32 +71,47 @@ def judge_deliveries(rows: DataFrame, stored: DataFrame, arrival: str) -> DataFr
     ).drop("_at", "_first", "_stored")
 
 
-#: Folders that stored deliveries are dealt to by a hash of their run.
-INTAKE_BUCKETS = 64
+#: Sequence numbers of a run that share one state row, and bytes of a content digest in it.
+INTAKE_BLOCK, DIGEST = 256, 16
+INTAKE_SCHEMA = "arrival long, run_id long, source string, seq long, content string, outcome string"
 
 
-def event_intake(events: DataFrame, out: str, arrival: str = "event_id") -> DataStreamWriter:
-    """Idempotent intake: first delivery is new, an equal one a repeat, a differing one a conflict.
+class _Intake(StatefulProcessor):
+    """First deliveries of a block of numbers: sequence numbers and content digests, packed into one value."""
 
-    A key never expires: a delivery is judged against everything stored, however old. Deliveries
-    are stored by a hash bucket of their run, so a micro-batch reads only the buckets that it
-    touches, and replaces its own folder. Events of a batch which is run again after a failure
-    are judged the same way.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in [*INTAKE_KEY, "content", "outcome"]) + ", batch_id long, bucket int"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "seqs binary, digests binary")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("run_id"), F.lit(INTAKE_BUCKETS)).cast("int")
-        rows = cut_lineage(batch.select(*event_content(arrival, "ts")).withColumn("bucket", bucket), "deliveries")
-        stored = rows.where(F.lit(False))
-        if batch_id and (touched := [r[0] for r in rows.select("bucket").distinct().collect()]):
-            stored = spark.read.schema(schema).option("basePath", out).parquet(out).where(
-                (F.col("batch_id") < batch_id) & F.col("bucket").isin(touched) & (F.col("outcome") == "new"))
-        judge_deliveries(rows, stored, arrival).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch_id={batch_id}")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seqs, digests = self.known.get() if self.known.exists() else (b"", b"")
+        numbers = np.frombuffer(seqs, np.int64).tolist()
+        first = {n: digests[i * DIGEST:(i + 1) * DIGEST].hex() for i, n in enumerate(numbers)}
+        held = pd.concat(list(rows)).sort_values("arrival")  # one block of numbers in one micro-batch
+        fresh = held[~held["seq"].isin(first)].drop_duplicates("seq")
+        first.update(zip(fresh["seq"], fresh["content"]))
+        if len(fresh):
+            self.known.update((np.array(list(first), np.int64).tobytes(), bytes.fromhex("".join(first.values()))))
+        same = held["content"] == held["seq"].map(first)
+        outcome = np.where(held["arrival"].isin(fresh["arrival"]), "new", np.where(same, "repeat", "conflict"))
+        yield held[["arrival", "run_id", "source", "seq", "content"]].assign(outcome=outcome)
+
+    def close(self) -> None:
+        pass
 
-    return events.writeStream.foreachBatch(write)
+
+def event_intake(events: DataFrame, arrival: str = "event_id") -> DataFrame:
+    """Idempotent intake of a stream: first delivery is new, an equal one a repeat, a differing one a conflict.
+
+    ``arrival`` is a whole number unique per delivery; it orders the deliveries of one micro-batch.
+    A number never expires: it is judged against its first delivery, however old. First deliveries
+    live in the state store, a block of a run's numbers per state row, so a micro-batch reads and
+    writes only the blocks that it touches, and a busy run spreads over many tasks. A micro-batch
+    that is run again after a failure starts from the state before it. Returns ``INTAKE_SCHEMA``.
+    """
+    use_rocksdb(events.sparkSession)
+    rows = events.select(F.col(arrival).cast("long").alias("arrival"), *event_content()).withColumn("block", F.floor(F.col("seq") / INTAKE_BLOCK))
+    return rows.groupBy("run_id", "source", "block").transformWithStateInPandas(
+        statefulProcessor=_Intake(), outputStructType=INTAKE_SCHEMA, outputMode="Append", timeMode="None")
 
 
 def stored_rows(spark: SparkSession, path: str, before: int) -> DataFrame | None:
@@ -137,6 +153,71 @@ def heartbeat_expiries(events: DataFrame, lateness: str) -> DataFrame:
         "run_id", F.col("w.end").alias("expired_at"), "events")
 
 
+EXPIRY_SCHEMA = "run_id long, expired_at timestamp, events long"
+
+
+class _Heartbeats(StatefulProcessor):
+    """Open stretches of a run, as (first, last, events) in microseconds, and a timer at the end of each."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "stretches array<struct<first: long, last: long, events: long>>")
+
+    def _stretches(self) -> list[tuple[int, int, int]]:
+        return [tuple(x) for x in self.open.get()[0]] if self.open.exists() else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        gap, passed = HEARTBEAT_SECONDS * 1_000_000, timerValues.getCurrentWatermarkInMs() * 1000
+        stretches = self._stretches()
+        for frame in rows:
+            at = np.sort(frame["ts"].to_numpy().astype("datetime64[us]").astype(np.int64))
+            at = at[at > passed]  # the watermark is behind an event or has closed its stretch
+            cuts = np.flatnonzero(np.diff(at) >= gap) + 1
+            stretches += [(int(x[0]), int(x[-1]), len(x)) for x in np.split(at, cuts) if len(x)]
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(stretches):
+            if merged and first - merged[-1][1] < gap:
+                merged[-1] = (merged[-1][0], max(last, merged[-1][1]), n + merged[-1][2])
+            else:
+                merged.append((first, last, n))
+        self._keep(merged)
+        yield pd.DataFrame({"run_id": pd.Series([], dtype="int64"), "expired_at": pd.Series([], dtype="datetime64[us]"), "events": pd.Series([], dtype="int64")})
+
+    def _keep(self, stretches) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not stretches:
+            self.open.clear()
+            return
+        self.open.update((stretches,))
+        for _, last, _ in stretches:
+            self.handle.registerTimer(-(-last // 1000) + HEARTBEAT_SECONDS * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gap, passed = HEARTBEAT_SECONDS * 1_000_000, timerValues.getCurrentWatermarkInMs() * 1000
+        stretches = self._stretches()
+        over = [x for x in stretches if x[1] + gap <= passed]
+        self._keep([x for x in stretches if x[1] + gap > passed])
+        yield pd.DataFrame({"run_id": [key[0]] * len(over), "events": [n for _, _, n in over],
+                            "expired_at": pd.to_datetime([last + gap for _, last, _ in over], unit="us")})[["run_id", "expired_at", "events"]]
+
+    def close(self) -> None:
+        pass
+
+
+def heartbeat_stream(events: DataFrame, lateness: str) -> DataFrame:
+    """(run_id, expired_at, events) of a stream, as soon as a run has had no event for the heartbeat limit.
+
+    Each run keeps its open stretches and an event-time timer at the end of each, so a run expires
+    without any further event of its own. Events that arrive up to ``lateness`` after younger ones
+    join or bridge stretches; an event at or before the watermark is dropped. :func:`heartbeat_expiries`
+    is the batch twin over what is in time.
+    """
+    use_rocksdb(events.sparkSession)
+    return events.select("run_id", "ts").withWatermark("ts", lateness).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=_Heartbeats(), outputStructType=EXPIRY_SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
 class _Throttle(StatefulProcessor):
     def __init__(self, limit: int, seconds: int):
         self.limit, self.seconds = limit, seconds

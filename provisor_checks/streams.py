@@ -65,8 +65,8 @@ def _(t):
     for part in (*(first.where(third == i) for i in range(3)), again):
         part.coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = t.spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    jobs.event_intake(stream, f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{base}/out").select("event_id", "run_id", "seq", "outcome")
+    judged = jobs.run_available(jobs.event_intake(stream), f"{base}/out", f"{base}/checkpoint")
+    return judged.select(F.col("arrival").alias("event_id"), "run_id", "seq", "outcome")
 
 
 @check("str_2_event_intake_batch", """
@@ -108,6 +108,30 @@ def _(t):
     return out.withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+LATE = """
+    WITH e AS (SELECT user_id, ts, event_id, least(event_id * 4 // (max(event_id) OVER () + 1) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, 3) AS part FROM events),
+    m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 90500 MILLISECOND AS mark, max(max(ts)) OVER () - INTERVAL 90500 MILLISECOND AS done FROM e GROUP BY part),
+    k AS (SELECT user_id, ts, done FROM e JOIN m USING (part) WHERE mark IS NULL OR ts > mark),
+    g AS (SELECT user_id, ts, done, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 180 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, done, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g)
+    SELECT user_id AS run_id, count(*) AS events, strftime(max(ts) + INTERVAL 180 SECOND, '%Y-%m-%d %H:%M:%S') AS expired_at FROM s
+    GROUP BY user_id, no, done HAVING max(ts) + INTERVAL 180 SECOND <= done"""
+
+
+@check("str_5_heartbeat_stream", LATE)
+def _(t):
+    """Four micro-batches by arrival; every seventh event arrives one batch late, most of those behind the watermark."""
+    last = t.events.agg(F.max("event_id")).first()[0]
+    part = F.least(F.floor(F.col("event_id") * 4 / (last + 1)) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0), F.lit(3))
+    events = t.events.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), part.alias("part"))
+    base = shared_dir(t.spark, "heartbeats")
+    for i in range(4):
+        events.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema("run_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = jobs.run_available(jobs.heartbeat_stream(stream, "90500 milliseconds"), f"{base}/out", f"{base}/checkpoint")
+    return out.withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @check("str_6_throttled_hits")
 def _(t):
     hits = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"))
