@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.operators.spread import previous_value, round_half_even, scan_in_order
+from provisor.operators.spread import previous_value, round_half_even, running_total, scan_in_order
 
 # Acceptance limits of a frame, recognition and upscaling limits.
 MIN_MEAN, MAX_MEAN, MIN_EDGE, MAX_MOVEMENT, DUPLICATE_BELOW = 30, 235, 2, 20, 3
@@ -63,8 +63,24 @@ def frame_score(sharpness: Column, contrast: Column, brightness: Column, movemen
     )
 
 
+def with_segments(
+    frames: DataFrame, bucket: Column, keys: tuple[str, ...] = ("run_id",), order: str = "frame_no", geometry: tuple[str, ...] = ("width", "height", "angle")
+) -> DataFrame:
+    """``frames`` with ``segment``: numbers from 1 the stretches of a run without a change of geometry.
+
+    A run that returns to an earlier geometry starts a new segment. Angles count
+    modulo 360. Both the look back and the numbering are cut into buckets, so a segment may cross
+    their borders.
+    """
+    turn = lambda c: F.pmod(F.col(c), F.lit(360)) if c == "angle" else F.col(c)
+    shaped = frames.withColumn("_shape", F.struct(*[turn(c).alias(c) for c in geometry]))
+    before = previous_value(shaped, list(keys), bucket, order, "_shape", "_earlier")
+    fresh = (~F.col("_shape").eqNullSafe(F.col("_earlier"))).cast("long")
+    return running_total(before, list(keys), bucket, order, fresh, "segment").drop("_shape", "_earlier")
+
+
 def with_movement(frames: DataFrame, bucket: Column, keys: tuple[str, ...] = ("run_id",), order: str = "frame_no") -> DataFrame:
-    """Mean difference from the previous frame of the same run (and geometry, if among the keys)."""
+    """Mean difference from the previous frame of the same run (and segment, if among the keys; see ``with_segments``)."""
     before = previous_value(frames, list(keys), bucket, order, "fp", "_previous")
     return before.withColumn("movement", mean_difference(F.col("fp"), F.col("_previous"))).drop("_previous")
 

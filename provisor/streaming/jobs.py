@@ -18,6 +18,7 @@ from provisor.operators.experiments import HEARTBEAT_SECONDS
 from provisor.operators.spread import scan_in_order
 from provisor.plans.analysis import analyse_labels
 from provisor.session import cut_lineage, ship
+from provisor.streaming.keyed_log import KeyedLog
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 THROTTLE_SCHEMA = "key string, at timestamp, hits long, allowed boolean"
@@ -114,13 +115,6 @@ def event_intake(events: DataFrame, arrival: str = "event_id") -> DataFrame:
         statefulProcessor=_Intake(), outputStructType=INTAKE_SCHEMA, outputMode="Append", timeMode="None")
 
 
-def stored_rows(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Rows earlier batches wrote under ``path``; null when there are none."""
-    if before == 0:
-        return None
-    return spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") < before)
-
-
 def event_intake_batch(events: DataFrame, arrival: str) -> DataFrame:
     """Batch twin of :func:`event_intake` in ``arrival`` order (a column unique per delivery)."""
     rows = events.select(*event_content(arrival))
@@ -273,18 +267,21 @@ def throttle_batch(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def correction_intake(corrections: DataFrame, stored: str, queue: str) -> DataStreamWriter:
-    """Save arriving corrections against the stored table, one batch at a time.
+    """Save arriving corrections against the stored ones, one batch at a time.
 
-    A batch reads what earlier batches stored and replaces its own folders, so it can repeat.
+    A batch looks its ids up in a store that is pruned by key range (see ``KeyedLog``), adds what it
+    saves as a run of its own, and writes its outcomes and review rows below ``queue``. It replaces
+    what an earlier try of itself left, so it can be repeated.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         names = [*changes.CORRECTION_CONTENT, "id"]
-        earlier = stored_rows(batch.sparkSession, stored, batch_id)
-        earlier = batch.where(F.lit(False)).select(*names) if earlier is None else earlier.select(*names)
-        outcome = changes.correction_outcomes(batch, earlier)
-        outcome.where("outcome = 'new' and saved").select(*names).write.mode("overwrite").parquet(f"{stored}/batch_id={batch_id}")
-        changes.review_queue_rows(outcome).write.mode("overwrite").parquet(f"{queue}/batch_id={batch_id}")
+        rows = cut_lineage(batch, "corrections")
+        log = KeyedLog(batch.sparkSession, stored, "id", rows.select(*names).schema)
+        outcome = cut_lineage(changes.correction_outcomes(rows, log.lookup(rows.select("id"), batch_id)), "outcomes")
+        log.add(outcome.where("outcome = 'new' and saved").select(*names), batch_id)
+        outcome.select("id", "arrival", "request_id", "outcome", "saved").write.mode("overwrite").parquet(f"{queue}/outcomes/batch_id={batch_id}")
+        changes.review_queue_rows(outcome).write.mode("overwrite").parquet(f"{queue}/review/batch_id={batch_id}")
 
     return corrections.writeStream.foreachBatch(write)
 

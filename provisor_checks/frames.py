@@ -39,6 +39,22 @@ def _(t):
     return moved(t).select("run_id", "frame_no", F.round("movement", 6).alias("movement"))
 
 
+@check("win_5_segment_movement", """
+    WITH f AS (SELECT *, CASE WHEN frame_no % 11 < 4 THEN 640 ELSE 480 END AS width, CASE WHEN frame_no % 17 < 9 THEN 0 ELSE 90 END AS turn FROM frames),
+    c AS (SELECT *, CASE WHEN lag(width) OVER w = width AND lag(turn) OVER w = turn THEN 0 ELSE 1 END AS fresh, lag(fp) OVER w AS prev FROM f WINDOW w AS (PARTITION BY run_id ORDER BY frame_no)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY frame_no) AS segment FROM c)
+    SELECT run_id, frame_no, CAST(segment AS BIGINT) AS segment,
+      round(CASE WHEN fresh = 0 THEN list_avg(list_transform(range(1, 65), lambda i: abs(CAST(fp[i] AS DOUBLE) - CAST(prev[i] AS DOUBLE)))) END, 6) AS movement FROM s""")
+def _(t):
+    """Width and angle come and go; movement starts anew with each segment."""
+    shaped = t.frames.withColumns({
+        "width": F.when(F.col("frame_no") % 11 < 4, 640).otherwise(480), "height": F.lit(480),
+        "angle": F.when(F.col("frame_no") % 17 < 9, F.lit(10)).otherwise(F.lit(80))})
+    bucket = F.floor(F.col("frame_no") / 256)
+    cut = fr.with_segments(shaped, bucket)
+    return fr.with_movement(cut, bucket, ("run_id", "segment")).select("run_id", "frame_no", "segment", F.round("movement", 6).alias("movement"))
+
+
 @check("flt_16_frame_outcomes", "WITH " + STATS + "," + MOVED + """
     SELECT s.run_id, s.frame_no, CASE WHEN 130 + 2000 * mean < 30 THEN 'too_dark' WHEN 130 + 2000 * mean > 235 THEN 'too_bright' WHEN edge * 16 < 2 THEN 'low_edges'
       WHEN movement IS NOT NULL AND movement * 180 > 20 THEN 'moving' WHEN s.frame_no % 5 = 0 THEN 'duplicate' ELSE 'ok' END AS outcome

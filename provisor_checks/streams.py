@@ -6,8 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from provisor.operators import changes
 from provisor.session import shared_dir
 from provisor.streaming import jobs
+from provisor.streaming.keyed_log import KeyedLog
 from provisor_checks.labels import COUNTS, DICT_CTE, RESOLVED, VERDICT, VERDICT_COLUMNS, catalog
 from provisor_checks.registry import check
 
@@ -138,6 +140,38 @@ def _(t):
     return jobs.throttle_batch(hits, 3, 3600).groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.count_if("allowed").alias("allowed"))
 
 
+@check("str_7_correction_intake", """
+    WITH bad AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 = 0),
+    d AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 3 AS batch_id, 'new' AS outcome FROM orders
+      UNION ALL SELECT o_orderkey, o_custkey, 1, 'repeat' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 = 0
+      UNION ALL SELECT o_orderkey, o_custkey, 2, 'conflict' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 = 0
+      UNION ALL SELECT o_orderkey, o_custkey, 2, 'repeat' FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 = 0)
+    SELECT 'c' || id AS id, CAST(batch_id AS BIGINT) AS batch_id, outcome, batch_id < 2 OR c NOT IN (SELECT c FROM bad) AS saved,
+      outcome = 'new' AND (batch_id < 2 OR c NOT IN (SELECT c FROM bad)) AS stored FROM d""")
+def _(t):
+    """Three micro-batches: new corrections, then repeats beside new ones, then conflicts as well, each of which rejects its request."""
+    base = t.orders.select(
+        F.concat(F.lit("c"), "o_orderkey").alias("id"), F.col("o_orderkey").alias("arrival"), F.col("o_custkey").cast("string").alias("request_id"),
+        F.lit(0).alias("token_index"), F.lit("raw").alias("token_raw"), F.col("o_orderstatus").alias("corrected_text"),
+        F.col("o_orderpriority").alias("input_sha256"), F.lit(None).cast("string").alias("user_id"), "o_orderkey")
+    third, fifth = F.col("o_orderkey") % 3, F.col("o_orderkey") % 5 == 0
+    other = F.concat("corrected_text", F.lit("?"))
+    parts = [base.where(third == 0), base.where((third == 1) | ((third == 0) & fifth)),
+             base.where((third == 2) | ((third == 1) & fifth)).unionByName(
+                 base.where((third == 0) & (F.col("o_orderkey") % 7 == 0)).withColumn("corrected_text", other))]
+    folder = shared_dir(t.spark, "corrections")
+    for part in parts:
+        part.drop("o_orderkey").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(base.drop("o_orderkey").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.correction_intake(stream, f"{folder}/stored", f"{folder}/queue").option("checkpointLocation", f"{folder}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    judged = t.spark.read.parquet(f"{folder}/queue/outcomes").withColumn("batch_id", F.col("batch_id").cast("long"))
+    log = KeyedLog(t.spark, f"{folder}/stored", "id", base.select(*changes.CORRECTION_CONTENT, "id").schema)
+    kept = log.read(3).select("id", F.lit(True).alias("_kept"))
+    stored = F.coalesce("_kept", F.lit(False)) & (F.col("outcome") == "new")
+    return judged.join(kept, "id", "left").select("id", "batch_id", "outcome", "saved", stored.alias("stored"))
+
+
 @check("str_8_stage_stream", """
     SELECT run_id, revision AS no, revision < 5 AS accepted FROM stage_actions""")
 def _(t):

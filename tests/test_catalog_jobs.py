@@ -122,6 +122,45 @@ def test_snapshots(spark):
         snapshots.backup(first["ingredients"], root + "/backup")
 
 
+def test_a_dead_write_is_taken_over(spark, monkeypatch):
+    """A writer dies between two tables: readers keep the old version, others wait for its lease, then go on."""
+    root = local(spark, "snapshots-dead") + "/store"
+    table = lambda name: frame(spark, "id string", (name,))
+    read = lambda: {n: [r.id for r in df.collect()] for n, df in snapshots.read_current(spark, root, ["a", "b"]).items()}
+    snapshots.write_snapshot({"a": table("a1"), "b": table("b1")}, root)
+    broken = table("b2").select(F.raise_error(F.lit("killed")).cast("string").alias("id"))
+    with monkeypatch.context() as dead:
+        dead.setattr(snapshots, "_give_up", lambda *_: None)  # a killed process tidies nothing up
+        with pytest.raises(Exception, match="killed"):
+            snapshots.write_snapshot({"a": table("a2"), "b": broken}, root)
+    assert read() == {"a": ["a1"], "b": ["b1"]} and snapshots.current_version(spark, root) == 1
+    with pytest.raises(snapshots.SnapshotBusy):
+        snapshots.write_snapshot({"a": table("a3"), "b": table("b3")}, root)
+    snapshots.write_snapshot({"a": table("a4"), "b": table("b4")}, root, lease=0)
+    assert read() == {"a": ["a4"], "b": ["b4"]} and snapshots.current_version(spark, root) == 2
+    with pytest.raises(Exception, match="killed"):
+        snapshots.write_snapshot({"a": table("a5"), "b": broken}, root)
+    snapshots.write_snapshot({"a": table("a6"), "b": table("b6")}, root)  # the failed writer gave its claim up
+    assert read() == {"a": ["a6"], "b": ["b6"]} and snapshots.current_version(spark, root) == 3
+
+
+def test_a_writer_that_lost_its_version_cannot_publish(spark):
+    root = local(spark, "snapshots-lost") + "/store"
+    files = snapshots._Files(spark, root)
+
+    class Slow(dict):
+        """While these tables are written, another writer takes the version over."""
+
+        def items(self):
+            yield from super().items()
+            if "v00000001.1" not in files.names("claims"):
+                files.create("claims/v00000001.1")
+
+    with pytest.raises(snapshots.SnapshotBusy):
+        snapshots.write_snapshot(Slow(a=frame(spark, "id string", ("x",))), root)
+    assert snapshots.current_version(spark, root) == 0
+
+
 def test_export_sheets(spark):
     out = local(spark, "export") + "/x"
     runs = spark.sql("select 1 run_id, map('E1','present') manual_answers, map('E1','absent') app_answers, '=x' note")
