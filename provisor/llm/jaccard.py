@@ -25,8 +25,8 @@ from provisor.session import cut_lineage, ship
 
 #: Groups of the smallest sets and of the trees; counters of gram frequencies and how they are dealt.
 GROUPS, COUNTERS, SLICE = 256, 1 << 20, 1 << 16
-#: Points that one task of the R-tree join holds per side, and points of a leaf.
-BLOCK, LEAF = 512, 16
+#: Points of a tree, of a leaf, and of the queries that meet a tree together; rows that one call of the R-tree join takes, about.
+BLOCK, LEAF, QUERIES, ROWS = 512, 16, 8_192, 20_000
 
 
 def _count(k: int, lower: bool):
@@ -196,23 +196,32 @@ def search(order, levels, points, size, query, n: int, percent: int) -> np.ndarr
 
 
 def _tree_join(percent: int):
-    """Block pair of a bucket -> candidate pairs of different components."""
+    """Rows of whole (bucket, block, part) sets -> candidate pairs of different components.
+
+    Points of side 0 form a set's tree, those of side 1 are its queries.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        left, right = (table.filter(pa.compute.equal(table.column("side"), s)) for s in (0, 1))
-        same = not len(right)
-        right = left if same else right
-        read = lambda t: (t.column("id").to_numpy(), t.column("root").to_numpy(), t.column("n").to_numpy(),
-                          t.column("inner").to_numpy(zero_copy_only=False), _points(t.column("point")))
-        (ids, roots, size, inner, points), found = read(left), []
-        if len(ids):
-            order, levels = tree(points, size)
-            for qid, qroot, qn, qinner, q in zip(*read(right)):
-                hit = search(order, levels, points, size, q, int(qn), percent)
-                first = np.where(size[hit] < qn, inner[hit], np.where(size[hit] > qn, qinner, inner[hit] | qinner))
-                hit = hit[first & (roots[hit] != qroot) & ((ids[hit] < qid) | (not same))]
-                found += [(min(int(x), int(qid)), max(int(x), int(qid))) for x in ids[hit]]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        names = [table.column(c).to_numpy() for c in ("side", "part", "block", "bucket")]
+        order = np.lexsort(names)
+        side, *name = (x[order] for x in names)
+        ids, roots, size = (table.column(c).to_numpy()[order] for c in ("id", "root", "n"))
+        inner, points = table.column("inner").to_numpy(zero_copy_only=False)[order], _points(table.column("point"))[order]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in name], axis=0)) + 1
+        low, high = [], []
+        for lo, hi in zip([0, *cuts], [*cuts, len(order)]):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            if mid == lo:
+                continue
+            own, sizes = points[lo:mid], size[lo:mid]
+            packed, levels = tree(own, sizes)
+            for q in range(mid, hi):
+                hit = search(packed, levels, own, sizes, points[q], int(size[q]), percent) + lo
+                first = np.where(size[hit] < size[q], inner[hit], np.where(size[hit] > size[q], inner[q], inner[hit] | inner[q]))
+                hit = ids[hit[first & (roots[hit] != roots[q])]]
+                low.append(np.minimum(hit, ids[q]))
+                high.append(np.maximum(hit, ids[q]))
+        return pa.table({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *low])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *high]))})
 
     return run
 
@@ -259,15 +268,20 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = F
         return arrow_map(beside(near, texts, "id", "text"), _verify(k, lower, percent), "a long, b long").distinct()
 
     def rest(open_):
-        """Blocks of each open bucket against each other, as R-trees."""
-        held = open_.select("bucket", "id", "root", "inner").join(chosen.select("id", "n", "point"), "id")
-        blocks = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        held = held.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = held.select("*", other).select(
-            "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "root", "n", "inner", "point")
-        return dealt.groupBy("bucket", "x", "y").applyInArrow(_tree_join(percent), "a long, b long").distinct()
+        """R-trees of each open bucket's blocks, searched by the ids outside its largest component."""
+        parts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(
+            F.max_by("root", F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("ask"))
+        parts = cut_lineage(parts.select("bucket", "largest", "m", "ask", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"),
+                                         F.ceil(F.col("ask") / QUERIES).cast("int").alias("parts")), "blocks")
+        tasks = -(-(parts.agg(F.sum(F.col("m") * F.col("parts") + F.col("ask") * F.col("blocks"))).first()[0] or 1) // ROWS)
+        held = open_.select("bucket", "id", "root", "inner").join(chosen.select("id", "n", "point"), "id").join(parts, "bucket")
+        to = lambda c: F.pmod(F.xxhash64("id", F.lit(c)), F.col(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        own = ["id", "root", "n", "inner", "point"]
+        dealt = held.select("bucket", to("blocks").alias("block"), each("parts").alias("part"), F.lit(0).alias("side"), *own).unionAll(
+            held.where("root <> largest").select("bucket", each("blocks").alias("block"), to("parts").alias("part"), F.lit(1).alias("side"), *own))
+        dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "block", "part"), F.lit(tasks)))
+        return dealt.groupBy("task").applyInArrow(_tree_join(percent), "a long, b long").distinct()
 
     roots = link_groups(rows, test, percent, rest)
     twice = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("hi")).where("a < hi")
