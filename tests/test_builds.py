@@ -45,24 +45,26 @@ def test_taxonomy_text(spark):
 
 
 def test_taxonomy_matching(spark):
+    """Parents in a circle, one code under two languages, two codes in one block, an unknown parent."""
     text = (
-        "en: custom acid, E-330\nru: acid name\n\nen: parented food\nru: new food\n< en: custom acid\n\n"
-        "en: conflicting codes, E330, E123\nru: ambiguous\n\nen: unknown code, E9999\nru: unknown\n\nen: no translation\n< en: nowhere\n"
+        "en: orange peel\nru: цедра\n< en: lemon rind\n\nen: lemon rind\nru: корка лимона\n< en: orange peel\n\n"
+        "en: sour crystals, E330\nde: Säure, e 330\nru: кристаллы\n< en: orange peel\n< en: fruit\n\n"
+        "en: red no 2, E123\nru: красный\n\nen: two dyes, E123, E330\nru: смесь\n\nen: only english\n"
     )
     tables, report = taxonomy.enrich_catalog(base(spark), lines(spark, text), "TAXONOMY")
     entries = {r.key: r for r in tables["taxonomy_entries"].collect()}
-    assert entries["en:custom acid"].ingredient_id == "i330"
-    assert entries["en:parented food"].match_method == "new_ordinary_ingredient"
-    for key in ("en:conflicting codes", "en:unknown code", "en:no translation"):
-        assert entries[key].ingredient_id is None
-    methods = {r.match_method: r.n for r in report["match_methods"].collect()}
-    assert methods == {"exact_e_code": 1, "new_ordinary_ingredient": 1, "code_review_required": 2, "untranslated": 1}
-    parents = {r.parent_reference: r.parent_entry_id for r in tables["taxonomy_parents"].collect()}
-    assert parents == {"en:custom acid": entries["en:custom acid"].entry_id, "en:nowhere": None}
+    assert (entries["en:sour crystals"].ingredient_id, entries["en:red no 2"].ingredient_id) == ("i330", "i123")
+    assert entries["en:two dyes"].ingredient_id is None and entries["en:only english"].ingredient_id is None
+    assert {r.match_method: r.n for r in report["match_methods"].collect()} == {
+        "exact_e_code": 2, "new_ordinary_ingredient": 2, "code_review_required": 1, "untranslated": 1}
+    ids = {key: r.entry_id for key, r in entries.items()}
+    assert {(r.entry_id, r.parent_reference, r.parent_entry_id) for r in tables["taxonomy_parents"].collect()} == {
+        (ids["en:orange peel"], "en:lemon rind", ids["en:lemon rind"]), (ids["en:lemon rind"], "en:orange peel", ids["en:orange peel"]),
+        (ids["en:sour crystals"], "en:orange peel", ids["en:orange peel"]), (ids["en:sour crystals"], "en:fruit", None)}
     assert [r.reason for r in report["unresolved_parents"].collect()] == ["missing"]
-    assert tables["ingredients"].count() == 3
+    assert tables["ingredients"].count() == 4
     active = {(r.ingredient_id, r.alias) for r in tables["ingredient_aliases"].collect()}
-    assert ("i330", "custom acid") in active and ("i330", "E-330") in active and ("i123", "Амарант") in active
+    assert ("i330", "sour crystals") in active and ("i123", "красный") in active
     again, _ = taxonomy.enrich_catalog(base(spark), lines(spark, text), "TAXONOMY")
     assert again["ingredient_aliases"].exceptAll(tables["ingredient_aliases"]).count() == 0
 
@@ -78,35 +80,25 @@ def test_quarantine_reasons(spark):
 
 
 def merge_inputs(spark):
-    """Two catalogs of spices: one shared code, one code with a subtype, one name owned twice by the other side."""
+    """Waxes and herbs: a shared code, a name that two of the new side claim, aliases around the length limit."""
     ing = "ingredient_id string, e_code string, name string, name_en string, category string, kind string, full_description string, position int"
-
-    def item(key, code, name, english=None, position=0):
-        return (key, code, name, english, "dye", "food_additive", f"about {key}", position)
-
     alias = "alias_id string, ingredient_id string, alias string, language string, source string"
     rule = ("rule_id string, ingredient_id string, source_id string, rule_type string, regulatory_status string, evaluation string, "
             "verification_status string, match_policy string, resolved_ingredient_ids array<string>, group_ingredient_id string")
     src = "source_id string, code string"
+    item = lambda key, code, name, english, position: (key, code, name, english, None, "food_additive", f"text of {key}", position)
     primary = {
-        "ingredients": frame(spark, ing, item("new-160", "E160", "Паприка", None, 3), item("new-160ii", "E160(ii)", "Экстракт паприки", None, 4), item("new-name", "E777", "Пряность", None, 5)),
+        "ingredients": frame(spark, ing, item("n-wax", "E901", "Воск", None, 1), item("n-mint", "E950", "Мята", None, 2), item("n-mint-oil", "E951", "мята", None, 3)),
         "ingredient_aliases": spark.createDataFrame([], alias), "ingredient_rules": spark.createDataFrame([], rule),
-        "regulatory_sources": frame(spark, src, ("s-main", "MAIN")),
+        "regulatory_sources": frame(spark, src, ("s1", "NEW")),
     }
-    kept = {"status": "permitted_food_additive", "banned": "regulatory_status", "ending": "regulatory_status"}
-    status = {"status": "PERMITTED_WITH_CONDITIONS", "banned": "BANNED", "ending": "PHASE_OUT"}
-    dropped = ["maximum_use_level", "sweetener_use", "additive_purity_criteria", "mandatory_warning_label"]
-
-    def law(key, kind, value, owner="old-160"):
-        return (key, owner, "s-old", kind, value, "reference_only", "extracted_not_verified", None, ["elsewhere", "old-160"], "elsewhere")
-
+    law = lambda key, owner, kind, status: (key, owner, "s2", kind, status, "reference_only", "extracted_not_verified", None, [owner], None)
     legacy = {
-        "ingredients": frame(spark, ing, item("old-160", "E160", "Экстракт паприки", "PAPRIKA EXTRACT"), item("elsewhere", None, "Соль"),
-                             item("spice-1", None, "Пряность"), item("spice-2", None, "Пряность"), item("spice-3", None, "Пряность")),
-        "ingredient_aliases": frame(spark, alias, ("n1", "old-160", "красный перец", "ru", "y"), ("n2", "old-160", "Смесь y", "en", "y")),
-        "ingredient_rules": frame(spark, rule, *[law(k, kept[k], status[k]) for k in kept], *[law(k, k, status["status"]) for k in dropped],
-                                  law("ownerless", kept["status"], status["status"], None)),
-        "regulatory_sources": frame(spark, src, ("s-old", "OLD")),
+        "ingredients": frame(spark, ing, item("l-wax", "e901", "Пчелиный воск", "BEESWAX", 1), item("l-mint", None, "Мята", None, 2)),
+        "ingredient_aliases": frame(spark, alias, ("a1", "l-wax", "я" * 180, "ru", "x"), ("a2", "l-wax", "ю" * 181, "ru", "x")),
+        "ingredient_rules": frame(spark, rule, law("r1", "l-wax", "permitted_food_additive", "PERMITTED_WITH_CONDITIONS"),
+                                  law("r2", "l-mint", "regulatory_status", "PHASE_OUT"), law("r3", "l-mint", "maximum_use_level", "PERMITTED_WITH_CONDITIONS")),
+        "regulatory_sources": frame(spark, src, ("s2", "OLD")),
     }
     return primary, legacy, spark.createDataFrame([], "form string")
 
@@ -114,23 +106,14 @@ def merge_inputs(spark):
 def test_catalog_merge(spark):
     primary, legacy, ambiguous = merge_inputs(spark)
     tables, report = merging.merge_catalogs(primary, legacy, ambiguous)
-    matches = tables["ingredient_matches"].collect()
-    assert [(r.ingredient_id, r.legacy_ingredient_id) for r in matches] == [("new-160", "old-160")]
-    rules = {r.rule_id: r for r in tables["ingredient_rules"].collect()}
-    assert sorted(rules) == ["banned", "ending", "status"]
-    for r in rules.values():
-        assert r.ingredient_id == "new-160" and r.resolved_ingredient_ids == ["new-160"] and r.group_ingredient_id is None
-        assert sorted(r.legacy_resolved_ingredient_ids) == ["elsewhere", "old-160"] and r.legacy_group_ingredient_id == "elsewhere"
-        assert r.resolved_ingredient_ids_scope == "matched_catalog_subset"
-    open_ = {}
-    for r in report["unmatched"].collect():
-        open_.setdefault(r.ingredient_id, {})[r.candidate_id] = r.reason
-    assert open_["new-160ii"] == {"old-160": "ambiguous_or_requires_review"}
-    assert set(open_["new-name"]) == {"spice-1", "spice-2", "spice-3"}
-    assert {r.ingredient_id: r.name_en for r in tables["ingredients"].collect()}["new-160"] == "PAPRIKA EXTRACT"
-    assert report["excluded_rules"].agg(F.sum("n")).first()[0] == 5  # four kinds that give no status, one without owner
-    assert {r.alias for r in tables["ingredient_aliases"].collect()} == {"красный перец", "PAPRIKA EXTRACT"}
-    assert [r.alias for r in report["rejected_aliases"].collect()] == ["Смесь y"]
+    matches = {(r.ingredient_id, r.legacy_ingredient_id) for r in tables["ingredient_matches"].collect()}
+    assert matches == {("n-wax", "l-wax"), ("n-mint", "l-mint")}  # the second to claim the name has to be reviewed
+    assert {(r.ingredient_id, r.candidate_id) for r in report["unmatched"].collect()} == {("n-mint-oil", "l-mint")}
+    assert {(r.rule_id, r.ingredient_id, *r.resolved_ingredient_ids) for r in tables["ingredient_rules"].collect()} == {
+        ("r1", "n-wax", "n-wax"), ("r2", "n-mint", "n-mint")}
+    assert report["excluded_rules"].agg(F.sum("n")).first()[0] == 1
+    assert {r.alias for r in tables["ingredient_aliases"].collect()} == {"я" * 180, "BEESWAX"}
+    assert [r.alias for r in report["rejected_aliases"].collect()] == ["ю" * 181]
     profiles = primary["ingredients"].select("ingredient_id", "full_description")
     assert merging.merged_violations(tables, profiles, primary["regulatory_sources"]).isEmpty()
     wrong = {**tables, "ingredient_rules": tables["ingredient_rules"].withColumn("rule_type", F.lit("sweetener_use"))}
