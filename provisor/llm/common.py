@@ -26,6 +26,11 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all columns but ``own`` named by their place, so that no name of theirs clashes, and the former names."""
+    return docs.toDF(*[c if c in own else f"c{i}" for i, c in enumerate(docs.columns)]), docs.columns
+
+
 #: Packed tables of counters that one task adds up.
 FAN_IN = 128
 

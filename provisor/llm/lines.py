@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.llm.common import beside, key_bits, link_groups, marks, maybe_in, semi_join, surely_few
+from provisor.llm.common import beside, key_bits, link_groups, marks, maybe_in, semi_join, shielded, surely_few
 from provisor.session import cut_lineage
 
 #: Characters of a shingle, and places that are cut out of a line at once.
@@ -116,8 +116,9 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with their columns, without repeated lines; ``n_chars``, where present, follows.
 
     Every row stays, also when no line is left. Only documents that lose a line are moved.
-    See ``repeated_lines``.
+    Other columns may have any names. See ``repeated_lines``.
     """
+    docs, names = shielded(docs, "doc_id", "text", "n_chars")
     lost = cut_lineage(repeated_lines(docs, percent).where("size(removed) > 0").select(
         F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "removed-lines")
     marked = maybe_in(docs, F.col("doc_id"), key_bits(lost, "_id"), "_maybe")
@@ -128,4 +129,4 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     touched = touched.withColumn("text", F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n"))
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return touched.select(*docs.columns).unionAll(marked.where("not _maybe").select(*docs.columns))
+    return touched.select(*docs.columns).unionAll(marked.where("not _maybe").select(*docs.columns)).toDF(*names)

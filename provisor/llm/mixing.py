@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from provisor.llm.common import shielded
 from provisor.operators.spread import numbered, running_total
 from provisor.session import cut_lineage
 
@@ -81,8 +82,9 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), most: int = 3, seed: str = "") ->
 
     A document that is taken in part gives its first words, joined by one space; ``n_chars``,
     where present, follows. Rows that agree in doc_id, source and text are told apart by their
-    number only.
+    number only. Other columns may have any names.
     """
+    docs, names = shielded(docs, "doc_id", "source", "text", "n_chars")
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     sized = cut_lineage(keyed.select("doc_id", "source", word_count(F.col("text")).alias("size"), "_text"), "sizes")
     plan = takes(sized, weights, most, seed).where("taken > 0").groupBy("doc_id", "source", "_text").agg(
@@ -97,4 +99,4 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), most: int = 3, seed: str = "") ->
     rows = rows.withColumn("text", F.when(left < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*docs.columns).toDF(*names)
