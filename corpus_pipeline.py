@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from provisor.llm.common import key_bits, maybe_in
+from provisor.llm.common import key_bits, maybe_in, shielded
 from provisor.llm.jaccard import similar_sets
 from provisor.llm.lines import remove_repeated_lines
 from provisor.llm.mixing import mixed
@@ -30,11 +30,16 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document, the smallest doc_id, of each group with five-word similarity 0.8."""
+    """One document, the smallest doc_id, of each group with five-word similarity 0.8.
+
+    Rows without doc_id and empty texts stay; rows that share the kept doc_id stay together. Other
+    columns may have any names; an empty table gives none.
+    """
+    docs, names = shielded(docs, "doc_id", "text")
     late = cut_lineage(similar_sets(docs, 5, 80).where("component_id < doc_id").select(F.col("doc_id").alias("_late")), "late")
     marked = maybe_in(docs, F.col("doc_id"), key_bits(late, "_late"), "_maybe")
     checked = marked.where("_maybe").join(late, F.col("doc_id") == F.col("_late"), "left_anti")
-    return checked.select(*docs.columns).unionAll(marked.where("not _maybe").select(*docs.columns))
+    return checked.select(*docs.columns).unionAll(marked.where("not _maybe").select(*docs.columns)).toDF(*names)
 
 
 def mixture(spark, docs, sf_dir):
