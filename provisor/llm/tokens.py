@@ -3,13 +3,15 @@
 A text is cut where the tokenizer's own word pattern always cuts, and every distinct piece is
 encoded once per worker: before a single space between two visible characters, and between an
 ASCII letter and an ASCII punctuation mark other than the apostrophe. The ids of a text are the
-ids of its pieces in a row. A text that spells a special token is ordinary text.
+ids of its pieces in a row. A special token that a text spells out is a piece of its own and gets
+the token's id, as the library does with ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -46,15 +48,32 @@ def _spaces(data: np.ndarray) -> np.ndarray:
     return cut
 
 
-def split(data: np.ndarray, offsets: np.ndarray, keep_space: bool):
+def _spelled(data: np.ndarray, offsets: np.ndarray, special: re.Pattern | None) -> list[tuple[int, int]]:
+    """Where documents spell a special token, left to right, the longest first; none spans two documents."""
+    raw = data.tobytes() if special is not None else b""
+    if special is None or not special.search(raw):
+        return []
+    return [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in special.finditer(raw, a, b)]
+
+
+def _part(cut: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """``cut`` with a piece for each of ``spans``."""
+    for a, b in spans:
+        cut[a], cut[a + 1:b] = True, False
+        cut[b:b + 1] = True
+    return cut
+
+
+def split(data: np.ndarray, offsets: np.ndarray, keep_space: bool, special: re.Pattern | None = None):
     """Piece starts and ends, and the first piece of each document."""
+    spans = _spelled(data, offsets, special)
     if keep_space:
-        cut = _cuts(data) | _spaces(data)
+        cut = _part(_cuts(data) | _spaces(data), spans)
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
     starts, stops, _ = W.word_bounds(data, offsets)
-    inner = np.flatnonzero(_cuts(data))
+    inner = np.flatnonzero(_part(_cuts(data), spans))
     inside = np.searchsorted(starts, inner, "right") - 1
     ok = inside >= 0
     inner, inside = inner[ok], inside[ok]
@@ -71,7 +90,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        names = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile(b"|".join(re.escape(n.encode()) for n in names)) if names else None
         self.keep_space = self.tokenizer.encode_batch_fast(["a b"], add_special_tokens=False)[0].ids != \
             self.tokenizer.encode_batch_fast(["a  b"], add_special_tokens=False)[0].ids
         self._clear()
@@ -93,7 +113,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and where each document's begin."""
-        starts, stops, first = split(data, offsets, self.keep_space)
+        starts, stops, first = split(data, offsets, self.keep_space, self.special)
         codes, seen = pd.factorize(W.span_hashes(data, starts, stops))
         if not len(seen):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

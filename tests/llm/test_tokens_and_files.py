@@ -14,12 +14,10 @@ from tests.llm.helpers import SCHEMA, corpus, frame, row
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 TOKENIZERS = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
-for t in TOKENIZERS.values():
-    t.encode_special_tokens = True
-PIECES = ["a", "B", "é", "'s", "'", "  ", " ", "\n", "\t", ",", "!", "1", "23", " ", "　", "ß", "İ", "中", "don't", "≠", "́", "≠", "\x0b", "\x1f", "ﬁ", "Σ", "😀", "<|endoftext|>"]
+PIECES = ["a", "B", "é", "'s", "'", "  ", " ", "\n", "\t", ",", "!", "1", "23", " ", "　", "ß", "İ", "中", "don't", "≠", "́", "≠", "\x0b", "\x1f", "ﬁ", "Σ", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "<|endof", "text|>"]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=6), st.sampled_from([BYTES, WORDS]))
 def test_pieces_give_the_ids_of_whole_texts(texts, path):
     got = []
@@ -44,7 +42,7 @@ def test_blocks_round_trip(ids, lanes, checkpoint):
 
 
 def test_files_hold_every_document(spark):
-    rows = corpus() + [row(None, "no id"), row(None, None)]
+    rows = corpus() + [row(None, "no id"), row(None, None), row(91, "one <|endoftext|>two <|endof"), row(92, "text|> three")]
     target = new_folder(spark)
     write_ids(frame(spark, rows), BYTES, 2, target, block_ids=500)
     ids = {i: TOKENIZERS[BYTES].encode(r[1] or "", add_special_tokens=False).ids + [2] for i, r in enumerate(rows)}
