@@ -1,30 +1,34 @@
 """Quality classifier by co-training of two views.
 
-The text view sees what a document says: hashed words, hashed endings of punctuation, the case
-pattern of words and repeats of the word before, as a mean over all words of the whole text. The
-page view sees what is known about the page: language, source, lengths, and shares of kinds of
-characters. Both are logistic regressions fitted on a bounded sample. In every round each view
-labels the unlabelled documents it is surest about for the other one. Each view is calibrated on
-held-out labels, and the sum of both log-odds scores every document of the corpus.
+The text view reads the whole text: hashed words, hashed endings of punctuation, the case pattern
+of words and repeats of the word before, as a mean over all words, with lengths and shares of kinds
+of characters. The page view never reads it: language, source and the recorded number of characters.
+Both are logistic regressions fitted on a bounded sample of labelled rows and calibrated on held-out
+ones. In every round both views score all unlabelled documents; each hands the other pseudo-labels
+for a random choice of those beyond its quantiles of all margins, as far as its calibrated
+probability is high enough. In the end the sum of both log-odds scores every document of the corpus.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from provisor.llm import words as W
 from provisor.llm.common import arrow_map
 from provisor.session import cut_lineage
 
-#: Most labelled and unlabelled documents of the fit, rounds, and share of the pool exchanged per round.
-LABELLED, POOL, ROUNDS, EXCHANGED = 5_000, 3_000, 3, 0.1
+#: Most labelled rows of the fit, pseudo-labels that a view hands over per round, and rounds.
+LABELLED, PSEUDO, ROUNDS = 5_000, 300, 3
+#: Share of all unlabelled documents beyond a view's two quantiles, and the calibrated probability of a pseudo-label.
+ZONE, SURE = 0.1, 0.9
 WORD_SLOTS, SHAPE_SLOTS, PAGE_SLOTS = 1 << 12, 1 << 8, 64
 TEXT_SLOTS = WORD_SLOTS + SHAPE_SLOTS
-_NUMBERS = 12
+_NUMBERS, _PAGE_NUMBERS = 12, 2
 
 _b = np.arange(256)
 _UPPER, _LOWER = (_b >= 65) & (_b <= 90), (_b >= 97) & (_b <= 122)
@@ -46,7 +50,7 @@ def text_slots(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: n
     return words, WORD_SLOTS + shape.astype(np.int32)
 
 
-def page_numbers(data: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> np.ndarray:
+def text_numbers(data: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per document: lengths and shares of kinds of characters; zeros for an empty text."""
     size = np.diff(offsets).astype(float)
     safe = np.maximum(size, 1)
@@ -78,14 +82,21 @@ def _names(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return slots
 
 
+def _recorded(batch: pa.RecordBatch) -> np.ndarray:
+    """Per document: logarithm of the recorded number of characters, and whether there is none."""
+    n = batch.column("n_chars").to_numpy(zero_copy_only=False).astype(float)
+    known = np.isfinite(n) & (n >= 0)
+    return np.stack([np.log1p(np.where(known, n, 0)) / 10, (~known).astype(float)], 1)
+
+
 def features(batch: pa.RecordBatch):
-    """Per run of documents: (i, j, word slots, shape slots, first word, page numbers, page slots)."""
+    """Per run of documents: (i, j, word slots, shape slots, first word, text numbers, page numbers, page slots)."""
     data, offsets = W.buffers(batch.column("text").cast(pa.string()) if not pa.types.is_string(batch.column("text").type) else batch.column("text"))
-    named = np.stack([_names(batch, c) for c in ("lang", "source")], 1)
+    named, recorded = np.stack([_names(batch, c) for c in ("lang", "source")], 1), _recorded(batch)
     for i, j in W.pieces(offsets, W.PIECE // 2):
         part, own = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         starts, stops, first = W.word_bounds(part, own)
-        yield i, j, *text_slots(part, starts, stops, first), first, page_numbers(part, own, first), named[i:j]
+        yield i, j, *text_slots(part, starts, stops, first), first, text_numbers(part, own, first), recorded[i:j], named[i:j]
 
 
 def _means(slots: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -113,10 +124,10 @@ class Model:
     page: View
     prior: float
 
-    def margins(self, words, shapes, first, numbers, named) -> tuple[np.ndarray, np.ndarray]:
+    def margins(self, words, shapes, first, numbers, recorded, named) -> tuple[np.ndarray, np.ndarray]:
         t, p = self.text.weights, self.page.weights
-        text = 8 * (_means(words, t, first) + _means(shapes, t, first)) + self.text.bias
-        page = numbers @ p[:_NUMBERS] + p[_NUMBERS + named[:, 0]] + p[_NUMBERS + PAGE_SLOTS + named[:, 1]] + self.page.bias
+        text = 8 * (_means(words, t, first) + _means(shapes, t, first)) + numbers @ t[TEXT_SLOTS:] + self.text.bias
+        page = recorded @ p[:_PAGE_NUMBERS] + p[_PAGE_NUMBERS + named[:, 0]] + p[_PAGE_NUMBERS + PAGE_SLOTS + named[:, 1]] + self.page.bias
         return text, page
 
     def combined(self, text: np.ndarray, page: np.ndarray) -> np.ndarray:
@@ -170,104 +181,152 @@ def _line(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0) / scale, b
 
 
-def train(rows) -> Model | None:
-    """Model from packed sample rows: label (-1: none), slots, values, page numbers, page slots."""
+def _dense(at: np.ndarray, values: np.ndarray, offset: int):
+    """Rows, slots and values of a dense block whose columns begin at ``offset``."""
+    i, j = np.nonzero(values)
+    return at[i], j + offset, values[i, j]
+
+
+def matrices(rows) -> tuple[_Sparse, _Sparse]:
+    """Both views of packed rows: label, slots, values, text numbers, page numbers, page slots."""
+    slots, values, numbers, recorded, named = (
+        np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in ((1, np.int32), (2, np.float32), (3, np.float64), (4, np.float64), (5, np.int64)))
+    each = np.arange(len(rows))
+    own = np.repeat(each, [len(r[1]) // 4 for r in rows]), slots, values
+    text = map(np.concatenate, zip(own, _dense(each, numbers.reshape(-1, _NUMBERS), TEXT_SLOTS)))
+    named = named.reshape(-1, 2)
+    ones = np.ones(len(rows))
+    page = map(np.concatenate, zip(
+        _dense(each, recorded.reshape(-1, _PAGE_NUMBERS), 0), (each, _PAGE_NUMBERS + named[:, 0], ones), (each, _PAGE_NUMBERS + PAGE_SLOTS + named[:, 1], ones)))
+    return _Sparse(*text, len(rows), TEXT_SLOTS + _NUMBERS), _Sparse(*page, len(rows), _PAGE_NUMBERS + 2 * PAGE_SLOTS)
+
+
+def train(rows, given=((), ())) -> Model | None:
+    """Model from packed labelled rows; ``given`` holds the pseudo-labelled rows of the text and of the page view.
+
+    A quarter of the labelled rows is held out for calibration. None if one of the labels is missing.
+    """
     label = np.array([r[0] for r in rows], np.int64)
     if not (label == 1).any() or not (label == 0).any():
         return None
-    slots, values, numbers, named = (
-        np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in ((1, np.int32), (2, np.float32), (3, np.float64), (4, np.int64)))
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) // 4 for r in rows])
-    text = _Sparse(at, slots, values, len(rows), TEXT_SLOTS)
-    numbers, named = numbers.reshape(-1, _NUMBERS), named.reshape(-1, 2)
-    width = _NUMBERS + 2 * PAGE_SLOTS
-    pages = np.zeros((len(rows), width))
-    pages[:, :_NUMBERS] = numbers
-    pages[np.arange(len(rows)), _NUMBERS + named[:, 0]] = 1
-    pages[np.arange(len(rows)), _NUMBERS + PAGE_SLOTS + named[:, 1]] = 1
-    i, j = np.nonzero(pages)
-    page = _Sparse(i, j, pages[i, j], len(rows), width)
-
-    known, pool = np.flatnonzero(label >= 0), np.flatnonzero(label < 0)
-    held = known[::4] if all(len(set(label[known[k::4]])) == 2 for k in range(4)) else known
+    known = np.arange(len(rows))
+    held = known[::4] if all(len(set(label[k::4])) == 2 for k in range(4)) else known
     learn = np.setdiff1d(known, held) if len(held) < len(known) else known
-    share = label[learn].mean()
-    given = {0: {}, 1: {}}  # pseudo-labels that each view has been given
-    for turn in range(ROUNDS + 1):
-        fitted = []
-        for view, x in enumerate((text, page)):
-            index = np.concatenate([learn, np.array(list(given[view]), np.int64)])
-            y = np.concatenate([label[learn], np.array(list(given[view].values()), np.int64)]).astype(float)
-            weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-            fitted.append(_fit(x.take(index), y, weight))
-        if turn == ROUNDS or not len(pool):
-            break
-        for view, x in enumerate((text, page)):
-            margin = x.take(pool).dot(fitted[view][0]) + fitted[view][1]
-            order, n = np.argsort(margin), int(len(pool) * EXCHANGED)
-            low = int(round(n * (1 - share)))
-            for d in order[:low]:
-                given[1 - view].setdefault(int(pool[d]), 0)
-            for d in order[len(order) - (n - low):]:
-                given[1 - view].setdefault(int(pool[d]), 1)
-    views = []
-    for (w, b), x in zip(fitted, (text, page)):
+    share, views = label[learn].mean(), []
+    for view in (0, 1):
+        more = list(given[view])
+        x = matrices([*rows, *more])[view]
+        index = np.concatenate([learn, len(rows) + np.arange(len(more))])
+        y = np.concatenate([label[learn], np.array([r[0] for r in more], np.int64)]).astype(float)
+        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        w, b = _fit(x.take(index), y, weight)
         views.append(View(w, b, *_line(x.take(held).dot(w) + b, label[held])))
-    prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    return Model(*views, prior)
+    return Model(*views, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
 
 
-def _sample(batches):
+def _packed(batches):
     for batch in batches:
-        for i, j, words, shapes, first, numbers, named in features(batch):
+        for i, j, words, shapes, first, numbers, recorded, named in features(batch):
             slots, values = [], []
             for a, b in zip(first[:-1], first[1:]):
                 own, n = np.unique(np.concatenate([words[a:b], shapes[a:b]]), return_counts=True)
                 slots.append(own.astype(np.int32).tobytes())
                 values.append((8 * n / max(1, b - a)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([
-                batch.column("_quality").slice(i, j - i).fill_null(-1), pa.array(slots, pa.binary()), pa.array(values, pa.binary()),
-                pa.array([x.tobytes() for x in numbers], pa.binary()), pa.array([x.tobytes() for x in named], pa.binary())],
-                ["label", "slots", "values", "numbers", "named"])
+                batch.column("_label").slice(i, j - i), pa.array(slots, pa.binary()), pa.array(values, pa.binary()),
+                *[pa.array([x.tobytes() for x in part], pa.binary()) for part in (numbers, recorded, named)]],
+                ["label", "slots", "values", "numbers", "recorded", "named"])
 
 
 def _needed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *[
-        (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")])
+    counted = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.NumericType)
+    return docs.select("doc_id", *[
+        (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("text", "lang", "source")],
+        (F.col("n_chars").cast("double") if counted else F.lit(None).cast("double")).alias("n_chars"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Co-train on at most ``labelled`` rows of ``labels(doc_id, quality)`` and ``pool`` others.
+def _rows_of(docs: DataFrame, chosen: DataFrame) -> list:
+    """Packed rows of ``chosen(doc_id, _label)``, whose ids are unique and few; of a repeated id the row with the smallest hash."""
+    found = _needed(docs).join(F.broadcast(chosen), "doc_id")
+    columns = ["text", "lang", "source", "n_chars", "_label"]
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*columns).alias("_hash"), *columns)).alias("_row"))
+    rows = arrow_map(one.select("doc_id", "_row.*"), _packed, "label int, slots binary, values binary, numbers binary, recorded binary, named binary").collect()
+    return sorted((r[0], *map(bytes, r[1:])) for r in rows)
 
-    Both samples take the smallest hashes of doc_id. Labels other than 0 and 1, and ids with both,
-    are ignored. None if one of the labels is missing. The sample's documents are found by a
-    broadcast of its ids, which the two limits bound.
+
+def _surest(open_docs: DataFrame, model: Model, pseudo: int, turn: int) -> DataFrame:
+    """doc_id, view (that gets the pseudo-label: 0 text, 1 page) and _label, at most ``pseudo`` for each view."""
+    shared = open_docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            text, page = np.zeros(len(batch)), np.zeros(len(batch))
+            for i, j, *seen in features(batch):
+                text[i:j], page[i:j] = shared.value.margins(*seen)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.text.log_odds(text)), pa.array(shared.value.page.log_odds(page))],
+                                             ["doc_id", "text", "page"])
+
+    kind = open_docs.schema["doc_id"].dataType.simpleString()
+    odds = cut_lineage(arrow_map(open_docs, run, f"doc_id {kind}, text double, page double"), "margins")
+    good = 1 / (1 + np.exp(-model.prior))
+    ends = [ZONE * (1 - good), 1 - ZONE * good]
+    told = odds.agg(*[F.percentile_approx(c, [float(e) for e in ends], 10_000).alias(c) for c in ("text", "page")]).first()
+    few, parts = {0: int(round(pseudo * (1 - good))), 1: pseudo - int(round(pseudo * (1 - good)))}, []
+    least = float(np.log(SURE / (1 - SURE)))
+    by = [F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id")]
+    for view, own in ((1, "text"), (0, "page")):
+        low, high = told[own] or (0.0, 0.0)
+        if low < high:
+            for label, beyond in ((0, F.col(own) <= min(low, -least)), (1, F.col(own) >= max(high, least))):
+                ids = odds.where(beyond).select("doc_id").distinct().orderBy(*by).limit(few[label])
+                parts.append(ids.select("doc_id", F.lit(view).alias("view"), F.lit(label).alias("_label")))
+    return reduce(DataFrame.unionAll, parts) if parts else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO) -> Model | None:
+    """Co-train on at most ``labelled`` rows of ``labels(doc_id, quality)`` and all other documents.
+
+    The labelled rows are those with the smallest hashes of doc_id. Labels other than 0 and 1, and
+    ids with both, are ignored. None if one of the labels is missing. Each round scores every
+    document without a label; ``pseudo`` bounds only the pseudo-labels a view gets in a round. The
+    texts of chosen ids are found by broadcasts of those ids, which the two limits bound; rows
+    with a null doc_id are not chosen, and an id that stands in several rows gives one of them.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
-        F.min("quality").alias("_quality"), F.max("quality").alias("_most")).where("_quality = _most").drop("_most")
+        F.min("quality").alias("_label"), F.max("quality").alias("_most")).where("_label = _most").select("doc_id", F.col("_label").cast("int").alias("_label"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    by = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
-    chosen = known.join(ids, "doc_id", "left_semi").orderBy(*by).limit(labelled)
-    others = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*by).limit(pool).withColumn("_quality", F.lit(None).cast("int"))
-    sample = cut_lineage(chosen.select("doc_id", F.col("_quality").cast("int").alias("_quality")).unionAll(others), "sample")
-    texts = _needed(docs).join(F.broadcast(sample), "doc_id")
-    rows = arrow_map(texts, _sample, "label int, slots binary, values binary, numbers binary, named binary").collect()
-    return train(rows)
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")).limit(labelled)
+    rows = _rows_of(docs, cut_lineage(chosen, "sample"))
+    model = train(rows)
+    if model is None:
+        return None
+    open_docs = _needed(docs).where("doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    given: tuple[dict, dict] = ({}, {})
+    for turn in range(ROUNDS):
+        found = _surest(open_docs, model, pseudo, turn)
+        if found is None:
+            break
+        found = cut_lineage(found, "pseudo")
+        for view in (0, 1):
+            for row in _rows_of(docs, found.where(F.col("view") == view).groupBy("doc_id").agg(F.max("_label").alias("_label"))):
+                given[view].setdefault(row[1:], row)
+        model = train(rows, [list(g.values()) for g in given])
+    return model
 
 
 def _scores(model: Model, batch: pa.RecordBatch):
     text, page = np.zeros(len(batch)), np.zeros(len(batch))
-    for i, j, words, shapes, first, numbers, named in features(batch):
-        text[i:j], page[i:j] = model.margins(words, shapes, first, numbers, named)
+    for i, j, *seen in features(batch):
+        text[i:j], page[i:j] = model.margins(*seen)
     odds = lambda z: 1 / (1 + np.exp(-z))
     return odds(model.text.log_odds(text)), odds(model.page.log_odds(page)), odds(model.combined(text, page))
 
 
 def score(docs: DataFrame, labels: DataFrame, least: float = 0.5, **limits) -> DataFrame:
-    """doc_id, p_text, p_page, score and keep for every row of ``docs(doc_id, text, lang, source)``.
+    """doc_id, p_text, p_page, score and keep for every row of ``docs(doc_id, text, lang, source, n_chars)``.
 
-    ``keep`` is score >= ``least``. Null text is empty; a null language or source is a value of
-    its own, and so is a missing column. Without a model (see ``fit``) everything is kept and the
+    ``keep`` is score >= ``least``. Null text is empty; a null language, source or number is a value
+    of its own, and so is a missing column. Rows that stand twice are scored twice, alike. Without a model (see ``fit``) everything is kept and the
     numbers are null. Other columns are ignored.
     """
     model = fit(docs, labels, **limits)
@@ -287,16 +346,21 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.5, **limits) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **limits) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with their columns."""
+    """The rows of ``docs`` that ``score`` keeps, with their columns, whatever those are called.
+
+    Repeated rows stay or go together; an empty table stays empty.
+    """
     model = fit(docs, labels, **limits)
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.columns
+    counted = "n_chars" in own and isinstance(docs.schema["n_chars"].dataType, T.NumericType)
 
     def run(batches):
         for batch in batches:
             seen = {c: batch.column(own.index(c)).cast(pa.string()) if c in own else pa.nulls(len(batch), pa.string()) for c in ("text", "lang", "source")}
+            seen["n_chars"] = batch.column(own.index("n_chars")).cast(pa.float64()) if counted else pa.nulls(len(batch), pa.float64())
             _, _, both = _scores(shared.value, pa.RecordBatch.from_pydict(seen))
             yield batch.filter(pa.array(both >= least))
 

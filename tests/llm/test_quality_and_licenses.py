@@ -22,11 +22,11 @@ def test_cotraining_on_held_out_documents(spark):
     rows, labels = labelled()
     table = spark.createDataFrame(labels + [(None, 1, 0), (2, 9, 0)], "doc_id long, quality int, toxic int")
     odd = [row(800, None), row(801, ""), row(None, rows[1][1]), row(802, "w" * 100000, lang=None, source=None), rows[7]]
-    got = {r.doc_id: r for r in score(frame(spark, rows + odd), table, labelled=150, pool=100).collect()}
+    got = {r.doc_id: r for r in score(frame(spark, rows + odd), table, labelled=150, pseudo=20).collect()}
     held = [i for i in range(400) if i % 2]
     assert sum(got[i].keep == (i % 5 != 0) for i in held) >= 0.98 * len(held)
     assert all(got[i].keep for i in held if i % 5) and 800 in got and 801 in got and 802 in got
-    kept = keep_good(frame(spark, rows + odd), table, labelled=150, pool=100)
+    kept = keep_good(frame(spark, rows + odd), table, labelled=150, pseudo=20)
     assert kept.columns == frame(spark, rows).columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 400 and r.doc_id != 7) == [i for i in got if i is not None and i < 400 and i != 7 and got[i].keep] or \
         {r.doc_id for r in kept.collect()} == {i for i in got if got[i].keep}
