@@ -29,6 +29,8 @@ ZONE, SURE = 0.1, 0.9
 WORD_SLOTS, SHAPE_SLOTS, PAGE_SLOTS = 1 << 12, 1 << 8, 64
 TEXT_SLOTS = WORD_SLOTS + SHAPE_SLOTS
 _NUMBERS, _PAGE_NUMBERS = 12, 2
+#: Neutral words added to every text's mean, so that a few words prove little.
+NEUTRAL = 8
 
 _b = np.arange(256)
 _UPPER, _LOWER = (_b >= 65) & (_b <= 90), (_b >= 97) & (_b <= 122)
@@ -102,7 +104,7 @@ def features(batch: pa.RecordBatch):
 def _means(slots: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(slots) + 1)
     np.cumsum(weights[slots], out=sums[1:])
-    return np.diff(sums[first]) / np.maximum(np.diff(first), 1)
+    return np.diff(sums[first]) / (np.diff(first) + NEUTRAL)
 
 
 @dataclass
@@ -231,7 +233,7 @@ def _packed(batches):
             for a, b in zip(first[:-1], first[1:]):
                 own, n = np.unique(np.concatenate([words[a:b], shapes[a:b]]), return_counts=True)
                 slots.append(own.astype(np.int32).tobytes())
-                values.append((8 * n / max(1, b - a)).astype(np.float32).tobytes())
+                values.append((8 * n / (b - a + NEUTRAL)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([
                 batch.column("_label").slice(i, j - i), pa.array(slots, pa.binary()), pa.array(values, pa.binary()),
                 *[pa.array([x.tobytes() for x in part], pa.binary()) for part in (numbers, recorded, named)]],
