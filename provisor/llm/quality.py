@@ -256,9 +256,12 @@ def _rows_of(docs: DataFrame, chosen: DataFrame) -> list:
     return sorted((r[0], *map(bytes, r[1:])) for r in rows)
 
 
-def _surest(open_docs: DataFrame, model: Model, pseudo: int, turn: int) -> DataFrame:
-    """doc_id, view (that gets the pseudo-label: 0 text, 1 page) and _label, at most ``pseudo`` for each view."""
-    shared = open_docs.sparkSession.sparkContext.broadcast(model)
+def _surest(docs: DataFrame, labels: DataFrame, model: Model, pseudo: int, turn: int) -> DataFrame | None:
+    """doc_id, view (that gets the pseudo-label: 0 text, 1 page) and _label, at most ``pseudo`` for each view.
+
+    Labelled documents are scored as well and left out after it: only ids and margins are joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
@@ -268,8 +271,9 @@ def _surest(open_docs: DataFrame, model: Model, pseudo: int, turn: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.text.log_odds(text)), pa.array(shared.value.page.log_odds(page))],
                                              ["doc_id", "text", "page"])
 
-    kind = open_docs.schema["doc_id"].dataType.simpleString()
-    odds = cut_lineage(arrow_map(open_docs, run, f"doc_id {kind}, text double, page double"), "margins")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    odds = arrow_map(_needed(docs).where("doc_id is not null"), run, f"doc_id {kind}, text double, page double")
+    odds = cut_lineage(odds.join(labels.select("doc_id"), "doc_id", "left_anti"), "margins")
     good = 1 / (1 + np.exp(-model.prior))
     ends = [ZONE * (1 - good), 1 - ZONE * good]
     told = odds.agg(*[F.percentile_approx(c, [float(e) for e in ends], 10_000).alias(c) for c in ("text", "page")]).first()
@@ -302,10 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: in
     model = train(rows)
     if model is None:
         return None
-    open_docs = _needed(docs).where("doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
     given: tuple[dict, dict] = ({}, {})
     for turn in range(ROUNDS):
-        found = _surest(open_docs, model, pseudo, turn)
+        found = _surest(docs, labels, model, pseudo, turn)
         if found is None:
             break
         found = cut_lineage(found, "pseudo")
