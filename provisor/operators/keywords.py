@@ -31,7 +31,8 @@ def close_words(words: DataFrame, keywords: DataFrame, most: int = 3) -> DataFra
     no keyword can reach get no remainders, and the work grows with distinct words, not with pairs.
     """
     keywords = keywords.where("keyword is not null and bound is not null").groupBy("keyword").agg(F.max(F.least("bound", F.lit(most))).alias("bound"))
-    words = cut_lineage(words.where("word is not null").select("word").distinct(), "words")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not left to AQE
+    words = cut_lineage(words.where("word is not null").select("word").distinct().repartition(parts, "word"), "words")
     pairs = None
     for bound in range(most + 1):
         own = keywords.where(F.col("bound") == bound).select("keyword")
