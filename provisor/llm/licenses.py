@@ -39,6 +39,8 @@ TEMPLATES = {
     "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
     "mpl-2.0": ["subject to the terms of the mozilla public license version 2.0", "licensed under the mozilla public license version 2.0"],
 }
+# The name of a family, without which a template that holds it is not confirmed.
+NAMES = {"agpl-3.0": "affero", "apache-2.0": "apache", "bsd": "bsd", "gpl-2.0": "gnu", "gpl-3.0": "gnu", "lgpl": "lesser", "mit": "mit", "mpl-2.0": "mozilla"}
 # Ordinary sentences that use the same words.
 ORDINARY = [
     "the driver lost his license after the accident", "you need a license to fish in this lake", "she has the right to remain silent",
@@ -117,12 +119,22 @@ _PAIRS = [[set(zip(t.split(), t.split()[1:])) for t in TEMPLATES[f]] for f in TE
 def families(own: set, p: np.ndarray, confirm: float) -> list[int]:
     """Numbers of the families whose template share reaches ``confirm``, the largest share first, then the largest p.
 
+    A template that holds its family's name needs that name: the wording of licences of other names is no notice.
+
     A further family must be told from those before it: the window has all pairs of its template
     that theirs lack, or ``confirm`` of these and two fifths of the template besides what theirs
     have there. So the wording that GNU or Creative Commons licences share is no second notice.
     """
-    best = [max(ts, key=lambda t: len(t & own) / len(t)) for ts in _PAIRS]
-    share = [len(t & own) / len(t) for t in best]
+    said = {w for pair in own for w in pair}
+
+    def shared(family: str, template: set) -> float:
+        name = NAMES.get(family)
+        if name and name not in said and any(name in pair for pair in template):
+            return 0.0
+        return len(template & own) / len(template)
+
+    best = [max(ts, key=lambda t: shared(f, t)) for f, ts in zip(TEMPLATES, _PAIRS)]
+    share = [shared(f, t) for f, t in zip(TEMPLATES, best)]
     found: list[int] = []
     for f in sorted((f for f in range(len(best)) if share[f] >= confirm), key=lambda f: (-share[f], -p[f])):
         t = best[f]

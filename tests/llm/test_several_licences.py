@@ -23,3 +23,9 @@ def test_every_family_of_a_paragraph_and_wrapped_notices(spark):
     assert {text: got[1000 + i].families for i, text in enumerate(CASES)} == CASES
     lines = {i: [n.paragraph for n in got[1000 + i].notices] for i in range(len(CASES))}
     assert lines[7] == [0] and lines[8] == [1] and lines[9] == [0, 1]
+
+
+def test_another_licence_of_the_same_wording_is_no_notice(spark):
+    rows = [row(1, "Licensed under the Eclipse Public License, version 2.0."), row(2, "Released under the ISC License."),
+            row(3, "Licensed under the Mozilla Public License, version 2.0.")]
+    assert {r.doc_id: r.families for r in scan(frame(spark, rows)).collect()} == {1: [], 2: [], 3: ["mpl-2.0"]}
