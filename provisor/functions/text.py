@@ -6,7 +6,6 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 from provisor.session import ship
@@ -47,37 +46,11 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_ICU: dict[str, bool] = {}
-
-
-def _icu_in_jvm() -> bool:
-    """True when the session can call ICU, which ships with Spark 4 for its collations."""
-    if "found" not in _ICU:
-        session = SparkSession.getActiveSession()
-        if session is None:
-            return False
-        try:
-            session.range(1).select(_icu_normal_form(F.lit("a"))).schema
-            _ICU["found"] = True
-        except AnalysisException:  # the analyzer refuses unknown classes
-            _ICU["found"] = False
-    return _ICU["found"]
-
-
 def _ship_to_workers() -> None:
     if (session := SparkSession.getActiveSession()) is not None:
         ship(session)
 
 
-def _icu_fold(text: Column) -> Column:
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
-
-
-def _icu_normal_form(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(_icu_fold(text), "ё", "е"), r"[^\p{L}\p{N}_]+", " "))
-
-
 @F.pandas_udf(T.StringType())
 def _arrow_fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
@@ -103,15 +76,13 @@ def simple_normal_form(text: Column) -> Column:
 def normalize_text(text: Column, *, any_script: bool = True) -> Column:
     """Compatibility form, case folding, punctuation to single spaces.
 
-    Texts outside the simple character set take the full Unicode path: ICU inside the JVM, or an
-    Arrow function (which sees nulls for all simple texts) where ICU is not on the class path.
-    ``any_script=False`` is for inputs known to be simple, such as normalised columns.
+    Texts outside the simple character set take the full Unicode path, an Arrow function that sees
+    nulls for all simple texts. The expression is deterministic, so filters on other columns reach
+    the scan below it. ``any_script=False`` is for inputs known to be simple, such as normalised columns.
     """
     if not any_script:
         return simple_normal_form(text)
     simple = is_simple(text)
-    if _icu_in_jvm():
-        return F.when(simple, simple_normal_form(text)).when(text.isNotNull(), _icu_normal_form(text))
     _ship_to_workers()
     return F.when(simple, simple_normal_form(text)).otherwise(_arrow_normal_form(F.when(~simple, text)))
 
@@ -120,8 +91,6 @@ def fold_text(text: Column) -> Column:
     """Compatibility form and case folding only; punctuation stays."""
     simple = is_simple(text)
     plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    if _icu_in_jvm():
-        return F.when(simple, plain).when(text.isNotNull(), _icu_fold(text))
     _ship_to_workers()
     return F.when(simple, plain).otherwise(_arrow_fold(F.when(~simple, text)))
 

@@ -18,16 +18,28 @@ TITLES = {
     "clear": "Предупреждений не найдено",
 }
 
+# Descriptions shown for a verdict.
+DESCRIPTIONS = {
+    "forbidden": "Найдены сведения о запрете применения отдельных ингредиентов. Учитывайте источники, их актуальность и условия применения.",
+    "avoid": "В составе есть ингредиенты, которые лучше исключить или ограничить.",
+    "attention": "В составе есть ингредиенты, требующие внимания.",
+    "personal": "Найдены ингредиенты из ваших исключений: ",
+    "incomplete": "Для части состава нет оценки или точного совпадения в справочнике. Это не подтверждает безопасность продукта.",
+    "clear": "По найденным правилам предупреждений нет. Допустимость применения зависит от количества и категории продукта.",
+}
+
 
-def label_counts(resolved: DataFrame, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
+def label_counts(resolved: DataFrame, keys: tuple[str, ...] = ("product_id",), with_hits: bool = False) -> DataFrame:
     """Counts a verdict needs, per label; ``resolved`` carries ``ingredient_id`` and ``weight``.
 
     Two map-side combined aggregates with numeric buffers: repeated ingredients fold first, so a
     label with very many tokens is spread over its ingredients before it meets in one row.
+    ``with_hits`` adds ``hits``, the excluded ingredients of the label with their first positions.
     """
     folded = resolved.groupBy(*keys, "ingredient_id").agg(
         F.max("weight").alias("weight"), F.count("pos").alias("tokens"),
         *([F.max("personal").alias("personal")] if "personal" in resolved.columns else []),
+        *([F.min("pos").alias("pos")] if with_hits else []),
     )
     found = F.col("ingredient_id").isNotNull()
     personal = F.coalesce(F.col("personal"), F.lit(False)) if "personal" in folded.columns else F.lit(False)
@@ -38,6 +50,7 @@ def label_counts(resolved: DataFrame, keys: tuple[str, ...] = ("product_id",)) -
         F.count_if(found & personal).alias("personal_hits"),
         F.coalesce(F.max(F.when(found, F.col("weight"))), F.lit(-1)).alias("weight"),
         F.count_if(found & (F.col("weight") < 0)).alias("unknown"),
+        *([F.collect_list(F.when(found & personal, F.struct("pos", "ingredient_id"))).alias("hits")] if with_hits else []),
     )
 
 
@@ -65,6 +78,32 @@ def verdicts(counts: DataFrame) -> DataFrame:
     )
 
 
+def described(judged: DataFrame, names: DataFrame | None = None, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
+    """:func:`verdicts` with the ``description`` shown to the user.
+
+    With ``names`` (``ingredient_id``, ``e_code``, ``name``) a personal verdict lists code and name of
+    the excluded ingredients in the order of the label, equal ones once; ``judged`` then carries ``hits``
+    and its rows are unique per ``keys``. Hits are the only rows that meet the names. An ingredient
+    without code and name adds an empty entry.
+    """
+    text = F.lit(DESCRIPTIONS["clear"])
+    for test, kind in ((F.col("incomplete"), "incomplete"), *((F.col("severity") == k, k) for k in ("attention", "avoid", "forbidden"))):
+        text = F.when(test, DESCRIPTIONS[kind]).otherwise(text)
+    if names is None:
+        return judged.withColumn("description", F.when(F.col("personal_hits") > 0, DESCRIPTIONS["personal"]).otherwise(text))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    shown = names.select(F.col("ingredient_id").alias("_hit"), F.concat_ws(" ", filled("e_code"), filled("name")).alias("_shown"))
+    rest = [c for c in judged.columns if c not in (*keys, "hits")]
+    spread = judged.select(*keys, F.struct(*rest).alias("_row"), F.explode_outer("hits").alias("_h")).select(
+        *keys, "_row", F.col("_h.pos").alias("_pos"), F.col("_h.ingredient_id").alias("_hit")).join(shown, "_hit", "left")
+    listed = spread.groupBy(*keys, "_row").agg(F.array_sort(F.collect_list(
+        F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_shown")))).alias("_list"))
+    named = F.array_join(F.array_distinct(F.transform("_list", lambda x: F.coalesce(x["_shown"], F.lit("")))), ", ")
+    out = listed.select(*keys, "_row.*", named.alias("_names"))
+    return out.withColumn("description", F.when(
+        F.col("personal_hits") > 0, F.concat(F.lit(DESCRIPTIONS["personal"]), F.col("_names"))).otherwise(text)).drop("_names")
+
+
 def with_personal_hits(
     resolved: DataFrame, exclusions: DataFrame, excluded_names: DataFrame | None = None
 ) -> DataFrame:

@@ -40,12 +40,19 @@ def analyse_labels(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
     zero counts.
     """
     tokens = resolve.with_lookup_key(resolve.label_tokens(labels.repartition("product_id"), keep_empty=True))
-    return verdict.verdicts(verdict.label_counts(resolve.resolve_tokens(tokens, dictionary)))
+    return verdict.described(verdict.verdicts(verdict.label_counts(resolve.resolve_tokens(tokens, dictionary))))
 
 
-def personal_verdicts(labels: DataFrame, dictionary: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """One verdict row per label and its user (``product_id``, ``user_id``, ``text``)."""
+def personal_verdicts(
+    labels: DataFrame, dictionary: DataFrame, exclusions: DataFrame, names: DataFrame | None = None
+) -> DataFrame:
+    """One verdict row per label and its user (``product_id``, ``user_id``, ``text``).
+
+    With ``names`` (``ingredient_id``, ``e_code``, ``name``) the description of a personal verdict
+    lists the excluded ingredients.
+    """
     keys = ("product_id", "user_id")
     tokens = resolve.with_lookup_key(resolve.label_tokens(labels.repartition(*keys), keys=keys, keep_empty=True))
     flagged = verdict.with_personal_hits(resolve.resolve_tokens(tokens, dictionary), exclusions)
-    return verdict.verdicts(verdict.label_counts(flagged, keys))
+    judged = verdict.verdicts(verdict.label_counts(flagged, keys, with_hits=names is not None))
+    return verdict.described(judged, names, keys)

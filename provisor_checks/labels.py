@@ -197,6 +197,29 @@ def _(t):
     return out.select("product_id", "user_id", "matched", "unmatched", "reasons", "level", "risk_score")
 
 
+SHOWN = {name: text.replace("'", "''") for name, text in verdict.DESCRIPTIONS.items()}
+PLAIN_TEXT = f"""CASE WHEN w = 3 THEN '{SHOWN['forbidden']}' WHEN w = 2 THEN '{SHOWN['avoid']}' WHEN w = 1 THEN '{SHOWN['attention']}'
+      WHEN unmatched > 0 OR matched = 0 OR unknown > 0 THEN '{SHOWN['incomplete']}' ELSE '{SHOWN['clear']}' END"""
+
+
+@check("agg_3_descriptions", TEXT_HEAD + "," + COUNTS + "SELECT product_id, " + PLAIN_TEXT + " AS description FROM (SELECT *, weight AS w FROM counted)")
+def _(t):
+    return analysis.analyse_labels(t.label_texts, catalog(t)).select("product_id", "description")
+
+
+@check("agg_4_descriptions", PERSONAL_SQL + """,
+    c AS (SELECT product_id, user_id, count(ingredient_id) AS matched, coalesce(sum(n) FILTER (WHERE ingredient_id IS NULL), 0) AS unmatched,
+      count(*) FILTER (WHERE personal) AS hits, coalesce(max(weight) FILTER (WHERE ingredient_id IS NOT NULL), -1) AS w,
+      count(*) FILTER (WHERE ingredient_id IS NOT NULL AND weight < 0) AS unknown FROM hit GROUP BY 1, 2),
+    named AS (SELECT h.product_id, h.user_id, string_agg(concat_ws(' ', i.e_code, i.name), ', ' ORDER BY h.pos) AS names
+      FROM hit h JOIN ingredients i ON i.ingredient_id = h.ingredient_id WHERE h.personal GROUP BY 1, 2)
+    SELECT c.product_id, c.user_id, CASE WHEN hits > 0 THEN '""" + SHOWN["personal"] + "' || names ELSE " + PLAIN_TEXT + """ END AS description
+    FROM c LEFT JOIN named ON named.product_id = c.product_id AND named.user_id = c.user_id""")
+def _(t):
+    names = t.ingredients.select("ingredient_id", "e_code", "name")
+    return analysis.personal_verdicts(t.label_texts, catalog(t), t.exclusions, names).select("product_id", "user_id", "description")
+
+
 @check("jon_7_personal_hits", PERSONAL_SQL + "SELECT product_id, user_id, ingredient_id, pos FROM hit WHERE personal")
 def _(t):
     tokens = resolve.with_lookup_key(resolve.label_tokens(t.label_texts, keys=("product_id", "user_id")))
