@@ -3,7 +3,7 @@
 import importlib
 import importlib.util
 
-AREAS = ("scalars", "labels", "users", "catalog", "lab", "build", "studies", "frames", "pages", "streams", "stores", "fragments", "keywords")
+AREAS = ("scalars", "labels", "users", "catalog", "lab", "build", "studies", "frames", "pages", "streams", "stores", "fragments", "keywords", "regulatory")
 
 
 def load_all() -> None:
