@@ -121,12 +121,23 @@ def event_intake_batch(events: DataFrame, arrival: str) -> DataFrame:
     return judge_deliveries(rows, rows.where(F.lit(False)), arrival)
 
 
-def running_counters(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Per-run counters of an event stream (update mode); combined before the shuffle."""
+def running_counters(events: DataFrame, watermark: str = "1 hour", slice_length: str = "1 hour") -> DataFrame:
+    """Counters of an event stream per run and slice of time (update mode); combined before the shuffle.
+
+    The counters of a run are the sums over its slices (:func:`counters_of_runs`). A slice leaves the
+    state once the watermark has passed its end, so the state holds what is open now and not every
+    run that ever was; an event that arrives behind the watermark of its slice is not counted.
+    """
     name = F.col("event_name")
-    return events.withWatermark("ts", watermark).groupBy("run_id").agg(
+    return events.withWatermark("ts", watermark).groupBy("run_id", F.window("ts", slice_length).alias("w")).agg(
         F.count_if(name == "frame_considered").alias("considered"), F.count_if(name == "frame_selected").alias("sent"),
-        F.count_if(name == "frame_rejected").alias("rejected"), F.count_if(name == "ocr_request_started").alias("ocr_calls"))
+        F.count_if(name == "frame_rejected").alias("rejected"), F.count_if(name == "ocr_request_started").alias("ocr_calls")).select(
+        "run_id", F.col("w.start").alias("slice_start"), "considered", "sent", "rejected", "ocr_calls")
+
+
+def counters_of_runs(slices: DataFrame) -> DataFrame:
+    """Counters per run from the newest row of every slice of :func:`running_counters`."""
+    return slices.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("considered", "sent", "rejected", "ocr_calls")])
 
 
 def flag_late(events: DataFrame, runs: DataFrame) -> DataFrame:
@@ -248,6 +259,67 @@ def throttle(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
         statefulProcessor=_Throttle(limit, seconds), outputStructType=THROTTLE_SCHEMA, outputMode="Append", timeMode="None")
 
 
+class _OrderedThrottle(StatefulProcessor):
+    """Open window of a key, and its hits that the watermark has not passed yet, in microseconds."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.length = limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, hits long")
+        self.pending = handle.getListState("pending", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for frame in rows:
+            at = frame["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            if len(at := at[at > passed]):  # hits before it have been counted without this one
+                self.pending.appendList([(int(x),) for x in at])
+                self.handle.registerTimer(-(-int(at.min()) // 1000))
+        yield self._rows(key, [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        pending = np.sort(np.array([x[0] for x in self.pending.get()], np.int64))
+        due, rest = pending[pending <= passed], pending[pending > passed]
+        start, hits = self.window.get() if self.window.exists() else (None, 0)
+        counts = []
+        for at in due.tolist():
+            start, hits = (at, 1) if start is None or at - start >= self.length else (start, hits + 1)
+            counts.append(hits)
+        self.pending.clear()
+        if len(rest):
+            self.pending.put([(int(x),) for x in rest])
+            self.handle.registerTimer(-(-int(rest[0]) // 1000))
+        if start is not None and start + self.length <= passed:
+            self.window.clear()  # every later hit starts a window of its own
+        elif start is not None:
+            self.window.update((start, hits))
+            self.handle.registerTimer(-(-(start + self.length) // 1000))
+        yield self._rows(key, due, counts)
+
+    def _rows(self, key, at, counts) -> pd.DataFrame:
+        return pd.DataFrame({
+            "key": pd.Series([key[0]] * len(at), dtype="object"), "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us").astype("datetime64[us]"),
+            "hits": pd.Series(counts, dtype="int64"), "allowed": pd.Series([c <= self.limit for c in counts], dtype="bool")})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_throttle(hits: DataFrame, limit: int, seconds: int, lateness: str) -> DataFrame:
+    """Windows that start at the first hit of a key, over a stream whose hits may come out of order.
+
+    A hit is counted once the watermark has passed it, after all earlier ones of its key, so the
+    result equals :func:`throttle_batch` over the hits in time. Hits at or before the watermark are
+    dropped. The window of a key leaves the state when no later hit can fall into it.
+    """
+    use_rocksdb(hits.sparkSession)
+    return hits.select("key", "at").withWatermark("at", lateness).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_OrderedThrottle(limit, seconds), outputStructType=THROTTLE_SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
 def throttle_batch(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Batch twin of :func:`throttle`: one ordered pass, state is one window per key."""
 

@@ -328,14 +328,14 @@ def _(t):
 def merge_sides(t):
     primary = {
         "ingredients": t.ingredients.withColumn("position", F.col("ingredient_id")).withColumn("name_en", F.when(F.col("is_active"), F.col("name_en"))),
-        "ingredient_aliases": t.aliases.where("source = 'catalog'").withColumn("alias_id", F.concat_ws("/", F.col("ingredient_id").cast("string"), "alias")),
-        "ingredient_rules": t.rules.limit(0), "regulatory_sources": t.sources.withColumn("source_id", F.col("source_id") + 100),
+        "ingredient_aliases": t.aliases.withColumn("alias_id", F.concat_ws("/", F.col("ingredient_id").cast("string"), "alias")),
+        "ingredient_rules": t.rules, "regulatory_sources": t.sources.withColumn("source_id", F.col("source_id") + 100),
     }
     old_rules = t.rules.withColumn("ingredient_id", F.col("ingredient_id") + 100000000).withColumn(
         "rule_type", F.when(F.col("regulatory_status") == "PERMITTED_WITH_CONDITIONS", "permitted_food_additive").otherwise("regulatory_status"))
     old = {
         "ingredients": legacy(t),
-        "ingredient_aliases": t.aliases.where("source = 'short'").withColumn("ingredient_id", F.col("ingredient_id") + 100000000).withColumn("alias_id", F.col("alias")),
+        "ingredient_aliases": t.aliases.withColumn("ingredient_id", F.col("ingredient_id") + 100000000).withColumn("alias_id", F.concat_ws("/", F.lit("old"), F.col("ingredient_id").cast("string"), "alias")),
         "ingredient_rules": old_rules, "regulatory_sources": t.sources,
     }
     return primary, old, t.alias_review.select(F.col("normalized_alias").alias("form"))

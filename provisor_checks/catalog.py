@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provisor.functions.codes import code_spellings
 from provisor.operators import catalog, quality, rules
 from provisor_checks.labels import DICT_CTE, NAME_OF, graded
+from provisor.operators.paging import OrderedPages
 from provisor_checks.registry import check
 
 GRADED = "WITH " + DICT_CTE + ", listed AS (SELECT i.ingredient_id, i.name, i.e_code, i.is_active, " + NAME_OF.format(w="g.weight") + """ AS severity
@@ -55,6 +56,13 @@ def _(t):
     )
 
 
+@check("ord_1_deep_page", "SELECT ingredient_id, name FROM ingredients WHERE is_active ORDER BY lower(name), ingredient_id LIMIT 50 OFFSET 120")
+def _(t):
+    """From the ranges that hold it; ranges of 40 rows, so that the page crosses some."""
+    rows = t.ingredients.where("is_active").select("ingredient_id", "name")
+    return OrderedPages(rows, [F.lower("name"), "ingredient_id"], "catalog-pages", 40).page(50, 120)
+
+
 @check("ord_6_next_page", """
     SELECT ingredient_id, name FROM ingredients WHERE is_active AND (lower(name) > 'cold widget' OR (lower(name) = 'cold widget' AND ingredient_id > 5))
     ORDER BY lower(name), ingredient_id LIMIT 40""")

@@ -232,6 +232,14 @@ def _(t):
     return lab.history(lab.select_runs(t.lab_runs), 30, 60).select("run_id")
 
 
+@check("ord_2_deep_history", "SELECT run_id FROM lab_runs WHERE NOT excluded_from_analysis ORDER BY started_at DESC, run_id LIMIT 30 OFFSET 900")
+def _(t):
+    from provisor.operators.paging import OrderedPages
+
+    runs = lab.select_runs(t.lab_runs).select("run_id", "started_at")
+    return OrderedPages(runs, [F.desc("started_at"), "run_id"], "history-pages", 250).page(30, 900).select("run_id")
+
+
 @check("ord_4_export_guard", "SELECT count(*) > 200 AS over_limit FROM lab_runs WHERE mode = '5-LOW'")
 def _(t):
     return lab.over_limit(t.lab_runs.where("mode = '5-LOW'"), 200)

@@ -87,8 +87,25 @@ def _(t):
     SELECT user_id AS run_id, count(*) FILTER (WHERE event_type = 'view') AS considered, count(*) FILTER (WHERE event_type = 'click') AS sent,
       count(*) FILTER (WHERE event_type = 'error') AS rejected FROM events GROUP BY 1""")
 def _(t):
-    out = jobs.run_available_updates(jobs.running_counters(event_stream(t)), *folders(t, "counters"), ["run_id"])
-    return out.select("run_id", "considered", "sent", "rejected")
+    slices = jobs.run_available_updates(jobs.running_counters(event_stream(t)), *folders(t, "counters"), ["run_id", "slice_start"])
+    return jobs.counters_of_runs(slices).select("run_id", "considered", "sent", "rejected")
+
+
+@check("str_3_counters_of_four_batches", """
+    SELECT user_id AS run_id, count(*) FILTER (WHERE event_type = 'view') AS considered, count(*) FILTER (WHERE event_type = 'click') AS sent,
+      count(*) FILTER (WHERE event_type = 'error') AS rejected FROM events GROUP BY 1""")
+def _(t):
+    """Four micro-batches in order of time; slices leave the state between them, sums stay whole."""
+    name = F.when(F.col("event_type") == "view", "frame_considered").when(F.col("event_type") == "click", "frame_selected").when(F.col("event_type") == "error", "frame_rejected")
+    events = t.events.select(F.col("user_id").alias("run_id"), name.alias("event_name"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    part = F.floor((F.unix_timestamp("ts") - first) * 4 / (last - first + 1))
+    base = shared_dir(t.spark, "counter-batches")
+    for i in range(4):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    slices = jobs.run_available_updates(jobs.running_counters(stream), f"{base}/out", f"{base}/checkpoint", ["run_id", "slice_start"])
+    return jobs.counters_of_runs(slices).select("run_id", "considered", "sent", "rejected")
 
 
 @check("str_4_late_events", """
@@ -134,7 +151,31 @@ def _(t):
     return out.withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@check("str_6_throttled_hits")
+# Windows of an hour from a first hit to the next first hit, and the number of each hit inside its window.
+HIT_WINDOWS = """nx AS (SELECT DISTINCT user_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM k),
+    w AS (SELECT user_id, min(ts) AS start FROM k GROUP BY 1 UNION ALL SELECT nx.user_id, nx.nxt FROM w JOIN nx ON nx.user_id = w.user_id AND nx.ts = w.start WHERE nx.nxt IS NOT NULL),
+    o AS (SELECT k.user_id, k.ts, max(w.start) OVER (PARTITION BY k.user_id ORDER BY k.ts) AS start FROM k LEFT JOIN w ON w.user_id = k.user_id AND w.start = k.ts),
+    h AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, start ORDER BY ts) AS hits FROM o)"""
+
+
+@check("str_6_hits_in_order", "WITH RECURSIVE" + LATE[LATE.index("\n    WITH ") + 9:LATE.index(",\n    g AS")].replace("k AS (", "kept AS (") + """,
+    k AS (SELECT user_id, ts FROM kept WHERE ts <= done),
+    """ + HIT_WINDOWS + """ SELECT CAST(user_id AS VARCHAR) AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, hits, hits <= 3 AS allowed FROM h""")
+def _(t):
+    """Four micro-batches by arrival; every seventh hit comes one batch late."""
+    last = t.events.agg(F.max("event_id")).first()[0]
+    part = F.least(F.floor(F.col("event_id") * 4 / (last + 1)) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0), F.lit(3))
+    hits = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), part.alias("part"))
+    base = shared_dir(t.spark, "hits")
+    for i in range(4):
+        hits.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema("key string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = jobs.run_available(jobs.ordered_throttle(stream, 3, 3600, "90500 milliseconds"), f"{base}/out", f"{base}/checkpoint")
+    return out.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@check("str_6_throttled_hits", "WITH RECURSIVE k AS (SELECT user_id, ts FROM events), " + HIT_WINDOWS + """
+    SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS hits, count(*) FILTER (WHERE hits <= 3) AS allowed FROM h GROUP BY 1""")
 def _(t):
     hits = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"))
     return jobs.throttle_batch(hits, 3, 3600).groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.count_if("allowed").alias("allowed"))

@@ -168,3 +168,18 @@ def test_assessment(spark):
     assert before[3][1] == "t" and before[2][1] != "t"
     assert go(end)[3][0] == "attention" and "завершен" in go(end)[3][1]
     assert "завершен" in go(dt.date(2030, 1, 1))[3][1]
+
+
+def test_descriptions_list_excluded_ingredients(spark):
+    """Order of the label, equal ones once, code before name, missing names as empty entries."""
+    from provisor.operators import verdict
+
+    rows = spark.createDataFrame(
+        [(1, 0, 10, 0, True), (1, 1, 11, 3, True), (1, 2, 10, 0, True), (1, 3, 12, 0, True), (2, 0, 11, 3, False), (3, 0, None, None, False), (4, 0, 13, 0, True)],
+        "product_id long, pos int, ingredient_id long, weight int, personal boolean")
+    names = spark.createDataFrame([(10, None, "salt"), (11, "E100", "colour"), (12, "", "salt")], "ingredient_id long, e_code string, name string")
+    judged = verdict.verdicts(verdict.label_counts(rows, with_hits=True))
+    got = {r.product_id: r.description for r in verdict.described(judged, names).collect()}
+    assert got[1] == verdict.DESCRIPTIONS["personal"] + "salt, E100 colour"
+    assert got[2] == verdict.DESCRIPTIONS["forbidden"] and got[3] == verdict.DESCRIPTIONS["incomplete"]
+    assert got[4] == verdict.DESCRIPTIONS["personal"]
