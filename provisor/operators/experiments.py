@@ -165,6 +165,27 @@ def run_summaries(runs: DataFrame, tasks: DataFrame, events: DataFrame) -> DataF
     return out.drop(*dropped)
 
 
+# Fixed value: the entry of an environment that tells when a run began, not under which condition.
+START_ENTRY = "started_at_utc"
+
+
+def with_condition(runs: DataFrame, environment: str = "environment") -> DataFrame:
+    """Runs with the condition they belong to: ``environment_text`` and ``condition_key``.
+
+    ``environment`` is a map of text to text; its start time is left out and its entries are sorted,
+    so equal conditions have equal keys. The key is the hash of protocol, mode, config and
+    environment; a null environment counts as empty.
+    """
+    kept = F.map_filter(F.col(environment), lambda name, _: name != START_ENTRY)
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(kept, F.create_map().cast("map<string,string>")))))
+    whole = F.struct("protocol_version", "mode", "config_no", ordered.alias("environment"))
+    return runs.withColumn("environment_text", F.to_json(ordered)).withColumn(
+        "condition_key", F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256))
+
+
+CONDITION = ["condition_key", "protocol_version", "mode", "config_no", "environment_text"]
+
+
 def group_report(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """Report per experimental condition over runs that are not excluded.
 

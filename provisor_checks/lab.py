@@ -75,6 +75,37 @@ def _(t):
     )
 
 
+def conditioned(t):
+    """Runs with an environment whose start time differs from run to run."""
+    env = F.create_map(F.lit("started_at_utc"), F.col("started_at").cast("string"), F.lit("device"), F.concat(F.lit("d"), (F.col("case_id") % 4).cast("string")),
+                       F.lit("browser"), F.lit("b"))
+    own = lab.with_condition(summaries(t).withColumn("environment", F.when(F.col("case_id") != 7, env)))
+    return own.drop("environment")
+
+
+@check("agg_8_conditions", "WITH " + SUMMARY_CTE + """,
+    x AS (SELECT *, CASE WHEN case_id <> 7 THEN '{"browser":"b","device":"d' || (case_id % 4) || '"}' ELSE '{}' END AS environment_text FROM summaries WHERE NOT excluded_from_analysis),
+    y AS (SELECT *, sha256('{"protocol_version":"' || protocol_version || '","mode":"' || mode || '","config_no":' || config_no || ',"environment":' || environment_text || '}') AS condition_key FROM x),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY condition_key ORDER BY end_to_end_ms NULLS LAST) AS rn, count(end_to_end_ms) OVER (PARTITION BY condition_key) AS k FROM y),
+    g AS (SELECT condition_key, protocol_version, mode, config_no, environment_text, count(*) AS n, count(*) FILTER (WHERE valid_result) AS success,
+      count(*) FILTER (WHERE status = 'running') AS running, CAST(0 AS BIGINT) AS frame_reviewed, CAST(0 AS BIGINT) AS complete_frames, CAST(0 AS BIGINT) AS quality_reviewed, CAST(0 AS BIGINT) AS quality_successes,
+      CAST(NULL AS DOUBLE) AS mean_ingredient_recall, count(end_to_end_ms) AS timed_successes, CAST(sum(ocr_calls) AS BIGINT) AS ocr_calls, CAST(sum(api_calls) AS BIGINT) AS api_calls,
+      CASE WHEN count(*) FILTER (WHERE ocr_calls <> 0 AND ocr_cpu_time_ms IS NULL) = 0 THEN CAST(sum(coalesce(ocr_cpu_time_ms, 0)) AS DOUBLE) END AS ocr_cpu_time_ms,
+      CASE WHEN count(*) FILTER (WHERE ocr_calls <> 0) = 0 THEN CAST(0 AS DOUBLE) END AS shared,
+      CASE WHEN count(*) FILTER (WHERE api_calls <> 0) = 0 THEN CAST(0 AS DOUBLE) END AS total_transfer_bytes, CASE WHEN count(*) FILTER (WHERE ocr_calls <> 0) = 0 THEN CAST(0 AS DOUBLE) END AS ocr_image_bytes,
+      max(tesseract_child_rss_peak_bytes) AS tesseract_child_rss_peak_bytes, min(end_to_end_ms) FILTER (WHERE rn = greatest(1, ceil(k * 0.5))) AS p50, min(end_to_end_ms) FILTER (WHERE rn = greatest(1, ceil(k * 0.95))) AS p95,
+      count(*) FILTER (WHERE ocr_calls <> 0) AS called FROM kept GROUP BY ALL)
+    SELECT * EXCLUDE (shared, called), round(success / n, 9) AS success_rate, CAST(NULL AS DOUBLE) AS frame_completeness_rate, CAST(NULL AS DOUBLE) AS quality_success_rate,
+      round(ocr_cpu_time_ms / n, 6) AS ocr_cpu_per_run_ms, CAST(NULL AS DOUBLE) AS ocr_cpu_per_complete_scan_ms, round(total_transfer_bytes / n, 6) AS transfer_per_run_bytes, CAST(NULL AS DOUBLE) AS bytes_per_complete_scan,
+      shared / n AS shared_process_cpu_per_run_ms, CASE WHEN success > 0 THEN shared / success END AS shared_process_cpu_per_success_ms,
+      CAST(NULL AS BIGINT) AS shared_process_rss_peak_bytes, CAST(NULL AS BIGINT) AS ocr_process_tree_rss_peak_bytes,
+      CASE WHEN ocr_cpu_time_ms IS NOT NULL THEN 'sampled_process_tree' ELSE 'not_measured' END AS measurement_quality FROM g""")
+def _(t):
+    """Every column of the report, per condition with its environment."""
+    out = lab.group_report(conditioned(t), lab.CONDITION)
+    return out.withColumns({"success_rate": F.round("success_rate", 9), "ocr_cpu_per_run_ms": F.round("ocr_cpu_per_run_ms", 6), "transfer_per_run_bytes": F.round("transfer_per_run_bytes", 6)})
+
+
 @check("exact_percentiles", """
     WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn,
       count(*) OVER (PARTITION BY event_type) AS k FROM events)
@@ -253,6 +284,48 @@ def _(t):
     return docs.select("run_id", "source", "part_no", F.array_join(text, "|").alias("events"))
 
 
+def export(t):
+    from provisor.sinks.run_export import export_parts
+
+    audit = t.lab_runs.where("run_id % 3 = 0").select("run_id", (F.col("run_id") * 2).alias("id"), F.lit("excluded").alias("action")).unionByName(
+        t.lab_runs.where("run_id % 3 = 0").select("run_id", (F.col("run_id") * 2 + 1).alias("id"), F.lit("restored").alias("action")))
+    own = lab.event_metrics(t.lab_events).select("run_id", "frames_considered")
+    return export_parts(
+        t.lab_runs.select("run_id", "case_id", "mode", "excluded_from_analysis"), t.cases, t.lab_events.select("run_id", "source", "seq", "event_name"),
+        t.lab_tasks.select("run_id", "task_no", "kind", "cpu_ms", F.col("requested_at").cast("timestamp").alias("requested_at")),
+        audit, own, t.lab_runs.groupBy("mode").agg(F.count(F.lit(1)).alias("n")), part_rows=2)
+
+
+EXPORT_SQL = """
+    WITH chosen AS (SELECT run_id, case_id, mode FROM lab_runs WHERE NOT excluded_from_analysis),
+    rows_of AS (
+      SELECT run_id, 'run' AS section, 1 AS no, '{"run_id":' || run_id || ',"case_id":' || case_id || ',"mode":"' || mode || '","excluded_from_analysis":false}' AS item FROM chosen
+      UNION ALL SELECT run_id, 'case', 1, '{"case_id":' || k.case_id || ',"case_title":"' || case_title || '"}' FROM chosen c JOIN cases k ON c.case_id = k.case_id
+      UNION ALL SELECT e.run_id, 'events', row_number() OVER (PARTITION BY e.run_id ORDER BY source, seq), '{"run_id":' || e.run_id || ',"source":"' || source || '","seq":' || seq || ',"event_name":"' || event_name || '"}'
+        FROM lab_events e JOIN chosen c ON e.run_id = c.run_id
+      UNION ALL SELECT t.run_id, 'tasks', row_number() OVER (PARTITION BY t.run_id ORDER BY requested_at, task_no), '{"run_id":' || t.run_id || ',"task_no":' || task_no || ',"kind":"' || kind || '","cpu_ms":'
+        || coalesce(CAST(cpu_ms AS VARCHAR), 'null') || ',"requested_at":"' || strftime(requested_at, '%Y-%m-%dT00:00:00.000Z') || '"}' FROM lab_tasks t JOIN chosen c ON t.run_id = c.run_id
+      UNION ALL SELECT run_id, 'exclusion_audit', i + 1, '{"run_id":' || run_id || ',"id":' || (run_id * 2 + i) || ',"action":"' || CASE i WHEN 0 THEN 'excluded' ELSE 'restored' END || '"}'
+        FROM (SELECT run_id, unnest([0, 1]) AS i FROM chosen WHERE run_id % 3 = 0)
+      UNION ALL SELECT e.run_id, 'measured_summary', 1, '{"run_id":' || e.run_id || ',"frames_considered":' || count(*) FILTER (WHERE source = 'browser' AND event_name = 'frame_considered') || '}'
+        FROM lab_events e JOIN chosen c ON e.run_id = c.run_id GROUP BY e.run_id
+      UNION ALL SELECT NULL, 'aggregates', 1, '{"mode":"' || mode || '","n":' || count(*) || '}' FROM lab_runs GROUP BY mode),
+    parts AS (SELECT CAST(run_id AS VARCHAR) AS run_id, section, CAST((no - 1) // 2 AS BIGINT) AS part_no, count(*) AS rows, CAST(sum(strlen(item)) AS BIGINT) AS bytes, string_agg(item, ',' ORDER BY no, item) AS items FROM rows_of GROUP BY 1, 2, 3)"""
+
+
+@check("snk_5_run_export", EXPORT_SQL + " SELECT * FROM parts")
+def _(t):
+    """Every section of every chosen run; parts of two rows, so that lists go on in further parts."""
+    return export(t).withColumn("items", F.array_join("items", ","))
+
+
+@check("snk_5_export_manifest", EXPORT_SQL + " SELECT run_id, section, count(*) AS parts, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes FROM parts GROUP BY 1, 2")
+def _(t):
+    from provisor.sinks.run_export import manifest
+
+    return manifest(export(t))
+
+
 @check("str_5_expired_heartbeats_batch", """
     SELECT run_id FROM lab_events GROUP BY run_id HAVING max(ts) < TIMESTAMP '2024-01-30 19:57:00'""")
 def _(t):
