@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from provisor.functions.names import escaped_names, taxonomy_key
 from provisor.operators.spread import running_total
+from provisor.session import cut_lineage
 
 # Line shapes of the taxonomy format.
 LANGUAGE = r"[a-z]{2,3}(?:[-_][a-z]+)*"
@@ -14,13 +15,30 @@ PARENT = rf"(?U)^<\s*({LANGUAGE}):\s*(.+)$"
 PROPERTY = rf"(?U)^([\w.-]+):({LANGUAGE}):\s*(.*)$"
 DIRECTIVE = r"^(?:synonyms|stopwords):"
 
+EDGES = r"(?U)^\s+|\s+$"
+INNER_ENDS = r"[\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+
 LINES_PER_BUCKET = 4096
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of each file with one-based numbers: (file, line_no, line)."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return number_lines(files, "file", "value")
+    """Lines of each file with one-based numbers: (file, line_no, line).
+
+    Files are read in splits, so one file may be many tasks' work. Rows of a split keep their order and
+    know where it starts; a line's number is the running count of lines in that order. Characters
+    that end a line for a text editor only (such as a form feed) count as line ends too. The lines
+    are written once, because the numbers inside a split belong to that one read.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("no"), F.split("value", INNER_ENDS).alias("parts"))
+    kept = cut_lineage(raw, "taxonomy-text")
+    counted = running_total(
+        kept, ["file"], F.struct("at", F.floor(F.col("no") / LINES_PER_BUCKET)), "no", F.size("parts"), "upto")
+    rows = counted.select("file", (F.col("upto") - F.size("parts")).alias("before"), F.posexplode("parts").alias("i", "line")).select(
+        "file", (F.col("before") + F.col("i") + 1).alias("line_no"), "line")
+    plain = F.when(F.col("line_no") == 1, F.regexp_replace("line", "^\\x{feff}", "")).otherwise(F.col("line"))
+    return rows.select("file", "line_no", F.regexp_replace(plain, EDGES, "").alias("line"))
 
 
 def number_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,7 +46,7 @@ def number_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.posexplode(F.split(clean, r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\x{2028}\x{2029}]"))
     return texts.select(F.col(key).alias("file"), lines.alias("line_no", "line")).select(
         "file", (F.col("line_no") + 1).alias("line_no"),
-        F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line"))
+        F.regexp_replace("line", EDGES, "").alias("line"))
 
 
 def with_blocks(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provisor.plans import profiles
 from provisor.sources import pages as pg, products as pr, taxonomy as tx
+from provisor.session import shared_dir
 from provisor_checks.registry import check
 
 LINKS = r"""lk AS (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
@@ -272,6 +273,21 @@ def _(t):
     return parsed["names"].select("key", "language", "name")
 
 
+@check("src_1_lines_of_files", """
+    WITH l AS (SELECT p_partkey, p_name || ' ' || CAST(p_partkey % 500 AS VARCHAR) AS name, p_type, p_brand FROM part)
+    SELECT 'en:' || name AS key, 'names' AS part, count(DISTINCT p_type) AS n FROM l GROUP BY name
+    UNION ALL SELECT 'en:' || name, 'properties', count(DISTINCT p_brand) FROM l GROUP BY name""")
+def _(t):
+    """The same text in files, read in splits; blocks end at blank lines of the files."""
+    folder = shared_dir(t.spark, "taxonomy-files")
+    t.sql(TAXONOMY).repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").select("text").write.text(folder)
+    parsed = tx.parse_taxonomy(tx.read_lines(t.spark, folder))
+    types = t.part.select(F.col("p_type").alias("name")).distinct()
+    names = parsed["names"].join(types, "name", "left_semi").groupBy("key").agg(F.count_distinct("name").alias("n"))
+    values = parsed["properties"].groupBy("key").agg(F.count_distinct("value").alias("n"))
+    return names.select("key", F.lit("names").alias("part"), "n").unionByName(values.select("key", F.lit("properties").alias("part"), "n"))
+
+
 @check("agg_15_merged_blocks", """
     SELECT 'en:' || p_name || ' ' || CAST(p_partkey % 500 AS VARCHAR) AS key, count(DISTINCT p_brand) AS properties FROM part GROUP BY 1""")
 def _(t):
@@ -329,3 +345,33 @@ def _(t):
     tables, _ = enrich_catalog(base, tx.number_lines(t.sql(TAXONOMY), "p_partkey", "text"), "TAXONOMY")
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.lit(1).alias("_k"))
     return one(tables["ingredients"], "ingredients").join(one(tables["taxonomy_entries"], "entries"), "_k").drop("_k")
+
+
+@check("chg_10_alias_decisions", r"""
+    WITH b AS (SELECT 'en:' || p_name || ' ' || CAST(p_partkey % 500 AS VARCHAR) AS key, p_name || ' ' || CAST(p_partkey % 500 AS VARCHAR) AS name, p_type,
+      CASE WHEN p_partkey % 9 = 0 THEN 'E' || CAST(100 + p_partkey AS VARCHAR) END AS given_code, CASE WHEN p_partkey % 9 = 0 AND 100 + p_partkey <= 9999 THEN 'E' || CAST(100 + p_partkey AS VARCHAR) END AS code FROM part),
+    k AS (SELECT key, min(code) AS lo, max(code) AS hi FROM b GROUP BY 1),
+    e AS (SELECT k.key, i.ingredient_id FROM k JOIN ingredients i ON k.lo = k.hi AND i.e_code = k.lo),
+    n AS (SELECT e.ingredient_id, unnest([b.name, b.p_type, b.given_code]) AS name FROM e JOIN b ON b.key = e.key),
+    f AS (SELECT ingredient_id, language, normalized_alias AS form FROM aliases UNION SELECT ingredient_id, 'ru', lower(name) FROM ingredients
+      UNION SELECT ingredient_id, 'en', lower(name_en) FROM ingredients
+      UNION SELECT ingredient_id, 'en', lower(name) FROM n WHERE name IS NOT NULL AND NOT (regexp_matches(name, '^E[0-9]{3,4}$') AND name NOT IN (SELECT e_code FROM ingredients WHERE e_code IS NOT NULL))),
+    many AS (SELECT form FROM f GROUP BY 1 HAVING count(DISTINCT ingredient_id) > 1)
+    SELECT CAST(f.ingredient_id AS VARCHAR) AS ingredient_id, f.language, f.form AS normalized_alias, CASE WHEN f.form IN (SELECT form FROM many) THEN 'ambiguous_name'
+      WHEN regexp_matches(f.form, '^e[0-9]{3,4}$') AND upper(f.form) IS DISTINCT FROM i.e_code THEN 'e_code_mismatch'
+      WHEN length(regexp_replace(f.form, '[^a-z]', '', 'g')) < 2 AND NOT regexp_matches(f.form, '^e[0-9]{3,4}$') THEN 'name_fragment' END AS reason
+    FROM f JOIN ingredients i ON i.ingredient_id = f.ingredient_id""")
+def _(t):
+    """Every alias of the enriched catalog, active or under review, over the aliases of all sources."""
+    from provisor.plans.taxonomy import enrich_catalog
+
+    owner = F.col("ingredient_id").cast("string")
+    base = {
+        "ingredients": t.ingredients.withColumn("ingredient_id", owner).withColumn("kind", F.lit("x")),
+        "ingredient_aliases": t.aliases.select(
+            F.concat_ws("/", owner, "alias").alias("alias_id"), owner.alias("ingredient_id"), "alias", "normalized_alias", "language", "source",
+            F.lit(1).cast("decimal(3,2)").alias("confidence"), (F.col("ingredient_id") * 10 + F.length("source") % 10).alias("position")),
+    }
+    tables, _ = enrich_catalog(base, tx.number_lines(t.sql(TAXONOMY), "p_partkey", "text"), "TAXONOMY")
+    names = ["ingredient_id", "language", "normalized_alias"]
+    return tables["ingredient_aliases"].select(*names, F.lit(None).cast("string").alias("reason")).unionByName(tables["ingredient_alias_review"].select(*names, "reason"))

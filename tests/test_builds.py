@@ -44,6 +44,25 @@ def test_taxonomy_text(spark):
     assert [r.line for r in p["unparsed_lines"].collect()] == ["this line says nothing"]
 
 
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """A file larger than a split is read by several tasks; numbers and blocks run across the splits."""
+    texts = {"a.txt": "\ufeffen: first\r\n" + "".join(f"en: name {i}, other {i}\nvegan:en: v{i}\n\n" for i in range(300)) + "en: page\x0cen: feed",
+             "b.txt": "\n\nen: alone\n", "empty.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    small.conf.set("spark.sql.files.openCostInBytes", "0")
+    raw = small.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
+    got = {}
+    for r in source.read_lines(small, str(tmp_path)).collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], {})[r.line_no] = r.line
+    want = {name: [x.strip() for x in text.lstrip("\ufeff").splitlines()] for name, text in texts.items() if text}
+    assert raw > 5 and {k: [v[i + 1] for i in range(len(v))] for k, v in got.items()} == want
+    blocks = source.with_blocks(source.read_lines(small, str(tmp_path))).where("line != ''").groupBy("file", "block").count()
+    assert blocks.count() == 302
+
+
 def test_taxonomy_matching(spark):
     """Parents in a circle, one code under two languages, two codes in one block, an unknown parent."""
     text = (
