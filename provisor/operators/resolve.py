@@ -24,15 +24,17 @@ def with_lookup_key(tokens: DataFrame, token: str = "token", *, any_script: bool
     """Add how a token is looked up: ``by`` is ``code`` or ``name`` and ``key`` the text.
 
     A negated token has its code suppressed and is looked up by its whole normal form; a token
-    with a code is never looked up by name. The dictionary has no empty key.
+    with a code is never looked up by name. A missing token has the empty key, which the dictionary
+    does not have.
     """
     raw = F.col(token)
     # Steps in columns of their own, so that no regular expression runs twice per token.
     found = tokens.withColumn("_found", code_text(raw))
     coded = found.withColumn("code", code_form(F.col("_found"))).drop("_found")
     named = F.when(F.col("code").isNull(), normalize_text(raw, any_script=any_script))
+    # Never null: an inner join would otherwise test the whole expression for null once more at the scan.
     return coded.withColumn("by", F.when(F.col("code").isNotNull(), "code").otherwise("name")).withColumn(
-        "key", F.coalesce(F.lower("code"), named)
+        "key", F.coalesce(F.lower("code"), named, F.lit(""))
     )
 
 
