@@ -49,6 +49,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(context._jsc.hadoopConfiguration())
+    return system.exists(where) and system.getFileStatus(where).isDirectory()
+
+
 _SHIPPED: set[str] = set()
 
 
