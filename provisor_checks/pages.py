@@ -71,7 +71,7 @@ def _(t):
 
 @check("src_6_page_heads", "WITH " + NUMBERED + r""",
     plain AS (SELECT page_id, regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g') AS h FROM pg)
-    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM plain""")
+    SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM plain""")
 def _(t):
     pages = odd_markup(t)
     return pg.page_heads(pages, pg.page_nodes(pages)).select("page_id", "title")
