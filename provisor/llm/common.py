@@ -6,12 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.session import cut_lineage, ship
+from provisor.session import bound_batches, cut_lineage, ship
 
 _SLOTS = 1 << 25
-#: Bytes of a batch of rows that goes to a Python worker; a longer row goes alone.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
@@ -21,8 +18,7 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    if not 0 < int(str(spark.conf.get(_BATCH)).rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    bound_batches(spark)
     return df.mapInArrow(function, schema)
 
 

@@ -82,6 +82,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Bytes of a batch of rows that goes to a Python worker; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers hold ``BATCH_BYTES`` at most; the session's own limit stays if it is smaller."""
+    if not 0 < int(str(spark.conf.get(_BATCH)).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def cut_lineage(df, purpose: str):
     """Write a frame once to the shared folder and read it back; survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)

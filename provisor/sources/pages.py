@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from provisor.functions.names import excerpt
 from provisor.functions.text import strip_invisible
-from provisor.session import ship
+from provisor.session import bound_batches, ship
 
 NOTE_CHARS = 1600
 FIRST_SECTION = "Введение"
@@ -21,6 +21,8 @@ BLOCKS = HEADINGS | {"p", "li"}
 NAMED = ("addicon__name", "field__content", "field--country-organization")
 
 NODE_SCHEMA = "page_key string, seq int, tag string, classes string, href string, text string, path string, inside array<int>"
+# Nodes that a worker hands over at once, and their characters.
+NODE_ROWS, NODE_CHARS = 2_000, 2_000_000
 # Elements whose content is no part of an article.
 NOISE = r"(^| )(script|style|ins)\.|block--advert-block"
 
@@ -65,6 +67,18 @@ class _Nodes(HTMLParser):
             node["text"].append(data)
 
 
+def in_pieces(rows: Iterator[tuple[tuple, int]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of rows that come with their sizes, so that a worker never holds all nodes of a batch."""
+    held, size = [], 0
+    for row, chars in rows:
+        held.append(row)
+        size += chars
+        if len(held) >= NODE_ROWS or size >= NODE_CHARS:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=columns)
+
+
 def page_nodes(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
     """Blocks and links of every page as rows: (page_key, seq, tag, classes, href, text, path, inside).
 
@@ -73,19 +87,22 @@ def page_nodes(pages: DataFrame, key: str = "url", html: str = "html") -> DataFr
     it is columnar.
     """
 
+    def nodes_of(batch: pd.DataFrame) -> Iterator[tuple[tuple, int]]:
+        for page_key, source in zip(batch["k"], batch["h"]):
+            parser = _Nodes()
+            parser.feed(source or "")
+            parser.close()
+            for i, n in enumerate(parser.out):
+                text = " ".join(n["text"])
+                yield (page_key, i, n["tag"], n["classes"], n["href"], text, n["path"], n["inside"]), len(text) + len(n["path"])
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split(" ")[0] for c in NODE_SCHEMA.split(", ")]
         for batch in batches:
-            rows = []
-            for page_key, source in zip(batch["k"], batch["h"]):
-                parser = _Nodes()
-                parser.feed(source or "")
-                parser.close()
-                rows += [
-                    (page_key, i, n["tag"], n["classes"], n["href"], " ".join(n["text"]), n["path"], n["inside"]) for i, n in enumerate(parser.out)
-                ]
-            yield pd.DataFrame(rows, columns=["page_key", "seq", "tag", "classes", "href", "text", "path", "inside"])
+            yield from in_pieces(nodes_of(batch), columns)
 
     ship(pages.sparkSession)
+    bound_batches(pages.sparkSession)
     nodes = pages.select(F.col(key).cast("string").alias("k"), F.col(html).alias("h")).mapInPandas(parse, NODE_SCHEMA)
     return nodes.withColumn("text", strip_invisible(F.col("text")))
 

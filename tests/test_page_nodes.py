@@ -2,6 +2,7 @@ import duckdb
 from conftest import frame
 
 from provisor.session import shared_dir
+from provisor.sources import pages as pg
 from provisor_checks import load_all
 from provisor_checks.registry import ORACLES, QUERIES
 
@@ -18,3 +19,14 @@ def test_title_with_unended_references(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
     assert set(con.execute(ORACLES["src_6_page_heads"]).fetchall()) == got == {(0, "a&&"), (1, "b & c"), (2, "<d>"), (3, "e &lt;")}
+
+
+def test_nodes_leave_a_worker_in_pieces(spark, monkeypatch):
+    """A worker kept the nodes of a whole batch of pages, up to 10,000 pages, whatever their size."""
+    monkeypatch.setattr(pg, "NODE_ROWS", 50)
+    pages = frame(spark, PAGES, *[(i, f"u{i}", "<p>word</p>" * (7 * i)) for i in range(40)]).coalesce(1)
+    nodes = pg.page_nodes(pages)
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    rows = nodes.groupBy("page_key").count().collect()
+    assert {r.page_key: r["count"] for r in rows} == {f"u{i}": 7 * i for i in range(1, 40)}
+    assert max(len(x) for x in pg.in_pieces(iter([((i,), 1) for i in range(120)]), ["n"])) == 50
