@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from provisor.functions.codes import code_form, code_text
 from provisor.functions.text import normalize_text, split_label
+from provisor.session import bound_tasks
 
 
 def label_tokens(
@@ -27,6 +28,7 @@ def with_lookup_key(tokens: DataFrame, token: str = "token", *, any_script: bool
     with a code is never looked up by name. A missing token has the empty key, which the dictionary
     does not have.
     """
+    bound_tasks(tokens.sparkSession)
     raw = F.col(token)
     # Steps in columns of their own, so that no regular expression runs twice per token.
     found = tokens.withColumn("_found", code_text(raw))

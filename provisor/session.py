@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import pathlib
+import re
 import uuid
 import zipfile
 
@@ -93,6 +94,28 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+#: Shuffled bytes that one task reads, and partitions that a shuffle starts with.
+TASK_BYTES, TASKS = 4 << 20, 512
+_ADVISED, _INITIAL = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SKEWED = "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"
+_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """Let adaptive execution merge partitions only up to ``TASK_BYTES``, out of ``TASKS`` at least.
+
+    A joined partition counts as skewed from four times that on. Both go by compressed bytes. Label texts and rows of ids compress well and become many tokens, each with
+    a row in the hash tables and sorts of the task, so 64 MB of them need gigabytes. Smaller settings of
+    the session stay.
+    """
+    for name, most in ((_ADVISED, TASK_BYTES), (_SKEWED, 4 * TASK_BYTES)):
+        number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", str(spark.conf.get(name)).strip().lower()).groups()
+        if int(number) * _UNITS[unit] > most:
+            spark.conf.set(name, str(most))
+    begun = int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(_INITIAL, str(max(begun, TASKS)))
+
+
 def cut_lineage(df, purpose: str):
     """Write a frame once to the shared folder and read it back; survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)

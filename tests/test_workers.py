@@ -31,3 +31,16 @@ def test_queries_run_from_another_folder():
     done = subprocess.run([sys.executable, "-c", script], cwd=folder, env=env, capture_output=True, text=True, timeout=300)
     ran = [line.split()[1:] for line in done.stdout.splitlines() if line.startswith("RAN")]
     assert len(ran) >= 4 and all(ok == "True" for _, ok in ran), done.stdout[-2000:] + done.stderr[-3000:]
+
+
+def test_label_tasks_stay_small(spark):
+    """Labels of one exchange were merged into tasks of 64 MB of compressed text, whose tokens need gigabytes."""
+    from pyspark.sql import functions as F
+
+    from provisor.operators import resolve
+
+    texts = spark.range(400_000).select(F.col("id").alias("product_id"), F.concat_ws(", ", *[F.sha2(F.concat("id", F.lit(str(i))), 256) for i in range(3)]).alias("text"))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(texts.repartition("product_id")))
+    assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) <= 4 << 20
+    sizes = [r.n for r in tokens.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("product_id").alias("n")).collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 40_000
