@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provisor.session import shared_dir
 
-RANGE_ROWS = 1_000_000
+#: Rows of a range, and ranges up to which smaller ones are written; each range costs a task and a folder.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 256
 
 
 class OrderedPages:
@@ -14,13 +15,15 @@ class OrderedPages:
 
     ``order`` holds names or sort expressions over the columns of ``rows``; it must end in a unique
     column, so equal leading values spread over several ranges. A page reads the ranges that it
-    meets and sorts nothing else, however deep it lies. One range is one task's sort.
+    meets and sorts nothing else, however deep it lies. One range is one task's sort. ``range_rows`` below
+    ``RANGE_ROWS`` holds up to ``MOST_RANGES`` ranges; more rows make these longer.
     """
 
     def __init__(self, rows: DataFrame, order: list[str | Column], name: str = "pages", range_rows: int = RANGE_ROWS):
         self.spark, self.order, self.columns = rows.sparkSession, order, rows.columns
         self.folder = shared_dir(self.spark, name)
-        parts = max(1, -(-rows.count() // range_rows))
+        n = rows.count()
+        parts = max(1, min(-(-n // range_rows), max(MOST_RANGES, -(-n // RANGE_ROWS))))
         placed = rows.repartitionByRange(parts, *order).select(
             F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.spark_partition_id().alias("range_no"))
         placed.write.partitionBy("range_no").parquet(f"{self.folder}/rows")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import frame
+from provisor.operators import paging
 from provisor.operators.paging import OrderedPages
 
 SCHEMA = "name string, id long, row string, range_no int"
@@ -30,3 +31,13 @@ def test_a_page_reads_its_ranges(spark):
 
 def test_empty_table(spark):
     assert OrderedPages(spark.createDataFrame([], SCHEMA), ["id"]).page(10).isEmpty()
+
+
+def test_short_ranges_stay_few(spark, monkeypatch):
+    """Ranges of a fixed few rows made a task and a folder for every few rows of a large set."""
+    monkeypatch.setattr(paging, "MOST_RANGES", 8)
+    pages = paging.OrderedPages(spark.range(2000).withColumn("k", F.col("id") % 3), [F.desc("k"), "id"], "few-ranges", 2)
+    assert pages.starts.count() <= 8
+    want = sorted(((i % 3, i) for i in range(2000)), key=lambda r: (-r[0], r[1]))
+    assert [(r.k, r.id) for r in pages.page(50, 660).collect()] == want[660:710]
+    assert [(r.k, r.id) for r in pages.page(50, 1990).collect()] == want[1990:]
