@@ -27,6 +27,8 @@ SECTION_ENDS = [
 ]
 LATIN_LOOKALIKES = "ABCEHKMOPTXYaceopxy"
 CYRILLIC_LOOKALIKES = "АВСЕНКМОРТХУасеорху"
+# Letters that are Cyrillic once look-alikes are replaced.
+WORD_CHARS = "А-Яа-яЁё" + LATIN_LOOKALIKES
 EDGE_CHARS = " ,;:.-–—"
 BLOCK_EDGE_CHARS = " :–—-.,;\"'«»_—|\\"
 TAIL_EDGE_CHARS = " :–—-."
@@ -67,39 +69,43 @@ def fuzzy_spans(text: Column, keywords: list[str], start: Column | int = 0) -> C
     """
     start = start if isinstance(start, Column) else F.lit(start)
     bounds = {k: 2 if len(k) <= 7 else 3 for k in keywords}
+    least = min(len(k) - bound for k, bound in bounds.items())
 
-    def close(piece: Column) -> Column:
-        # Lengths differ for almost every piece, so the distance is rarely computed; pieces
-        # between words share no letter with a keyword and are always too far.
-        hit = F.lit(False)
+    def close(word: Column) -> Column:
+        # Lengths differ for almost every word, so the distance is rarely computed.
+        folded, hit = F.lower(to_cyrillic_lookalikes(word)), F.lit(False)
         for keyword, bound in bounds.items():
             hit = hit | (
-                F.length(piece).between(len(keyword) - bound, len(keyword) + bound)
-                & (F.levenshtein(piece, F.lit(keyword), bound) >= 0)
+                F.length(word).between(len(keyword) - bound, len(keyword) + bound)
+                & (F.levenshtein(folded, F.lit(keyword), bound) >= 0)
             )
         return hit
 
-    def span(pieces: Column) -> Column:
-        def place(at: Column) -> Column:
-            before = start + F.length(F.array_join(F.slice(pieces, F.lit(1), at - 1), ""))
-            return F.when(at > 0, F.struct(
-                before.alias("start"), (before + F.length(F.get(pieces, at - 1))).alias("end")))
+    def span(rest: Column) -> Column:
+        # The first close word is the first of its spelling, so the text before it is sought once.
+        words = F.regexp_extract_all(rest, F.lit(f"[{WORD_CHARS}]{{{least},}}+"), F.lit(0))
 
-        return bind(F.array_position(F.transform(pieces, close), True).cast("int"), place)
+        def place(word: Column) -> Column:
+            whole = F.concat(F.lit(f"(?<![{WORD_CHARS}])"), word, F.lit(f"(?![{WORD_CHARS}])"))
+            return F.when(word.isNotNull(), bind(start + F.length(F.split(rest, whole, 2)[0]), lambda before: F.struct(
+                before.alias("start"), (before + F.length(word)).alias("end"))))
 
-    rest = F.substring(text, start + 1, F.length(text))
-    folded = F.lower(to_cyrillic_lookalikes(rest))
-    return bind(F.regexp_extract_all(folded, F.lit(r"([а-яё]+|[^а-яё]+)"), F.lit(1)), span)
+        return bind(F.get(F.filter(words, close), F.lit(0)), place)
+
+    # Lower-casing makes two characters of this letter only; offsets count them so.
+    return bind(F.replace(F.substring(text, start + 1, F.length(text)), F.lit("\u0130"), F.lit("i\u0307")), span)
 
 
 def _first_marker(text: Column, start: Column) -> Column:
     """Smallest zero-based offset of a section end at or after ``start``; null when none."""
-    lowered = F.lower(text)
-    places = [
-        F.nullif(F.call_function("locate", F.lit(m), lowered, (start + 1).cast("int")), F.lit(0)) - 1
-        for m in SECTION_ENDS
-    ]
-    return F.least(*places)
+
+    def least(lowered: Column) -> Column:
+        return F.least(*[
+            F.nullif(F.call_function("locate", F.lit(m), lowered, (start + 1).cast("int")), F.lit(0)) - 1
+            for m in SECTION_ENDS
+        ])
+
+    return bind(F.lower(text), least)
 
 
 def composition_block(raw: Column) -> Column:

@@ -1,4 +1,5 @@
 import sys
+import time
 import unicodedata
 import uuid
 
@@ -87,6 +88,17 @@ def test_composition(spark):
     assert got[3].c == "а, б в" and got[3].a == "содержать орехи"
 
 
+def test_composition_block_of_long_texts(spark):
+    """The work of a text follows its words near a keyword's length, not every run of letters and signs."""
+    pad = "the house of a cat, см. 12; " * 60_000
+    texts = [f"\U0001f600 İ {pad}CОСТAВ: вода {pad}Может быть", "состава составаяя: соль. может"]
+    began = time.monotonic()
+    got = run(spark, fn.fuzzy_spans(F.col("v"), ["состав"]), texts)
+    assert time.monotonic() - began < 6
+    at = len(pad) + 5  # a lower-cased İ counts twice
+    assert tuple(got[0]) == (at, at + 6) and tuple(got[1]) == (0, 7)
+
+
 def test_clean_composition(spark):
     cases = {
         "Состав: сахар ;соль\r\n• вода | Е 100. Срок годности: 5": "сахар, соль, вода E 100",
