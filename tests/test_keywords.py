@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from provisor.operators import keywords as module
 from provisor.operators.keywords import close_words, first_keywords
 
 
@@ -17,6 +20,20 @@ def words(seed, n, longest=9):
     return ["".join(rng.choice("абв") for _ in range(rng.randint(0, longest))) for _ in range(n)]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_pairs_equal_brute_force_with_and_without_index(spark, monkeypatch, few):
+    monkeypatch.setattr(module, "FEW", few)
+    test_pairs_equal_brute_force(spark)
+
+
+def test_few_keywords_list_no_remainders_and_move_no_placed_word(spark):
+    placed = spark.createDataFrame([(i, 0, f"состав{i % 7}") for i in range(50)], "doc_id int, place int, word string")
+    keys = spark.createDataFrame([("состав", 2), ("содержит", 3)], "keyword string, bound int")
+    assert "flatten" not in close_words(placed, keys)._jdf.queryExecution().optimizedPlan().toString()
+    plan = first_keywords(placed, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_pairs_equal_brute_force(spark):
     some, rng = words(1, 150), random.Random(2)
     keys = [(k, rng.randint(0, 3)) for k in sorted(set(words(3, 25)))]
