@@ -111,6 +111,12 @@ class Encoder:
         self.known = np.insert(self.known, place, hashes[order])
         self.at, self.size = np.insert(self.at, place, at[order]), np.insert(self.size, place, size[order])
 
+    def _find(self, seen: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Places of hashes among the known ones; sought in ``order``, neighbours lie in the same cache lines."""
+        at = np.empty(len(seen), np.int64)
+        at[order] = np.searchsorted(self.known, seen[order])
+        return at
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and where each document's begin."""
         starts, stops, first = split(data, offsets, self.keep_space, self.special)
@@ -119,7 +125,8 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.known) > KEPT_PIECES:
             self._clear()
-        at = np.searchsorted(self.known, seen)
+        order = np.argsort(seen)
+        at = self._find(seen, order)
         new = at == len(self.known)
         new[~new] = self.known[at[~new]] != seen[~new]
         if new.any():
@@ -127,7 +134,7 @@ class Encoder:
             example = np.flatnonzero(np.r_[True, top[1:] > top[:-1]])[new]
             raw = data.tobytes()
             self._learn(seen[new], [raw[a:b].decode(errors="replace") for a, b in zip(starts[example].tolist(), stops[example].tolist())])
-            at = np.searchsorted(self.known, seen)
+            at = self._find(seen, order)
         size = self.size[at][codes].astype(np.int64)
         upto = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=upto[1:])

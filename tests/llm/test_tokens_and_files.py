@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from provisor.llm import rans
 from provisor.llm.binary import new_folder, read_ids, write_ids
-from provisor.llm.tokens import encoded
+from provisor.llm.tokens import Encoder, encoded
 from tests.llm.helpers import SCHEMA, corpus, frame, row
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -59,3 +59,10 @@ def test_empty_table(spark):
     target = new_folder(spark)
     write_ids(spark.createDataFrame([], SCHEMA), BYTES, 2, target)
     assert read_ids(spark, target).collect() == []
+
+
+def test_hashes_are_found_in_any_order():
+    e, rng = Encoder(BYTES), np.random.default_rng(1)
+    e.known = np.sort(rng.integers(0, 1 << 63, 1_000, np.uint64))
+    seen = np.concatenate([rng.permutation(e.known)[:500], rng.integers(0, 1 << 63, 500, np.uint64)])
+    assert (e._find(seen, np.argsort(seen)) == np.searchsorted(e.known, seen)).all()
