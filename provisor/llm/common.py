@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from provisor.session import bound_batches, cut_lineage, ship
+from provisor.session import bound_batches, cut_lineage, scratch, ship
 
 _SLOTS = 1 << 25
 
@@ -189,35 +189,36 @@ def link_groups(rows: DataFrame, test, percent: int, rest=None, marked=None) ->
     rows, met = rows.select(*own, F.col("id").alias("root")), F.lit(True)
     links, roots, done = None, None, 0
     while True:
-        if done == 0:
-            lead = rows.groupBy("bucket").agg(F.min(F.struct("rank", "id", "n", "inner", "root")).alias("lead"))
-            others = rows.join(lead, "bucket")
-            left = others.where("id <> lead.id")
-        else:
-            held = cut_lineage(rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_m")), "held")
-            size = held.groupBy("bucket").agg(F.sum("_m").alias("_n"), F.max_by("root", F.struct("_m", "root")).alias("_largest"))
-            # An id leads with a probability that its own hash decides; the lowest hash leads in any case.
-            turn = F.pmod(F.xxhash64("id", F.lit(done)), F.lit(1 << 30))
-            dealt = rows.withColumn("_turn", turn).join(size.join(rows.groupBy("bucket").agg(F.min(turn).alias("_first")), "bucket"), "bucket")
-            chosen = (F.col("_turn") * F.col("_n") < F.lit(GROWTH ** (done - 1) << 30)) | (F.col("_turn") == F.col("_first"))
-            if done > ROUNDS:
-                chosen = F.col("root") != F.col("_largest")
-            dealt = cut_lineage(dealt.select(*own, "root", chosen.alias("chosen")), "dealt")
-            lead = dealt.where("chosen").select("bucket", F.struct(*own[1:], "root").alias("lead"))
-            others = dealt.join(lead, "bucket")
-            left = dealt.where("not chosen" if done <= ROUNDS else "false")
-        sized = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & F.when(
-            F.col("n") < F.col("lead.n"), F.col("inner")).when(F.col("n") > F.col("lead.n"), F.col("lead.inner")).otherwise(
-            F.col("inner") | F.col("lead.inner"))
-        pairs = cut_lineage(others.where(sized & (F.col("root") != F.col("lead.root")) & met).select(
-            F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "pairs")
-        found = cut_lineage(test(pairs).select("a", "b"), "links")
-        links = found if links is None else links.unionAll(found)
-        if roots is None or not found.isEmpty():
-            roots = components(links)
-        left = left.select(*own).join(roots, "id", "left").select(*own, F.coalesce("root", "id").alias("root"))
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        rows = cut_lineage(left.join(open_, "bucket", "left_semi"), "open")
+        with scratch(rows.sparkSession) as step:
+            if done == 0:
+                lead = rows.groupBy("bucket").agg(F.min(F.struct("rank", "id", "n", "inner", "root")).alias("lead"))
+                others = rows.join(lead, "bucket")
+                left = others.where("id <> lead.id")
+            else:
+                held = cut_lineage(rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_m")), "held")
+                size = held.groupBy("bucket").agg(F.sum("_m").alias("_n"), F.max_by("root", F.struct("_m", "root")).alias("_largest"))
+                # An id leads with a probability that its own hash decides; the lowest hash leads in any case.
+                turn = F.pmod(F.xxhash64("id", F.lit(done)), F.lit(1 << 30))
+                dealt = rows.withColumn("_turn", turn).join(size.join(rows.groupBy("bucket").agg(F.min(turn).alias("_first")), "bucket"), "bucket")
+                chosen = (F.col("_turn") * F.col("_n") < F.lit(GROWTH ** (done - 1) << 30)) | (F.col("_turn") == F.col("_first"))
+                if done > ROUNDS:
+                    chosen = F.col("root") != F.col("_largest")
+                dealt = cut_lineage(dealt.select(*own, "root", chosen.alias("chosen")), "dealt")
+                lead = dealt.where("chosen").select("bucket", F.struct(*own[1:], "root").alias("lead"))
+                others = dealt.join(lead, "bucket")
+                left = dealt.where("not chosen" if done <= ROUNDS else "false")
+            sized = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & F.when(
+                F.col("n") < F.col("lead.n"), F.col("inner")).when(F.col("n") > F.col("lead.n"), F.col("lead.inner")).otherwise(
+                F.col("inner") | F.col("lead.inner"))
+            pairs = cut_lineage(others.where(sized & (F.col("root") != F.col("lead.root")) & met).select(
+                F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "pairs")
+            found = step.keep(test(pairs).select("a", "b"), "links")
+            links = found if links is None else links.unionAll(found)
+            if roots is None or not found.isEmpty():
+                roots = step.keep(components(links), "roots")
+            left = left.select(*own).join(roots, "id", "left").select(*own, F.coalesce("root", "id").alias("root"))
+            open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+            rows = step.keep(left.join(open_, "bucket", "left_semi"), "open")
         done += 1
         if rows.isEmpty():
             return roots

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from provisor.llm.common import beside, key_bits, link_groups, marks, maybe_in, semi_join, shielded, surely_few
-from provisor.session import cut_lineage
+from provisor.session import cut_lineage, scratch
 
 #: Characters of a shingle, and places that are cut out of a line at once.
 GRAM, CHUNK = 5, 64
@@ -71,26 +71,28 @@ def _bands(halves: Column) -> Column:
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(id, root): line hashes of each component of two or more different lines."""
-    lines = split_lines(docs).select("lid", "line")
-    bands = cut_lineage(_halves(lines), "halves").select("lid", F.explode(_bands(F.col("halves"))).alias("bucket"))
-    shared = cut_lineage(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared")
-    met = cut_lineage(surely_few(bands, "bucket", shared).join(shared, "bucket"), "met")
-    # The line that others were copied from comes first: its bands are the most widely shared.
-    ranks = cut_lineage(met.groupBy("lid").agg((-F.sum("sets")).cast("double").alias("rank")), "ranks")
-    texts = semi_join(lines, ranks, "lid").groupBy("lid").agg(F.first("line").alias("line"))
-    texts = cut_lineage(texts.select("lid", "line", F.size(F.array_distinct(grams(F.col("line")))).cast("long").alias("n")), "line-texts")
-    sized = ranks.join(texts.select("lid", "n"), "lid")
-    rows = met.select("bucket", "lid").join(sized, "lid").select("bucket", F.col("lid").alias("id"), "n", F.lit(True).alias("inner"), "rank")
-
-    def test(pairs):
-        both = F.size(F.array_intersect(grams(F.col("line_a")), grams(F.col("line_b")))).cast("long")
-        return beside(pairs, texts, "lid", "line", "n").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
-
-    def marked(ids):
-        open_ = semi_join(texts, ids.withColumnRenamed("id", "lid"), "lid")
-        return marks(open_.select(F.col("lid").alias("id"), F.explode(F.array_distinct(grams(F.col("line")))).alias("x")))
-
-    return link_groups(cut_lineage(rows, "starts"), test, percent, marked=marked)
+    with scratch(docs.sparkSession) as own:
+        lines = split_lines(docs).select("lid", "line")
+        with scratch(docs.sparkSession) as start:
+            bands = cut_lineage(_halves(lines), "halves").select("lid", F.explode(_bands(F.col("halves"))).alias("bucket"))
+            shared = cut_lineage(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared")
+            met = start.keep(surely_few(bands, "bucket", shared).join(shared, "bucket"), "met")
+        # The line that others were copied from comes first: its bands are the most widely shared.
+        ranks = cut_lineage(met.groupBy("lid").agg((-F.sum("sets")).cast("double").alias("rank")), "ranks")
+        texts = semi_join(lines, ranks, "lid").groupBy("lid").agg(F.first("line").alias("line"))
+        texts = cut_lineage(texts.select("lid", "line", F.size(F.array_distinct(grams(F.col("line")))).cast("long").alias("n")), "line-texts")
+        sized = ranks.join(texts.select("lid", "n"), "lid")
+        rows = met.select("bucket", "lid").join(sized, "lid").select("bucket", F.col("lid").alias("id"), "n", F.lit(True).alias("inner"), "rank")
+
+        def test(pairs):
+            both = F.size(F.array_intersect(grams(F.col("line_a")), grams(F.col("line_b")))).cast("long")
+            return beside(pairs, texts, "lid", "line", "n").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
+
+        def marked(ids):
+            open_ = semi_join(texts, ids.withColumnRenamed("id", "lid"), "lid")
+            return marks(open_.select(F.col("lid").alias("id"), F.explode(F.array_distinct(grams(F.col("line")))).alias("x")))
+
+        return own.keep(link_groups(cut_lineage(rows, "starts"), test, percent, marked=marked), "similar-lines")
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -119,8 +121,9 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Other columns may have any names. See ``repeated_lines``.
     """
     docs, names = shielded(docs, "doc_id", "text", "n_chars")
-    lost = cut_lineage(repeated_lines(docs, percent).where("size(removed) > 0").select(
-        F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "removed-lines")
+    with scratch(docs.sparkSession) as own:
+        lost = own.keep(repeated_lines(docs, percent).where("size(removed) > 0").select(
+            F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "removed-lines")
     marked = maybe_in(docs, F.col("doc_id"), key_bits(lost, "_id"), "_maybe")
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     touched = marked.where("_maybe").select(*others, F.split("text", "\n").alias("_lines"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import io
 import pathlib
 import re
@@ -116,8 +117,56 @@ def bound_tasks(spark: SparkSession) -> None:
     spark.conf.set(_INITIAL, str(max(begun, TASKS)))
 
 
-def cut_lineage(df, purpose: str):
-    """Write a frame once to the shared folder and read it back; survives lost executors."""
+_BLOCK: contextvars.ContextVar[scratch | None] = contextvars.ContextVar("_BLOCK", default=None)
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class scratch:
+    """A block whose intermediates leave the disk when it ends.
+
+    Tables that ``cut_lineage`` writes inside are deleted with the block; ``keep`` writes one that
+    stays for the enclosing block or, without one, for good. Shuffle files go when their query ends,
+    not when the driver happens to collect its garbage. After the block use only frames from
+    ``keep``, or from before it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> scratch:
+        self._outer = _BLOCK.get()
+        self._token = _BLOCK.set(self)
+        self._before = self._spark.conf.get(_CLEANED, None)
+        self._spark.conf.set(_CLEANED, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        _BLOCK.reset(self._token)
+        if self._before is None:
+            self._spark.conf.unset(_CLEANED)
+        else:
+            self._spark.conf.set(_CLEANED, self._before)
+        context = self._spark.sparkContext
+        for path in self._paths:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+    def keep(self, df, purpose: str):
+        """``cut_lineage`` for a table that outlives the block."""
+        return _written(df, purpose, self._outer)
+
+
+def _written(df, purpose: str, block: scratch | None):
     path = shared_dir(df.sparkSession, purpose)
+    if block is not None:
+        block._paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df, purpose: str):
+    """Write a frame once to the shared folder and read it back; survives lost executors.
+
+    Inside a ``scratch`` block the table goes with the block.
+    """
+    return _written(df, purpose, _BLOCK.get())
