@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from provisor.llm import words as W
 from provisor.llm.common import arrow_map, beside, components, key_bits, link_groups, maybe_in, prefix_sizes, semi_join, summed, surely_few
-from provisor.session import cut_lineage, ship
+from provisor.session import cut_lineage, scratch, ship
 
 #: Groups of the smallest sets and of the trees; counters of gram frequencies and how they are dealt.
 GROUPS, COUNTERS, SLICE = 256, 1 << 20, 1 << 16
@@ -65,15 +67,20 @@ def _point(grams: np.ndarray) -> bytes:
     """Group counts of a set; large sets have four times as many groups.
 
     The first byte holds the binary logarithm of the number; a count takes one byte, or four
-    where one doesn't fit.
+    where one doesn't fit. Most counts are small, so the whole is deflated.
     """
     bits = 8 + 2 * (len(grams) >= 4000)
     counts = np.bincount((grams & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-    return bytes([bits]) + counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+    return zlib.compress(bytes([bits]) + counts.astype("u1" if counts.max() < 256 else "<u4").tobytes(), 6)
+
+
+def _plain(point: bytes) -> bytes:
+    return zlib.decompress(point) if point[:1] == b"\x78" else point
 
 
 def _unpacked(point: bytes, groups: int | None = None) -> np.ndarray:
     """Group counts, added up to fewer groups where asked for."""
+    point = _plain(point)
     counts = np.frombuffer(point, "u1" if len(point) - 1 == 1 << point[0] else "<u4", offset=1).astype(np.int64)
     return counts if groups is None else counts.reshape(-1, groups).sum(0)
 
@@ -134,7 +141,7 @@ def _bound(percent: int):
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             most = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            for x, y in zip(map(_plain, batch.column(4).to_pylist()), map(_plain, batch.column(5).to_pylist())):
                 groups = 1 << min(x[0], y[0])
                 most.append(np.minimum(_unpacked(x, groups), _unpacked(y, groups)).sum())
             yield batch.select(["a", "b"]).filter(pa.array(np.array(most, np.int64) >= _need(na, nb, percent)))
@@ -238,58 +245,67 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = F
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = spark.sparkContext.broadcast(frequent(docs, k, lower))
-    sets = cut_lineage(arrow_map(docs, _sets(k, lower, percent, often), "doc_id long, n long, id long, point binary, heads array<long>"), "sets")
-    known = sets.where("n > 0 and doc_id is not null")
-    member = known.select("doc_id", "id").distinct()
-
-    firsts = known.select("id", "n", F.size("heads").alias("heads"), F.posexplode("heads").alias("at", "bucket"))
-    shared = cut_lineage(firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("bucket"), "shared")
-    met = surely_few(firsts, "bucket", shared).groupBy("bucket", "id", "n", "heads").agg(F.min("at").alias("at"))
-    several = met.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    rows = cut_lineage(met.join(several, "bucket"), "buckets")
-    common = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("common"))
-    rows = rows.join(common, ["id", "n"]).select("bucket", "id", "n", (F.col("at") < prefix_sizes(F.col("n"), percent)[0]).alias("inner"),
-                                                 ((F.col("heads") - F.col("common")) / F.col("n")).alias("rank"))
-    rows = cut_lineage(rows, "starts")
-    wanted = rows.select("id").distinct()
-    chosen = semi_join(known.select("doc_id", "id", "n", "point"), wanted, "id").groupBy("id").agg(
-        F.min(F.struct("doc_id", "n", "point")).alias("one"))
-    chosen = cut_lineage(chosen.select("id", "one.*"), "chosen")
-    named = maybe_in(docs, F.col("doc_id"), key_bits(chosen, "doc_id"), "_maybe").where("_maybe").select("doc_id", "text")
-    texts = named.join(chosen.select("doc_id", "id"), "doc_id").select("id", "text")
-    if not known.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").isEmpty():
-        texts = arrow_map(texts, _own_text(k, lower), "id long, text string")  # an id may have several texts
-    texts = cut_lineage(texts, "texts")
-
-    def test(pairs):
-        near = arrow_map(beside(pairs, chosen, "id", "n", "point"), _bound(percent), "a long, b long")
-        near = cut_lineage(near, "near")
-        return arrow_map(beside(near, texts, "id", "text"), _verify(k, lower, percent), "a long, b long").distinct()
-
-    def rest(open_):
-        """R-trees of each open bucket's blocks, searched by the ids outside its largest component."""
-        parts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(
-            F.max_by("root", F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("ask"))
-        parts = cut_lineage(parts.select("bucket", "largest", "m", "ask", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"),
-                                         F.ceil(F.col("ask") / QUERIES).cast("int").alias("parts")), "blocks")
-        tasks = -(-(parts.agg(F.sum(F.col("m") * F.col("parts") + F.col("ask") * F.col("blocks"))).first()[0] or 1) // ROWS)
-        held = open_.select("bucket", "id", "root", "inner").join(chosen.select("id", "n", "point"), "id").join(parts, "bucket")
-        to = lambda c: F.pmod(F.xxhash64("id", F.lit(c)), F.col(c)).cast("int")
-        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        own = ["id", "root", "n", "inner", "point"]
-        dealt = held.select("bucket", to("blocks").alias("block"), each("parts").alias("part"), F.lit(0).alias("side"), *own).unionAll(
-            held.where("root <> largest").select("bucket", each("blocks").alias("block"), to("parts").alias("part"), F.lit(1).alias("side"), *own))
-        dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "block", "part"), F.lit(tasks)))
-        return dealt.groupBy("task").applyInArrow(_tree_join(percent), "a long, b long").distinct()
-
-    roots = link_groups(rows, test, percent, rest)
-    twice = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("hi")).where("a < hi")
-    if not twice.isEmpty():
-        ties = twice.join(member, "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
-        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(ties))
-    tied = cut_lineage(member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct(), "members")
-    least = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    node = tied.join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(node, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    with scratch(spark) as own:
+        often = spark.sparkContext.broadcast(frequent(docs, k, lower))
+        with scratch(spark) as start:
+            begun = cut_lineage(arrow_map(docs, _sets(k, lower, percent, often), "doc_id long, n long, id long, point binary, heads array<long>"), "begun")
+            sets = start.keep(begun.drop("heads"), "sets")
+            firsts = begun.where("n > 0 and doc_id is not null").select(
+                "id", "n", F.size("heads").alias("heads"), F.posexplode("heads").alias("at", "bucket"))
+            shared = cut_lineage(firsts.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("bucket"), "shared")
+            met = surely_few(firsts, "bucket", shared).groupBy("bucket", "id", "n", "heads").agg(F.min("at").alias("at"))
+            met = cut_lineage(met, "met")
+            several = met.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+            rows = cut_lineage(met.join(several, "bucket"), "buckets")
+            common = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("common"))
+            rows = rows.join(common, ["id", "n"]).select("bucket", "id", "n", (F.col("at") < prefix_sizes(F.col("n"), percent)[0]).alias("inner"),
+                                                         ((F.col("heads") - F.col("common")) / F.col("n")).alias("rank"))
+            rows = start.keep(rows, "starts")
+        known = sets.where("n > 0 and doc_id is not null")
+        member = known.select("doc_id", "id").distinct()
+        wanted = rows.select("id").distinct()
+        chosen = semi_join(known.select("doc_id", "id", "n", "point"), wanted, "id").groupBy("id").agg(
+            F.min(F.struct("doc_id", "n", "point")).alias("one"))
+        chosen = cut_lineage(chosen.select("id", "one.*"), "chosen")
+        repeated = not known.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").isEmpty()
+
+        def test(pairs):
+            """Only texts of pairs that their points allow are moved."""
+            near = arrow_map(beside(pairs, chosen, "id", "n", "point"), _bound(percent), "a long, b long")
+            near = cut_lineage(near, "near")
+            asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            asked = cut_lineage(semi_join(chosen.select("doc_id", "id"), asked, "id"), "asked")
+            named = maybe_in(docs, F.col("doc_id"), key_bits(asked, "doc_id"), "_maybe").where("_maybe").select("doc_id", "text")
+            texts = named.join(asked, "doc_id").select("id", "text")
+            if repeated:
+                texts = arrow_map(texts, _own_text(k, lower), "id long, text string")  # an id may have several texts
+            texts = cut_lineage(texts, "texts")
+            return arrow_map(beside(near, texts, "id", "text"), _verify(k, lower, percent), "a long, b long").distinct()
+
+        def rest(open_):
+            """R-trees of each open bucket's blocks, searched by the ids outside its largest component."""
+            parts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(
+                F.max_by("root", F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("ask"))
+            parts = cut_lineage(parts.select("bucket", "largest", "m", "ask", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"),
+                                             F.ceil(F.col("ask") / QUERIES).cast("int").alias("parts")), "blocks")
+            tasks = -(-(parts.agg(F.sum(F.col("m") * F.col("parts") + F.col("ask") * F.col("blocks"))).first()[0] or 1) // ROWS)
+            held = open_.select("bucket", "id", "root", "inner").join(chosen.select("id", "n", "point"), "id").join(parts, "bucket")
+            to = lambda c: F.pmod(F.xxhash64("id", F.lit(c)), F.col(c)).cast("int")
+            columns = ["id", "root", "n", "inner", "point"]
+            stored = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(to("blocks").alias("block"), i.alias("part"), F.lit(0).alias("side")))
+            asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), to("parts").alias("part"), F.lit(1).alias("side")))
+            places = F.when(F.col("root") == F.col("largest"), stored).otherwise(F.concat(stored, asking))
+            dealt = held.select("bucket", F.explode(places).alias("place"), *columns).select("bucket", "place.*", *columns)
+            dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "block", "part"), F.lit(tasks)))
+            return dealt.groupBy("task").applyInArrow(_tree_join(percent), "a long, b long").distinct()
+
+        roots = link_groups(rows, test, percent, rest)
+        twice = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("hi")).where("a < hi")
+        if not twice.isEmpty():
+            ties = twice.join(member, "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(ties))
+        tied = cut_lineage(member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct(), "members")
+        least = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        node = tied.join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        return own.keep(sets.select("doc_id", F.col("n").alias("n_shingles")).join(node, "doc_id", "left").select(
+            "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "similar-sets")
