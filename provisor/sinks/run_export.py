@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from provisor.operators.experiments import MAX_EVENTS
-from provisor.operators.spread import numbered
 from provisor.session import cut_lineage
 
 # Limits of one export.
@@ -24,11 +23,23 @@ def _single(df: DataFrame, section: str, run: Column) -> DataFrame:
 
 
 def _listed(df: DataFrame, section: str, bucket: Column, order: list[Column]) -> DataFrame:
-    """Rows numbered per run along ``order``; only bucket sizes meet per run, so a long log is no single task's work."""
-    keyed = [F.col("run_id").cast("string").alias("run_id"), bucket.alias("bucket"), *[c.alias(f"order_{i}") for i, c in enumerate(order)]]
-    rows = df.where("run_id is not null").select(*keyed, _json(df).alias("item"))
-    ranked = numbered(rows, ["run_id"], F.col("bucket"), [*[F.col(f"order_{i}") for i in range(len(order))], F.col("item")], "no")
-    return ranked.select("run_id", F.lit(section).alias("section"), "no", "item")
+    """Rows numbered per run along ``order``; only bucket sizes meet per run, so a long log is no single task's work.
+
+    Rows move to their bucket as they are; their JSON, which is longer, is made there.
+    """
+    taken, free = {c.lower() for c in df.columns}, "_"
+    while any(c.startswith(free) for c in taken):
+        free += "_"
+    at, keys = f"{free}bucket", [f"{free}order{i}" for i in range(len(order))]
+    rows = df.where("run_id is not null").withColumn(at, bucket)
+    before = Window.partitionBy("run_id").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("run_id", at).agg(F.count(F.lit(1)).alias(f"{free}n"))
+    sizes = sizes.select("run_id", at, F.coalesce(F.sum(f"{free}n").over(before), F.lit(0)).alias("offset"))
+    items = rows.repartition("run_id", at).select("run_id", at, *[c.alias(k) for c, k in zip(order, keys)], _json(df).alias("item"))
+    inside = Window.partitionBy("run_id", at).orderBy(*keys, "item")
+    ranked = items.select("run_id", at, "item", F.row_number().over(inside).alias("rank")).join(sizes, ["run_id", at])
+    return ranked.select(F.col("run_id").cast("string").alias("run_id"), F.lit(section).alias("section"),
+                         (F.col("rank") + F.col("offset")).cast("long").alias("no"), "item")
 
 
 def export_parts(
