@@ -17,26 +17,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 from provisor.llm.common import beside, key_bits, link_groups, marks, maybe_in, semi_join, shielded, surely_few
 from provisor.session import cut_lineage, scratch
 
-#: Characters of a shingle, and places that are cut out of a line at once.
-GRAM, CHUNK = 5, 64
+#: Characters of a shingle, and bytes of a character where all have the same length.
+GRAM, WIDTH = 5, 4
+#: Compressed bytes of lines that one task cuts into shingles, about: each of its lines has up to 24 rows in a hash table.
+LINE_BYTES = 2 << 20
 #: Groups of half signatures, half signatures of a group, and bins: one for each half signature.
 GROUPS, HALVES = 8, 3
 BINS = GROUPS * HALVES
 
 
-def _chunks(line: Column) -> Column:
-    """Pieces of a line that overlap so that each shingle lies in one; places are sought inside a piece only."""
-    last = F.greatest(F.lit(1), F.length(line) - (GRAM - 1))
-    return F.transform(F.sequence(F.lit(1), last, F.lit(CHUNK)), lambda at: F.substring(line, at, F.lit(CHUNK + GRAM - 1)))
+def _wide(line: Column) -> Column:
+    """A line as bytes in which each place is found at once, however long the line is."""
+    return F.encode(line, "UTF-32")
 
 
-def _places(chunk: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(chunk) - (GRAM - 1)))
+def _places(wide: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(wide) - WIDTH * GRAM), F.lit(WIDTH))
+
+
+def _gram(wide: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(wide, place + 1, F.lit(WIDTH * GRAM)))
 
 
 def grams(line: Column) -> Column:
     """Hashes of all character shingles of a line, repeats included."""
-    return F.flatten(F.transform(_chunks(line), lambda c: F.transform(_places(c), lambda i: F.xxhash64(F.substring(c, i, F.lit(GRAM))))))
+    return F.flatten(F.transform(F.array(_wide(line)), lambda w: F.transform(_places(w), lambda i: _gram(w, i))))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -47,20 +52,19 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def _halves(lines: DataFrame) -> DataFrame:
     """lid -> its half signatures. Lines meet by their hash first, so equal ones are read once and no minima are moved."""
-    one = lines.groupBy("lid").agg(F.first("line").alias("line"))
-    chunks = one.select("lid", F.explode(_chunks(F.col("line"))).alias("chunk"))
-    places = chunks.select("lid", "chunk", F.explode(_places(F.col("chunk"))).alias("i"))
-    hashes = places.select("lid", F.xxhash64(F.substring("chunk", F.col("i"), F.lit(GRAM))).alias("x"))
+    wide = lines.groupBy("lid").agg(F.first("line").alias("line")).select("lid", _wide(F.col("line")).alias("wide"))
+    places = wide.select("lid", "wide", F.explode(_places(F.col("wide"))).alias("i"))
+    hashes = places.select("lid", _gram(F.col("wide"), F.col("i")).alias("x"))
     bin_ = F.pmod(F.shiftrightunsigned("x", 40), F.lit(BINS)).cast("int")
     lows = hashes.groupBy("lid", bin_.alias("bin")).agg(
         F.min("x").alias("m0"), *[F.min(F.xxhash64("x", F.lit(k))).alias(f"m{k}") for k in (1, 2)])
-    bins = lows.groupBy("lid").agg(F.sort_array(F.collect_list(F.struct("bin", "m0", "m1", "m2"))).alias("bins"))
-    before = lambda i: F.when(i > 0, F.element_at("bins", F.greatest(i, F.lit(1)))["bin"]).otherwise(-1)
-    filled = F.flatten(F.transform("bins", lambda e, i: F.array_repeat(e, e["bin"] - before(i))))
-    filled = F.concat(filled, F.array_repeat(F.element_at("bins", 1), BINS - 1 - F.element_at("bins", -1)["bin"]))
-    full = bins.select("lid", filled.alias("bins"))
-    return full.select("lid", F.array(*[
-        F.hash(*[F.col("bins")[(h + BINS * k // 3) % BINS][f"m{k}"] for k in range(3)]) for h in range(BINS)]).alias("halves"))
+    # One column per bin and order: numbers only, so a line costs 600 bytes of a hash table and no objects.
+    full = lows.groupBy("lid").agg(*[F.max(F.when(F.col("bin") == b, F.col(f"m{k}"))).alias(f"m{k}_{b}") for k in range(3) for b in range(BINS)])
+
+    def low(b, k):
+        return F.coalesce(*[f"m{k}_{(b + step) % BINS}" for step in range(BINS)])
+
+    return full.select("lid", F.array(*[F.hash(*[low(h + BINS * k // 3, k) for k in range(3)]) for h in range(BINS)]).alias("halves"))
 
 
 def _bands(halves: Column) -> Column:
@@ -73,7 +77,7 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(id, root): line hashes of each component of two or more different lines."""
     with scratch(docs.sparkSession) as own:
         lines = split_lines(docs).select("lid", "line")
-        with scratch(docs.sparkSession) as start:
+        with scratch(docs.sparkSession, LINE_BYTES) as start:
             bands = cut_lineage(_halves(lines), "halves").select("lid", F.explode(_bands(F.col("halves"))).alias("bucket"))
             shared = cut_lineage(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared")
             met = start.keep(surely_few(bands, "bucket", shared).join(shared, "bucket"), "met")

@@ -109,7 +109,11 @@ def bound_tasks(spark: SparkSession) -> None:
     a row in the hash tables and sorts of the task, so 64 MB of them need gigabytes. Smaller settings of
     the session stay.
     """
-    for name, most in ((_ADVISED, TASK_BYTES), (_SKEWED, 4 * TASK_BYTES)):
+    _bound(spark, TASK_BYTES)
+
+
+def _bound(spark: SparkSession, task_bytes: int) -> None:
+    for name, most in ((_ADVISED, task_bytes), (_SKEWED, 4 * task_bytes)):
         number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", str(spark.conf.get(name)).strip().lower()).groups()
         if int(number) * _UNITS[unit] > most:
             spark.conf.set(name, str(most))
@@ -127,25 +131,29 @@ class scratch:
     Tables that ``cut_lineage`` writes inside are deleted with the block; ``keep`` writes one that
     stays for the enclosing block or, without one, for good. Shuffle files go when their query ends,
     not when the driver happens to collect its garbage. After the block use only frames from
-    ``keep``, or from before it.
+    ``keep``, or from before it. With ``task_bytes`` adaptive execution merges the partitions of its
+    queries up to that size only (see ``bound_tasks``).
     """
 
-    def __init__(self, spark: SparkSession):
-        self._spark, self._paths = spark, []
+    def __init__(self, spark: SparkSession, task_bytes: int | None = None):
+        self._spark, self._paths, self._task_bytes = spark, [], task_bytes
 
     def __enter__(self) -> scratch:
         self._outer = _BLOCK.get()
         self._token = _BLOCK.set(self)
-        self._before = self._spark.conf.get(_CLEANED, None)
+        self._before = {name: self._spark.conf.get(name, None) for name in (_CLEANED, _ADVISED, _SKEWED, _INITIAL)}
         self._spark.conf.set(_CLEANED, "true")
+        if self._task_bytes:
+            _bound(self._spark, self._task_bytes)
         return self
 
     def __exit__(self, *_) -> None:
         _BLOCK.reset(self._token)
-        if self._before is None:
-            self._spark.conf.unset(_CLEANED)
-        else:
-            self._spark.conf.set(_CLEANED, self._before)
+        for name, value in self._before.items():
+            if value is None:
+                self._spark.conf.unset(name)
+            else:
+                self._spark.conf.set(name, value)
         context = self._spark.sparkContext
         for path in self._paths:
             where = context._jvm.org.apache.hadoop.fs.Path(path)
