@@ -83,15 +83,17 @@ def parse_taxonomy(lines: DataFrame) -> dict[str, DataFrame]:
 
     ``names`` is unique per (key, language, name) with the position of its first occurrence.
     A block without names gives no entry; ``empty_names`` lists the lines that should have some.
+    Classified lines, names and keys of blocks are written once; every part reads them.
     """
-    rows = classify(with_blocks(lines))
-    named = rows.where("kind = 'names'").select(
-        "file", "block", "line_no", "language", F.posexplode(escaped_names(F.col("value"))).alias("i", "name"))
+    rows = cut_lineage(classify(with_blocks(lines)), "taxonomy-classified")
+    named = cut_lineage(rows.where("kind = 'names'").select(
+        "file", "block", "line_no", "language", F.posexplode(escaped_names(F.col("value"))).alias("i", "name")), "taxonomy-named")
     # The key comes from English, else Russian, else the first language; then the first name.
     rank = F.when(F.col("language") == "en", 0).when(F.col("language") == "ru", 1).otherwise(2)
     head = named.groupBy("file", "block").agg(F.min(F.struct(rank.alias("rank"), "language", "line_no", "i", "name")).alias("h"))
     start = rows.groupBy("file", "block").agg(F.min("line_no").alias("line"))
-    keyed = head.select("file", "block", taxonomy_key(F.col("h.language"), F.col("h.name")).alias("key")).join(start, ["file", "block"])
+    keyed = cut_lineage(head.select(
+        "file", "block", taxonomy_key(F.col("h.language"), F.col("h.name")).alias("key")).join(start, ["file", "block"]), "taxonomy-keyed")
     first = keyed.groupBy("key").agg(F.min(F.struct("file", "line")).alias("f"))
     position = F.struct("file", "line_no", "i")
     with_key = lambda kind: rows.where(F.col("kind") == kind).join(keyed.select("file", "block", "key"), ["file", "block"])
