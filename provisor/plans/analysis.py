@@ -32,14 +32,14 @@ def catalog_dictionary(
     return cut_lineage(graded_dictionary(resolve.match_dictionary(ingredients, aliases, review), weights), "catalog-dictionary")
 
 
-def analyse_labels(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
+def analyse_labels(labels: DataFrame, dictionary: DataFrame, *, keep_empty: bool = True) -> DataFrame:
     """One verdict row per label (``product_id``, ``text``), against a :func:`catalog_dictionary`.
 
     Labels are dealt out by product before they are split, so both aggregates find their rows in
     place: one exchange of labels, none of tokens. A label without any token keeps a row with
-    zero counts.
+    zero counts, unless ``keep_empty`` is false.
     """
-    tokens = resolve.with_lookup_key(resolve.label_tokens(labels.repartition("product_id"), keep_empty=True))
+    tokens = resolve.with_lookup_key(resolve.label_tokens(labels.repartition("product_id"), keep_empty=keep_empty))
     return verdict.described(verdict.verdicts(verdict.label_counts(resolve.resolve_tokens(tokens, dictionary))))
 
 

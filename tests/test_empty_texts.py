@@ -4,9 +4,12 @@ import duckdb
 import pytest
 from conftest import frame
 
+from provisor.plans import analysis
 from provisor.session import shared_dir
 from provisor_checks import load_all
+from provisor_checks.labels import catalog
 from provisor_checks.registry import ORACLES, QUERIES
+from provisor_checks.tables import Tables
 
 load_all()
 TEXTS = ["", None, " \n ", ",;", "that.", "One. That two. Three.", "name 3, colour (E103); salt", " ".join(f"w{i}" for i in range(30))]
@@ -42,3 +45,14 @@ def test_excerpt_of_a_text_without_words(spark, folder):
     got = both(spark, folder, "fn_19_excerpt")
     assert [got[i] for i in range(5)] == [("", False), (None, None), ("", False), (",;", False), ("that.", False)]
     assert got[7][1] and got[7][0].endswith("w24…")
+
+
+def test_stream_judges_labels_with_tokens(spark, folder):
+    """The batch job keeps a row of zero counts for labels without tokens; the stream gives them no verdict."""
+    assert set(both(spark, folder, "str_1_label_stream")) == {4, 5, 6, 7}
+
+
+def test_batch_keeps_labels_without_tokens(spark, folder):
+    labels = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("doc_id", "product_id")
+    got = {r.product_id: (r.matched, r.unmatched, r.incomplete) for r in analysis.analyse_labels(labels, catalog(Tables(spark, folder))).collect()}
+    assert set(got) == set(range(len(TEXTS))) and [got[i] for i in range(4)] == [(0, 0, True)] * 4
